@@ -53,6 +53,11 @@ def parts_for(total_bytes: int | None, per_part: int, least: int = 1) -> int:
     return max(least, -(-int(total_bytes or 0) // per_part))
 
 
+def table_bytes(df: DataFrame) -> int:
+    """The planner's estimate of a table's size (for files: their size), without a pass over it."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
 def texts_of(column: pa.ChunkedArray | pa.Array) -> list[str]:
     """Python strings of an Arrow string column, null as the empty string."""
     return pc.fill_null(column, "").to_pylist()
@@ -70,29 +75,27 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _hash_words(words: list[str]) -> dict[str, bytes]:
+    import xxhash
+
+    return {w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")).to_bytes(8, "little") for w in words}
+
+
 class WordHashes:
-    """A bounded cache from word to 64-bit hash; only speed depends on the bound."""
+    """64-bit hashes of words, and of all words of many texts at once."""
 
-    def __init__(self, limit: int = 400_000):
-        self.limit = limit
-        self.cache: dict[str, int] = {}
+    def __init__(self) -> None:
+        self.memo = Memo(_hash_words)
 
     def __call__(self, words: list[str]) -> np.ndarray:
-        import xxhash
+        return np.frombuffer(b"".join(self.memo(words)), np.uint64)
 
-        cache = self.cache
-        try:
-            return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            if len(cache) > self.limit:
-                cache.clear()
-            digest = xxhash.xxh64_intdigest
-            for w in set(words).difference(cache):
-                cache[w] = digest(w.encode("utf-8", "surrogatepass"))
-            return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+    def of_texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the white-space separated words, one text after another, and the texts' offsets."""
+        words, codes, offsets = word_lists(column)
+        return self(words)[codes], offsets
 
 
-WORDS = WordHashes()
 SHINGLE = 5
 
 
@@ -138,3 +141,83 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+
+
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces whose texts have about ``most_bytes`` (a longer text is a piece alone)."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
+    piece = np.cumsum(sizes) // most_bytes
+    cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+def word_lists(column: pa.Array, separator: str | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Words of texts: the distinct ones, each text's words as numbers of these, one text after another,
+    and the offsets of the texts. Without a separator words are split at white space and never empty."""
+    texts = pc.fill_null(column, "")
+    lists = pc.utf8_split_whitespace(texts) if separator is None else pc.split_pattern(texts, separator)
+    offsets = np.asarray(lists.offsets).astype(np.int64)
+    flat = lists.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0]))
+    offsets = offsets - offsets[0]
+    coded = flat.dictionary_encode()
+    words, codes = coded.dictionary.to_pylist(), np.asarray(coded.indices)
+    if separator is None and "" in words:
+        keep = codes != words.index("")
+        offsets = np.concatenate([[0], np.cumsum(keep)])[offsets]
+        codes = codes[keep]
+    return words, codes, offsets
+
+
+def gather(codes: np.ndarray, offsets: np.ndarray, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """int32 lists put together: list i has the int32 values of ``parts[c]`` for its codes c, in order."""
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    starts = np.cumsum(sizes) - sizes
+    pool = np.frombuffer(b"".join(parts), np.int32)
+    counts = sizes[codes]
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    index = np.repeat(starts[codes] - ends[:-1], counts)
+    index += np.arange(len(index))
+    return pool[index], ends[offsets]
+
+
+class Memo:
+    """A bounded memory of bytes by word, in two generations: words still in use outlive a turn.
+
+    ``fill`` finds the bytes of new words; only speed depends on the bounds.
+    """
+
+    def __init__(self, fill, limit: int = 350_000, longest: int = 48):
+        self.fill, self.limit, self.longest = fill, limit, longest
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def get(self, word: str) -> bytes | None:
+        got = self.young.get(word)
+        return self.old.get(word) if got is None else got
+
+    def __call__(self, words: list[str]) -> list[bytes]:
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        rows = list(map(young.get, words))
+        missing = []
+        for i in [i for i, r in enumerate(rows) if r is None]:
+            w = words[i]
+            got = old.get(w)
+            if got is None:
+                missing.append(i)
+            else:
+                rows[i] = young[w] = got
+        if missing:
+            found = self.fill([words[i] for i in missing])
+            for i in missing:
+                w = words[i]
+                got = rows[i] = found[w]
+                if len(w) <= self.longest:
+                    young[w] = got
+        return rows
+
+
+WORDS = WordHashes()

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gridloom.llm.common import texts_of
+from gridloom.llm.common import Memo, gather, slices, texts_of, word_lists
 
 MARK = "▁"
 ENCODED = "ids array<int>, starts array<int>, ends array<int>, decoded string"
@@ -144,16 +144,15 @@ class Normalizer:
 class PieceCodec:
     """Encode with offsets, and decode, exactly as the sentencepiece library does."""
 
-    def __init__(self, path: str, limit: int = 800_000, longest: int = 64):
+    def __init__(self, path: str):
         import sentencepiece
 
         with open(path, "rb") as f:
             model = f.read()
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.normalizer = Normalizer(model)
-        self.limit, self.longest = limit, longest
         self.mark = np.array([self.library.piece_to_id(MARK)], np.int32).tobytes()
-        self.cache: dict[str, bytes] = {"": self.mark}
+        self.memo = Memo(self._new)
         self.sizes = np.array([1 if self.library.is_byte(i) else len(self.library.id_to_piece(i).replace(MARK, " ").encode()) for i in range(self.library.get_piece_size())], np.int64)
         self.opens = np.array([self.library.id_to_piece(i).startswith(MARK) for i in range(self.library.get_piece_size())])
 
@@ -172,28 +171,31 @@ class PieceCodec:
                 held += " "
         return [*out, held + words[-1]]
 
-    def _ids(self, normals: list[str]) -> list[bytes]:
+    def _ids(self, normals: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of normalised texts, one after another, and the texts' offsets."""
         if not self.normalizer.cuttable:
-            return [np.array(x, np.int32).tobytes() for x in self.library.encode(normals, num_threads=1)]
-        split = [self.segments(t) if t else [] for t in normals]
-        cache = self.cache
-        missing = {w for words in split for w in words if w not in cache}
-        if len(cache) + len(missing) > self.limit:
-            cache.clear()
-            cache[""] = self.mark
-            missing = {w for words in split for w in words if w}
-        found = self._new(missing)
-        cache.update((w, b) for w, b in found.items() if len(w) <= self.longest)
-        long = {w: b for w, b in found.items() if len(w) > self.longest}
-        get = cache.__getitem__ if not long else lambda w: long[w] if w in long else cache[w]
-        return [b"".join(map(get, words)) for words in split]
-
-    def _new(self, keys: set[str], together: int = 256) -> dict[str, bytes]:
+            lists = self.library.encode(normals, num_threads=1)
+            return np.array([i for x in lists for i in x], np.int32), np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+        plain = [bool(t) and t[0] != " " and t[-1] != " " and "  " not in t for t in normals]
+        odd = [self.segments(t) if t else [] for t, p in zip(normals, plain) if not p]
+        # the words of plain texts are their segments; those of other texts come after all of them
+        words, codes, offsets = word_lists(pa.array([t for t, p in zip(normals, plain) if p], pa.string()), " ")
+        parts = self.memo([*words, *(w for row in odd for w in row)])
+        codes = np.concatenate([codes, np.arange(len(words), len(parts))])
+        offsets = np.concatenate([offsets, offsets[-1] + np.cumsum([len(row) for row in odd], dtype=np.int64)])
+        ids, at = gather(codes, offsets, parts)
+        if all(plain):
+            return ids, at
+        place = np.argsort(np.argsort(~np.array(plain), kind="stable"), kind="stable")
+        lists = [ids[at[k] : at[k + 1]] for k in place]
+        return np.concatenate(lists), np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+
+    def _new(self, keys: list[str], together: int = 256) -> dict[str, bytes]:
         """Ids of segments that are not cached: those of one mark are encoded many at a time and cut where
         a piece begins with a mark."""
-        plain = [k for k in keys if k[0] != " "]
-        odd = [k for k in keys if k[0] == " "]
-        found = {k: np.array(x, np.int32).tobytes() for k, x in zip(odd, self.library.encode(odd, num_threads=1))} if odd else {}
+        plain = [k for k in keys if k and k[0] != " "]
+        odd = [k for k in keys if k and k[0] == " "]
+        found = {"": self.mark} | {k: np.array(x, np.int32).tobytes() for k, x in zip(odd, self.library.encode(odd, num_threads=1) if odd else [])}
         groups = [plain[i : i + together] for i in range(0, len(plain), together)]
         for group, ids in zip(groups, self.library.encode([" ".join(g) for g in groups], num_threads=1) if groups else []):
             ids = np.array(ids, np.int32)
@@ -206,8 +208,9 @@ class PieceCodec:
         """For each text: ids, and the start and end of each piece in bytes of the original text."""
         normals = [self.normalizer.run(t) for t in texts]
         out = []
-        for (normal, offsets), raw in zip(normals, self._ids([n for n, _ in normals])):
-            ids = np.frombuffer(raw, np.int32)
+        flat, at = self._ids([n for n, _ in normals])
+        for (normal, offsets), a, b in zip(normals, at[:-1].tolist(), at[1:].tolist()):
+            ids = flat[a:b]
             if not len(ids):
                 out.append((ids, ids, ids))
                 continue
@@ -254,8 +257,7 @@ def encode_documents(docs: DataFrame, model: str, text: str = "text", keep: list
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = codec(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, text):
                 coded = work.encode_all(texts_of(part.column(text)))
                 decoded = work.decode_all([c[0] for c in coded])
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(_lists([c[k] for c in coded]) for k in range(3)), pa.array(decoded, pa.string())], [*keep, *added])

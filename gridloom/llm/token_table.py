@@ -13,27 +13,34 @@ care: nothing is cut.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import parts_for, texts_of, work_path
+from gridloom.llm.common import Memo, gather, parts_for, slices, table_bytes, word_lists, work_path
 
 END_ID = 2
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20  # of the input's files
 
 TABLE_SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 
 
+# Byte-level vocabularies write each byte that isn't a printing Latin-1 sign as U+0100 and up, in order.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+_BYTE_SIGNS = {b: 256 + i for i, b in enumerate(_HIDDEN)}
+
+
 class ChunkEncoder:
     """Ids of a text through ids of its chunks between spaces and line ends.
 
@@ -41,7 +48,7 @@ class ChunkEncoder:
     composition or merge crosses, so a text's ids are its chunks' ids one after another.
     """
 
-    def __init__(self, path: str, limit: int = 800_000, longest: int = 64):
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has its own core; more threads than that only contend
         from tokenizers import Tokenizer
 
@@ -50,15 +57,35 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         added = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)}
         self.fence = min(added.items(), default=None)
-        self.limit, self.longest = limit, longest
-        self.cache: dict[str, bytes] = {"": b""}
-
-    def _fill(self, chunks: set[str], together: int = 256) -> dict[str, bytes]:
-        """Ids of chunks that are not cached. Many are encoded at a time, a special token between them: such
-        a token is taken out before anything else and what is between two is encoded by itself."""
+        self.memo = Memo(self._fill)
+        self.tails: dict[str, bytes] = {"": b""}
+        # taking words apart is right where letters and signs are split, and the text is only composed and lowered
+        steps = json.loads(self.tokenizer.to_str())
+        self.simple = [x["type"] for x in (steps["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in (steps["pre_tokenizer"] or {}).get("pretokenizers", [])] == ["Split", "ByteLevel"] and r"|[\p{L}]+|" in steps["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex", "")
+
+    def _fill(self, chunks: list[str], together: int = 256) -> dict[str, bytes]:
+        """Ids of chunks that are not in the memory.
+
+        A run of Latin letters, perhaps with full stops and commas after it, is taken apart as the
+        pre-tokenizer does and its letters go to the model alone; other chunks are encoded many at a
+        time, a special token between them, which is taken out before anything else is done.
+        """
+        found: dict[str, bytes] = {}
+        rest, get = [], self.memo.get
+        for c in chunks:
+            core = c.rstrip(".,")
+            if not (self.simple and core.isalpha() and max(core) < "\u0100"):
+                rest.append(c)
+                continue
+            low = core.lower()
+            ids = found.get(low) or get(low)
+            if ids is None:
+                spelled = low if low.isascii() else low.encode().decode("latin-1").translate(_BYTE_SIGNS)
+                ids = found[low] = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], "<i4").tobytes()
+            found[c] = ids + self._tail(c[len(core) :])
         mark = self.fence[1][:1] if self.fence else ""
-        plain = [c for c in chunks if self.fence and mark not in c]
-        found = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<i4").tobytes() for c in (chunks.difference(plain) if plain else chunks)}
+        plain = [c for c in rest if self.fence and mark not in c]
+        found.update((c, np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<i4").tobytes()) for c in rest if not self.fence or mark in c)
         groups = [plain[i : i + together] for i in range(0, len(plain), together)]
         for group, got in zip(groups, self.tokenizer.encode_batch_fast([self.fence[1].join(g) for g in groups], add_special_tokens=False) if groups else []):
             ids = np.array(got.ids, "<i4")
@@ -66,20 +93,20 @@ class ChunkEncoder:
             found.update(zip(group, map(raw.__getitem__, map(slice, [0, *(f + 4 for f in fences)], [*fences, len(raw)]))))
         return found
 
-    def encode(self, texts: list[str], end: bytes) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        cache, missing = self.cache, set()
-        for words in split:
-            missing.update(w for w in words if w not in cache)
-        if len(cache) + len(missing) > self.limit:
-            cache.clear()
-            cache[""] = b""
-            missing = {w for words in split for w in words if w}
-        found = self._fill(missing) if missing else {}
-        cache.update((w, b) for w, b in found.items() if len(w) <= self.longest)
-        long = {w: b for w, b in found.items() if len(w) > self.longest}
-        get = cache.__getitem__ if not long else lambda w: long[w] if w in long else cache[w]
-        return [b"".join(map(get, words)) + end for words in split]
+    def _tail(self, signs: str) -> bytes:
+        if signs not in self.tails:
+            self.tails[signs] = np.array(self.tokenizer.encode(signs, add_special_tokens=False).ids, "<i4").tobytes()
+        return self.tails[signs]
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all texts (each closed by ``end_id``, if given) and the texts' offsets."""
+        words, codes, offsets = word_lists(pc.replace_substring(texts, "\n", " "), " ")
+        parts = self.memo(words)
+        if end_id is not None:
+            codes = np.insert(codes, offsets[1:], len(parts))
+            offsets = offsets + np.arange(len(offsets))
+            parts = [*parts, np.array([end_id], "<i4").tobytes()]
+        return gather(codes, offsets, parts)
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -92,29 +119,25 @@ def encoder(path: str) -> ChunkEncoder:
 
 
 def _encode_batches(path: str, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    end, before = np.array([end_id], "<i4").tobytes(), 0
+    before = 0
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            rows = batch.slice(at, 500)
-            ids = encoder(path).encode(texts_of(rows.column("text")), end)
-            n = np.array([len(x) // 4 for x in ids], np.int64)
-            stops = np.cumsum(n)
-            flat = np.frombuffer(b"".join(ids), "<i4")
+        for rows in slices(batch, "text"):
+            ids, at = encoder(path).encode(rows.column("text"), end_id)
+            n = np.diff(at)
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(before + stops - n), pa.array(n), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stops]).astype(np.int32)), pa.array(flat, pa.int32()))],
+                [rows.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(before + at[:-1]), pa.array(n), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids, pa.int32()))],
                 ["doc_id", "part", "local_start", "n_tokens", "ids"],
             )
-            before += int(stops[-1]) if len(stops) else 0
+            before += int(at[-1])
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int = END_ID, part_bytes: int = PART_BYTES) -> DataFrame:
     """Documents in ascending doc_id order, range-partitioned by sampled splitters, as rows of the token table."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0]
-    parts = parts_for(total, part_bytes, least=2)
+    parts = parts_for(table_bytes(docs), part_bytes, least=2)
     ordered = rows.repartitionByRange(parts, F.col("doc_id")).sortWithinPartitions("doc_id", "text")
 
     def run(batches):
