@@ -55,7 +55,7 @@ def parts_for(total_bytes: int | None, per_part: int, least: int = 1) -> int:
 
 def table_bytes(df: DataFrame) -> int:
     """The planner's estimate of a table's size (for files: their size), without a pass over it."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def texts_of(column: pa.ChunkedArray | pa.Array) -> list[str]:
@@ -99,21 +99,16 @@ class WordHashes:
 SHINGLE = 5
 
 
-def shingle_hashes(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
-    """Hash of every run of ``size`` words, in order, as uint64; shorter texts have one run of all their words.
-
-    No words: no shingles.
-    """
-    n = len(words)
-    if n == 0:
+def run_hashes(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """Hash of every run of ``size`` words, in order, as uint64."""
+    n = len(words) - size + 1
+    if n <= 0:
         return np.empty(0, np.uint64)
-    k = min(size, n)
-    out = np.zeros(n - k + 1, np.uint64)
-    for i in range(k):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + words[i : i + n - k + 1]
+    out = np.zeros(n, np.uint64)
+    for i in range(size):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + words[i : i + n]
         out ^= out >> np.uint64(29)
-    # the length of a short run is part of its identity
-    return mix64(out + np.uint64(k))
+    return mix64(out + np.uint64(size))  # the length of a run is part of its identity
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:

@@ -2,12 +2,12 @@
 
 Which documents hold most of a benchmark item? Items are short and documents may be long, so an item and
 a whole document have a tiny resemblance. Items are therefore partitioned by size (powers of two of
-their distinct word shingles), and for a partition whose items have up to ``s`` shingles each document
-is cut into windows of ``3 s`` shingles that advance by ``s``: a passage of an item lies whole in some
-window, against which a contained item has a resemblance of at least ``containment / 4``. Each of
-``HASHES`` min-wise hash functions is a band of one row: a window and an item are candidates if some
-band agrees. A contained item stays undetected with a probability under ``(1 - 0.2) ** HASHES``
-(8e-7 at 64). Windows of all sizes come from one set of block minima, so a text is hashed once.
+their word shingles), and for a partition whose items have up to ``s`` shingles each document is cut
+into windows of ``2 s`` shingles that advance by ``s``: a passage of an item lies whole in some window,
+with a resemblance of at least 1/4 (an item of over ``s / 2`` shingles against ``2 s``), or 0.19 where
+only 0.8 of it is there. Each of ``HASHES`` min-wise hash functions is a band of one row: a window and
+an item are candidates if some band agrees. A contained item stays undetected with a probability under
+``0.75 ** HASHES`` (1e-6 at 48; 4e-5 at a containment of 0.8). Windows of all sizes come from one set of block minima, so a text is hashed once.
 
 Candidates are verified with exact shingles (runs of words compared as strings): containment is the
 share of the item's distinct shingles that the whole document holds.
@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from gridloom.llm.common import SHINGLE, WORDS, mix64, shingle_hashes, texts_of
+from gridloom.llm.common import SHINGLE, WORDS, run_hashes, slices
 
-HASHES, BLOCK, BLOCK_BYTES, CONTAINMENT, SEED = 64, 20_000, 8 << 20, 0.8, 20
+HASHES, BLOCK, BLOCK_BYTES, CONTAINMENT, SEED = 48, 20_000, 8 << 20, 0.8, 20
 
 
 def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,45 +59,66 @@ class ItemIndex:
             if not words:
                 continue
             size = min(SHINGLE, len(words))
-            hashed = np.unique(shingle_hashes(WORDS(words), size))
-            parts.setdefault((size, max(16, 1 << int(len(hashed) - 1).bit_length())), []).append(len(self.items))
+            hashed = np.unique(run_hashes(WORDS(words), size))
+            parts.setdefault((size, max(16, 1 << int(len(words) - size).bit_length())), []).append(len(self.items))
             self.items.append((key, size, _split(words, size)))
             self.hashed.append(hashed)
+        self.signs: dict[tuple[int, int], np.ndarray] = {}
         self.parts = {}
         for at, members in sorted(parts.items()):
             minima = np.array([[int((self.hashed[m] * a + b).min()) for a, b in zip(self.a, self.b)] for m in members], np.uint64)
             order = np.argsort(minima, axis=0, kind="stable")
             self.parts[at] = (np.take_along_axis(minima, order, 0), np.array(members)[order])
 
-    def candidates(self, words: np.ndarray) -> set[int]:
-        """Items that agree in a band with a window of the document of these word hashes."""
-        out: set[int] = set()
+    def candidates(self, words: np.ndarray, offsets: np.ndarray) -> dict[int, set[int]]:
+        """By document, the items that agree in a band with one of its windows. The documents' word hashes
+        follow one another in ``words``; ``offsets`` has where each begins."""
+        out: dict[int, set[int]] = {}
         for size in sorted({s for s, _ in self.parts}):
             mine = [(width, at) for (s, width), at in self.parts.items() if s == size]
-            if len(words) < size:
+            counts = np.maximum(np.diff(offsets) - size + 1, 0)
+            docs = np.flatnonzero(counts)
+            if not len(docs):
                 continue
-            hashed = shingle_hashes(words, size)
+            everywhere = run_hashes(words, size)
+            starts = offsets[:-1][docs]
             step = min(w for w, _ in mine)
-            blocks = np.arange(0, len(hashed), step)
+            blocks = -(-counts[docs] // step)
+            inner = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            owner = np.repeat(np.arange(len(docs)), blocks)
+            first = starts[owner] + inner * step
+            last = np.minimum(first + step, (starts + counts[docs])[owner])
+            edges = np.column_stack([first, last]).ravel()
+            edges[-1:] = min(edges[-1], len(everywhere))  # the last block runs to the end
+            edges = edges[:-1] if edges[-1] == len(everywhere) else edges
+            plans = []
+            for width, (minima, members) in mine:
+                n = width // step
+                heads = np.flatnonzero(inner % n == 0)
+                whose = owner[heads]
+                plans.append((heads, np.flatnonzero(whose[1:] == whose[:-1]), whose, minima, members))
             for k in range(self.hashes):
-                low = np.minimum.reduceat(hashed * self.a[k] + self.b[k], blocks)
-                for width, (minima, members) in mine:
-                    n = width // step  # blocks in a stride; a window has three strides
-                    coarse = low if n == 1 else np.minimum.reduceat(low, np.arange(0, len(low), n))
-                    window = coarse
-                    if len(coarse) > 2:
-                        window = np.minimum(np.minimum(coarse[:-2], coarse[1:-1]), coarse[2:])
-                    elif len(coarse) == 2:
-                        window = np.minimum(coarse[:1], coarse[1:])
+                low = np.minimum.reduceat(everywhere * self.a[k] + self.b[k], edges)[::2]
+                for heads, joined, whose, minima, members in plans:
+                    window = np.minimum.reduceat(low, heads)
+                    window[joined] = np.minimum(window[joined], window[joined + 1])
+                    near = np.flatnonzero(self._signs(k, minima)[(window & np.uint64(0xFFFF)).astype(np.int64)])
                     column = minima[:, k]
-                    first = np.searchsorted(column, window)
-                    found = np.minimum(first, len(column) - 1)
-                    for i, v in zip(first[column[found] == window], window[column[found] == window]):
-                        while i < len(column) and column[i] == v:
-                            out.add(int(members[i, k]))
+                    for w in near.tolist():
+                        i = int(np.searchsorted(column, window[w]))
+                        while i < len(column) and column[i] == window[w]:
+                            out.setdefault(int(docs[whose[w]]), set()).add(int(members[i, k]))
                             i += 1
         return out
 
+    def _signs(self, k: int, minima: np.ndarray) -> np.ndarray:
+        """Which low 16 bits some minimum of band k has."""
+        key = (k, id(minima))
+        if key not in self.signs:
+            self.signs[key] = np.zeros(1 << 16, bool)
+            self.signs[key][(minima[:, k] & np.uint64(0xFFFF)).astype(np.int64)] = True
+        return self.signs[key]
+
     def verify(self, words: list[str], candidates: set[int]) -> list[tuple[object, int, int]]:
         """(item, its shingles, those in the document) of the candidates that are contained."""
         shingles: dict[int, set[tuple[str, ...]]] = {}
@@ -135,12 +156,11 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id",
             from pyspark.sql.pandas.types import to_arrow_schema
 
             schema, search = to_arrow_schema(out_schema), index.value
-            for batch in batches:
+            for batch in (s for b in batches for s in slices(b, "__text", 1 << 20)):
                 hits: list[tuple] = []
-                for key, t in zip(batch.column(doc_key).to_pylist(), texts_of(batch.column("__text"))):
-                    words = t.split()
-                    if words and (near := search.candidates(WORDS(words))):
-                        hits += [(key, item, n, m, m / n) for item, n, m in search.verify(words, near)]
+                for i, near in search.candidates(*WORDS.of_texts(batch.column("__text"))).items():
+                    key, words = batch.column(doc_key)[i].as_py(), batch.column("__text")[i].as_py().split()
+                    hits += [(key, item, n, m, m / n) for item, n, m in search.verify(words, near)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*hits) if hits else [[]] * 5, schema)], schema=schema)
 
         part = rows.mapInArrow(run, out_schema)

@@ -22,6 +22,24 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.decontaminate import contained_items
+
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.piece_codec import encode_documents
 
@@ -45,8 +63,24 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op3_quality": op3_quality,
     "op4_piece_codec": op4_piece_codec,
+    "op6_decontaminate": op6_decontaminate,
     "op8_token_files": op8_token_files,
+    "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+CONTAINMENT_SQL = r"""
+WITH items AS (SELECT item_id, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '') AS w FROM benchmark),
+sized AS (SELECT item_id, w, least(5, len(w)) AS k FROM items WHERE len(w) > 0),
+item_sh AS (SELECT DISTINCT item_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], chr(1)))) AS s FROM sized),
+docs AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '') AS w FROM documents),
+doc_sh AS (SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], chr(1)))) AS s
+           FROM docs, (SELECT DISTINCT k FROM sized) WHERE len(w) >= k),
+total AS (SELECT item_id, count(*) AS item_shingles FROM item_sh GROUP BY item_id),
+hit AS (SELECT doc_id, item_id, count(*) AS matched FROM item_sh JOIN doc_sh USING (k, s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, item_shingles, matched, matched::DOUBLE / item_shingles AS containment
+FROM hit JOIN total USING (item_id) WHERE matched >= 0.8 * item_shingles
+"""
+
+ORACLES: dict[str, str] = {"op6_decontaminate": CONTAINMENT_SQL}
