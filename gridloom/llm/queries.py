@@ -54,6 +54,12 @@ def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_graph_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.graph_index import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.token_table import id_digests, read_token_table, token_files
 
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_piece_codec": op4_piece_codec,
     "op6_decontaminate": op6_decontaminate,
+    "op7_graph_index": op7_graph_index,
     "op8_token_files": op8_token_files,
     "op10_toxicity": op10_toxicity,
 }
