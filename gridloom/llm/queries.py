@@ -22,6 +22,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op2_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.chosen_path import similarity_classes
+
+    return similarity_classes(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.quality import quality
 
@@ -76,6 +82,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_chosen_path": op2_chosen_path,
     "op3_quality": op3_quality,
     "op4_piece_codec": op4_piece_codec,
     "op5_substring_dedup": op5_substring_dedup,
@@ -98,4 +105,19 @@ SELECT doc_id, item_id, item_shingles, matched, matched::DOUBLE / item_shingles
 FROM hit JOIN total USING (item_id) WHERE matched >= 0.8 * item_shingles
 """
 
-ORACLES: dict[str, str] = {"op6_decontaminate": CONTAINMENT_SQL}
+LINKS_SQL = r"""
+WITH RECURSIVE docs AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '') AS w FROM documents),
+cls AS (SELECT text, min(doc_id) AS rep, count(*) AS n, any_value(w) AS w FROM docs GROUP BY text),
+sh AS (SELECT DISTINCT rep, unnest(list_transform(range(1, len(w) - least(5, len(w)) + 2), lambda i: array_to_string(w[i:i + least(5, len(w)) - 1], chr(1)))) AS s
+       FROM cls WHERE len(w) > 0),
+size AS (SELECT rep, count(*) AS k FROM sh GROUP BY rep),
+common AS (SELECT x.rep AS a, y.rep AS b, count(*) AS c FROM sh x JOIN sh y USING (s) WHERE x.rep <> y.rep GROUP BY x.rep, y.rep),
+links AS (SELECT a, b FROM common JOIN size p ON p.rep = a JOIN size q ON q.rep = b WHERE c >= 0.8 * (p.k + q.k - c)),
+reach AS (SELECT rep AS a, rep AS b FROM cls UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+root AS (SELECT a, min(b) AS class_id FROM reach GROUP BY a),
+degree AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT doc_id, class_id, n - 1 AS n_copies, coalesce(n_links, 0) AS n_links
+FROM docs JOIN cls USING (text) JOIN root ON root.a = rep LEFT JOIN degree ON degree.a = rep
+"""
+
+ORACLES: dict[str, str] = {"op2_chosen_path": LINKS_SQL, "op6_decontaminate": CONTAINMENT_SQL}
