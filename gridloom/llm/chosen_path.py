@@ -240,7 +240,8 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
 
 
 def one_per_class(docs: DataFrame) -> DataFrame:
-    """The first document of every class, with its own columns; rows that repeat it come down to one."""
-    chosen = similarity_classes(docs).where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    kept = docs.join(chosen, "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+    """The first document of every class, with its own columns; equal rows come down to one. Rows without a
+    doc_id stay unless their class has one with it."""
+    chosen = similarity_classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__chosen")).distinct()
+    kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__chosen")), "left_semi")
+    return kept.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).select(*docs.columns)

@@ -170,5 +170,5 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id",
 
 def clean_documents(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """The documents that contain no item, with their own columns."""
-    leaks = contained_items(docs, items, containment=containment).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    leaks = contained_items(docs, items, containment=containment).select(F.col("doc_id").alias("__leak")).distinct()
+    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("__leak")), "left_anti").select(*docs.columns)

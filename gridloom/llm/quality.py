@@ -197,3 +197,9 @@ def rate_documents(docs: DataFrame, model: Logistic, host: str = "source", path:
 def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS) -> DataFrame:
     """Train on the labels and rate every document."""
     return rate_documents(docs, train(docs, labels, label, rows))
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that are rated good, with their own columns (rows that share a doc_id: if any of them is)."""
+    good = quality(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("__good")).distinct()
+    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("__good")), "left_semi").select(*docs.columns)

@@ -80,6 +80,12 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_digests(read_token_table(spark, path))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.html_text import main_text
+
+    return main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_chosen_path": op2_chosen_path,
@@ -89,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontaminate": op6_decontaminate,
     "op7_graph_index": op7_graph_index,
     "op8_token_files": op8_token_files,
+    "op9_html_text": op9_html_text,
     "op10_toxicity": op10_toxicity,
 }
 

@@ -32,10 +32,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from gridloom.llm.common import mix64, parts_for, table_bytes
@@ -113,6 +115,11 @@ class Anchors:
 
 def _documents(table: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """doc_ids (null: the smallest), the number of each copy of an id, and the texts, in the order that counts."""
+    ids, copy, texts, _ = _ordered(table)
+    return ids, copy, texts
+
+
+def _ordered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]:
     keys = pc.fill_null(table.column("doc_id").combine_chunks(), -(2**63))
     texts = pc.fill_null(table.column("text").combine_chunks(), "")
     order = pc.sort_indices(pa.table({"k": keys}), sort_keys=[("k", "ascending")])
@@ -121,7 +128,7 @@ def _documents(table: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         order = pc.sort_indices(pa.table({"k": keys, "t": texts}), sort_keys=[("k", "ascending"), ("t", "ascending")])
         ids = np.asarray(keys.take(order))
     copy = (np.arange(len(ids)) - np.searchsorted(ids, ids)).astype(np.int32)
-    return ids, copy, texts.take(order)
+    return ids, copy, texts.take(order), order
 
 
 def _slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -309,9 +316,9 @@ def _resolve_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield from contexts(table)
 
 
-def _cut(table: pa.Table, spans: pa.Table) -> pa.Table:
+def _cut(table: pa.Table, spans: pa.Table, carry: list[str]) -> pa.Table:
     """Each document's bytes without its spans."""
-    ids, copies, texts = _documents(table)
+    ids, copies, texts, order = _ordered(table)
     found: dict[tuple[int, int], list[bytes]] = {}
     for d, c, s in zip(spans.column("doc_id").to_pylist(), spans.column("copy").to_pylist(), spans.column("spans").to_pylist()):
         found.setdefault((d, c), []).append(s)
@@ -332,20 +339,42 @@ def _cut(table: pa.Table, spans: pa.Table) -> pa.Table:
     lists = lambda xs: pa.array(xs, pa.list_(pa.int32()))
     keys = [None if d == -(2**63) else d for d in ids.tolist()]
     n_bytes = [len(k) + r for k, r in zip(kept, removed)]
-    return pa.Table.from_arrays([pa.array(keys, pa.int64()), pa.array(copies), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), lists(starts), lists(ends), pa.array(kept, pa.binary())], ["doc_id", "copy", "n_bytes", "n_removed", "span_starts", "span_ends", "kept"])
+    return pa.Table.from_arrays([pa.array(keys, pa.int64()), pa.array(copies), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), lists(starts), lists(ends), pa.array(kept, pa.binary()), *(table.column(c).take(order) for c in carry)], ["doc_id", "copy", "n_bytes", "n_removed", "span_starts", "span_ends", "kept", *carry])
+
+
+CUT_SCHEMA = "doc_id long, copy int, n_bytes long, n_removed long, span_starts array<int>, span_ends array<int>, kept binary"
 
 
-def remove_repeats(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
-    """doc_id, copy (0 unless rows repeat a doc_id), n_bytes, n_removed, span_starts, span_ends and the bytes kept.
+def remove_repeats(docs: DataFrame, carry: list[str] | None = None, part_bytes: int = PART_BYTES) -> DataFrame:
+    """doc_id, copy (0 unless rows repeat a doc_id), n_bytes, n_removed, span_starts, span_ends, the bytes kept
+    and the columns ``carry`` of the documents.
 
     All steps use one shuffle of the texts, which Spark reuses.
     """
     parts = parts_for(table_bytes(docs), part_bytes, least=12)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    carry = carry or []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(c).alias(f"__carry_{c}") for c in carry))
     rows = rows.withColumn("part", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-(2**63)))), F.lit(parts)).cast("long")).repartition(parts, "part")
     reports = rows.groupBy("part").applyInArrow(_report, "token long, part long, seen int")
     twice = reports.withColumn("times", F.sum("seen").over(Window.partitionBy("token"))).where(F.col("times") >= 2).select("part", "token")
     contexts = rows.groupBy("part").cogroup(twice.groupBy("part")).applyInArrow(_contexts, CONTEXT_SCHEMA)
     spans = contexts.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_resolve_batches, SPAN_SCHEMA)
-    cut = rows.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(_cut, "doc_id long, copy int, n_bytes long, n_removed long, span_starts array<int>, span_ends array<int>, kept binary")
-    return cut
+    schema = T.StructType([*T._parse_datatype_string(CUT_SCHEMA).fields, *(T.StructField(f"__carry_{c}", docs.schema[c].dataType) for c in carry)])
+    carried = [f"__carry_{c}" for c in carry]
+    cut = rows.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(lambda t, s: _cut(t, s, carried), schema)
+    return cut.withColumnsRenamed(dict(zip(carried, carry)))
+
+
+@F.pandas_udf(T.StringType())
+def whole_characters(kept: pd.Series) -> pd.Series:
+    """UTF-8 bytes as text; parts of characters that a cut has left are dropped."""
+    return kept.map(lambda b: b.decode("utf-8", "ignore"))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The documents with their repeats cut out of ``text``; ``n_chars``, if there, counts anew. Every row stays."""
+    carry = [c for c in docs.columns if c not in ("doc_id", "text", "copy", "n_bytes", "n_removed", "span_starts", "span_ends", "kept")]
+    cut = remove_repeats(docs, carry).withColumn("text", whole_characters("kept"))
+    if "n_chars" in carry:
+        cut = cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return cut.select(*(c for c in docs.columns if c in (*carry, "doc_id", "text")))
