@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import texts_of
+from gridloom.llm.common import materialize, texts_of
 
 HASH_BITS = 22
 SAMPLE_ROWS = 20_000
@@ -73,27 +73,19 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(documents: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = SEED) -> Machine:
-    """Fit on sets of term hashes with 0/1 labels."""
+def prior(n: int, n1: int) -> float:
+    """Log-odds of the smoothed rate; 0.25 without any rows."""
+    return float(np.log((n1 + 0.5) / (n - n1 + 1.5)))
+
+
+def fit(documents: list[np.ndarray], labels: np.ndarray, terms: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = SEED) -> Machine:
+    """Fit on sets of term numbers (places in ``terms``) with 0/1 labels."""
     n, n1 = len(labels), int(labels.sum())
-    bias = float(np.log((n1 + 0.5) / (n - n1 + 1.5)))
-    none = np.empty(0)
-    if not n or not n1 or n1 == n:
-        return Machine(bias if n else float(np.log(1 / 3)), none.astype(np.int64), none, np.empty((0, factors)))
-    sizes = np.array([len(d) for d in documents])
-    flat, owner = np.concatenate(documents).astype(np.int64), np.repeat(np.arange(n), sizes)
-    space = 1 << HASH_BITS
-    df = np.bincount(flat, minlength=space)
-    df1 = np.bincount(flat[labels[owner] == 1], minlength=space)
-    a, b, c, d = df1, df - df1, n1 - df1, n - n1 - (df - df1)
-    chi2 = n * (a * d.astype(float) - b * c.astype(float)) ** 2 / np.maximum(1.0, df * (n - df).astype(float) * n1 * (n - n1))
-    terms = np.flatnonzero((df >= LEAST_DF) & (chi2 >= LEAST_CHI2))
-    place = np.full(space, -1, np.int32)
-    place[terms] = np.arange(len(terms))
-    own = place[flat]
-    keep = own >= 0
-    own, owner = own[keep].astype(np.int64), owner[keep]
-    offsets = np.searchsorted(owner, np.arange(n + 1))
+    bias = prior(n, n1)
+    if not len(terms) or n1 in (0, n):
+        return Machine(bias, terms[:0], np.empty(0), np.empty((0, factors)))
+    offsets = np.concatenate([[0], np.cumsum([len(d) for d in documents])]).astype(np.int64)
+    own = np.concatenate(documents).astype(np.int64)
     rng = np.random.default_rng(seed)
     w, v = np.zeros(len(terms)), rng.normal(0, 0.01, (len(terms), factors))
     gw, gv, gb = np.full(len(terms), 1e-2), np.full((len(terms), factors), 1e-2), 1e-2
@@ -178,17 +170,42 @@ def _term_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column("label"), lists], ["label", "terms"])
 
 
+def select_terms(sample: DataFrame, n: int, n1: int) -> np.ndarray:
+    """The sorted terms that tell the labels apart, counted on the executors."""
+    counts = sample.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("label").alias("a"))
+    d = lambda c: F.col(c).cast("double")
+    gap = d("a") * (n - n1 - (d("df") - d("a"))) - (d("df") - d("a")) * (n1 - d("a"))
+    chi2 = F.lit(float(n)) * gap * gap / F.greatest(F.lit(1.0), d("df") * (n - d("df")) * float(n1) * float(n - n1))
+    kept = counts.where((F.col("df") >= LEAST_DF) & (chi2 >= LEAST_CHI2)).select("term").toArrow()
+    return np.sort(kept.column("term").to_numpy())
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS) -> Machine:
-    """Terms are hashed on the executors; the driver gets them for at most ``rows`` documents."""
-    sample = labelled_sample(docs, labels, label, rows).select("label", "text").mapInArrow(_term_batches, "label int, terms array<int>")
-    got = sample.toArrow()
-    lists = got.column("terms").combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) and lists.num_chunks else lists
-    flat, at = np.asarray(lists.values), np.asarray(lists.offsets)
-    sets = [flat[a:b] for a, b in zip(at[:-1], at[1:])]
-    y = got.column("label").to_numpy()
-    order = sorted(range(len(sets)), key=lambda i: (int(y[i]), len(sets[i]), sets[i][:8].tolist()))  # arrival order must not matter
-    return fit([sets[i] for i in order], y[order].astype(float))
+    """Terms are hashed, counted and chosen on the executors; the driver gets the chosen terms (at most
+    2 ** HASH_BITS numbers) of at most ``rows`` documents."""
+    sample = materialize(labelled_sample(docs, labels, label, rows).select("label", "text").mapInArrow(_term_batches, "label int, terms array<int>"), "terms")
+    n, n1 = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
+    terms = select_terms(sample, n, n1) if n1 not in (0, n) else np.empty(0, np.int32)
+    known = docs.sparkSession.sparkContext.broadcast(terms)
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen = known.value
+        for batch in batches:
+            lists = batch.column("terms")
+            flat, at = np.asarray(lists.values), np.asarray(lists.offsets).astype(np.int64)
+            place = np.minimum(np.searchsorted(chosen, flat), max(len(chosen) - 1, 0))
+            hit = chosen[place] == flat if len(chosen) else np.zeros(len(flat), bool)
+            counts = np.concatenate([[0], np.cumsum(hit)])[at].astype(np.int32)
+            own = place[at[0] : at[-1]][hit[at[0] : at[-1]]].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.ListArray.from_arrays(pa.array(counts - counts[0]), pa.array(own))], ["label", "terms"])
+
+    got = sample.mapInArrow(numbers, "label int, terms array<int>").toArrow()
+    y, sets = got.column("label").to_numpy(), []
+    for lists in got.column("terms").chunks:
+        flat, at = np.asarray(lists.values), np.asarray(lists.offsets)
+        sets += [flat[a:b] for a, b in zip(at[:-1], at[1:])]
+    order = sorted(range(len(sets)), key=lambda i: (int(y[i]), len(sets[i]), sets[i].tobytes()))  # arrival order must not matter
+    return fit([sets[i] for i in order], y[order].astype(float), terms)
 
 
 def score_documents(docs: DataFrame, machine: Machine, text: str = "text", key: str = "doc_id") -> DataFrame:
