@@ -105,8 +105,8 @@ def order_stat(x: str, p: float) -> Column:
 
 
 def dynamic_threshold(x: str, p: float = 0.995, eps: float = 1e-8) -> Column:
-    s = F.greatest(order_stat(x, p), F.lit(1.0))
-    return F.transform(x, lambda v: F.least(F.greatest(v, -s), s) / (s + eps))
+    limit = F.array(F.greatest(order_stat(x, p), F.lit(1.0)))  # one value, bound by the outer lambda so that it is found once
+    return F.element_at(F.transform(limit, lambda s: F.transform(x, lambda v: F.least(F.greatest(v, -s), s) / (s + eps))), 1)
 
 
 def guided(conditional: str, unconditional: str, scale: float | None) -> Column:

@@ -22,12 +22,16 @@ def local_session(cpus: int | str = "*", partitions: int = 8, **more: str) -> Sp
     return builder.getOrCreate()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the folder of spark.checkpoint.dir (a local one only where that is unset)."""
-    spark = df.sparkSession
+def table_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir (a local one only where that is unset)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_gridloom_tables", None)
     if not root:
         root = spark._gridloom_tables = "file://" + tempfile.mkdtemp(prefix="gridloom-")
-    path = f"{root}/gridloom/{name}-{uuid.uuid4().hex}"
+    return f"{root}/gridloom/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder."""
+    path = table_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
