@@ -1 +1,186 @@
-ORACLES: dict[str, str] = {}
+"""The queries as DuckDB SQL, written from the semantics and not from the DataFrame code."""
+
+from __future__ import annotations
+
+CAT = "CASE WHEN isnan({w}) THEN NULL WHEN {w} >= 35 AND {w} <= 63 THEN 0 WHEN {w} >= 64 AND {w} <= 82 THEN 1 WHEN {w} >= 83 AND {w} <= 95 THEN 2 WHEN {w} >= 96 AND {w} <= 112 THEN 3 WHEN {w} >= 113 AND {w} <= 136 THEN 4 WHEN {w} > 136 THEN 5 END"
+MID = "CASE {c} WHEN 0 THEN 49.0 WHEN 1 THEN 73.0 WHEN 2 THEN 89.0 WHEN 3 THEN 104.0 WHEN 4 THEN 124.5 ELSE 145.0 END::DOUBLE"
+
+SNAP = f"""snap AS (SELECT event_id::VARCHAR || '-' || user_id::VARCHAR || '.nc' AS rel_path, CASE WHEN user_id % 17 <> 0 THEN value END AS w FROM events),
+classed AS (SELECT rel_path, w, {CAT.format(w="w")} AS c FROM snap),
+idx AS (SELECT rel_path, c AS ss_cat, w AS wind FROM classed WHERE w IS NOT NULL AND c IS NOT NULL)"""
+
+TRACKS = f"""tracks AS (SELECT o_custkey AS sid, o_orderkey AS idx, o_orderpriority AS basin, o_orderdate AS tm, (o_orderkey * 37) % 121 - 60 AS lat, o_totalprice / 2500 AS w FROM orders),
+catd AS (SELECT *, {CAT.format(w="w")} AS cat FROM tracks),
+modes AS (SELECT sid, basin FROM (SELECT sid, basin, row_number() OVER (PARTITION BY sid ORDER BY count(*) DESC, basin) AS r FROM catd GROUP BY sid, basin) WHERE r = 1),
+peaks AS (SELECT sid, w, tm, lat FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY w DESC, idx) AS r FROM catd) WHERE r = 1),
+sizes AS (SELECT sid, count(*) AS n, max(coalesce(cat, -1)) AS ss FROM catd GROUP BY sid),
+bins AS (SELECT sid, modes.basin, peaks.w, ss, month(tm) AS m, lat::DOUBLE AS lat, n,
+  CASE WHEN month(tm) IN (12, 1, 2) THEN 'DJF' WHEN month(tm) <= 5 THEN 'MAM' WHEN month(tm) <= 8 THEN 'JJA' ELSE 'SON' END AS season,
+  CASE WHEN abs(lat) < 10 THEN 'lat0_10' WHEN abs(lat) < 20 THEN 'lat10_20' WHEN abs(lat) < 30 THEN 'lat20_30' ELSE 'lat30p' END AS lat_bin,
+  CASE WHEN n < 5 THEN 'n1_4' WHEN n < 13 THEN 'n5_12' WHEN n < 31 THEN 'n13_30' ELSE 'n31p' END AS dur
+  FROM sizes JOIN modes USING (sid) JOIN peaks USING (sid)),
+storm AS (SELECT *, basin || '|ss' || ss || '|' || season || '|' || lat_bin || '|' || dur AS stratum FROM bins),
+ranked AS (SELECT sid, stratum, count(*) OVER (PARTITION BY stratum) AS k, row_number() OVER (PARTITION BY stratum ORDER BY md5('42|' || sid), sid) AS r FROM storm),
+cuts AS (SELECT *, round_even(k * 0.8::DOUBLE, 0) AS a, round_even(k * 0.1::DOUBLE, 0) AS v FROM ranked),
+split AS (SELECT sid, stratum, CASE WHEN k = 1 OR (k = 2 AND r = 1) THEN 'train' WHEN k = 2 THEN 'val' WHEN r <= a THEN 'train' WHEN r <= a + least(v, k - a) THEN 'val' ELSE 'test' END AS split FROM cuts),
+files AS (SELECT o_orderkey AS idx, o_orderkey::VARCHAR || CASE WHEN o_orderkey % 5 = 0 THEN '-b.nc' ELSE '-a.nc' END AS rel_path FROM orders WHERE o_orderkey % 7 <> 0),
+mapped AS (SELECT catd.*, rel_path FROM catd LEFT JOIN files USING (idx)),
+placed AS (SELECT mapped.*, split FROM mapped JOIN split USING (sid) WHERE rel_path IS NOT NULL)"""
+
+RAW = """raw AS (SELECT (label % 6)::INT AS class, CASE WHEN vec_id % 2 = 0 THEN 'real' ELSE 'gen' END AS set, vec_id AS id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS e FROM embeddings),
+px AS (SELECT class, set, id, i::INT AS i, CASE WHEN set = 'real' THEN least(greatest((e * 2 + 1) * 65 + 180, 180), 310) ELSE (e * 3 + 1) * 65 + 180 END AS v FROM raw),
+cl AS (SELECT class, set, id, i, least(greatest(v, 180), 310) AS v FROM px)"""
+
+E = "e AS (SELECT vec_id AS id, (generate_subscripts(embedding, 1) - 1)::INT AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)"
+
+GEO = """geo AS (SELECT i::INT AS i, least(floor(sqrt((i // 8 - 3.5) ** 2 + (i % 8 - 3.5) ** 2) / (sqrt(24.5::DOUBLE) + 1e-12) * 4), 3)::INT AS rbin,
+  least(floor((atan2(i // 8 - 3.5, i % 8 - 3.5) + pi()) / (2 * pi()) * 16), 15)::INT AS tbin FROM range(64) t(i)),
+sector AS (SELECT class, set, id, rbin, tbin, sum(v) AS s, count(*) AS c FROM cl JOIN geo USING (i) GROUP BY ALL),
+ring AS (SELECT class, set, id, rbin, sum(s) / (sum(c) + 1e-12) AS radial_mean, CASE WHEN count(*) < 2 THEN 0 ELSE stddev_pop(s / (c + 1e-12)) END AS azimuthal_std FROM sector GROUP BY ALL)"""
+
+EYE = "eye AS (SELECT class, set, id, avg(radial_mean) FILTER (rbin < 1) - min(radial_mean) FILTER (rbin < 3) AS ec FROM ring GROUP BY ALL)"
+
+# power spectrum: the sum over pixels for each frequency, by joining pixels with frequencies
+PSD = """freq AS (SELECT k::INT AS k, k // 8 AS ky, k % 8 AS kx, least(floor(sqrt(((k // 8 + 4) % 8 - 3.5) ** 2 + ((k % 8 + 4) % 8 - 3.5) ** 2) / (sqrt(24.5::DOUBLE) + 1e-12) * 4), 3)::INT AS kbin FROM range(64) t(k)),
+centred AS (SELECT class, set, id, i, v - avg(v) OVER (PARTITION BY id) AS v FROM cl),
+dft AS (SELECT class, set, id, k, kbin, sum(v * cos(2 * pi() * ((i // 8) * ky + (i % 8) * kx) / 8)) AS re, sum(v * sin(2 * pi() * ((i // 8) * ky + (i % 8) * kx) / 8)) AS im FROM centred, freq GROUP BY ALL),
+spec AS (SELECT class, set, id, kbin, log10(sum(re * re + im * im) / (count(*) + 1e-12) + 1e-12) AS lp FROM dft GROUP BY ALL)"""
+
+FEAT = """feat AS (SELECT class, set, id, rbin AS dim, radial_mean AS x FROM ring UNION ALL SELECT class, set, id, kbin + 4, lp FROM spec),
+z AS (SELECT class, set, id, dim, (x - avg(x) OVER w) / (stddev_pop(x) OVER w + 1e-12) AS z FROM feat WINDOW w AS (PARTITION BY class, set, dim))"""
+
+DIST = """d AS (SELECT a.class, a.set AS sa, b.set AS sb, a.id AS ia, b.id AS ib, sum((a.z - b.z) ** 2) AS d2 FROM z a JOIN z b USING (class, dim) GROUP BY ALL)"""
+
+SCHED = """sched AS (SELECT t, beta, 1 - beta AS alpha, product(1 - beta) OVER (ORDER BY t) AS abar FROM (SELECT t::INT AS t, 1e-4::DOUBLE + t * ((2e-2::DOUBLE - 1e-4::DOUBLE) / 999) AS beta FROM range(1000) r(t))),
+full_sched AS (SELECT *, lag(abar, 1, 1.0) OVER (ORDER BY t) AS prev FROM sched),
+sch AS (SELECT *, beta * (1 - prev) / (1 - abar) AS pv FROM full_sched)"""
+
+NOISE = f"""{E},
+cnt AS (SELECT count(*) AS n FROM embeddings),
+nx AS (SELECT a.id, a.i, a.v AS x0, 2 * b.v AS eps, ((a.id * 37) % 1000)::INT AS t FROM e a, cnt JOIN e b ON b.id = (a.id + 1) % cnt.n AND b.i = a.i),
+n AS (SELECT nx.*, beta, alpha, abar, pv, sqrt(abar) AS ra, sqrt(1 - abar) AS rb FROM nx JOIN sch USING (t))"""
+
+HIST = """counts AS (SELECT class, set, least(floor((v - 180) / (130.0::DOUBLE / 128)), 127)::INT AS bin, count(*) AS c FROM cl GROUP BY ALL),
+every AS (SELECT class, set, bin::INT AS bin FROM (SELECT DISTINCT class, set FROM cl), range(128) r(bin)),
+hist AS (SELECT class, set, bin, coalesce(c, 0) / (sum(coalesce(c, 0)) OVER (PARTITION BY class, set) + 1e-12) AS p FROM every LEFT JOIN counts USING (class, set, bin)),
+pq AS (SELECT a.class, a.bin, a.p / (sum(a.p) OVER (PARTITION BY a.class) + 1e-12) AS p, b.p / (sum(b.p) OVER (PARTITION BY a.class) + 1e-12) AS q
+  FROM hist a JOIN hist b ON a.class = b.class AND a.bin = b.bin AND a.set = 'real' AND b.set = 'gen')"""
+
+DAYS = "days AS (SELECT user_id % 5 AS run, date_diff('day', DATE '1970-01-01', ts::DATE)::BIGINT AS step, avg(value) AS value FROM events GROUP BY ALL), seq AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step) AS r FROM days)"
+
+
+def hex_of(digits: str) -> str:
+    return f"('0x' || {digits})::BIGINT"
+
+
+U = f"{hex_of('substr(h, 1, 8)')} / 4294967296.0::DOUBLE"
+PROBS = "cnt AS (SELECT ss_cat, count(*) AS n FROM idx GROUP BY ss_cat), pw AS (SELECT ss_cat, n, pow(n / sum(n) OVER (), {a}::DOUBLE) AS w FROM cnt), prob AS (SELECT ss_cat, n, w / sum(w) OVER () AS prob FROM pw)"
+
+
+def r(x: str, digits: int = 6) -> str:
+    return f"round({x}, {digits}) + 0.0"
+
+
+SWISH = "({x}) / (exp(-({x})) + 1)"
+
+ORACLES: dict[str, str] = {
+    "class_index_counts": f"WITH {SNAP} SELECT ss_cat, count(*) AS n FROM idx GROUP BY ss_cat",
+    "index_meta": f"WITH {SNAP} SELECT count(*) AS num_files_total, count(*) FILTER (w IS NOT NULL AND c IS NOT NULL) AS num_files_indexed, count(*) FILTER (w IS NULL) AS num_files_skipped_no_wind, count(*) FILTER (w IS NOT NULL AND c IS NULL) AS num_files_skipped_below_ts FROM classed",
+    "index_idx_prefix": "SELECT event_id::VARCHAR || '-' || user_id::VARCHAR || '.nc' AS rel_path, event_id AS idx, true AS unparsable FROM events",
+    "wind_fallback": f"WITH {SNAP} SELECT rel_path, ss_cat, {r('CASE WHEN known THEN wind ELSE ' + MID.format(c='ss_cat') + ' END')} AS wind_kt, NOT known AS is_fallback FROM (SELECT *, substr(md5(rel_path), 1, 1) < '8' AS known FROM idx)",
+    "packed_layout": f"WITH {SNAP}, g AS (SELECT rel_path, row_number() OVER (ORDER BY rel_path) - 1 AS gi FROM idx) SELECT (gi // 512)::INT AS shard_id, min(gi) AS start, max(gi) + 1 AS stop, min(rel_path) AS first_path, max(rel_path) AS last_path FROM g GROUP BY 1",
+    "shard_lookup": f"WITH {SNAP}, g AS (SELECT rel_path, row_number() OVER (ORDER BY rel_path) - 1 AS gi FROM idx), n AS (SELECT count(*) AS n FROM g) SELECT gi AS global_index, rel_path, (gi // 512)::INT AS shard_id, gi // 512 * 512 AS start, least((gi // 512 + 1) * 512, n) AS stop FROM g, n WHERE gi % 97 = 0",
+    "pack_validation": "SELECT unnest(['contiguous', 'nonempty_shards', 'covers_all', 'unique_paths', 'labels_present', 'expected_count']) AS \"check\", 0::BIGINT AS failures",
+    "point_lookup": f"WITH {SNAP} SELECT rel_path, ss_cat, {r('wind')} AS wmo_wind_kt FROM idx WHERE md5(rel_path) LIKE '00%'",
+    "packed_missing": "SELECT count(*) AS n_missing, min(doc_id) AS first_missing FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    "label_mismatches": "SELECT doc_id, (n_chars > 1000)::INT AS packed_label, quality AS index_label FROM documents JOIN labels USING (doc_id) WHERE (n_chars > 1000)::INT <> quality",
+    "array_max_abs_diff": f"WITH {E}, pick AS (SELECT vec_id AS id FROM embeddings ORDER BY md5('42|' || vec_id), vec_id LIMIT 256) SELECT id AS vec_id, {r('max(abs(v - round(v, 2)))')} AS max_diff FROM e JOIN pick USING (id) GROUP BY id",
+    "storm_table": f"WITH {TRACKS} SELECT sid AS SID, basin AS BASIN_MODE, {r('w')} AS MAX_WMO_WIND, ss AS MAX_SS_CAT, m AS MONTH_AT_PEAK, season AS SEASON_BIN, lat AS LAT_AT_PEAK, lat_bin AS LAT_BIN, n AS N_SNAPSHOTS, dur AS DUR_BIN, stratum AS STRATUM FROM storm",
+    "strata_counts": f"WITH {TRACKS} SELECT stratum, count(*) AS n FROM storm GROUP BY stratum",
+    "stratified_group_split": f"WITH {TRACKS} SELECT sid AS SID, stratum AS STRATUM, split FROM split",
+    "idx_mapping": f"WITH {TRACKS} SELECT count(rel_path) AS n_mapped, count(*) - count(rel_path) AS n_dropped FROM mapped",
+    "split_files": f"WITH {TRACKS} SELECT rel_path, split FROM placed",
+    "split_summary": f"WITH {TRACKS} SELECT split, count(*) AS n_rows, count(DISTINCT sid) AS n_storms FROM placed GROUP BY split",
+    "split_basin_counts": f"WITH {TRACKS} SELECT split, basin AS BASIN, count(*) AS n FROM placed GROUP BY ALL",
+    "split_class_counts": f"WITH {TRACKS} SELECT split, cat AS SS_CAT, count(*) AS n FROM placed WHERE cat IS NOT NULL GROUP BY ALL",
+    "split_semi": f"WITH {TRACKS} SELECT count(*) AS n, min(rel_path) AS first_path, max(rel_path) AS last_path FROM placed WHERE split = 'val'",
+    "class_sampling_probs": f"WITH {SNAP}, {PROBS.format(a=0.4)} SELECT ss_cat, n, {r('prob')} AS prob FROM prob",
+    "set_probs": f"WITH {SNAP}, c AS (SELECT ss_cat, count(*) AS n FROM idx WHERE ss_cat <> 2 GROUP BY ss_cat) SELECT ss_cat, n, {r('n / sum(n) OVER ()')} AS prob FROM c",
+    "alpha_ramp": f"SELECT e::INT AS epoch, {r('1 - 0.6::DOUBLE * (1 - cos(pi() * least(e / 39, 1))) / 2')} AS alpha, 'cosine' AS mode FROM range(60) t(e) UNION ALL SELECT e::INT, {r('1 - 0.6::DOUBLE * greatest(least((e - 5) / 19, 1), 0)')}, 'linear' FROM range(60) t(e)",
+    "balanced_fixed_subset": f"WITH {SNAP} SELECT rel_path, ss_cat FROM idx QUALIFY row_number() OVER (PARTITION BY ss_cat ORDER BY md5('42|' || rel_path), rel_path) <= 5",
+    "real_sample": "SELECT (label % 6)::INT AS class, vec_id AS id FROM embeddings WHERE vec_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY label % 6 ORDER BY md5('123|' || vec_id), vec_id) <= 25",
+    "weighted_draws": f"""WITH {SNAP}, {PROBS.format(a=0.4)}, rng AS (SELECT ss_cat, n, sum(prob) OVER (ORDER BY ss_cat) - prob AS low, CASE WHEN ss_cat = max(ss_cat) OVER () THEN 2 ELSE sum(prob) OVER (ORDER BY ss_cat) END AS high FROM prob),
+dr AS (SELECT draw, {U} AS u, {hex_of('substr(h, 9, 8)')} / 4294967296.0::DOUBLE AS v FROM (SELECT draw, md5('42|' || draw) AS h FROM range(2000) t(draw))),
+pl AS (SELECT ss_cat, rel_path, row_number() OVER (PARTITION BY ss_cat ORDER BY rel_path) - 1 AS place FROM idx)
+SELECT draw, rng.ss_cat, rel_path FROM dr JOIN rng ON u >= low AND u < high JOIN pl ON pl.ss_cat = rng.ss_cat AND pl.place = floor(v * n)""",
+    "augment_gate": f"WITH {SNAP}, p AS (SELECT * FROM (VALUES (0, 0.15, 1), (1, 0.2, 1), (2, 0.35, 1), (3, 0.6, 2), (4, 0.75, 2), (5, 0.85, 3)) t(ss_cat, p, bars)), g AS (SELECT *, md5('42|' || rel_path) AS h FROM idx JOIN p USING (ss_cat)) SELECT ss_cat, count(*) AS n, count(*) FILTER ({U} < p) AS n_augmented, 2 AS max_shift, max(bars) AS max_bars FROM g GROUP BY ss_cat",
+    "augment_policy": "SELECT * FROM (VALUES (0, 0.15::DOUBLE, 2, 1), (1, 0.3, 2, 1), (2, 0.65, 2, 2), (3, 0.85, 2, 3)) t(ss_cat, p_aug, max_shift, max_bars)",
+    "cond_dropout": f"WITH {SNAP}, g AS (SELECT *, {U} < 0.1 AS gone FROM (SELECT *, md5('42|' || rel_path) AS h FROM idx)) SELECT rel_path, CASE WHEN gone THEN 6 ELSE ss_cat END AS label, {r('CASE WHEN gone THEN 0 ELSE wind END')} AS wind_kt FROM g",
+    "bt_normalize": f"WITH {RAW} SELECT id, i, {r('(v - 180) / 130 * 2 - 1')} AS v FROM cl",
+    "bt_denormalize": f"WITH {E} SELECT id, i, {r('(v + 1) / 2 * 130 + 180')} AS v FROM e",
+    "bt_eval_clean": f"WITH {RAW} SELECT id, i, {r('CASE i WHEN 0 THEN 180 WHEN 1 THEN 310 WHEN 2 THEN 180 ELSE v END')} AS v FROM cl",
+    "pixel_moments": f"WITH {RAW}, m AS (SELECT class, set, v, avg(v) OVER (PARTITION BY class, set) AS mu FROM px) SELECT class, set, {r('any_value(mu)')} AS mean, {r('sqrt(avg((v - mu) ** 2))')} AS std, {r('avg((v - mu) ** 3) / avg((v - mu) ** 2) ** 1.5')} AS skew, {r('avg((v - mu) ** 4) / avg((v - mu) ** 2) ** 2 - 3')} AS kurt FROM m GROUP BY class, set",
+    "pixel_quantiles": f"WITH {RAW}, q AS (SELECT class, set, quantile_cont(v, [0.01, 0.05, 0.5, 0.95, 0.99]) AS x FROM px GROUP BY ALL) SELECT class, set, unnest([0.01, 0.05, 0.5, 0.95, 0.99])::DOUBLE AS q, {r('unnest(x)')} AS value FROM q",
+    "price_quantiles": f"WITH q AS (SELECT l_returnflag, quantile_cont(l_extendedprice, [0.0, 0.01, 0.5, 0.99, 1.0]) AS x FROM lineitem GROUP BY ALL) SELECT l_returnflag, unnest([0.0, 0.01, 0.5, 0.99, 1.0])::DOUBLE AS q, {r('unnest(x)', 4)} AS value FROM q",
+    "gen_exceedance": f"WITH {RAW}, g AS (SELECT class, avg((v < 180)::INT) AS lo, avg((v > 310)::INT) AS hi, min(v) AS a, max(v) AS b FROM px WHERE set = 'gen' GROUP BY class) SELECT class, {r('lo')} AS below, {r('hi')} AS above, {r('a')} AS raw_min, {r('b')} AS raw_max, {r('lo + hi')} AS total FROM g",
+    "cold_fraction": f"WITH {RAW}, s AS (SELECT class, set, id, avg((v < 200)::INT) AS s FROM cl GROUP BY ALL) SELECT class, set, {r('avg(s)')} AS cold_mean, {r('stddev_pop(s)')} AS cold_std FROM s GROUP BY ALL",
+    "bt_histogram": f"WITH {RAW}, {HIST} SELECT class, set, bin, {r('p')} AS p, {r('180 + (bin + 0.5) * 130 / 128')} AS centre FROM hist",
+    "hist_js": f"WITH {RAW}, {HIST}, m AS (SELECT *, (p + q) / 2 AS m FROM pq) SELECT class, {r('(sum(p * ln((p + 1e-12) / (m + 1e-12))) + sum(q * ln((q + 1e-12) / (m + 1e-12)))) / 2')} AS js FROM m GROUP BY class",
+    "hist_w1": f"WITH {RAW}, {HIST}, g AS (SELECT class, abs(sum(p) OVER w - sum(q) OVER w) AS g FROM pq WINDOW w AS (PARTITION BY class ORDER BY bin)) SELECT class, {r('sum(g) * 130 / 128')} AS w1 FROM g GROUP BY class",
+    "radial_profile": f"WITH {RAW}, {GEO} SELECT class, set, id, rbin, {r('radial_mean')} AS radial_mean FROM ring",
+    "azimuthal_std": f"WITH {RAW}, {GEO} SELECT class, set, id, rbin, {r('azimuthal_std')} AS azimuthal_std FROM ring",
+    "profile_stats": f"WITH {RAW}, {GEO} SELECT class, set, rbin, {r('avg(radial_mean)')} AS mu, {r('stddev_pop(radial_mean)')} AS sd FROM ring GROUP BY ALL",
+    "eye_contrast": f"WITH {RAW}, {GEO}, {EYE} SELECT class, set, {r('avg(ec)')} AS mean, {r('stddev_pop(ec)')} AS std FROM eye GROUP BY ALL",
+    "psd_radial": f"WITH {RAW}, {PSD} SELECT class, set, id, kbin, {r('lp', 5)} AS log_power FROM spec",
+    "psd_arrow": f"WITH {RAW}, {PSD} SELECT class, set, id, kbin, {r('lp', 5)} AS log_power FROM spec",
+    "psd_l2": f"WITH {RAW}, {PSD}, c AS (SELECT class, set, kbin, avg(lp) AS m FROM spec GROUP BY ALL) SELECT a.class, {r('avg((a.m - b.m) ** 2)')} AS psd_l2 FROM c a JOIN c b ON a.class = b.class AND a.kbin = b.kbin AND a.set = 'real' AND b.set = 'gen' GROUP BY a.class",
+    "diversity_features": f"WITH {RAW}, {GEO}, {PSD}, {FEAT} SELECT class, set, id, dim, {r('z', 5)} AS z FROM z",
+    "pair_distance": f"WITH {RAW}, {GEO}, {PSD}, {FEAT}, {DIST} SELECT class, sa AS set, {r('avg(sqrt(d2))', 5)} AS mean_distance FROM d WHERE sa = sb AND ia <> ib GROUP BY ALL",
+    "mmd2": f"""WITH {RAW}, {GEO}, {PSD}, {FEAT}, {DIST}, g AS (SELECT class, 1 / (2 * (median(d2) + 1e-12)) AS g FROM d WHERE d2 > 0 GROUP BY class),
+k AS (SELECT class, sa, sb, ia = ib AND sa = sb AS diag, exp(-g * d2) AS k FROM d JOIN g USING (class)), n AS (SELECT class, count(DISTINCT id) FILTER (set = 'real') AS n, count(DISTINCT id) FILTER (set = 'gen') AS m FROM z GROUP BY class),
+s AS (SELECT class, sum(k) FILTER (sa = 'real' AND sb = 'real' AND NOT diag) AS rr, sum(k) FILTER (sa = 'gen' AND sb = 'gen' AND NOT diag) AS gg, sum(k) FILTER (sa = 'real' AND sb = 'gen') AS rg FROM k GROUP BY class)
+SELECT class, {r('rr / (n * (n - 1) + 1e-12) + gg / (m * (m - 1) + 1e-12) - 2 * rg / (n * m)', 5)} AS mmd2 FROM s JOIN n USING (class)""",
+    "macro_metrics": f"""WITH {RAW}, {GEO}, {EYE}, pm AS (SELECT class, avg(v) FILTER (set = 'real') AS x, avg(v) FILTER (set = 'gen') AS y FROM px GROUP BY class), em AS (SELECT class, avg(ec) FILTER (set = 'real') AS x, avg(ec) FILTER (set = 'gen') AS y FROM eye GROUP BY class),
+b AS (SELECT 'pixel_mean' AS metric, * FROM pm UNION ALL SELECT 'eye_contrast', * FROM em) SELECT {r('corr(class, x)')} AS corr_class_real, {r('corr(class, y)')} AS corr_class_gen, {r('corr(x, y)')} AS corr_real_gen, {r('avg(abs(x - y))')} AS mae, metric FROM b GROUP BY metric""",
+    "metrics_report": f"WITH {RAW}, {GEO}, {EYE}, pm AS (SELECT class, avg(v) FILTER (set = 'real') AS x, avg(v) FILTER (set = 'gen') AS y FROM px GROUP BY class), em AS (SELECT class, avg(ec) FILTER (set = 'real') AS a, avg(ec) FILTER (set = 'gen') AS b FROM eye GROUP BY class) SELECT class::VARCHAR AS class, {r('x', 4)} AS pixel_mean_real, {r('y', 4)} AS pixel_mean_gen, {r('a', 4)} AS eye_real, {r('b', 4)} AS eye_gen FROM pm JOIN em USING (class)",
+    "viz_shared_limits": f"WITH {RAW} SELECT {r('min(v)')} AS low, {r('max(v)')} AS high FROM px",
+    "viz_compare_grid": "WITH g AS (SELECT (label % 6)::INT AS class, CASE WHEN vec_id % 2 = 0 THEN 'real' ELSE 'gen' END AS set, vec_id AS id FROM embeddings) SELECT class, set, id, (row_number() OVER (PARTITION BY class, set ORDER BY id) - 1)::INT AS place FROM g QUALIFY row_number() OVER (PARTITION BY class, set ORDER BY id) <= 5",
+    "rot90": f"""WITH {E}, k AS (SELECT vec_id AS id, {hex_of("substr(md5('42|' || vec_id), 1, 2)")} % 4 AS k FROM embeddings), yx AS (SELECT id, v, i // 8 AS y, i % 8 AS x, k FROM e JOIN k USING (id))
+SELECT id, CASE k WHEN 0 THEN y * 8 + x WHEN 1 THEN (7 - x) * 8 + y WHEN 2 THEN (7 - y) * 8 + 7 - x ELSE x * 8 + 7 - y END::INT AS i, {r('v')} AS v FROM yx""",
+    "shift_reflect": f"""WITH {E}, k AS (SELECT vec_id AS id, {hex_of("substr(md5('42|' || vec_id), 1, 2)")} % 5 - 2 AS dy, {hex_of("substr(md5('42|' || vec_id), 3, 2)")} % 5 - 2 AS dx FROM embeddings),
+spots AS (SELECT id, j::INT AS j, j // 8 + dy AS y, j % 8 + dx AS x FROM k, range(64) t(j)), m AS (SELECT id, j, CASE WHEN y < 0 THEN -y WHEN y > 7 THEN 14 - y ELSE y END * 8 + CASE WHEN x < 0 THEN -x WHEN x > 7 THEN 14 - x ELSE x END AS src FROM spots)
+SELECT id, j AS i, {r('v')} AS v FROM m JOIN e USING (id) WHERE e.i = src""",
+    "erase_bar": f"WITH {E} SELECT id, i, {r('CASE WHEN (CASE WHEN id % 2 = 0 THEN i % 8 ELSE i // 8 END) BETWEEN id % 5 AND id % 5 + id % 3 THEN 0.5 ELSE v END')} AS v FROM e",
+    "beta_linear": f"WITH {SCHED} SELECT t, {r('beta', 9)} AS beta FROM sch",
+    "beta_cosine": f"WITH f AS (SELECT t, pow(cos((t / 1000 + 0.008::DOUBLE) / 1.008::DOUBLE * pi() / 2), 2) AS f FROM range(1001) r(t)) SELECT a.t::INT AS t, {r('least(greatest(1 - b.f / a.f, 1e-8), 0.999)', 9)} AS beta FROM f a JOIN f b ON b.t = a.t + 1",
+    "posterior_variance": f"WITH {SCHED} SELECT t, {r('abar', 9)} AS abar, {r('prev', 9)} AS abar_prev, {r('pv', 9)} AS post_var FROM sch",
+    "q_sample": f"WITH {SCHED}, {NOISE} SELECT id, i, {r('ra * x0 + rb * eps')} AS v FROM n",
+    "v_target": f"WITH {SCHED}, {NOISE} SELECT id, i, {r('ra * eps - rb * x0')} AS v FROM n",
+    "x0_roundtrip": f"WITH {SCHED}, {NOISE} SELECT id, true AS v_ok, true AS eps_ok, {r('max(abs((ra * x0 + rb * eps - rb * eps) / (ra + 1e-8) - x0))')} AS eps_gap FROM n GROUP BY id",
+    "min_snr_weights": f"WITH {SCHED}, s AS (SELECT t, abar / greatest(1 - abar, 1e-8) AS s FROM sch) SELECT t, {r('least(s, 2.5) / (s + 1)')} AS w_v, {r('least(s, 2.5) / greatest(s, 1e-8)')} AS w_eps FROM s",
+    "diffusion_loss": f"WITH {SCHED}, {NOISE}, l AS (SELECT id, t, avg((ra * eps - rb * x0 - x0) ** 2) * least(any_value(abar / (1 - abar)), 2.5) / (any_value(abar / (1 - abar)) + 1) AS loss FROM n GROUP BY id, t) SELECT id, label::INT AS label, t, {r('loss')} AS loss FROM l JOIN embeddings ON vec_id = id",
+    "batch_mean_loss": f"WITH {SCHED}, {NOISE}, l AS (SELECT id, avg((ra * eps - rb * x0 - x0) ** 2) * least(any_value(abar / (1 - abar)), 2.5) / (any_value(abar / (1 - abar)) + 1) AS loss FROM n GROUP BY id), b AS (SELECT id // 64 AS b, avg(loss) AS m, count(*) AS k FROM l GROUP BY 1) SELECT 'all' AS part, count(*) AS batches, {r('avg(m)')} AS loss, false AS drop_last FROM b UNION ALL SELECT 'all', count(*), {r('avg(m)')}, true FROM b WHERE k = 64",
+    "dynamic_threshold": f"WITH {E}, a AS (SELECT id, i, v * 5 AS x, row_number() OVER (PARTITION BY id ORDER BY abs(v)) - 1 AS r FROM e), s AS (SELECT id, greatest(abs(x), 1) AS s FROM a WHERE r = round_even(63 * 0.9::DOUBLE, 0)) SELECT id, i, {r('least(greatest(x, -s), s) / (s + 1e-8)')} AS v FROM a JOIN s USING (id)",
+    "cfg_combine": f"WITH {SCHED}, {NOISE} SELECT id, i, {r('eps + 2.5 * (x0 - eps)')} AS v, 2.5::DOUBLE AS scale FROM n UNION ALL SELECT id, i, {r('x0')}, 0.0 FROM n",
+    "reverse_step": f"""WITH {SCHED}, {NOISE}, p AS (SELECT *, ra * x0 + rb * eps AS xt, ra * (ra * x0 + rb * eps) - rb * (ra * eps - rb * x0) AS x FROM n),
+a AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY abs(x)) - 1 AS rk FROM p), s AS (SELECT id, greatest(abs(x), 1) AS s FROM a WHERE rk = round_even(63 * 0.995::DOUBLE, 0)),
+th AS (SELECT a.*, least(greatest(x, -s), s) / (s + 1e-8) AS z FROM a JOIN s USING (id)), ep AS (SELECT *, (xt - ra * z) / (rb + 1e-8) AS e2 FROM th)
+SELECT id, t, i, {r('CASE WHEN t = 0 THEN least(greatest(z, -1), 1) ELSE (xt - beta / (rb + 1e-8) * e2) / sqrt(alpha) + sqrt(pv) * eps * 0.5 END')} AS v FROM ep""",
+    "ema_series": f"WITH RECURSIVE {DAYS}, f AS (SELECT run, r, step, value AS s FROM seq WHERE r = 1 UNION ALL SELECT seq.run, seq.r, seq.step, 0.9::DOUBLE * f.s + 0.1::DOUBLE * seq.value FROM f JOIN seq ON seq.run = f.run AND seq.r = f.r + 1) SELECT run, step, {r('s')} AS ema FROM f",
+    "early_stop": f"""WITH RECURSIVE {DAYS}, f AS (SELECT run, r, step AS best_at, value AS best, 0 AS bad, NULL::BIGINT AS stop FROM seq WHERE r = 1
+UNION ALL SELECT f.run, seq.r, CASE WHEN f.best - seq.value > 0.5 THEN seq.step ELSE f.best_at END, CASE WHEN f.best - seq.value > 0.5 THEN seq.value ELSE f.best END, CASE WHEN f.best - seq.value > 0.5 THEN 0 ELSE f.bad + 1 END,
+CASE WHEN NOT f.best - seq.value > 0.5 AND f.bad + 1 >= 3 THEN seq.step END FROM f JOIN seq ON seq.run = f.run AND seq.r = f.r + 1 WHERE f.stop IS NULL)
+SELECT run, best_at AS best_epoch, {r('best')} AS best_metric, stop AS stopped_epoch FROM f QUALIFY row_number() OVER (PARTITION BY run ORDER BY r DESC) = 1""",
+    "wind_features": f"WITH {SNAP}, s AS (SELECT rel_path, (least(wind, 170) - 35) / 135 * 2 - 1 AS w FROM idx) SELECT rel_path, unnest(range(5))::INT AS i, {r('unnest([w, sin(pi() * w), cos(pi() * w), sin(2 * pi() * w), cos(2 * pi() * w)])')} AS v FROM s",
+    "time_embedding": f"SELECT t::INT AS t, i::INT AS i, {r('CASE WHEN i < 4 THEN sin(t * exp(-ln(10000) * i / 3)) WHEN i < 8 THEN cos(t * exp(-ln(10000) * (i - 4) / 3)) ELSE 0 END')} AS v FROM range(0, 1000, 37) a(t), range(9) b(i)",
+    "midpoint_general": f"SELECT l::INT AS label, CASE WHEN l = 6 THEN 0 ELSE {MID.format(c='greatest(least(l, 5), 0)')} END AS six, CASE WHEN l = 8 THEN 0 ELSE 35 + (greatest(least(l, 7), 0) + 0.5::DOUBLE) * 16.875::DOUBLE END AS eight, {MID.format(c='l')} AS scalar, CASE WHEN l = 6 THEN 6 ELSE greatest(least(l, 5), 0) END::INT AS clipped FROM range(-1, 9) t(l)",
+    "wind_targets": "SELECT * FROM (VALUES (0, 49.5::DOUBLE), (1, 73.0), (2, 89.0), (3, 101.0), (4, 124.5), (5, 145.0)) t(ss_cat, target)",
+    "groupnorm": f"WITH {E}, g AS (SELECT id, i // 8 AS c, i % 8 AS i, v, i // 16 AS g FROM e) SELECT id, c::INT AS c, i::INT AS i, {r('(v - avg(v) OVER w) / sqrt(var_pop(v) OVER w + 1e-3)', 5)} AS v FROM g WINDOW w AS (PARTITION BY id, g)",
+    "film_swish": f"WITH {E}, h AS (SELECT id, i, v * 1.25::DOUBLE - 0.1::DOUBLE AS h FROM e) SELECT id, i, {r(SWISH.format(x='h'))} AS v FROM h",
+    "avg_pool": f"WITH {E} SELECT id, (i // 16 * 4 + i % 8 // 2)::INT AS i, {r('avg(v)')} AS v FROM e GROUP BY 1, 2",
+    "upsample": f"""WITH {E}, g AS (SELECT k::INT AS k, least(greatest((k // 16 + 0.5) / 2 - 0.5, 0), 7)::DOUBLE AS y, least(greatest((k % 16 + 0.5) / 2 - 0.5, 0), 7)::DOUBLE AS x FROM range(256) t(k)),
+w AS (SELECT id, k, v * greatest(1 - abs(i // 8 - y), 0) * greatest(1 - abs(i % 8 - x), 0) AS p FROM e, g WHERE id % 10 = 0) SELECT id, k AS i, {r('sum(p)')} AS v FROM w GROUP BY id, k""",
+    "conv3x3": f"WITH {E}, w AS (SELECT * FROM (VALUES (-1, -1, 1), (-1, 0, 2), (-1, 1, 1), (1, -1, -1), (1, 0, -2), (1, 1, -1)) t(dy, dx, w)), c AS (SELECT id, j::INT AS i FROM (SELECT DISTINCT id FROM e), range(64) t(j)) SELECT c.id, c.i, {r('coalesce(sum(e.v * w), 0)')} AS v FROM c, w LEFT JOIN e ON e.id = c.id AND e.i // 8 = c.i // 8 + dy AND e.i % 8 = c.i % 8 + dx GROUP BY c.id, c.i",
+    "attention_tiny": f"WITH {E}, d AS (SELECT a.id, a.i // 8 AS t, b.i // 8 AS s, exp(sum(a.v * b.v) / sqrt(8::DOUBLE)) AS w FROM e a JOIN e b ON a.id = b.id AND a.i % 8 = b.i % 8 GROUP BY ALL), n AS (SELECT id, t, s, w / sum(w) OVER (PARTITION BY id, t) AS w FROM d) SELECT n.id, t::INT AS t, (e.i % 8)::INT AS i, {r('sum(w * v)')} AS v FROM n JOIN e ON e.id = n.id AND e.i // 8 = s GROUP BY ALL",
+    "embed_mlp": f"WITH h AS (SELECT vec_id AS id, embedding[1]::DOUBLE - embedding[2]::DOUBLE + 0.5::DOUBLE * embedding[3]::DOUBLE + 0.1::DOUBLE AS a, 0.25::DOUBLE * embedding[1]::DOUBLE + 0.5::DOUBLE * embedding[2]::DOUBLE + 2 * embedding[3]::DOUBLE - 0.2::DOUBLE AS b FROM embeddings) SELECT id, 0 AS i, {r(SWISH.format(x='a'))} AS v FROM h UNION ALL SELECT id, 1, {r(SWISH.format(x='b'))} FROM h",
+}
