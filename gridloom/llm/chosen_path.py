@@ -7,9 +7,12 @@ A set ``x`` follows the paths of the tokens it samples: token ``j`` in run ``r``
 with hash functions that all sets share. Similar sets sample common tokens: 0.8 ``RATE`` of them a run are
 expected, and over ``RUNS`` runs a linked pair shares no path with a probability of exp(-0.8 RATE RUNS), 3e-6
 at 4 and 4. Sets of a path that has at most ``BUCKET`` are compared with one another by min-wise sketches
-(an estimate of at least ``SKETCH_LEAST``, over five standard errors below 0.8, makes a candidate). Larger
-buckets are split again on sampled tokens of their sets' sketches, ``BRANCH`` times, down to ``DEPTH`` levels;
-what is then still large agrees everywhere and is all made one candidate group.
+(an estimate of at least ``SKETCH_LEAST``, over five standard errors below 0.8, makes a candidate). In a
+larger bucket all sets are compared with a pivot: those that look near (``PIVOT_NEAR``) become candidates with
+it, and those that look very near (``PIVOT_GONE``) leave the bucket, as whatever is linked to them is near the
+pivot too. The rest is split again on sampled tokens of the sets' sketches, ``BRANCH`` times, down to ``DEPTH``
+levels (a linked pair comes through with 0.92 on each of the paths it shares, so misses stay under 1e-5); what
+is then still large agrees everywhere and is all made one candidate group.
 
 Candidate groups, the components of candidate pairs, are verified exactly: every pair of a group is
 compared on its whole shingle sets, in blocks of ``BLOCK`` texts so that no task holds a large group. This
@@ -26,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +39,8 @@ from gridloom.llm.components import components
 SIMILARITY = 0.8
 RATE, RUNS = 4, 4
 SKETCH, SKETCH_LEAST = 48, 0.5
-BUCKET, BRANCH, DEPTH = 300, 6, 3
+BUCKET, BRANCH, DEPTH = 300, 2, 3
+PIVOT_NEAR, PIVOT_GONE = 0.4, 0.75
 BLOCK = 512
 SEED = 2
 
@@ -132,6 +137,16 @@ def _bucket_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield flush()
 
 
+def _pivot_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Is a set near its bucket's pivot? Its sketch is given on if it stays in the bucket."""
+    for batch in batches:
+        own, pivot = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, SKETCH) for c in ("sketch", "pivot_sketch"))
+        agree = (own == pivot).mean(1)
+        same = np.array([a == b for a, b in zip(batch.column("cls").to_pylist(), batch.column("pivot").to_pylist())], bool)
+        stays = pa.array(agree < PIVOT_GONE)
+        yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("cls"), batch.column("pivot"), pa.array((agree >= PIVOT_NEAR) & ~same), pc.if_else(stays, batch.column("sketch"), pa.scalar(None, pa.binary()))], ["path", "cls", "pivot", "near", "sketch"])
+
+
 def candidate_edges(classes: DataFrame) -> DataFrame:
     """a, b of candidate pairs (as stars) of classes with columns cls, paths, sketch."""
     rows = classes.select("cls", F.explode(F.array_distinct("paths")).alias("path"))
@@ -149,11 +164,15 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
             least = large.groupBy("path").agg(F.min("cls").alias("b"))
             stars = large.join(least, "path").select(F.col("cls").alias("a"), "b").where("a != b")
             return found.unionAll(stars)
+        full = large.join(classes.select("cls", "sketch"), "cls").select("path", "cls", "sketch")
+        pivots = full.groupBy("path").agg(F.min_by(F.struct("cls", "sketch"), F.xxhash64("path", "cls")).alias("p")).select("path", F.col("p.cls").alias("pivot"), F.col("p.sketch").alias("pivot_sketch"))
+        judged = full.join(pivots, "path").mapInArrow(_pivot_batches, "path long, cls binary, pivot binary, near boolean, sketch binary")
+        judged = materialize(judged, "pivots")
+        found = found.unionAll(judged.where("near").select(F.col("cls").alias("a"), F.col("pivot").alias("b")))
         # the branch's tokens: members of the sketch, other ones for every path
         pick = lambda t: F.pmod(F.xxhash64("path", F.lit(t)), F.lit(SKETCH)).cast("int")
         token = lambda t: F.xxhash64("path", pick(t), F.substring(F.col("sketch"), 2 * pick(t) + 1, F.lit(2)))
-        split = large.join(classes.select("cls", "sketch"), "cls").select("cls", F.explode(F.array_distinct(F.array(*[token(t) for t in range(BRANCH)]))).alias("path"))
-        rows = split
+        rows = judged.where(F.col("sketch").isNotNull()).select("cls", F.explode(F.array_distinct(F.array(*[token(t) for t in range(BRANCH)]))).alias("path"))
     return found
 
 
@@ -221,6 +240,8 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
     members = members.select(F.col("node").alias("cls"), "rep", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
     members = materialize(members, "groups")
+    # the members grow with the data: a merge join at any size
+    members = members.hint("merge")
     texts = keyed.join(members, (keyed["cls"] == members["cls"]) & (F.coalesce(keyed["doc_id"], F.lit(2**63 - 1)) == members["rep"])).select(members["cls"], "text", "root", "blocks", "block")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     paired = texts.withColumn("other", other).withColumn("pair", F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other"))).select("pair", "cls", "block", "text")
