@@ -345,14 +345,17 @@ def _cut(table: pa.Table, spans: pa.Table, carry: list[str]) -> pa.Table:
 CUT_SCHEMA = "doc_id long, copy int, n_bytes long, n_removed long, span_starts array<int>, span_ends array<int>, kept binary"
 
 
-def remove_repeats(docs: DataFrame, carry: list[str] | None = None, part_bytes: int = PART_BYTES) -> DataFrame:
-    """doc_id, copy (0 unless rows repeat a doc_id), n_bytes, n_removed, span_starts, span_ends, the bytes kept
-    and the columns ``carry`` of the documents.
+def remove_repeats(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """doc_id, copy (0 unless rows repeat a doc_id), n_bytes, n_removed, span_starts, span_ends and the bytes kept."""
+    return _cut_rows(docs, [], part_bytes)
+
+
+def _cut_rows(docs: DataFrame, carry: list[str], part_bytes: int = PART_BYTES) -> DataFrame:
+    """As above, with the columns ``carry`` of the documents under the names ``__carry_<name>``.
 
     All steps use one shuffle of the texts, which Spark reuses.
     """
     parts = parts_for(table_bytes(docs), part_bytes, least=12)
-    carry = carry or []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(c).alias(f"__carry_{c}") for c in carry))
     rows = rows.withColumn("part", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-(2**63)))), F.lit(parts)).cast("long")).repartition(parts, "part")
     reports = rows.groupBy("part").applyInArrow(_report, "token long, part long, seen int")
@@ -361,8 +364,7 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None, part_bytes:
     spans = contexts.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_resolve_batches, SPAN_SCHEMA)
     schema = T.StructType([*T._parse_datatype_string(CUT_SCHEMA).fields, *(T.StructField(f"__carry_{c}", docs.schema[c].dataType) for c in carry)])
     carried = [f"__carry_{c}" for c in carry]
-    cut = rows.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(lambda t, s: _cut(t, s, carried), schema)
-    return cut.withColumnsRenamed(dict(zip(carried, carry)))
+    return rows.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(lambda t, s: _cut(t, s, carried), schema)
 
 
 @F.pandas_udf(T.StringType())
@@ -373,8 +375,9 @@ def whole_characters(kept: pd.Series) -> pd.Series:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents with their repeats cut out of ``text``; ``n_chars``, if there, counts anew. Every row stays."""
-    carry = [c for c in docs.columns if c not in ("doc_id", "text", "copy", "n_bytes", "n_removed", "span_starts", "span_ends", "kept")]
-    cut = remove_repeats(docs, carry).withColumn("text", whole_characters("kept"))
+    carry = [c for c in docs.columns if c not in ("doc_id", "text")]
+    cut = _cut_rows(docs, carry).withColumn("__whole", whole_characters("kept"))
+    of = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("__whole"), **{c: F.col(f"__carry_{c}") for c in carry}}
     if "n_chars" in carry:
-        cut = cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return cut.select(*(c for c in docs.columns if c in (*carry, "doc_id", "text")))
+        of["n_chars"] = F.char_length("__whole").cast(docs.schema["n_chars"].dataType)
+    return cut.select(*(of[c].alias(c) for c in docs.columns))
