@@ -186,9 +186,12 @@ def gather(codes: np.ndarray, offsets: np.ndarray, parts: list[bytes]) -> tuple[
 class Memo:
     """A bounded memory of bytes by word, in two generations: words still in use outlive a turn.
 
-    ``fill`` finds the bytes of new words; only speed depends on the bounds.
+    ``fill`` finds the bytes of new words; only speed depends on the bounds. Of a worker's memories only the
+    one in use is filled: a worker that goes on to another operator's tasks lets go of the last one's words.
     """
 
+    active: Memo | None = None
+
     def __init__(self, fill, limit: int = 350_000, longest: int = 48):
         self.fill, self.limit, self.longest = fill, limit, longest
         self.young: dict[str, bytes] = {}
@@ -199,6 +202,10 @@ class Memo:
         return self.old.get(word) if got is None else got
 
     def __call__(self, words: list[str]) -> list[bytes]:
+        if Memo.active is not self:
+            if Memo.active is not None:
+                Memo.active.young, Memo.active.old = {}, {}
+            Memo.active = self
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old

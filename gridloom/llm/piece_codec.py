@@ -257,7 +257,7 @@ def encode_documents(docs: DataFrame, model: str, text: str = "text", keep: list
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = codec(model)
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, 2 << 20):
                 coded = work.encode_all(texts_of(part.column(text)))
                 decoded = work.decode_all([c[0] for c in coded])
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(_lists([c[k] for c in coded]) for k in range(3)), pa.array(decoded, pa.string())], [*keep, *added])
