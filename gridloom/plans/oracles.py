@@ -95,7 +95,7 @@ ORACLES: dict[str, str] = {
     "packed_missing": "SELECT count(*) AS n_missing, min(doc_id) AS first_missing FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "label_mismatches": "SELECT doc_id, (n_chars > 1000)::INT AS packed_label, quality AS index_label FROM documents JOIN labels USING (doc_id) WHERE (n_chars > 1000)::INT <> quality",
     "array_max_abs_diff": f"WITH {E}, pick AS (SELECT vec_id AS id FROM embeddings ORDER BY md5('42|' || vec_id), vec_id LIMIT 256) SELECT id AS vec_id, {r('max(abs(v - round(v, 2)))')} AS max_diff FROM e JOIN pick USING (id) GROUP BY id",
-    "storm_table": f"WITH {TRACKS} SELECT sid AS SID, basin AS BASIN_MODE, {r('w')} AS MAX_WMO_WIND, ss AS MAX_SS_CAT, m AS MONTH_AT_PEAK, season AS SEASON_BIN, lat AS LAT_AT_PEAK, lat_bin AS LAT_BIN, n AS N_SNAPSHOTS, dur AS DUR_BIN, stratum AS STRATUM FROM storm",
+    "storm_table": f"WITH {TRACKS} SELECT sid AS SID, basin AS BASIN_MODE, {r('w')} AS MAX_WMO_WIND, ss AS MAX_SS_CAT, m::INT AS MONTH_AT_PEAK, season AS SEASON_BIN, lat AS LAT_AT_PEAK, lat_bin AS LAT_BIN, n AS N_SNAPSHOTS, dur AS DUR_BIN, stratum AS STRATUM FROM storm",
     "strata_counts": f"WITH {TRACKS} SELECT stratum, count(*) AS n FROM storm GROUP BY stratum",
     "stratified_group_split": f"WITH {TRACKS} SELECT sid AS SID, stratum AS STRATUM, split FROM split",
     "idx_mapping": f"WITH {TRACKS} SELECT count(rel_path) AS n_mapped, count(*) - count(rel_path) AS n_dropped FROM mapped",
