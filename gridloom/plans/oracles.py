@@ -183,4 +183,13 @@ w AS (SELECT id, k, v * greatest(1 - abs(i // 8 - y), 0) * greatest(1 - abs(i %
     "conv3x3": f"WITH {E}, w AS (SELECT * FROM (VALUES (-1, -1, 1), (-1, 0, 2), (-1, 1, 1), (1, -1, -1), (1, 0, -2), (1, 1, -1)) t(dy, dx, w)), c AS (SELECT id, j::INT AS i FROM (SELECT DISTINCT id FROM e), range(64) t(j)) SELECT c.id, c.i, {r('coalesce(sum(e.v * w), 0)')} AS v FROM c, w LEFT JOIN e ON e.id = c.id AND e.i // 8 = c.i // 8 + dy AND e.i % 8 = c.i % 8 + dx GROUP BY c.id, c.i",
     "attention_tiny": f"WITH {E}, d AS (SELECT a.id, a.i // 8 AS t, b.i // 8 AS s, exp(sum(a.v * b.v) / sqrt(8::DOUBLE)) AS w FROM e a JOIN e b ON a.id = b.id AND a.i % 8 = b.i % 8 GROUP BY ALL), n AS (SELECT id, t, s, w / sum(w) OVER (PARTITION BY id, t) AS w FROM d) SELECT n.id, t::INT AS t, (e.i % 8)::INT AS i, {r('sum(w * v)')} AS v FROM n JOIN e ON e.id = n.id AND e.i // 8 = s GROUP BY ALL",
     "embed_mlp": f"WITH h AS (SELECT vec_id AS id, embedding[1]::DOUBLE - embedding[2]::DOUBLE + 0.5::DOUBLE * embedding[3]::DOUBLE + 0.1::DOUBLE AS a, 0.25::DOUBLE * embedding[1]::DOUBLE + 0.5::DOUBLE * embedding[2]::DOUBLE + 2 * embedding[3]::DOUBLE - 0.2::DOUBLE AS b FROM embeddings) SELECT id, 0 AS i, {r(SWISH.format(x='a'))} AS v FROM h UNION ALL SELECT id, 1, {r(SWISH.format(x='b'))} FROM h",
+    "training_elements": f"WITH {RAW} SELECT id || '.nc' AS rel_path, class AS ss_cat, CASE WHEN class > 2 THEN class + 0.5::DOUBLE ELSE {MID.format(c='class')} END AS wind_kt, i, {r('(v - 180) / 130 * 2 - 1')} AS v FROM cl",
+    "augmented_elements": f"""WITH {E}, d AS (SELECT vec_id AS id, md5('42|' || vec_id) AS h, label % 6 AS c FROM embeddings),
+p AS (SELECT id, {U} < CASE c WHEN 0 THEN 0.15 WHEN 1 THEN 0.2 WHEN 2 THEN 0.35 WHEN 3 THEN 0.6 WHEN 4 THEN 0.75 ELSE 0.85 END AS go, {hex_of("substr(h, 9, 2)")} % 4 AS k, {hex_of("substr(h, 11, 2)")} % 5 - 2 AS dy, {hex_of("substr(h, 13, 2)")} % 5 - 2 AS dx FROM d),
+turned AS (SELECT id, v, CASE k WHEN 0 THEN i WHEN 1 THEN (7 - i % 8) * 8 + i // 8 WHEN 2 THEN 63 - i ELSE i % 8 * 8 + 7 - i // 8 END AS i FROM e JOIN p USING (id)),
+m AS (SELECT id, go, j::INT AS j, j // 8 + dy AS y, j % 8 + dx AS x FROM p, range(64) t(j)),
+src AS (SELECT id, go, j, CASE WHEN y < 0 THEN -y WHEN y > 7 THEN 14 - y ELSE y END * 8 + CASE WHEN x < 0 THEN -x WHEN x > 7 THEN 14 - x ELSE x END AS s FROM m)
+SELECT id, j AS i, {r('v')} AS v FROM src JOIN turned USING (id) WHERE go AND turned.i = s UNION ALL SELECT id, i, {r('v')} FROM e JOIN p USING (id) WHERE NOT go""",
+    "train_batches": "SELECT vec_id // 64 AS batch, count(*) AS n, sum(label)::BIGINT AS labels FROM embeddings GROUP BY 1 HAVING count(*) = 64",
+    "viz_sample_grid": f"WITH {RAW}, f AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS p FROM (SELECT DISTINCT id FROM px WHERE class = 0 AND set = 'real') QUALIFY p < 7), g AS (SELECT (p // 3 * 8 + i // 8)::INT AS y, (p % 3 * 8 + i % 8)::INT AS x, v FROM f JOIN px USING (id)), c AS (SELECT y::INT AS y, x::INT AS x FROM (SELECT (count(*) + 2) // 3 AS rows FROM f), range(24) b(x), range(24) a(y) WHERE y < rows * 8) SELECT c.y, c.x, {r('coalesce(v, 0)')} AS v FROM c LEFT JOIN g USING (y, x)",
 }

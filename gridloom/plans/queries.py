@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import images as im
 from gridloom.functions import scalar as sc
-from gridloom.operators import catalog, diffusion, history, layers, metrics, sampling, storms
+from gridloom.operators import catalog, diffusion, feed, history, layers, metrics, sampling, storms
 from gridloom.plans import bindings as b
 from gridloom.session import table_path, written
 
@@ -405,6 +405,37 @@ def erase_bar(spark, sf):
     return exploded(e.select("id", im.erase_bar("x", b.SIDE, "vertical", "start", "width", "fill").alias("y")), ["id"], "y")
 
 
+# Feed
+
+
+@query
+def training_elements(spark, sf):
+    images = b.raw_images(spark, sf).select(F.concat(F.col("id").cast("string"), F.lit(".nc")).alias("rel_path"), "bt")
+    classes = b.raw_images(spark, sf).select(F.concat(F.col("id").cast("string"), F.lit(".nc")).alias("rel_path"), F.col("class").alias("ss_cat"))
+    meta = classes.where("ss_cat > 2").select("rel_path", (F.col("ss_cat") + 0.5).alias("wmo_wind_kt"))
+    rows = feed.elements(images, feed.require_some_wind(catalog.wind_fallback(classes, meta)))
+    return exploded(rows.select("rel_path", "cond.ss_cat", F.col("cond.wind_kt").cast("double").alias("wind_kt"), "bt"), ["rel_path", "ss_cat", "wind_kt"], "bt")
+
+
+@query
+def augmented_elements(spark, sf):
+    e = b.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), (F.col("label") % 6).cast("int").alias("ss_cat"), F.col("embedding").cast("array<double>").alias("x"))
+    e = e.join(F.broadcast(im.augment_policy(spark)), "ss_cat")  # six rows
+    return exploded(feed.augment(e, "x", b.SIDE, "p_aug", SEED, "id").select("id", "x"), ["id"], "x")
+
+
+@query
+def train_batches(spark, sf):
+    rows = b.table(spark, sf, "embeddings").select(F.col("vec_id").alias("row"), "label")
+    return feed.batches(rows, "row", 64, True).groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("labels"))
+
+
+@query
+def viz_sample_grid(spark, sf):
+    first = metrics.compare_grid(b.raw_images(spark, sf).where("class = 0"), 7).where("set = 'real'")
+    return rounded(feed.sample_grid(first, "place", 3, b.SIDE), "v")
+
+
 # Diffusion
 
 
