@@ -25,6 +25,7 @@ doc_id each keep theirs; an empty table gives no rows. Long texts are read whole
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import SHINGLE, WORDS, materialize, mix64, run_hashes, runs, slices
+from gridloom.llm.common import SHINGLE, WORDS, give_back, materialize, mix64, run_hashes, runs, slices
 from gridloom.llm.components import components
 
 SIMILARITY = 0.8
@@ -97,6 +98,7 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         at = np.concatenate([[0], np.cumsum([len(p) for p in paths])]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(paths) if len(paths) else np.empty(0, np.int64)))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("cls"), lists, pa.array([r.tobytes() for r in sketch], pa.binary())], ["doc_id", "cls", "paths", "sketch"])
+    give_back()
 
 
 def _forest(near: np.ndarray) -> np.ndarray:
@@ -113,18 +115,19 @@ def _forest(near: np.ndarray) -> np.ndarray:
 
 def _bucket_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate edges of small buckets: members whose sketches agree enough, as stars."""
-    done: set[tuple[bytes, ...]] = set()
+    done: set[bytes] = set()  # digests of member lists seen before, a bounded number
     edges: list[tuple[bytes, bytes]] = []
     flush = lambda: pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.binary()) for i in (0, 1)], ["a", "b"])
     for table in runs(batches, "path"):
         if table.num_rows < 2:
             continue
         members = sorted(zip(table.column("cls").to_pylist(), table.column("sketch").to_pylist()))
-        names = tuple(m[0] for m in members)
-        if names in done:
+        names = [m[0] for m in members]
+        digest = hashlib.blake2b(b"".join(names), digest_size=16).digest()
+        if digest in done:
             continue
-        if len(done) < 200_000:
-            done.add(names)
+        if len(done) < 50_000:
+            done.add(digest)
         sketch = np.frombuffer(b"".join(m[1] for m in members), np.uint16).reshape(-1, SKETCH)
         agree = (sketch[:, None, :] == sketch[None, :, :]).mean(2) if len(sketch) <= 64 else np.stack([(sketch == row).mean(1) for row in sketch])
         for i, j in enumerate(_forest(agree >= SKETCH_LEAST).tolist()):
@@ -135,6 +138,7 @@ def _bucket_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             edges = []
     if edges:
         yield flush()
+    give_back()
 
 
 def _pivot_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,6 +228,7 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             out = []
     if out:
         yield flush()
+    give_back()
 
 
 def similarity_classes(docs: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ All hashing here is deterministic across workers (no use of Python's salted ``ha
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -44,6 +46,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return memory that is free in this worker to the system, after a task's last batch: workers live on."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
@@ -91,7 +100,7 @@ class WordHashes:
     """64-bit hashes of words, and of all words of many texts at once."""
 
     def __init__(self) -> None:
-        self.memo = Memo(_hash_words)
+        self.memo = Memo(_hash_words, 120_000)
 
     def __call__(self, words: list[str]) -> np.ndarray:
         return np.frombuffer(b"".join(self.memo(words)), np.uint64)

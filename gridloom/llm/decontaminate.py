@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from gridloom.llm.common import SHINGLE, WORDS, run_hashes, slices
+from gridloom.llm.common import SHINGLE, WORDS, give_back, run_hashes, slices
 
 HASHES, BLOCK, BLOCK_BYTES, CONTAINMENT, SEED = 48, 20_000, 8 << 20, 0.8, 20
 
@@ -162,6 +162,7 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id",
                     key, words = batch.column(doc_key)[i].as_py(), batch.column("__text")[i].as_py().split()
                     hits += [(key, item, n, m, m / n) for item, n, m in search.verify(words, near)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*hits) if hits else [[]] * 5, schema)], schema=schema)
+            give_back()
 
         part = rows.mapInArrow(run, out_schema)
         found = part if found is None else found.unionAll(part)

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gridloom.llm.common import Memo, gather, slices, texts_of, word_lists
+from gridloom.llm.common import Memo, gather, give_back, slices, texts_of, word_lists
 
 MARK = "▁"
 ENCODED = "ids array<int>, starts array<int>, ends array<int>, decoded string"
@@ -152,7 +152,7 @@ class PieceCodec:
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.normalizer = Normalizer(model)
         self.mark = np.array([self.library.piece_to_id(MARK)], np.int32).tobytes()
-        self.memo = Memo(self._new)
+        self.memo = Memo(self._new, 200_000)
         self.sizes = np.array([1 if self.library.is_byte(i) else len(self.library.id_to_piece(i).replace(MARK, " ").encode()) for i in range(self.library.get_piece_size())], np.int64)
         self.opens = np.array([self.library.id_to_piece(i).startswith(MARK) for i in range(self.library.get_piece_size())])
 
@@ -261,5 +261,6 @@ def encode_documents(docs: DataFrame, model: str, text: str = "text", keep: list
                 coded = work.encode_all(texts_of(part.column(text)))
                 decoded = work.decode_all([c[0] for c in coded])
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(_lists([c[k] for c in coded]) for k in range(3)), pa.array(decoded, pa.string())], [*keep, *added])
+        give_back()
 
     return rows.mapInArrow(run, schema)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import materialize, texts_of
+from gridloom.llm.common import give_back, materialize, texts_of
 
 SAMPLE_ROWS = 20_000
 RIDGE, STEPS = 1.0, 25
@@ -143,6 +143,7 @@ def classify_texts(docs: DataFrame, model: Logistic, keep: list[str]) -> DataFra
                 part = batch.slice(at, 512)
                 x = np.array([features(t) for t in texts_of(part.column("__text"))])
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(np.clip(shared.value.margins(x), -30, 30))], [*keep, "evidence"])
+        give_back()
 
     return rows.mapInArrow(run, schema)
 

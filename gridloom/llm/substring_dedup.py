@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from gridloom.llm.common import mix64, parts_for, table_bytes
+from gridloom.llm.common import give_back, mix64, parts_for, table_bytes
 
 LENGTH, LEAD, HALF = 100, 24, 50
 PART_BYTES = 3 << 20  # of the input's files
@@ -314,6 +314,7 @@ def _resolve_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         table = pa.Table.from_batches(held)
         if table.num_rows:
             yield from contexts(table)
+    give_back()
 
 
 def _cut(table: pa.Table, spans: pa.Table, carry: list[str]) -> pa.Table:
