@@ -340,7 +340,8 @@ def _vectors(spark, sf):
 
 @query
 def pair_distance(spark, sf):
-    return rounded(metrics.mean_pair_distance(_vectors(spark, sf), ["class", "set"], "id"), "mean_distance", digits=5)
+    vectors = written(_vectors(spark, sf), "vectors")
+    return rounded(metrics.mean_pair_distance(vectors, ["class", "set"], "id"), "mean_distance", digits=5)
 
 
 def _mmd(spark, sf):
