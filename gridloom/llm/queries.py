@@ -127,4 +127,16 @@ SELECT doc_id, class_id, n - 1 AS n_copies, coalesce(n_links, 0) AS n_links
 FROM docs JOIN cls USING (text) JOIN root ON root.a = rep LEFT JOIN degree ON degree.a = rep
 """
 
-ORACLES: dict[str, str] = {"op2_chosen_path": LINKS_SQL, "op6_decontaminate": CONTAINMENT_SQL}
+REPEATS_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 200)) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 99, 0))) AS p FROM d)),
+dup AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS n FROM w) WHERE n > 1),
+cut AS (SELECT doc_id, p, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100, true)::INT AS fresh FROM dup),
+span AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM cut) GROUP BY doc_id, g),
+gap AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM span),
+head AS (SELECT doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept, max(b) AS last, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM gap JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN head USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op2_chosen_path": LINKS_SQL, "op5_substring_dedup": REPEATS_SQL, "op6_decontaminate": CONTAINMENT_SQL}
