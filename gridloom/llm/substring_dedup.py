@@ -32,7 +32,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -317,8 +316,8 @@ def _resolve_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     give_back()
 
 
-def _cut(table: pa.Table, spans: pa.Table, carry: list[str]) -> pa.Table:
-    """Each document's bytes without its spans."""
+def _cut(table: pa.Table, spans: pa.Table, carry: list[str], as_text: bool) -> pa.Table:
+    """Each document's bytes without its spans; as text, without the parts of characters that a cut has left."""
     ids, copies, texts, order = _ordered(table)
     found: dict[tuple[int, int], list[bytes]] = {}
     for d, c, s in zip(spans.column("doc_id").to_pylist(), spans.column("copy").to_pylist(), spans.column("spans").to_pylist()):
@@ -340,7 +339,7 @@ def _cut(table: pa.Table, spans: pa.Table, carry: list[str]) -> pa.Table:
     lists = lambda xs: pa.array(xs, pa.list_(pa.int32()))
     keys = [None if d == -(2**63) else d for d in ids.tolist()]
     n_bytes = [len(k) + r for k, r in zip(kept, removed)]
-    return pa.Table.from_arrays([pa.array(keys, pa.int64()), pa.array(copies), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), lists(starts), lists(ends), pa.array(kept, pa.binary()), *(table.column(c).take(order) for c in carry)], ["doc_id", "copy", "n_bytes", "n_removed", "span_starts", "span_ends", "kept", *carry])
+    return pa.Table.from_arrays([pa.array(keys, pa.int64()), pa.array(copies), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), lists(starts), lists(ends), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), *(table.column(c).take(order) for c in carry)], ["doc_id", "copy", "n_bytes", "n_removed", "span_starts", "span_ends", "kept", *carry])
 
 
 CUT_SCHEMA = "doc_id long, copy int, n_bytes long, n_removed long, span_starts array<int>, span_ends array<int>, kept binary"
@@ -348,11 +347,12 @@ CUT_SCHEMA = "doc_id long, copy int, n_bytes long, n_removed long, span_starts a
 
 def remove_repeats(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """doc_id, copy (0 unless rows repeat a doc_id), n_bytes, n_removed, span_starts, span_ends and the bytes kept."""
-    return _cut_rows(docs, [], part_bytes)
+    return _cut_rows(docs, [], False, part_bytes)
 
 
-def _cut_rows(docs: DataFrame, carry: list[str], part_bytes: int = PART_BYTES) -> DataFrame:
-    """As above, with the columns ``carry`` of the documents under the names ``__carry_<name>``.
+def _cut_rows(docs: DataFrame, carry: list[str], as_text: bool, part_bytes: int = PART_BYTES) -> DataFrame:
+    """As above (``kept`` as text if asked for), with the columns ``carry`` of the documents under the names
+    ``__carry_<name>``.
 
     All steps use one shuffle of the texts, which Spark reuses.
     """
@@ -363,22 +363,17 @@ def _cut_rows(docs: DataFrame, carry: list[str], part_bytes: int = PART_BYTES) -
     twice = reports.withColumn("times", F.sum("seen").over(Window.partitionBy("token"))).where(F.col("times") >= 2).select("part", "token")
     contexts = rows.groupBy("part").cogroup(twice.groupBy("part")).applyInArrow(_contexts, CONTEXT_SCHEMA)
     spans = contexts.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_resolve_batches, SPAN_SCHEMA)
-    schema = T.StructType([*T._parse_datatype_string(CUT_SCHEMA).fields, *(T.StructField(f"__carry_{c}", docs.schema[c].dataType) for c in carry)])
+    schema = T.StructType([*T._parse_datatype_string(CUT_SCHEMA.replace("kept binary", "kept string") if as_text else CUT_SCHEMA).fields, *(T.StructField(f"__carry_{c}", docs.schema[c].dataType) for c in carry)])
     carried = [f"__carry_{c}" for c in carry]
-    return rows.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(lambda t, s: _cut(t, s, carried), schema)
-
-
-@F.pandas_udf(T.StringType())
-def whole_characters(kept: pd.Series) -> pd.Series:
-    """UTF-8 bytes as text; parts of characters that a cut has left are dropped."""
-    return kept.map(lambda b: b.decode("utf-8", "ignore"))
+    return rows.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(lambda t, s: _cut(t, s, carried, as_text), schema)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents with their repeats cut out of ``text``; ``n_chars``, if there, counts anew. Every row stays."""
     carry = [c for c in docs.columns if c not in ("doc_id", "text")]
-    cut = _cut_rows(docs, carry).withColumn("__whole", whole_characters("kept"))
-    of = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("__whole"), **{c: F.col(f"__carry_{c}") for c in carry}}
+    # in one Python step: a second one in the same tasks would double the workers
+    cut = _cut_rows(docs, carry, True)
+    of = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("kept"), **{c: F.col(f"__carry_{c}") for c in carry}}
     if "n_chars" in carry:
-        of["n_chars"] = F.char_length("__whole").cast(docs.schema["n_chars"].dataType)
+        of["n_chars"] = F.char_length("kept").cast(docs.schema["n_chars"].dataType)
     return cut.select(*(of[c].alias(c) for c in docs.columns))
