@@ -7,7 +7,12 @@ into windows of ``2 s`` shingles that advance by ``s``: a passage of an item lie
 with a resemblance of at least 1/4 (an item of over ``s / 2`` shingles against ``2 s``), or 0.19 where
 only 0.8 of it is there. Each of ``HASHES`` min-wise hash functions is a band of one row: a window and
 an item are candidates if some band agrees. A contained item stays undetected with a probability under
-``0.75 ** HASHES`` (1e-6 at 48; 4e-5 at a containment of 0.8). Windows of all sizes come from one set of block minima, so a text is hashed once.
+``0.75 ** HASHES`` (1e-6 at 48; 4e-5 at a containment of 0.8, 3e-4 where its shingles lie scattered over the
+document). Windows of all sizes come from one set of block minima, so a text is hashed once.
+
+That bound needs an item of over ``s / 2`` distinct shingles, and the smallest ``s`` is ``LEAST_WIDTH``. Items
+with fewer (short ones, and long ones that repeat themselves) are not sketched: each of their shingles is
+looked up among all of a document's, so none of them is missed.
 
 Candidates are verified with exact shingles (runs of words compared as strings): containment is the
 share of the item's distinct shingles that the whole document holds.
@@ -22,6 +27,7 @@ pass over the documents for each block; benchmarks of any size are whole.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +40,7 @@ from pyspark.sql.window import Window
 from gridloom.llm.common import SHINGLE, WORDS, give_back, run_hashes, slices
 
 HASHES, BLOCK, BLOCK_BYTES, CONTAINMENT, SEED = 48, 20_000, 8 << 20, 0.8, 20
+LEAST_WIDTH = 16
 
 
 def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,7 +53,8 @@ def _split(words: list[str], size: int) -> set[tuple[str, ...]]:
 
 
 class ItemIndex:
-    """Items partitioned by size; for each partition and band, the sorted minima with their items."""
+    """Items partitioned by size; for each partition and band, the sorted minima with their items. Items too
+    small for their partition's bound are in ``exact``: by shingle size, the sorted hashes with their items."""
 
     def __init__(self, items: list[tuple[object, str]], hashes: int = HASHES, containment: float = CONTAINMENT):
         self.containment, self.hashes = containment, hashes
@@ -54,13 +62,18 @@ class ItemIndex:
         self.items: list[tuple[object, int, set[tuple[str, ...]]]] = []
         self.hashed: list[np.ndarray] = []
         parts: dict[tuple[int, int], list[int]] = {}
+        small: dict[int, list[int]] = {}
         for key, text in items:
             words = (text or "").split()
             if not words:
                 continue
             size = min(SHINGLE, len(words))
             hashed = np.unique(run_hashes(WORDS(words), size))
-            parts.setdefault((size, max(16, 1 << int(len(words) - size).bit_length())), []).append(len(self.items))
+            width = max(LEAST_WIDTH, 1 << int(len(words) - size).bit_length())
+            if 2 * len(hashed) <= width:
+                small.setdefault(size, []).append(len(self.items))
+            else:
+                parts.setdefault((size, width), []).append(len(self.items))
             self.items.append((key, size, _split(words, size)))
             self.hashed.append(hashed)
         self.signs: dict[tuple[int, int], np.ndarray] = {}
@@ -69,11 +82,38 @@ class ItemIndex:
             minima = np.array([[int((self.hashed[m] * a + b).min()) for a, b in zip(self.a, self.b)] for m in members], np.uint64)
             order = np.argsort(minima, axis=0, kind="stable")
             self.parts[at] = (np.take_along_axis(minima, order, 0), np.array(members)[order])
+        # hashes that must agree; shingles of an item that share a hash count once
+        self.need = np.array([max(1, math.ceil(containment * len(own) - 1e-9) - len(own) + len(h)) for (_, _, own), h in zip(self.items, self.hashed)], np.int64)
+        self.exact: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size, members in sorted(small.items()):
+            flat, whose = np.concatenate([self.hashed[m] for m in members]), np.repeat(members, [len(self.hashed[m]) for m in members])
+            order = np.argsort(flat, kind="stable")
+            self.exact[size] = flat[order], whose[order]
+
+    def looked_up(self, words: np.ndarray, offsets: np.ndarray) -> dict[int, set[int]]:
+        """By document, the small items of whose shingles it has enough."""
+        out: dict[int, set[int]] = {}
+        for size, (keys, members) in self.exact.items():
+            everywhere = run_hashes(words, size)
+            known = self._known(size)
+            at = np.flatnonzero(known[(everywhere & np.uint64(len(known) - 1)).astype(np.int64)])
+            doc = np.searchsorted(offsets, at, "right") - 1
+            inside = at + size <= offsets[doc + 1]
+            low = np.searchsorted(keys, everywhere[at], "left")
+            found = inside & (keys[np.minimum(low, len(keys) - 1)] == everywhere[at])
+            pairs = np.unique(doc[found] * len(keys) + low[found])  # a shingle counts once in a document
+            doc, low = pairs // len(keys), pairs % len(keys)
+            n = np.searchsorted(keys, keys[low], "right") - low
+            item = members[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            both, counts = np.unique(np.repeat(doc, n) * len(self.items) + item, return_counts=True)
+            for b in both[counts >= self.need[both % len(self.items)]].tolist():
+                out.setdefault(b // len(self.items), set()).add(b % len(self.items))
+        return out
 
     def candidates(self, words: np.ndarray, offsets: np.ndarray) -> dict[int, set[int]]:
-        """By document, the items that agree in a band with one of its windows. The documents' word hashes
+        """By document, the items that agree in a band with one of its windows, or are looked up. The documents' word hashes
         follow one another in ``words``; ``offsets`` has where each begins."""
-        out: dict[int, set[int]] = {}
+        out = self.looked_up(words, offsets)
         for size in sorted({s for s, _ in self.parts}):
             mine = [(width, at) for (s, width), at in self.parts.items() if s == size]
             counts = np.maximum(np.diff(offsets) - size + 1, 0)
@@ -119,6 +159,15 @@ class ItemIndex:
             self.signs[key][(minima[:, k] & np.uint64(0xFFFF)).astype(np.int64)] = True
         return self.signs[key]
 
+    def _known(self, size: int) -> np.ndarray:
+        """Which low bits some shingle of a small item has."""
+        key = (-1, size)
+        if key not in self.signs:
+            keys = self.exact[size][0]
+            self.signs[key] = np.zeros(1 << max(16, (16 * len(keys)).bit_length()), bool)
+            self.signs[key][(keys & np.uint64(len(self.signs[key]) - 1)).astype(np.int64)] = True
+        return self.signs[key]
+
     def verify(self, words: list[str], candidates: set[int]) -> list[tuple[object, int, int]]:
         """(item, its shingles, those in the document) of the candidates that are contained."""
         shingles: dict[int, set[tuple[str, ...]]] = {}

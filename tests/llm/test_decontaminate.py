@@ -67,3 +67,17 @@ def test_clean_documents_stay(planted, docs, no_docs):
     assert dc.clean_documents(docs, items.limit(0)).count() == docs.count()
     assert dc.clean_documents(docs, items).columns == docs.columns
     assert dc.contained_items(no_docs, items).count() == 0 and dc.contained_items(docs, items.limit(0)).count() == 0
+
+
+def test_short_and_repetitive_items_are_never_missed(spark):
+    rng = random.Random(9)
+    items = [(i, words(rng, 1 + i % 13)) for i in range(130)]
+    items += [(200, " ".join(["ha"] * 100)), (201, " ".join([*"abcdefghij" * 20]))]
+    docs = []
+    for i, text in items:
+        body = words(rng, 300).split()
+        body[150:150] = text.split()
+        docs.append((i, " ".join(body)))
+    got = dc.contained_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = Counter(tuple(r)[:4] for r in got.collect())
+    assert got == plain(docs, items) and len(got) >= len(items)
