@@ -180,6 +180,8 @@ SELECT run, best_at AS best_epoch, {r('best')} AS best_metric, stop AS stopped_e
     "avg_pool": f"WITH {E} SELECT id, (i // 16 * 4 + i % 8 // 2)::INT AS i, {r('avg(v)')} AS v FROM e GROUP BY 1, 2",
     "upsample": f"""WITH {E}, g AS (SELECT k::INT AS k, least(greatest((k // 16 + 0.5) / 2 - 0.5, 0), 7)::DOUBLE AS y, least(greatest((k % 16 + 0.5) / 2 - 0.5, 0), 7)::DOUBLE AS x FROM range(256) t(k)),
 w AS (SELECT id, k, v * greatest(1 - abs(i // 8 - y), 0) * greatest(1 - abs(i % 8 - x), 0) AS p FROM e, g WHERE id % 10 = 0) SELECT id, k AS i, {r('sum(p)')} AS v FROM w GROUP BY id, k""",
+    "upsample_whole": f"""WITH {E}, g AS (SELECT k::INT AS k, least(greatest((k // 16 + 0.5) / 2 - 0.5, 0), 7)::DOUBLE AS y, least(greatest((k % 16 + 0.5) / 2 - 0.5, 0), 7)::DOUBLE AS x FROM range(256) t(k)),
+w AS (SELECT id, k, v * greatest(1 - abs(i // 8 - y), 0) * greatest(1 - abs(i % 8 - x), 0) AS p FROM e, g WHERE abs(i // 8 - y) < 1 AND abs(i % 8 - x) < 1) SELECT id, k AS i, {r('sum(p)')} AS v FROM w GROUP BY id, k""",
     "conv3x3": f"WITH {E}, w AS (SELECT * FROM (VALUES (-1, -1, 1), (-1, 0, 2), (-1, 1, 1), (1, -1, -1), (1, 0, -2), (1, 1, -1)) t(dy, dx, w)), c AS (SELECT id, j::INT AS i FROM (SELECT DISTINCT id FROM e), range(64) t(j)) SELECT c.id, c.i, {r('coalesce(sum(e.v * w), 0)')} AS v FROM c, w LEFT JOIN e ON e.id = c.id AND e.i // 8 = c.i // 8 + dy AND e.i % 8 = c.i % 8 + dx GROUP BY c.id, c.i",
     "attention_tiny": f"WITH {E}, d AS (SELECT a.id, a.i // 8 AS t, b.i // 8 AS s, exp(sum(a.v * b.v) / sqrt(8::DOUBLE)) AS w FROM e a JOIN e b ON a.id = b.id AND a.i % 8 = b.i % 8 GROUP BY ALL), n AS (SELECT id, t, s, w / sum(w) OVER (PARTITION BY id, t) AS w FROM d) SELECT n.id, t::INT AS t, (e.i % 8)::INT AS i, {r('sum(w * v)')} AS v FROM n JOIN e ON e.id = n.id AND e.i // 8 = s GROUP BY ALL",
     "embed_mlp": f"WITH h AS (SELECT vec_id AS id, embedding[1]::DOUBLE - embedding[2]::DOUBLE + 0.5::DOUBLE * embedding[3]::DOUBLE + 0.1::DOUBLE AS a, 0.25::DOUBLE * embedding[1]::DOUBLE + 0.5::DOUBLE * embedding[2]::DOUBLE + 2 * embedding[3]::DOUBLE - 0.2::DOUBLE AS b FROM embeddings) SELECT id, 0 AS i, {r(SWISH.format(x='a'))} AS v FROM h UNION ALL SELECT id, 1, {r(SWISH.format(x='b'))} FROM h",

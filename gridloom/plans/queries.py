@@ -587,6 +587,13 @@ def upsample(spark, sf):
     return exploded(layers.upsample(e, b.SIDE), ["id"], "x")
 
 
+@query
+def upsample_whole(spark, sf):
+    """As ``upsample``, of all rows."""
+    e = b.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
+    return exploded(layers.upsample(e, b.SIDE), ["id"], "x")
+
+
 @query
 def conv3x3(spark, sf):
     return rounded(layers.conv3x3(_cells(spark, sf), [1, 2, 1, 0, 0, 0, -1, -2, -1], b.SIDE), "v")

@@ -61,3 +61,9 @@ def test_the_rest_does_not_import_the_language_model_part():
     for path in (root / "gridloom").rglob("*.py"):
         if "llm" not in path.parts:
             assert "gridloom.llm" not in path.read_text(), path
+
+
+def test_whole_queries_take_every_row(spark):
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
+    got = QUERIES["upsample_whole"](spark, SF).groupBy("id").count().collect()
+    assert {(r.id, r["count"]) for r in got} == {(r.vec_id, 256) for r in vectors.select("vec_id").collect()}
