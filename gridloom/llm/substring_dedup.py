@@ -1,4 +1,4 @@
-"""Exact removal of repeated byte strings by a sparse, partitioned suffix sort.
+"""Removal of repeated byte strings by hashes of their windows, grouped at anchors chosen by content.
 
 Every byte covered by a string of ``LENGTH`` bytes that also starts earlier (in a smaller doc_id, or in the
 same document at an earlier offset) is removed; strings are judged on the input and never cross documents.
@@ -13,14 +13,15 @@ equal strings have equal anchors at equal distances; about 2 in ``LENGTH - LEAD`
 2. A part cuts out the context of each anchor with such a token: the bytes of all strings that have this
    anchor. Of equal contexts in a part only the first goes on, the others are covered at once, so a hot
    group sends no more than one context per part.
-3. Contexts are partitioned by their leading bytes on the longer side of the anchor and sorted locally.
-   A bucket refines the order of its strings by keys of doubled length (8, 16, 32, 64, then all bytes) and
-   the first of each run of equal strings stays; equal leading bytes are never in two buckets, so there is
-   nothing to compare across their borders.
+3. Contexts are dealt by hash partition on the key of their leading bytes on the longer side of the anchor,
+   sorted by that key. Each string of ``LENGTH`` bytes gets one 64-bit hash (put together from hashes of 8, 16,
+   32 and 64 bytes, joined with its place at the anchor); a bucket is sorted once by it, and of each run of
+   equal hashes the earliest string stays. Equal strings have equal keys, so they are never in two buckets.
 4. Spans go back to the parts, which merge them and cut the texts.
 
-Strings are compared by 64-bit keys of their bytes inside a bucket of equal leading bytes; two unequal ones
-would have to agree in all 64 bits.
+No order of suffixes or strings is made: there are no splitters, no range partition and no multikey quicksort,
+and bytes are never compared. Strings, leading tokens and contexts of equal 64-bit hash are taken as equal; two
+unequal ones would have to agree in all 64 bits.
 
 Edge cases: a null text is empty; texts shorter than ``LENGTH`` bytes are kept; rows that repeat a doc_id
 are ordered by their text, then arbitrarily (they are equal then); null doc_ids count as the smallest;
