@@ -7,7 +7,9 @@ so that two terms that are toxic only together can be told from either alone.
 
 The machine is fitted on the driver by AdaGrad on a bounded sample of labelled rows (``SAMPLE_ROWS``,
 those of smallest hash of the document's id); terms enter where they are in ``LEAST_DF`` sampled texts
-and differ between the labels (chi-squared of ``LEAST_CHI2``). Scoring is one pass over all texts.
+and differ between the labels (chi-squared of ``LEAST_CHI2``). So interactions are learned only among terms
+that differ in themselves: one that tells the labels apart in combination alone (either/or, each in half the
+texts of both labels) is left out. Scoring is one pass over all texts.
 
 Edge cases: null or empty texts and texts without known terms get the bias alone; labels that are null
 are left out; without labels every score is 0.25; repeated rows score alike; long texts are read whole.
