@@ -90,8 +90,10 @@ ORACLES: dict[str, str] = {
     "wind_fallback": f"WITH {SNAP} SELECT rel_path, ss_cat, {r('CASE WHEN known THEN wind ELSE ' + MID.format(c='ss_cat') + ' END')} AS wind_kt, NOT known AS is_fallback FROM (SELECT *, substr(md5(rel_path), 1, 1) < '8' AS known FROM idx)",
     "packed_layout": f"WITH {SNAP}, g AS (SELECT rel_path, row_number() OVER (ORDER BY rel_path) - 1 AS gi FROM idx) SELECT (gi // 512)::INT AS shard_id, min(gi) AS start, max(gi) + 1 AS stop, min(rel_path) AS first_path, max(rel_path) AS last_path FROM g GROUP BY 1",
     "shard_lookup": f"WITH {SNAP}, g AS (SELECT rel_path, row_number() OVER (ORDER BY rel_path) - 1 AS gi FROM idx), n AS (SELECT count(*) AS n FROM g) SELECT gi AS global_index, rel_path, (gi // 512)::INT AS shard_id, gi // 512 * 512 AS start, least((gi // 512 + 1) * 512, n) AS stop FROM g, n WHERE gi % 97 = 0",
+    "shard_lookup_whole": f"WITH {SNAP}, g AS (SELECT rel_path, row_number() OVER (ORDER BY rel_path) - 1 AS gi FROM idx), n AS (SELECT count(*) AS n FROM g) SELECT gi AS global_index, rel_path, (gi // 512)::INT AS shard_id, gi // 512 * 512 AS start, least((gi // 512 + 1) * 512, n) AS stop FROM g, n",
     "pack_validation": "SELECT unnest(['contiguous', 'nonempty_shards', 'covers_all', 'unique_paths', 'labels_present', 'expected_count']) AS \"check\", 0::BIGINT AS failures",
     "point_lookup": f"WITH {SNAP} SELECT rel_path, ss_cat, {r('wind')} AS wmo_wind_kt FROM idx WHERE md5(rel_path) LIKE '00%'",
+    "point_lookup_whole": f"WITH {SNAP} SELECT rel_path, ss_cat, {r('wind')} AS wmo_wind_kt FROM idx",
     "packed_missing": "SELECT count(*) AS n_missing, min(doc_id) AS first_missing FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "label_mismatches": "SELECT doc_id, (n_chars > 1000)::INT AS packed_label, quality AS index_label FROM documents JOIN labels USING (doc_id) WHERE (n_chars > 1000)::INT <> quality",
     "array_max_abs_diff": f"WITH {E}, pick AS (SELECT vec_id AS id FROM embeddings ORDER BY md5('42|' || vec_id), vec_id LIMIT 256) SELECT id AS vec_id, {r('max(abs(v - round(v, 2)))')} AS max_diff FROM e JOIN pick USING (id) GROUP BY id",

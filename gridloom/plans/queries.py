@@ -69,6 +69,14 @@ def shard_lookup(spark, sf):
     return catalog.find_shards(wanted, catalog.manifest(packed)).select("global_index", "rel_path", "shard_id", "start", "stop")
 
 
+@query
+def shard_lookup_whole(spark, sf):
+    """As ``shard_lookup``, of every packed row."""
+    packed = written(catalog.pack(b.index(spark, sf), 512), "packed")
+    wanted = packed.select("global_index", "rel_path")
+    return catalog.find_shards(wanted, catalog.manifest(packed)).select("global_index", "rel_path", "shard_id", "start", "stop")
+
+
 @query
 def pack_validation(spark, sf):
     packed = written(catalog.pack(b.index(spark, sf), 512), "packed")
@@ -81,6 +89,13 @@ def point_lookup(spark, sf):
     return rounded(b.index(spark, sf).join(wanted, "rel_path").select("rel_path", "ss_cat", "wmo_wind_kt"), "wmo_wind_kt")
 
 
+@query
+def point_lookup_whole(spark, sf):
+    """As ``point_lookup``, of every path."""
+    wanted = b.index(spark, sf).select("rel_path")
+    return rounded(b.index(spark, sf).join(wanted, "rel_path").select("rel_path", "ss_cat", "wmo_wind_kt"), "wmo_wind_kt")
+
+
 @query
 def packed_missing(spark, sf):
     return catalog.packed_missing(b.table(spark, sf, "documents"), b.table(spark, sf, "labels"), "doc_id")

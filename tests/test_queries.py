@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from gridloom.plans import bindings
 from gridloom.plans.oracles import ORACLES
 from gridloom.plans.queries import QUERIES
 
@@ -67,3 +68,7 @@ def test_whole_queries_take_every_row(spark):
     vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
     got = QUERIES["upsample_whole"](spark, SF).groupBy("id").count().collect()
     assert {(r.id, r["count"]) for r in got} == {(r.vec_id, 256) for r in vectors.select("vec_id").collect()}
+    paths = {r.rel_path for r in bindings.index(spark, SF).select("rel_path").collect()}
+    for name in ("shard_lookup_whole", "point_lookup_whole"):
+        found = [r.rel_path for r in QUERIES[name](spark, SF).select("rel_path").collect()]
+        assert len(found) == len(paths) and set(found) == paths
