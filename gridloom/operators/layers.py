@@ -85,6 +85,14 @@ def swish(x: str | Column) -> Column:
     return F.transform(x, lambda v: v / (F.exp(-v) + 1.0))
 
 
+def branch_sum(*branches: str | Column) -> Column:
+    """The sum of arrays of equal length, place by place."""
+    first, *rest = (F.col(x) if isinstance(x, str) else x for x in branches)
+    for x in rest:
+        first = F.zip_with(first, x, lambda a, b: a + b)
+    return first
+
+
 def infer(rows: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
     """Rows through a caller's network, which each task loads once."""
 

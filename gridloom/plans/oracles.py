@@ -83,6 +83,23 @@ def r(x: str, digits: int = 6) -> str:
 
 SWISH = "({x}) / (exp(-({x})) + 1)"
 
+
+def _condition() -> str:
+    """Each branch as (id, place, value) rows that are joined with rows of weights, twice."""
+    weights = lambda n, seed: ", ".join(f"({i}, {j}, {((3 * i + 5 * j + seed) % 7 - 3) / 4}::DOUBLE)" for i in range(4) for j in range(n))
+    act = SWISH.format(x="h")
+    out = f"""WITH c AS (SELECT vec_id AS id, vec_id * 37 % 1000 AS t, CASE WHEN vec_id % 10 = 0 OR label % 8 - 1 = 6 THEN 6 ELSE greatest(least(label % 8 - 1, 5), 0) END AS label,
+CASE WHEN vec_id % 10 = 0 THEN -2 ELSE (least(greatest(vec_id % 200 + 1, 35), 170) - 35)::DOUBLE / 135 * 2 - 1 END AS s FROM embeddings),
+x2 AS (SELECT id, j, CASE WHEN j < 2 THEN sin(t * exp(-ln(10000) * j)) ELSE cos(t * exp(-ln(10000) * (j - 2))) END AS v FROM c, range(4) r(j)),
+x4 AS (SELECT id, j, ((3 * label + 5 * j + 1) % 7 - 3) / 4::DOUBLE AS v FROM c, range(4) r(j)),
+x6 AS (SELECT id, j, CASE j WHEN 0 THEN s WHEN 1 THEN sin(pi() * s) WHEN 2 THEN cos(pi() * s) WHEN 3 THEN sin(2 * pi() * s) ELSE cos(2 * pi() * s) END AS v FROM c, range(5) r(j))"""
+    for k, n in ((2, 4), (4, 4), (6, 5)):
+        out += f""",
+y{k} AS (SELECT id, i AS j, {act} AS v FROM (SELECT id, i, sum(v * w) + 0.1::DOUBLE AS h FROM x{k} JOIN (VALUES {weights(n, k)}) m(i, j, w) USING (j) GROUP BY id, i)),
+z{k} AS (SELECT id, i, {act} AS v FROM (SELECT id, i, sum(v * w) - 0.2::DOUBLE AS h FROM y{k} JOIN (VALUES {weights(4, k + 1)}) m(i, j, w) USING (j) GROUP BY id, i))"""
+    return out + f" SELECT id, i::INT AS i, {r('sum(v)')} AS v FROM (FROM z2 UNION ALL FROM z4 UNION ALL FROM z6) GROUP BY id, i"
+
+
 ORACLES: dict[str, str] = {
     "class_index_counts": f"WITH {SNAP} SELECT ss_cat, count(*) AS n FROM idx GROUP BY ss_cat",
     "index_meta": f"WITH {SNAP} SELECT count(*) AS num_files_total, count(*) FILTER (w IS NOT NULL AND c IS NOT NULL) AS num_files_indexed, count(*) FILTER (w IS NULL) AS num_files_skipped_no_wind, count(*) FILTER (w IS NOT NULL AND c IS NULL) AS num_files_skipped_below_ts FROM classed",
@@ -175,6 +192,7 @@ CASE WHEN NOT f.best - seq.value > 0.5 AND f.bad + 1 >= 3 THEN seq.step END FROM
 SELECT run, best_at AS best_epoch, {r('best')} AS best_metric, stop AS stopped_epoch FROM f QUALIFY row_number() OVER (PARTITION BY run ORDER BY r DESC) = 1""",
     "wind_features": f"WITH {SNAP}, s AS (SELECT rel_path, (least(wind, 170) - 35) / 135 * 2 - 1 AS w FROM idx) SELECT rel_path, unnest(range(5))::INT AS i, {r('unnest([w, sin(pi() * w), cos(pi() * w), sin(2 * pi() * w), cos(2 * pi() * w)])')} AS v FROM s",
     "time_embedding": f"SELECT t::INT AS t, i::INT AS i, {r('CASE WHEN i < 4 THEN sin(t * exp(-ln(10000) * i / 3)) WHEN i < 8 THEN cos(t * exp(-ln(10000) * (i - 4) / 3)) ELSE 0 END')} AS v FROM range(0, 1000, 37) a(t), range(9) b(i)",
+    "time_embedding_whole": f"SELECT t::INT AS t, i::INT AS i, {r('CASE WHEN i < 4 THEN sin(t * exp(-ln(10000) * i / 3)) WHEN i < 8 THEN cos(t * exp(-ln(10000) * (i - 4) / 3)) ELSE 0 END')} AS v FROM range(1000) a(t), range(9) b(i)",
     "midpoint_general": f"SELECT l::INT AS label, CASE WHEN l = 6 THEN 0 ELSE {MID.format(c='greatest(least(l, 5), 0)')} END AS six, CASE WHEN l = 8 THEN 0 ELSE 35 + (greatest(least(l, 7), 0) + 0.5::DOUBLE) * 16.875::DOUBLE END AS eight, {MID.format(c='l')} AS scalar, CASE WHEN l = 6 THEN 6 ELSE greatest(least(l, 5), 0) END::INT AS clipped FROM range(-1, 9) t(l)",
     "wind_targets": "SELECT * FROM (VALUES (0, 49.5::DOUBLE), (1, 73.0), (2, 89.0), (3, 101.0), (4, 124.5), (5, 145.0)) t(ss_cat, target)",
     "groupnorm": f"WITH {E}, g AS (SELECT id, i // 8 AS c, i % 8 AS i, v, i // 16 AS g FROM e) SELECT id, c::INT AS c, i::INT AS i, {r('(v - avg(v) OVER w) / sqrt(var_pop(v) OVER w + 1e-3)', 5)} AS v FROM g WINDOW w AS (PARTITION BY id, g)",
@@ -187,6 +205,7 @@ w AS (SELECT id, k, v * greatest(1 - abs(i // 8 - y), 0) * greatest(1 - abs(i %
     "conv3x3": f"WITH {E}, w AS (SELECT * FROM (VALUES (-1, -1, 1), (-1, 0, 2), (-1, 1, 1), (1, -1, -1), (1, 0, -2), (1, 1, -1)) t(dy, dx, w)), c AS (SELECT id, j::INT AS i FROM (SELECT DISTINCT id FROM e), range(64) t(j)) SELECT c.id, c.i, {r('coalesce(sum(e.v * w), 0)')} AS v FROM c, w LEFT JOIN e ON e.id = c.id AND e.i // 8 = c.i // 8 + dy AND e.i % 8 = c.i % 8 + dx GROUP BY c.id, c.i",
     "attention_tiny": f"WITH {E}, d AS (SELECT a.id, a.i // 8 AS t, b.i // 8 AS s, exp(sum(a.v * b.v) / sqrt(8::DOUBLE)) AS w FROM e a JOIN e b ON a.id = b.id AND a.i % 8 = b.i % 8 GROUP BY ALL), n AS (SELECT id, t, s, w / sum(w) OVER (PARTITION BY id, t) AS w FROM d) SELECT n.id, t::INT AS t, (e.i % 8)::INT AS i, {r('sum(w * v)')} AS v FROM n JOIN e ON e.id = n.id AND e.i // 8 = s GROUP BY ALL",
     "embed_mlp": f"WITH h AS (SELECT vec_id AS id, embedding[1]::DOUBLE - embedding[2]::DOUBLE + 0.5::DOUBLE * embedding[3]::DOUBLE + 0.1::DOUBLE AS a, 0.25::DOUBLE * embedding[1]::DOUBLE + 0.5::DOUBLE * embedding[2]::DOUBLE + 2 * embedding[3]::DOUBLE - 0.2::DOUBLE AS b FROM embeddings) SELECT id, 0 AS i, {r(SWISH.format(x='a'))} AS v FROM h UNION ALL SELECT id, 1, {r(SWISH.format(x='b'))} FROM h",
+    "condition_embedding": _condition(),
     "training_elements": f"WITH {RAW} SELECT id || '.nc' AS rel_path, class AS ss_cat, CASE WHEN class > 2 THEN class + 0.5::DOUBLE ELSE {MID.format(c='class')} END AS wind_kt, i, {r('(v - 180) / 130 * 2 - 1')} AS v FROM cl",
     "augmented_elements": f"""WITH {E}, d AS (SELECT vec_id AS id, md5('42|' || vec_id) AS h, label % 6 AS c FROM embeddings),
 p AS (SELECT id, {U} < CASE c WHEN 0 THEN 0.15 WHEN 1 THEN 0.2 WHEN 2 THEN 0.35 WHEN 3 THEN 0.6 WHEN 4 THEN 0.75 ELSE 0.85 END AS go, {hex_of("substr(h, 9, 2)")} % 4 AS k, {hex_of("substr(h, 11, 2)")} % 5 - 2 AS dy, {hex_of("substr(h, 13, 2)")} % 5 - 2 AS dx FROM d),

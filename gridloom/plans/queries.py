@@ -563,6 +563,13 @@ def time_embedding(spark, sf):
     return exploded(steps.select("t", sc.time_embedding("t", 9).alias("e")), ["t"], "e")
 
 
+@query
+def time_embedding_whole(spark, sf):
+    """As ``time_embedding``, of every step."""
+    steps = spark.range(1000).select(F.col("id").cast("int").alias("t"))
+    return exploded(steps.select("t", sc.time_embedding("t", 9).alias("e")), ["t"], "e")
+
+
 @query
 def midpoint_general(spark, sf):
     labels = spark.range(-1, 9).select(F.col("id").cast("int").alias("label"))
@@ -628,6 +635,26 @@ def embed_mlp(spark, sf):
     return exploded(e.select("id", hidden.alias("y")), ["id"], "y")
 
 
+def fixed_weights(rows: int, columns: int, seed: int) -> list[list[float]]:
+    return [[((3 * i + 5 * j + seed) % 7 - 3) / 4 for j in range(columns)] for i in range(rows)]
+
+
+@query
+def condition_embedding(spark, sf):
+    """Label rows, time and wind features, each through two dense layers, summed; one row in ten has the null condition."""
+    null = F.col("vec_id") % 10 == 0
+    e = b.table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("id"),
+        (F.col("vec_id") * 37 % 1000).cast("int").alias("t"),
+        sc.label_clip(F.when(null, 6).otherwise(F.col("label") % 8 - 1)).cast("int").alias("label"),
+        sc.wind_clip(F.when(null, 0.0).otherwise((F.col("vec_id") % 200).cast("double") + 1)).alias("wind"),
+    )
+    rows = F.array(*[F.array(*[F.lit(v) for v in row]) for row in fixed_weights(7, 4, 1)])
+    deep = lambda x, n, seed: layers.swish(layers.dense(layers.swish(layers.dense(x, fixed_weights(4, n, seed), [0.1] * 4)), fixed_weights(4, 4, seed + 1), [-0.2] * 4))
+    e = e.select("id", deep(sc.time_embedding("t", 4), 4, 2).alias("a"), deep(F.element_at(rows, F.col("label") + 1), 4, 4).alias("c"), deep(sc.wind_fourier(sc.wind_scaled("wind")), 5, 6).alias("w"))
+    return exploded(e.select("id", layers.branch_sum("a", "c", "w").alias("y")), ["id"], "y")
+
+
 # Streams and loops
 
 

@@ -72,3 +72,5 @@ def test_whole_queries_take_every_row(spark):
     for name in ("shard_lookup_whole", "point_lookup_whole"):
         found = [r.rel_path for r in QUERIES[name](spark, SF).select("rel_path").collect()]
         assert len(found) == len(paths) and set(found) == paths
+    assert QUERIES["time_embedding_whole"](spark, SF).select("t").distinct().count() == 1000
+    assert QUERIES["condition_embedding"](spark, SF).groupBy("id").count().where("count = 4").count() == len(got)
