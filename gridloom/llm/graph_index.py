@@ -1,6 +1,8 @@
 """Approximate nearest neighbours (largest inner product) by robust-pruned directed graphs, one per shard.
 
-Vectors are lifted by one coordinate so that the largest inner product is the smallest distance. A shard's
+Vectors are lifted by one coordinate so that the largest inner product is the smallest distance. The lift is
+shifted to be small for all but the longest vectors, and queries order by the inner product itself, so that one
+very long vector (norms up to about 1e18) doesn't round away the others' distances. A shard's
 graph grows in batches: greedy beam searches over the graph so far propose neighbours of the new vectors;
 robust pruning with a relaxed distance (``ALPHA``) keeps diverse edges, at most ``DEGREE``; reverse edges
 are added and pruned alike. A query is answered by a beam search in every shard and exact scores, in double
@@ -32,16 +34,21 @@ SHARD_ROWS, QUERY_BLOCK, NEIGHBOURS, SEED = 8192, 2048, 20, 11
 
 
 def lift(x: np.ndarray) -> np.ndarray:
-    """float32 vectors of equal length whose distances order as inner products with (q, 0)."""
+    """float32 vectors of equal length but for a shift of the last coordinate, which no distance changes: less the
+    largest norm, in the form that keeps its digits. Short vectors beside a long one have almost none of it."""
+    x = x.astype(np.float64)
     squares = np.einsum("ij,ij->i", x, x)
-    return np.column_stack([x, np.sqrt(np.maximum(squares.max() - squares, 0))]).astype(np.float32)
+    most = squares.max()
+    shifted = -squares / np.maximum(np.sqrt(most) + np.sqrt(np.maximum(most - squares, 0)), 1e-300)
+    return np.column_stack([x, shifted]).astype(np.float32)
 
 
-def beam_search(points: np.ndarray, graph: np.ndarray, entries: np.ndarray, queries: np.ndarray, beam: int, expand: int = EXPAND) -> tuple[np.ndarray, np.ndarray]:
-    """For each query the beam's nodes (-1: none), nearest first, and their squared distances less |q|^2."""
+def beam_search(points: np.ndarray, graph: np.ndarray, entries: np.ndarray, queries: np.ndarray, beam: int, expand: int = EXPAND, by_product: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """For each query the beam's nodes (-1: none), nearest first, and their squared distances less |q|^2, or
+    ``by_product`` the inner products times -2."""
     n, b = len(points), len(queries)
     width = max(beam, len(entries))
-    norms = np.einsum("ij,ij->i", points, points)
+    norms = np.zeros(n, np.float32) if by_product else np.einsum("ij,ij->i", points, points)
     ids = np.full((b, width), -1, np.int64)
     dist = np.full((b, width), np.inf, np.float32)
     done = np.ones((b, width), bool)
@@ -220,9 +227,12 @@ def _search_shard(k: int, beam: int):
         wanted = np.array(queries.column("embedding").to_pylist(), np.float64)
         points = lift(vectors.astype(np.float32))
         lifted = np.column_stack([wanted, np.zeros(len(wanted))]).astype(np.float32)
+        # the longest vectors may have no edge that leads to them
+        longest = np.argsort(-np.einsum("ij,ij->i", vectors, vectors), kind="stable")[:ENTRIES]
+        entries = np.union1d(entry_points(len(points)), longest)
         out = []
         for s in range(0, len(keys), 512):
-            found, _ = beam_search(points, graph, entry_points(len(points)), lifted[s : s + 512], beam)
+            found, _ = beam_search(points, graph, entries, lifted[s : s + 512], beam, by_product=True)
             who, col = np.nonzero(found >= 0)
             node = found[who, col]
             score = (vectors[node] * wanted[s + who]).sum(axis=1)

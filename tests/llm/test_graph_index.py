@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gridloom.llm import graph_index as gi
@@ -70,3 +71,17 @@ def test_fewer_candidates_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.1, 0.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r["rank"], r.vec_id) for r in sorted(gi.nearest(df).collect())] == [(0, 1, 1), (0, 2, 2)]
     assert gi.nearest(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("norm", [1.0, 1e4, 1e8])
+def test_a_very_long_vector_hides_no_other(norm):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(4000, 32))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    x[7] *= norm
+    index = gi._build_shard(pa.table({"shard": [0] * len(x), "embedding": x.tolist(), "ids": [[i] for i in range(len(x))]}))
+    asked = np.arange(0, 4000, 20)
+    got = gi._search_shard(20, gi.BEAM)(pa.table({"vec_id": asked, "embedding": x[asked].tolist()}), index).to_pydict()
+    found = set(zip(got["query_id"], got["vec_id"]))
+    want = plain(np.arange(4000), x, [(int(i), x[i]) for i in asked], 20)
+    assert sum((q, v) in found for q in want for v, _ in want[q]) / (20 * len(want)) >= 0.9
