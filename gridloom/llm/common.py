@@ -5,8 +5,10 @@ All hashing here is deterministic across workers (no use of Python's salted ``ha
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,14 +25,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_root(spark: SparkSession) -> str:
-    """The shared folder from ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """The shared folder from ``spark.checkpoint.dir``. Where that is unset a local session gets a folder of its
+    own, which goes at the end; on a cluster that is an error, as every executor would write to its own disk."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = getattr(spark, "_gridloom_work_root", None)
-        if not root:
-            root = "file://" + tempfile.mkdtemp(prefix="gridloom-")
-            spark._gridloom_work_root = root
-    return root
+    if root:
+        return root
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not hasattr(spark, "_gridloom_work_root"):
+        folder = tempfile.mkdtemp(prefix="gridloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark._gridloom_work_root = f"file://{folder}"
+    return spark._gridloom_work_root
 
 
 def work_path(spark: SparkSession, name: str) -> str:
@@ -43,7 +49,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = work_path(spark, name)
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._gridloom_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of tables made by ``materialize``, once nothing that is still to run reads them."""
+    for df in tables:
+        path = df._gridloom_path
+        jvm = df.sparkSession._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def give_back() -> None:
@@ -151,8 +168,6 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-
-
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 6 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in pieces whose texts have about ``most_bytes`` (a longer text is a piece alone)."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
