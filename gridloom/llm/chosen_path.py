@@ -12,11 +12,12 @@ comes through with ``SPLIT_KEEPS`` on each of the paths it shares); what is then
 and is all made one candidate group. Runs are repeated until a linked pair is found with ``RECALL`` (``runs_for``).
 
 Before a large bucket is split, its sets are compared with ``PIVOTS`` of its members, those that come first in as
-many orders which all paths share, so that buckets of one hot group have the same pivots and one edge a set is
-left of them all. Sets near a pivot (``PIVOT_NEAR``) are its candidates; near pivots are one cluster. A set leaves
-the bucket if it is nearer to a pivot, by ``PIVOT_GAP``, than every set that isn't near that cluster: distances of
-sketches are a metric, so all that could be linked to it is in the cluster too. A bucket of copies of one text
-thus ends at its first level, whatever its size.
+many orders which all paths share, so that buckets of one hot group have the same pivots. Sets near a pivot
+(``PIVOT_NEAR``) are its candidates; pivots near each other are one cluster with all that is near them. A bucket
+with at most ``FEW`` sets outside a cluster is done: these few are compared with all its sets, ``CHUNK`` at a time,
+and the others are one candidate group already. Thus copies of one text end at the first level, whatever their
+number. From any other bucket a set goes that is nearer to a pivot, by ``PIVOT_GAP``, than every set outside the
+pivot's cluster: distances of sketches are a metric, so all that could be linked to it is in the cluster too.
 
 Candidate groups, the components of candidate pairs, are verified exactly on whole shingle sets, in blocks of
 ``BLOCK`` texts and ``BLOCK_SHINGLES`` shingles at most, so that no task holds a large group. Each block is
@@ -48,11 +49,11 @@ from gridloom.llm.common import SHINGLE, WORDS, discard, give_back, materialize,
 from gridloom.llm.components import components
 
 SIMILARITY = 0.8
-RATE, RECALL = 4, 1 - 1e-5
+RATE, RECALL = 4, 1 - 3e-5
 SKETCH, SKETCH_LEAST = 48, 0.5
-BUCKET, BRANCH, DEPTH = 300, 2, 3
+BUCKET, BRANCH, DEPTH = 300, 2, 6
 SPLIT_KEEPS = (1 - (1 - SIMILARITY) ** BRANCH) ** (DEPTH - 1)
-PIVOTS, PIVOT_NEAR, PIVOT_GAP = 3, 0.4, 0.35
+PIVOTS, PIVOT_NEAR, PIVOT_GAP, FEW, CHUNK = 6, 0.4, 0.35, 512, 4096
 BLOCK, BLOCK_SHINGLES, LEADERS = 1024, 1 << 20, 8
 SEED = 2
 
@@ -196,12 +197,46 @@ def _pivot_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays(columns, ["path", "cls", "sketch", "edges", *(f"near{k}" for k in range(PIVOTS)), *(f"far{k}" for k in range(PIVOTS))])
 
 
+def _few_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate edges between the few (side 0) and a chunk of their bucket: each set's first one, and of the few
+    those that a set brings together."""
+    for table in runs(batches, "key"):
+        side, names = np.asarray(table.column("side").combine_chunks()), np.array(table.column("cls").to_pylist(), object)
+        sketch = _sketch_rows(table.column("sketch"))
+        few = np.flatnonzero(side == 0)
+        few = few[np.argsort(names[few])]
+        first = np.full(len(names), -1)
+        root = list(range(len(few)))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        edges: list[tuple[bytes, bytes]] = []
+        for i, f in enumerate(few.tolist()):
+            near = np.flatnonzero(((sketch == sketch[f]).sum(1) >= SKETCH_LEAST * SKETCH) & (names != names[f]))
+            for other in set(first[near].tolist()) - {-1}:
+                x, y = find(other), find(i)
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    edges.append((names[few[x]], names[few[y]]))
+            fresh = near[first[near] < 0]
+            first[fresh] = i
+            edges += [(names[n], names[f]) for n in fresh.tolist()]
+        if edges:
+            yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.binary()) for i in (0, 1)], ["a", "b"])
+    give_back()
+
+
 def candidate_edges(classes: DataFrame) -> DataFrame:
     """a, b of candidate pairs (as stars) of classes with columns cls, paths, sketch."""
     rows = classes.select("cls", F.explode(F.array_distinct("paths")).alias("path"))
     found: DataFrame | None = None
     each = range(PIVOTS)
     for depth in range(1, DEPTH + 1):
+        if depth > 1:
+            rows = materialize(rows, "rows")
         counts = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
         shared = materialize(rows.join(counts, "path"), "paths")
         small = shared.where(F.col("n") <= BUCKET).join(classes.select("cls", "sketch"), "cls").select("path", "cls", "sketch")
@@ -220,10 +255,20 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
         ints = [f"near{k} int" for k in each] + [f"far{k} int" for k in each]
         judged = materialize(full.join(heads, "path").mapInArrow(_pivot_batches, f"path long, cls binary, sketch binary, edges array<binary>, {', '.join(ints)}"), "pivots")
         found = found.unionAll(judged.select(F.col("cls").alias("a"), F.explode("edges").alias("b")).distinct())
-        highest = judged.groupBy("path").agg(*[F.max(f"far{k}").alias(f"high{k}") for k in each])
+        outside = [F.sum((F.col(f"far{k}") >= 0).cast("long")).alias(f"out{k}") for k in each]
+        buckets = judged.groupBy("path").agg(F.count(F.lit(1)).alias("n"), *outside, *[F.max(f"far{k}").alias(f"high{k}") for k in each])
+        fewest = F.least(*[F.col(f"out{k}") for k in each])
+        done = buckets.where(fewest <= FEW)
+        best = F.array_position(F.array(*[F.col(f"out{k}") for k in each]), fewest).cast("int")
+        chunks = F.ceil(F.col("n") / F.lit(CHUNK)).cast("int")
+        in_done = judged.join(done.where(fewest > 0).select("path", best.alias("best"), chunks.alias("chunks")), "path")
+        far = F.element_at(F.array(*[F.col(f"far{k}") for k in each]), F.col("best"))
+        few = in_done.where(far >= 0).select("path", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("side"), "cls", "sketch")
+        rest = in_done.select("path", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("side"), "cls", "sketch")
+        met = few.unionAll(rest).select(F.xxhash64("path", "chunk").alias("key"), "side", "cls", "sketch")
+        found = found.unionAll(met.repartition("key").sortWithinPartitions("key").mapInArrow(_few_batches, "a binary, b binary"))
         goes = [(F.col(f"near{k}") >= PIVOT_NEAR * SKETCH) & (F.col(f"near{k}") > F.col(f"high{k}") + PIVOT_GAP * SKETCH) for k in each]
-        goes = [g | ((F.col(f"high{k}") < 0) & (F.col(f"far{k}") < 0)) for k, g in enumerate(goes)]  # all are in one cluster
-        stay = judged.join(highest, "path").where(~reduce(or_, goes))
+        stay = judged.join(buckets.where(fewest > FEW), "path").where(~reduce(or_, goes))
         # the branch's tokens: members of the sketch, other ones for every path
         pick = lambda t: F.pmod(F.xxhash64("path", F.lit(t)), F.lit(SKETCH)).cast("int")
         token = lambda t: F.xxhash64("path", pick(t), F.substring(F.col("sketch"), 2 * pick(t) + 1, F.lit(2)))
