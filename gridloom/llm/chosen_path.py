@@ -232,29 +232,35 @@ def _few_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def candidate_edges(classes: DataFrame) -> DataFrame:
     """a, b of candidate pairs (as stars) of classes with columns cls, paths, sketch."""
     rows = classes.select("cls", F.explode(F.array_distinct("paths")).alias("path"))
-    found: DataFrame | None = None
+    found: list[DataFrame] = []  # written level by level, so that plans stay small
+    done_with: list[DataFrame] = []
     each = range(PIVOTS)
     for depth in range(1, DEPTH + 1):
         if depth > 1:
             rows = materialize(rows, "rows")
+            discard(*done_with)
+            done_with = [rows]
         counts = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
         shared = materialize(rows.join(counts, "path"), "paths")
         small = shared.where(F.col("n") <= BUCKET).join(classes.select("cls", "sketch"), "cls").select("path", "cls", "sketch")
         edges = small.repartition("path").sortWithinPartitions("path").mapInArrow(_bucket_batches, "a binary, b binary")
-        found = edges if found is None else found.unionAll(edges)
+        done_with.append(shared)
         large = shared.where(F.col("n") > BUCKET)
         if large.isEmpty():
-            return found
+            found.append(materialize(edges, "candidates"))
+            break
         if depth == DEPTH:
             least = large.groupBy("path").agg(F.min("cls").alias("b"))
             stars = large.join(least, "path").select(F.col("cls").alias("a"), "b").where("a != b")
-            return found.unionAll(stars.distinct())
+            found.append(materialize(edges.unionAll(stars.distinct()), "candidates"))
+            break
         full = large.join(classes.select("cls", "sketch"), "cls").select("path", "cls", "sketch")
         heads = full.groupBy("path").agg(*[F.min_by(F.struct("cls", "sketch"), F.xxhash64("cls", F.lit(k))).alias(f"p{k}") for k in each])
         heads = heads.select("path", *[F.col(f"p{k}.cls").alias(f"pivot{k}") for k in each], *[F.col(f"p{k}.sketch").alias(f"pivot{k}_sketch") for k in each])
         ints = [f"near{k} int" for k in each] + [f"far{k} int" for k in each]
         judged = materialize(full.join(heads, "path").mapInArrow(_pivot_batches, f"path long, cls binary, sketch binary, edges array<binary>, {', '.join(ints)}"), "pivots")
-        found = found.unionAll(judged.select(F.col("cls").alias("a"), F.explode("edges").alias("b")).distinct())
+        done_with.append(judged)
+        edges = edges.unionAll(judged.select(F.col("cls").alias("a"), F.explode("edges").alias("b")).distinct())
         outside = [F.sum((F.col(f"far{k}") >= 0).cast("long")).alias(f"out{k}") for k in each]
         buckets = judged.groupBy("path").agg(F.count(F.lit(1)).alias("n"), *outside, *[F.max(f"far{k}").alias(f"high{k}") for k in each])
         fewest = F.least(*[F.col(f"out{k}") for k in each])
@@ -266,14 +272,16 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
         few = in_done.where(far >= 0).select("path", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("side"), "cls", "sketch")
         rest = in_done.select("path", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("side"), "cls", "sketch")
         met = few.unionAll(rest).select(F.xxhash64("path", "chunk").alias("key"), "side", "cls", "sketch")
-        found = found.unionAll(met.repartition("key").sortWithinPartitions("key").mapInArrow(_few_batches, "a binary, b binary"))
+        edges = edges.unionAll(met.repartition("key").sortWithinPartitions("key").mapInArrow(_few_batches, "a binary, b binary"))
+        found.append(materialize(edges, "candidates"))
         goes = [(F.col(f"near{k}") >= PIVOT_NEAR * SKETCH) & (F.col(f"near{k}") > F.col(f"high{k}") + PIVOT_GAP * SKETCH) for k in each]
         stay = judged.join(buckets.where(fewest > FEW), "path").where(~reduce(or_, goes))
         # the branch's tokens: members of the sketch, other ones for every path
         pick = lambda t: F.pmod(F.xxhash64("path", F.lit(t)), F.lit(SKETCH)).cast("int")
         token = lambda t: F.xxhash64("path", pick(t), F.substring(F.col("sketch"), 2 * pick(t) + 1, F.lit(2)))
         rows = stay.select("cls", F.explode(F.array_distinct(F.array(*[token(t) for t in range(BRANCH)]))).alias("path"))
-    return found
+    discard(*done_with)
+    return reduce(DataFrame.unionAll, found)
 
 
 def exact_links(sets: list[np.ndarray], left: np.ndarray | None = None) -> np.ndarray:
