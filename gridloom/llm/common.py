@@ -178,16 +178,19 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 6 << 20) -> Ite
             yield batch.slice(a, b - a)
 
 
-def word_lists(column: pa.Array, separator: str | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Words of texts: the distinct ones, each text's words as numbers of these, one text after another,
-    and the offsets of the texts. Without a separator words are split at white space and never empty."""
+def word_lists(column: pa.Array, separator: str | None = None, as_strings: bool = True) -> tuple[list[str] | pa.Array, np.ndarray, np.ndarray]:
+    """Words of texts: the distinct ones (an Arrow array unless ``as_strings``), each text's words as numbers of
+    these, one text after another, and the offsets of the texts. Without a separator words are split at white
+    space and never empty."""
     texts = pc.fill_null(column, "")
     lists = pc.utf8_split_whitespace(texts) if separator is None else pc.split_pattern(texts, separator)
     offsets = np.asarray(lists.offsets).astype(np.int64)
     flat = lists.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0]))
     offsets = offsets - offsets[0]
     coded = flat.dictionary_encode()
-    words, codes = coded.dictionary.to_pylist(), np.asarray(coded.indices)
+    words, codes = coded.dictionary, np.asarray(coded.indices)
+    if as_strings:
+        words = words.to_pylist()
     if separator is None and "" in words:
         keep = codes != words.index("")
         offsets = np.concatenate([[0], np.cumsum(keep)])[offsets]
@@ -195,18 +198,21 @@ def word_lists(column: pa.Array, separator: str | None = None) -> tuple[list[str
     return words, codes, offsets
 
 
-def gather(codes: np.ndarray, offsets: np.ndarray, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """int32 lists put together: list i has the int32 values of ``parts[c]`` for its codes c, in order."""
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-    starts = np.cumsum(sizes) - sizes
-    pool = np.frombuffer(b"".join(parts), np.int32)
-    counts = sizes[codes]
+def gather_rows(codes: np.ndarray, offsets: np.ndarray, pool: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lists put together: list i has the values ``pool[at[c]:at[c + 1]]`` for its codes c, in order."""
+    counts = (at[1:] - at[:-1])[codes]
     ends = np.concatenate([[0], np.cumsum(counts)])
-    index = np.repeat(starts[codes] - ends[:-1], counts)
+    index = np.repeat(at[:-1][codes] - ends[:-1], counts)
     index += np.arange(len(index))
     return pool[index], ends[offsets]
 
 
+def gather(codes: np.ndarray, offsets: np.ndarray, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """int32 lists put together: list i has the int32 values of ``parts[c]`` for its codes c, in order."""
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    return gather_rows(codes, offsets, np.frombuffer(b"".join(parts), np.int32), np.concatenate([[0], np.cumsum(sizes)]))
+
+
 class Memo:
     """A bounded memory of bytes by word, in two generations: words still in use outlive a turn.
 

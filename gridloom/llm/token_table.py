@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import Memo, gather, parts_for, slices, table_bytes, word_lists, work_path
+from gridloom.llm.common import Memo, gather, gather_rows, parts_for, slices, table_bytes, word_lists, work_path
 
 END_ID = 2
 ROW_GROUP_BYTES = 32 << 20
@@ -41,6 +41,10 @@ _HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 17
 _BYTE_SIGNS = {b: 256 + i for i, b in enumerate(_HIDDEN)}
 
 
+# A run of Latin-1 letters, and the full stops and commas after it.
+_PLAIN = "^(?P<core>[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)(?P<tail>[.,]*)$"
+
+
 class ChunkEncoder:
     """Ids of a text through ids of its chunks between spaces and line ends.
 
@@ -59,30 +63,24 @@ class ChunkEncoder:
         self.fence = min(added.items(), default=None)
         self.memo = Memo(self._fill)
         self.tails: dict[str, bytes] = {"": b""}
-        # taking words apart is right where letters and signs are split, and the text is only composed and lowered
+        # taking words apart is right where runs of letters and of signs are split, and the text is only composed and lowered
         steps = json.loads(self.tokenizer.to_str())
         self.simple = [x["type"] for x in (steps["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in (steps["pre_tokenizer"] or {}).get("pretokenizers", [])] == ["Split", "ByteLevel"] and r"|[\p{L}]+|" in steps["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex", "")
 
     def _fill(self, chunks: list[str], together: int = 256) -> dict[str, bytes]:
         """Ids of chunks that are not in the memory.
 
-        A run of Latin letters, perhaps with full stops and commas after it, is taken apart as the
-        pre-tokenizer does and its letters go to the model alone; other chunks are encoded many at a
-        time, a special token between them, which is taken out before anything else is done.
+        A lower-case run of Latin letters goes to the model alone; other chunks are encoded many at a time, a
+        special token between them, which is taken out before anything else is done.
         """
         found: dict[str, bytes] = {}
-        rest, get = [], self.memo.get
+        rest = []
         for c in chunks:
-            core = c.rstrip(".,")
-            if not (self.simple and core.isalpha() and max(core) < "\u0100"):
+            if not (self.simple and c.isalpha() and max(c) < "\u0100" and c == c.lower()):
                 rest.append(c)
                 continue
-            low = core.lower()
-            ids = found.get(low) or get(low)
-            if ids is None:
-                spelled = low if low.isascii() else low.encode().decode("latin-1").translate(_BYTE_SIGNS)
-                ids = found[low] = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], "<i4").tobytes()
-            found[c] = ids + self._tail(c[len(core) :])
+            spelled = c if c.isascii() else c.encode().decode("latin-1").translate(_BYTE_SIGNS)
+            found[c] = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], "<i4").tobytes()
         mark = self.fence[1][:1] if self.fence else ""
         plain = [c for c in rest if self.fence and mark not in c]
         found.update((c, np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<i4").tobytes()) for c in rest if not self.fence or mark in c)
@@ -93,6 +91,24 @@ class ChunkEncoder:
             found.update(zip(group, map(raw.__getitem__, map(slice, [0, *(f + 4 for f in fences)], [*fences, len(raw)]))))
         return found
 
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, one after another, and the words' offsets. A plain word is its lower-case letters and
+        its signs; only distinct letters are looked up."""
+        if not self.simple:
+            return gather(np.arange(len(words)), np.arange(len(words) + 1), self.memo(words.to_pylist()))
+        taken = pc.extract_regex(words, _PLAIN)
+        plain = np.asarray(taken.is_valid())
+        taken = taken.drop_null()
+        lows, tails = pc.utf8_lower(taken.field("core")).dictionary_encode(), taken.field("tail").dictionary_encode()
+        others = words.filter(pa.array(~plain)).to_pylist()
+        parts = self.memo([*lows.dictionary.to_pylist(), *others])
+        n = len(lows.dictionary)
+        parts += [self._tail(t) for t in tails.dictionary.to_pylist()] + [b""]
+        pairs = np.empty((len(words), 2), np.int64)
+        pairs[plain, 0], pairs[plain, 1] = np.asarray(lows.indices), np.asarray(tails.indices) + n + len(others)
+        pairs[~plain, 0], pairs[~plain, 1] = n + np.arange(len(others)), len(parts) - 1
+        return gather(pairs.ravel(), 2 * np.arange(len(words) + 1), parts)
+
     def _tail(self, signs: str) -> bytes:
         if signs not in self.tails:
             self.tails[signs] = np.array(self.tokenizer.encode(signs, add_special_tokens=False).ids, "<i4").tobytes()
@@ -100,13 +116,13 @@ class ChunkEncoder:
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts (each closed by ``end_id``, if given) and the texts' offsets."""
-        words, codes, offsets = word_lists(pc.replace_substring(texts, "\n", " "), " ")
-        parts = self.memo(words)
+        words, codes, offsets = word_lists(pc.replace_substring(texts, "\n", " "), " ", as_strings=False)
+        pool, at = self._words(words)
         if end_id is not None:
-            codes = np.insert(codes, offsets[1:], len(parts))
+            codes = np.insert(codes, offsets[1:], len(words))
             offsets = offsets + np.arange(len(offsets))
-            parts = [*parts, np.array([end_id], "<i4").tobytes()]
-        return gather(codes, offsets, parts)
+            pool, at = np.append(pool, np.int32(end_id)), np.append(at, at[-1] + 1)
+        return gather_rows(codes, offsets, pool, at)
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -124,7 +140,7 @@ def _encode_batches(path: str, end_id: int, batches: Iterator[pa.RecordBatch]) -
 
     part = TaskContext.get().partitionId()
     for batch in batches:
-        for rows in slices(batch, "text"):
+        for rows in slices(batch, "text", 10 << 20):
             ids, at = encoder(path).encode(rows.column("text"), end_id)
             n = np.diff(at)
             yield pa.RecordBatch.from_arrays(
