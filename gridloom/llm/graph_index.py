@@ -1,36 +1,44 @@
 """Approximate nearest neighbours (largest inner product) by robust-pruned directed graphs, one per shard.
 
 Vectors are lifted by one coordinate so that the largest inner product is the smallest distance. The lift is
-shifted to be small for all but the longest vectors, and queries order by the inner product itself, so that one
-very long vector (norms up to about 1e18) doesn't round away the others' distances. A shard's
+shifted to be small for all but the longest vectors, and queries order by the inner product itself. Single
+precision serves the graph alone: vectors are scaled by the shard's median length, and those much longer or
+shorter than it (``PLAIN``) stay out of the graph and are compared with every query exactly, so that no vector of
+odd length rounds away the others. A shard's
 graph grows in batches: greedy beam searches over the graph so far propose neighbours of the new vectors;
 robust pruning with a relaxed distance (``ALPHA``) keeps diverse edges, at most ``DEGREE``; reverse edges
 are added and pruned alike. A query is answered by a beam search in every shard and exact scores, in double
 precision on the original vectors, of what the beams hold.
 
 Equal vectors are one node that carries its smallest ids (one more than a query wants), so any number of
-copies costs one node. Shards have about ``SHARD_ROWS`` distinct vectors, so a task's memory is bounded;
-queries meet shards in blocks of about ``QUERY_BLOCK``. All rows are indexed. Tests hold recall at 20
+copies costs one node. Shards have about ``SHARD_ROWS`` distinct vectors, so a task's memory is bounded. Queries
+stream past a shard's index, which travels once for ``QUERY_BLOCK`` of them (under a tenth of their own bytes); each
+query visits each shard, so work grows with queries times shards. All rows are indexed. Tests hold recall at 20
 against brute force to 0.9 at least.
 
 Edge cases: vectors that are null, empty, zero or hold null, NaN or infinite components take no part, nor
 do rows without an id; vectors meet only those of their own dimension; repeated (id, vector) rows count
-once; ties go to the smaller id; fewer candidates than wanted are all returned; empty tables give none.
+once; of rows that share an id but not the vector all are candidates, and the smallest vector is the query; ties go
+to the smaller id; fewer candidates than wanted are all returned; empty tables give none; further columns are
+left out, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from gridloom.llm.common import materialize
+from gridloom.llm.common import give_back, materialize
 
 DEGREE, BEAM, ALPHA, BATCH, EXPAND, ENTRIES = 32, 160, 1.2, 512, 4, 16
-SHARD_ROWS, QUERY_BLOCK, NEIGHBOURS, SEED = 8192, 2048, 20, 11
+SHARD_ROWS, QUERY_BLOCK, NEIGHBOURS, SEED = 8192, 1 << 17, 20, 11
+SMALL_TABLE, SALT = 100_000, 64
+PLAIN = (1e-6, 1e6)  # lengths within the graph, in median lengths
 
 
 def lift(x: np.ndarray) -> np.ndarray:
@@ -173,19 +181,26 @@ def build(points: np.ndarray, degree: int = DEGREE, beam: int = 64, alpha: float
     return graph
 
 
-INDEX_SCHEMA = "shard long, size int, dim int, vectors binary, graph binary, ids binary, id_counts binary"
+INDEX_SCHEMA = "shard long, size int, dim int, middle double, vectors binary, graph binary, ids binary, id_counts binary"
+
+
+def _lengths(x: np.ndarray) -> np.ndarray:
+    most = np.abs(x).max(1)
+    return most * np.sqrt(((x / most[:, None]) ** 2).sum(1))
 
 
 def _build_shard(table: pa.Table) -> pa.Table:
-    lists = table.column("embedding").to_pylist()
-    vectors = np.array(lists, np.float64)
-    order = np.lexsort(vectors.T[::-1])
+    vectors = np.array(table.column("embedding").to_pylist(), np.float64)
+    lengths = _lengths(vectors)
+    middle = np.sort(lengths)[len(lengths) // 2]
+    odd = (lengths < PLAIN[0] * middle) | (lengths > PLAIN[1] * middle)
+    order = np.lexsort((*vectors.T[::-1], odd))  # the graph's nodes come first
     vectors = np.ascontiguousarray(vectors[order])
     ids = table.column("ids").to_pylist()
     ids = [sorted(ids[i]) for i in order]
-    graph = build(lift(vectors.astype(np.float32)))
-    row = [int(table.column("shard")[0].as_py()), len(vectors), vectors.shape[1], vectors.tobytes(), graph.tobytes(), np.array([i for x in ids for i in x], np.int64).tobytes(), np.array([len(x) for x in ids], np.int32).tobytes()]
-    types = [pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4]
+    graph = build(lift(vectors[: len(vectors) - odd.sum()] / middle))
+    row = [int(table.column("shard")[0].as_py()), len(vectors), vectors.shape[1], float(middle), vectors.tobytes(), graph.tobytes(), np.array([i for x in ids for i in x], np.int64).tobytes(), np.array([len(x) for x in ids], np.int32).tobytes()]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), *[pa.binary()] * 4]
     return pa.Table.from_arrays([pa.array([v], t) for v, t in zip(row, types)], [x.split()[0] for x in INDEX_SCHEMA.split(", ")])
 
 
@@ -196,6 +211,11 @@ def usable(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> Dat
     return df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).where(F.coalesce(good, F.lit(False))).select(F.col(key).cast("long").alias("vec_id"), v.alias("embedding"))
 
 
+def _small(table: DataFrame, most: int) -> DataFrame:
+    """``table``, to be broadcast if it has at most ``most`` rows of a few numbers."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
 def build_index(vectors: DataFrame, copies: int = NEIGHBOURS + 1, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row per shard, written to the shared folder. Copies are pre-aggregated before the shuffle: a
     row number up to ``copies`` is cut off on the map side."""
@@ -204,7 +224,7 @@ def build_index(vectors: DataFrame, copies: int = NEIGHBOURS + 1, shard_rows: in
     nodes = materialize(first.groupBy("embedding").agg(F.collect_list("vec_id").alias("ids")), "ann-nodes")
     sizes = nodes.groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
     spread = sizes.select("dim", F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(shard_rows))).cast("long").alias("shards"))
-    placed = nodes.withColumn("dim", F.size("embedding")).join(F.broadcast(spread.limit(100_000)), "dim")  # dimensions are few
+    placed = nodes.withColumn("dim", F.size("embedding")).join(_small(spread, SMALL_TABLE), "dim")
     shard = F.col("dim").cast("long") * F.lit(1 << 32) + F.pmod(F.xxhash64("embedding"), F.col("shards"))
     rows = placed.select(shard.alias("shard"), "embedding", "ids")
     return materialize(rows.groupBy("shard").applyInArrow(_build_shard, INDEX_SCHEMA), "ann-index")
@@ -213,55 +233,88 @@ def build_index(vectors: DataFrame, copies: int = NEIGHBOURS + 1, shard_rows: in
 RESULT_SCHEMA = "query_id long, vec_id long, score double"
 
 
-def _search_shard(k: int, beam: int):
-    def run(queries: pa.Table, index: pa.Table) -> pa.Table:
-        empty = pa.Table.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], ["query_id", "vec_id", "score"])
-        if not queries.num_rows or not index.num_rows:
-            return empty
-        row = {c: index.column(c)[0].as_py() for c in ("size", "dim", "vectors", "graph", "ids", "id_counts")}
-        vectors = np.frombuffer(row["vectors"], np.float64).reshape(row["size"], row["dim"])
-        graph = np.frombuffer(row["graph"], np.int32).reshape(row["size"], -1)
-        counts = np.frombuffer(row["id_counts"], np.int32)
-        ids, starts = np.frombuffer(row["ids"], np.int64), np.cumsum(counts) - counts
-        keys = np.asarray(queries.column("vec_id"))
-        wanted = np.array(queries.column("embedding").to_pylist(), np.float64)
-        points = lift(vectors.astype(np.float32))
-        lifted = np.column_stack([wanted, np.zeros(len(wanted))]).astype(np.float32)
+class Shard:
+    """A shard's index in memory, from its row."""
+
+    def __init__(self, row: dict):
+        self.vectors = np.frombuffer(row["vectors"], np.float64).reshape(row["size"], row["dim"])
+        self.graph = np.frombuffer(row["graph"], np.int32).reshape(-1, DEGREE)
+        self.counts = np.frombuffer(row["id_counts"], np.int32)
+        self.ids, self.starts = np.frombuffer(row["ids"], np.int64), np.cumsum(self.counts) - self.counts
+        inside = self.vectors[: len(self.graph)]
+        self.points = lift(inside / row["middle"])
         # the longest vectors may have no edge that leads to them
-        longest = np.argsort(-np.einsum("ij,ij->i", vectors, vectors), kind="stable")[:ENTRIES]
-        entries = np.union1d(entry_points(len(points)), longest)
-        out = []
-        for s in range(0, len(keys), 512):
-            found, _ = beam_search(points, graph, entries, lifted[s : s + 512], beam, by_product=True)
-            who, col = np.nonzero(found >= 0)
-            node = found[who, col]
-            score = (vectors[node] * wanted[s + who]).sum(axis=1)
-            n = counts[node]
-            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            q, v, sc = np.repeat(keys[s + who], n), ids[np.repeat(starts[node], n) + inner], np.repeat(score, n)
-            keep = q != v
-            q, v, sc = q[keep], v[keep], sc[keep]
-            order = np.lexsort([v, -sc, q])
-            q, v, sc = q[order], v[order], sc[order]
-            rank = np.arange(len(q)) - np.searchsorted(q, q)
-            out.append((q[rank < k], v[rank < k], sc[rank < k]))
-        return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["query_id", "vec_id", "score"])
+        longest = np.argsort(-_lengths(inside), kind="stable")[:ENTRIES]
+        self.entries = np.union1d(entry_points(len(self.points)), longest)
+
+    def _odd(self, wanted: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Queries and nodes of the vectors outside the graph that are among a query's first k of them, with ties."""
+        rest = self.vectors[len(self.graph) :]
+        if not len(rest):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        score = wanted @ rest.T
+        least = np.partition(score, -min(k, len(rest)), axis=1)[:, -min(k, len(rest))]
+        who, node = np.nonzero(score >= least[:, None])
+        return who, node + len(self.graph)
+
+    def search(self, keys: np.ndarray, wanted: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """query, id and score of each query's k nearest of this shard."""
+        lifted = np.column_stack([wanted / _lengths(wanted)[:, None], np.zeros(len(wanted))]).astype(np.float32)
+        found, _ = beam_search(self.points, self.graph, self.entries, lifted, beam, by_product=True)
+        who, col = np.nonzero(found >= 0)
+        node = found[who, col]
+        more_who, more = self._odd(wanted, k + 1)
+        who, node = np.concatenate([who, more_who]), np.concatenate([node, more])
+        score = (self.vectors[node] * wanted[who]).sum(axis=1)
+        n = self.counts[node]
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        q, v, sc = np.repeat(keys[who], n), self.ids[np.repeat(self.starts[node], n) + inner], np.repeat(score, n)
+        keep = q != v
+        q, v, sc = q[keep], v[keep], sc[keep]
+        order = np.lexsort([v, -sc, q])
+        q, v, sc = q[order], v[order], sc[order]
+        first = np.arange(len(q)) - np.searchsorted(q, q) < k
+        return q[first], v[first], sc[first]
+
+
+def _search_batches(k: int, beam: int):
+    """A shard's index comes first, then the queries of its block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, shard = None, None
+        for batch in batches:
+            blocks, is_index = batch.column("block").to_pylist(), np.asarray(batch.column("vec_id").is_null())
+            shards = batch.column("shard").to_pylist()
+            cuts = [i for i in range(len(blocks)) if i == 0 or is_index[i] or (shards[i], blocks[i]) != (shards[i - 1], blocks[i - 1]) or is_index[i - 1]]
+            for a, b in zip(cuts, [*cuts[1:], len(blocks)]):
+                if is_index[a]:
+                    at, shard = (shards[a], blocks[a]), Shard({n.split()[0]: batch.column(n.split()[0])[a].as_py() for n in INDEX_SCHEMA.split(", ")})
+                    continue
+                if at != (shards[a], blocks[a]):
+                    continue
+                for s in range(a, b, 512):
+                    rows = batch.slice(s, min(512, b - s))
+                    columns = shard.search(np.asarray(rows.column("vec_id")), np.array(rows.column("embedding").to_pylist(), np.float64), k, beam)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
+        give_back()
 
     return run
 
 
 def search(queries: DataFrame, index: DataFrame, k: int = NEIGHBOURS, beam: int = BEAM, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of each query's ``k`` nearest found."""
-    shards = [(s, d) for s, d in index.select("shard", "dim").collect()]  # one small row per shard
-    spark = queries.sparkSession
-    if not shards:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    asked = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("dim", F.size("embedding"))
     blocks = max(1, -(-queries.count() // query_block))
-    of_dim = spark.createDataFrame(shards, "shard long, dim int").groupBy("dim").agg(F.collect_list("shard").alias("shards"))
-    asked = queries.dropDuplicates(["vec_id"]).withColumn("dim", F.size("embedding")).join(F.broadcast(of_dim), "dim")
-    asked = asked.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), F.explode("shards").alias("shard"))
-    served = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
-    hits = asked.groupBy("shard", "block").cogroup(served.groupBy("shard", "block")).applyInArrow(_search_shard(k, beam), RESULT_SCHEMA)
+    of_dim = index.select("shard", "dim")
+    if index.count() <= SMALL_TABLE:
+        asked = asked.join(F.broadcast(of_dim), "dim")
+    else:  # one dimension has all rows: salted
+        salt = F.pmod(F.xxhash64("vec_id"), F.lit(SALT)).cast("int")
+        asked = asked.withColumn("salt", salt).join(of_dim.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), ["dim", "salt"])
+    asked = asked.select("shard", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), "vec_id", "embedding")
+    served = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    both = served.unionByName(asked, allowMissingColumns=True)
+    hits = both.repartition("shard", "block").sortWithinPartitions("shard", "block", F.col("vec_id").asc_nulls_first()).mapInArrow(_search_batches(k, beam), RESULT_SCHEMA)
     own = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return hits.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

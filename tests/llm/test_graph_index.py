@@ -39,7 +39,7 @@ def test_recall_against_brute_force(spark):
 def odd(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 0.5]) for i in range(0, 100)] + [(200, [2.0, 1.0]), (201, [-1.0, 0.0]), (220, None), (240, []), (260, [0.0, 0.0]), (280, [nan, 1.0]), (300, [inf, 1.0]), (320, [None, 1.0]), (None, [1.0, 1.0]), (340, [1.0, 2.0, 3.0]), (341, [1.0, 0.0, 0.0]), (0, [1.0, 0.5])]
-    return spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, rank int, score double".replace(", label int, rank int, score double", ""))
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS label", "2 AS rank", "0.5D AS score", "3 AS shard", "4 AS ids", "5 AS dim", "6 AS block")
 
 
 def test_copies_ties_and_bad_vectors(odd):
@@ -73,15 +73,29 @@ def test_fewer_candidates_and_none(spark):
     assert gi.nearest(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("norm", [1.0, 1e4, 1e8])
-def test_a_very_long_vector_hides_no_other(norm):
+@pytest.mark.parametrize("norm", [1.0, 1e4, 1e8, 1e25, 1e-25])
+def test_a_vector_of_odd_length_hides_no_other(norm):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(4000, 32))
     x /= np.sqrt((x * x).sum(1))[:, None]
     x[7] *= norm
+    x[20] *= norm
     index = gi._build_shard(pa.table({"shard": [0] * len(x), "embedding": x.tolist(), "ids": [[i] for i in range(len(x))]}))
     asked = np.arange(0, 4000, 20)
-    got = gi._search_shard(20, gi.BEAM)(pa.table({"vec_id": asked, "embedding": x[asked].tolist()}), index).to_pydict()
-    found = set(zip(got["query_id"], got["vec_id"]))
+    q, v, _ = gi.Shard(index.to_pylist()[0]).search(asked, x[asked], 20, gi.BEAM)
+    found = set(zip(q.tolist(), v.tolist()))
     want = plain(np.arange(4000), x, [(int(i), x[i]) for i in asked], 20)
     assert sum((q, v) in found for q in want for v, _ in want[q]) / (20 * len(want)) >= 0.9
+    assert sum((20, v) in found for v, _ in want[20]) >= 18
+
+
+def test_rows_that_share_an_id(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [3.0, 5.0]), (2, [4.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in sorted(gi.nearest(df).collect())] == [(0, 1, 1, 5.0), (0, 2, 2, 2.0)]
+
+
+def test_many_tables_of_shards(spark, monkeypatch, odd):
+    want = sorted(tuple(r) for r in gi.nearest(odd).collect())
+    monkeypatch.setattr(gi, "SMALL_TABLE", 0)
+    assert sorted(tuple(r) for r in gi.nearest(odd).collect()) == want
