@@ -65,12 +65,17 @@ def load(path: str | Path, overrides: list[str] | None = None) -> dict[str, Any]
 
 
 # Evaluation settings where a configuration has none.
-EVALUATION = {"n_plot_per_group": 25, "n_per_class_heavy": 35, "gen_batch_size": None, "guidance_scale": 0.0, "seed": 123, "real_seed": 123, "profile_bins": 96, "psd_bins": 96}
+EVALUATION = {
+    "enabled": True, "every_epochs": 5, "heavy_every_epochs": 25, "n_plot_per_group": 25, "n_per_class_heavy": 50, "gen_batch_size": None, "guidance_scale": 0.0,
+    "sampler": "ddpm", "seed": 123, "real_seed": 123, "profile_bins": 96, "psd_bins": 96,
+}
+PROXY_CLASSIFIER = {"enabled": True, "max_train_per_class": 2000, "C": 1.0, "solver": "lbfgs", "max_iter": 200}
 
 
 def evaluation(config: dict[str, Any]) -> dict[str, Any]:
     """The evaluation settings with defaults; the light count is the plotted count unless it is set."""
-    own = {**EVALUATION, **(config.get("evaluation") or {})}
+    given = config.get("evaluation") or {}
+    own = {**EVALUATION, **given, "proxy_classifier": {**PROXY_CLASSIFIER, **(given.get("proxy_classifier") or {})}}
     own.setdefault("n_per_class_light", own["n_plot_per_group"])
     for key in ("n_per_class_light", "n_per_class_heavy", "profile_bins", "psd_bins"):
         if int(own[key]) <= 0:

@@ -63,12 +63,13 @@ def shift_reflect(x: str | Column, n: int, dy: str | Column, dx: str | Column) -
     return F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), at)
 
 
-def erase_bar(x: str | Column, n: int, vertical: str | Column, start: str | Column, width: str | Column, fill: str | Column) -> Column:
-    """A full-length bar of ``width`` rows or columns replaced by ``fill`` (off by default in the augmentation)."""
+def erase_bar(x: str | Column, n: int, vertical: str | Column, start: str | Column, width: str | Column, fill: str | Column, by_pixel: bool = False) -> Column:
+    """A full-length bar of ``width`` rows or columns replaced by ``fill``, a number or, ``by_pixel``, an array of
+    the image's size (off by default in the augmentation)."""
 
     def at(v: Column, i: Column) -> Column:
         place = F.when(col(vertical), (i % n).cast("int")).otherwise(F.floor(i / n).cast("int"))
-        return F.when((place >= col(start)) & (place < col(start) + col(width)), col(fill)).otherwise(v)
+        return F.when((place >= col(start)) & (place < col(start) + col(width)), F.element_at(col(fill), i + 1) if by_pixel else col(fill)).otherwise(v)
 
     return F.transform(col(x), at)
 

@@ -81,6 +81,58 @@ def write_packed(packed: DataFrame, path: str, overwrite: bool = False) -> None:
     packed.repartition("shard_id").sortWithinPartitions("global_index").write.mode("overwrite" if overwrite else "errorifexists").partitionBy("shard_id").parquet(path)
 
 
+def write_pack(packed: DataFrame, path: str, samples_per_shard: int, about: dict[str, str] | None = None, overwrite: bool = False) -> None:
+    """A packed set: ``samples`` (Parquet by shard), ``rel_paths`` (the ordered list with labels of 16 bits) and
+    ``manifest``, one JSON document. Rows have global_index, shard_id, rel_path, ss_cat and bt; images of another
+    length than the first are an error."""
+    mode = "overwrite" if overwrite else "errorifexists"
+    sizes = packed.agg(F.min(F.size("bt")).alias("a"), F.max(F.size("bt")).alias("b"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("bt").isNull()).alias("none")).first()
+    if not sizes.n:
+        raise ValueError("nothing to pack")
+    if sizes.a != sizes.b or sizes.none:
+        raise ValueError(f"images of {sizes.a} to {sizes.b} pixels")
+    write_packed(packed.withColumn("bt", F.col("bt").cast("array<float>")), f"{path}/samples", overwrite)
+    listed = packed.select("global_index", "rel_path", F.col("ss_cat").cast("smallint").alias("label"))
+    listed.repartitionByRange("global_index").sortWithinPartitions("global_index").write.mode(mode).parquet(f"{path}/rel_paths")
+    manifest_json(packed, samples_per_shard, sizes.a, about).write.mode(mode).text(f"{path}/manifest")
+
+
+def manifest_json(packed: DataFrame, samples_per_shard: int, pixels: int, about: dict[str, str] | None = None) -> DataFrame:
+    """One row ``value``: the manifest as JSON. It has an entry per shard, as the format has."""
+    shard = F.struct(F.col("start").alias("k"), F.format_string("samples/shard_id=%d", "shard_id").alias("path"), "start", "stop")
+    all_ = manifest(packed).agg(F.sort_array(F.collect_list(shard)).alias("s"), F.coalesce(F.sum(F.col("stop") - F.col("start")), F.lit(0)).alias("n"))
+    shards = F.transform("s", lambda x: F.struct(x["path"].alias("path"), x["start"].alias("start"), x["stop"].alias("stop")))
+    given = F.struct(*[F.lit(v).alias(k) for k, v in (about or {"data_root": ""}).items()])
+    fields = [F.lit(1).alias("version"), F.lit("parquet").alias("backend"), F.col("n").alias("num_samples"), F.array(F.lit(pixels)).alias("sample_shape"), F.lit("float32").alias("dtype"), F.lit(samples_per_shard).alias("samples_per_shard")]
+    return all_.select(F.to_json(F.struct(*fields, F.lit("rel_paths").alias("rel_paths_file"), shards.alias("shards"), given.alias("source"))).alias("value"))
+
+
+def look_up(index: DataFrame, wanted: DataFrame, key: str = "rel_path", strict: bool = False) -> DataFrame:
+    """The index's rows of the keys asked for; with ``strict`` a key that isn't there is an error."""
+    if strict:
+        absent = wanted.select(key).join(index.select(key), key, "left_anti").limit(1).collect()
+        if absent:
+            raise KeyError(absent[0][0])
+    return index.join(wanted.select(key), key)
+
+
+def verify_pack(packed: DataFrame, index: DataFrame, source: DataFrame, k: int = 256, seed: int = 42, atol: float = 0.0) -> DataFrame:
+    """One row: n_missing and n_mislabelled (all packed rows against the index), and of ``k`` sampled rows against
+    ``source`` (rel_path, bt): n_compared, n_reshaped, n_wrong_type, max_abs_diff, and ok. NaN counts as infinite."""
+    if k <= 0:
+        raise ValueError("k must be positive")
+    wrong_type = int(dict(packed.dtypes)["bt"] != "array<float>")
+    missing = packed_missing(packed, index).select("n_missing")
+    labels = label_mismatches(packed.withColumnRenamed("ss_cat", "__packed"), index.withColumnRenamed("ss_cat", "__label"), "rel_path", "__packed", "__label").agg(F.count(F.lit(1)).alias("n_mislabelled"))
+    picked = sample_for_check(packed.select("rel_path", "bt"), k, seed, "rel_path").join(source.select("rel_path", F.col("bt").cast("array<float>").alias("__raw")), "rel_path", "left")
+    same = F.coalesce(F.size("bt") == F.size("__raw"), F.lit(False))
+    diff = array_max_abs_diff(picked, "bt", "__raw")
+    seen = picked.select(same.alias("__same"), F.when(same, diff).alias("d")).agg(F.count(F.lit(1)).alias("n_compared"), F.count_if(~F.col("__same")).alias("n_reshaped"), F.coalesce(F.max("d"), F.lit(0.0)).alias("max_abs_diff"))
+    row = missing.crossJoin(labels).crossJoin(seen).withColumn("n_wrong_type", F.lit(wrong_type))  # one row each
+    good = (F.col("n_missing") == 0) & (F.col("n_mislabelled") == 0) & (F.col("n_reshaped") == 0) & (F.col("n_wrong_type") == 0) & (F.col("max_abs_diff") <= atol)
+    return row.withColumn("ok", good)
+
+
 def manifest(packed: DataFrame) -> DataFrame:
     """shard_id with its half-open range [start, stop) and first and last path."""
     return packed.groupBy("shard_id").agg(F.min("global_index").alias("start"), (F.max("global_index") + 1).alias("stop"), F.min("rel_path").alias("first_path"), F.max("rel_path").alias("last_path"))

@@ -13,18 +13,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from gridloom.functions.scalar import col, midpoint_general
 
 # Names of loss types and the prediction that each stands for.
-PREDICTION_OF = {"eps": "eps", "eps_mse": "eps", "epsilon": "eps", "epsilon_mse": "eps", "noise": "eps", "mse": "eps", "v": "v", "v_mse": "v", "v_pred": "v", "v_prediction": "v"}
+PREDICTION_OF = {"eps": "eps", "eps_mse": "eps", "epsilon": "eps", "epsilon_mse": "eps", "v": "v", "v_mse": "v", "vpred": "v", "v_pred": "v", "v_prediction": "v"}
 
 
 def prediction_type(loss_type: str) -> str:
     try:
-        return PREDICTION_OF[loss_type.strip().lower()]
+        return PREDICTION_OF[str(loss_type).strip().lower()]
     except KeyError:
         raise ValueError(f"unknown loss type: {loss_type}") from None
 
@@ -138,31 +137,57 @@ def prepare_condition(rows: DataFrame, classes: int = 6) -> DataFrame:
     return rows.withColumn("wind_kt", F.coalesce(wind, midpoint_general("label", classes)))
 
 
-Predictor = Callable[[np.ndarray, int, np.ndarray], np.ndarray]
+Predictor = Callable[[np.ndarray, int, np.ndarray, np.ndarray], np.ndarray]
 
 
-def sample_loop(requests: DataFrame, predict: Predictor, size: int, steps: int = 1000, kind: str = "v", p: float | None = 0.995, seed: int = 0) -> DataFrame:
-    """id, label and the image x of each request (columns id, label): all reverse steps in one Spark stage.
+def step_table(name: str, steps: int) -> dict[str, np.ndarray]:
+    """beta, alpha, abar and post of a schedule as arrays: a thousand numbers, for loops inside a task."""
+    t = np.arange(steps, dtype=float)
+    if name == "linear":
+        beta = np.linspace(1e-4, 2e-2, steps)
+    elif name == "cosine":
+        f = lambda x: np.cos((x / steps + 0.008) / 1.008 * (math.pi / 2)) ** 2
+        beta = np.clip(1 - f(t + 1) / f(t), 1e-8, 0.999)
+    else:
+        raise ValueError(f"unknown schedule: {name}")
+    abar = np.cumprod(1 - beta)
+    before = np.concatenate([[1.0], abar[:-1]])
+    return {"beta": beta, "alpha": 1 - beta, "abar": abar, "post": beta * (1 - before) / (1 - abar)}
+
+
+def seeded_noise(seed: int, ids: np.ndarray, size: int) -> Callable[[], np.ndarray]:
+    """Normal numbers from a generator seeded by each id: a row of ``size`` for each at every call."""
+    sources = [np.random.default_rng([seed, abs(int(i)), int(i < 0)]) for i in ids]
+    return lambda: np.stack([g.standard_normal(size) for g in sources])
 
-    ``predict(x, t, labels)`` is the caller's network; noise comes from a generator seeded by each id, so
-    retried tasks give the same images.
+
+def sample_loop(
+    requests: DataFrame, predict: Predictor, size: int, steps: int = 1000, kind: str = "v", p: float | None = 0.995, seed: int = 0, schedule_name: str = "linear", guidance: float | None = 0.0, null_label: int = 6, null_wind: float = 0.0, noise=seeded_noise
+) -> DataFrame:
+    """id, label, wind_kt and the image x of each request: all reverse steps in one Spark stage.
+
+    A request has ``id``, ``label`` (null: unconditional) and perhaps ``wind_kt`` (null: the label's midpoint).
+    ``predict(x, t, labels, winds)`` is the caller's network; with ``guidance`` above 0 it is asked once for the
+    conditions and the null condition together, and the answers are combined. Noise comes from ``noise``, by each
+    id, so retried tasks give the same images.
     """
     kind = prediction_type(kind)
-    beta = np.linspace(1e-4, 2e-2, steps)
-    alpha = 1 - beta
-    abar = np.cumprod(alpha)
-    before = np.concatenate([[1.0], abar[:-1]])
-    post = beta * (1 - before) / (1 - abar)
+    table = step_table(schedule_name, steps)
 
     def run(batches):
         for batch in batches:
             if not len(batch):
                 continue
-            sources = [np.random.default_rng([seed, int(i)]) for i in batch["id"]]
-            x = np.stack([g.standard_normal(size) for g in sources])
+            labels, winds = batch["label"].to_numpy(), batch["wind_kt"].to_numpy(float)
+            draw, n = noise(seed, batch["id"].to_numpy(), size), len(batch)
+            x = draw()
             for t in range(steps - 1, -1, -1):
-                out = predict(x, t, batch["label"].to_numpy())
-                a, b = math.sqrt(abar[t]), math.sqrt(1 - abar[t])
+                if guidance and guidance > 0:
+                    both = predict(np.concatenate([x, x]), t, np.concatenate([labels, np.full(n, null_label)]), np.concatenate([winds, np.full(n, null_wind)]))
+                    out = both[n:] + guidance * (both[:n] - both[n:])
+                else:
+                    out = predict(x, t, labels, winds)
+                a, b = math.sqrt(table["abar"][t]), math.sqrt(1 - table["abar"][t])
                 x0 = (x - b * out) / (a + 1e-8) if kind == "eps" else a * x - b * out
                 if p is not None:
                     k = min(max(int(np.rint(p * (size - 1))), 0), size - 1)
@@ -172,7 +197,10 @@ def sample_loop(requests: DataFrame, predict: Predictor, size: int, steps: int =
                     x = np.clip(x0, -1, 1)
                     break
                 eps = (x - a * x0) / (b + 1e-8)
-                x = (x - beta[t] / (b + 1e-8) * eps) / math.sqrt(alpha[t]) + math.sqrt(post[t]) * np.stack([g.standard_normal(size) for g in sources])
-            yield pd.DataFrame({"id": batch["id"], "label": batch["label"], "x": list(x)})
+                x = (x - table["beta"][t] / (b + 1e-8) * eps) / math.sqrt(table["alpha"][t]) + math.sqrt(table["post"][t]) * draw()
+            yield pd.DataFrame({"id": batch["id"], "label": batch["label"], "wind_kt": winds, "x": list(x)})
 
-    return requests.select("id", "label").mapInPandas(run, T.StructType([T.StructField("id", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("x", T.ArrayType(T.DoubleType()))]))
+    wind = F.col("wind_kt").cast("double") if "wind_kt" in requests.columns else F.lit(None).cast("double")
+    wind = F.when(F.col("label").isNull(), F.lit(float(null_wind))).otherwise(F.coalesce(wind, midpoint_general("label")))
+    asked = requests.select(F.col("id").cast("long").alias("id"), F.coalesce(F.col("label"), F.lit(null_label)).cast("int").alias("label"), wind.alias("wind_kt"))
+    return asked.mapInPandas(run, "id long, label int, wind_kt double, x array<double>")

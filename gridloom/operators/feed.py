@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from pathlib import Path
 from typing import Any
 
@@ -40,19 +41,32 @@ def _byte(digest: Column, at: int) -> Column:
     return F.conv(F.substring(digest, at, 2), 16, 10).cast("int")
 
 
-def augment(rows: DataFrame, x: str, n: int, p: str | Column, seed: int, key: str, shift: int = 2, bars: bool = False) -> DataFrame:
-    """Images turned and moved with probability ``p``, all choices from one digest of the key. Erasing a bar is off
-    unless asked for."""
+def normal(digest: Column, i: Column) -> Column:
+    """A normal number from a digest and a place: two uniform numbers turned by Box and Muller."""
+    own = F.md5(F.concat(digest, F.lit("#"), i.cast("string")))
+    return F.sqrt(-2.0 * F.log(uniform(own) + 2.0**-33)) * F.cos(2.0 * math.pi * uniform(own, 9))
+
+
+def augment(rows: DataFrame, x: str, n: int, p: str | Column, seed: int, key: str, shift: int = 2, max_bars: int = 0) -> DataFrame:
+    """Images turned and moved with probability ``p``, all choices from one digest of the key. Erasing bars is off
+    unless ``max_bars`` is above 0: then 0 to that many, each across the whole image, 1 to 5 wide, filled with the
+    image's mean and noise of a tenth of its deviation."""
     d = seeded(seed, key)
     out = rows.withColumns({"__on": uniform(d) < col(p), "__k": _byte(d, 9) % 4, "__dy": _byte(d, 11) % (2 * shift + 1) - shift, "__dx": _byte(d, 13) % (2 * shift + 1) - shift})
     out = out.withColumn("__x", im.rot90(x, n, "__k"))
     out = out.withColumn("__x", im.shift_reflect("__x", n, "__dy", "__dx"))
-    if bars:
-        mean = F.aggregate("__x", F.lit(0.0), lambda a, v: a + v) / F.size("__x")
-        out = out.withColumns({"__v": _byte(d, 15) % 2 == 0, "__s": _byte(d, 17) % n, "__w": _byte(d, 19) % 5 + 1, "__f": mean})
-        out = out.withColumn("__x", im.erase_bar("__x", n, "__v", "__s", "__w", "__f"))
+    if max_bars > 0:
+        out = out.withColumn("__bars", _byte(d, 15) % (max_bars + 1))
+        for k in range(max_bars):
+            own = F.md5(F.concat(d, F.lit(f"|{k}")))
+            mean = F.aggregate("__x", F.lit(0.0), lambda a, v: a + v) / F.size("__x")
+            out = out.withColumns({"__v": _byte(own, 1) % 2 == 0, "__w": F.least(_byte(own, 3) % 5 + 1, F.lit(n)), "__f": mean})
+            out = out.withColumn("__s", _byte(own, 5) % (n - F.col("__w") + 1))
+            std = F.sqrt(F.aggregate("__x", F.lit(0.0), lambda a, v: a + (v - F.col("__f")) * (v - F.col("__f"))) / F.size("__x"))
+            out = out.withColumn("__fill", F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), lambda i: F.col("__f") + normal(own, i) * 0.1 * (std + 1e-6)))
+            out = out.withColumn("__x", F.when(F.lit(k) < F.col("__bars"), im.erase_bar("__x", n, "__v", "__s", "__w", "__fill", by_pixel=True)).otherwise(F.col("__x")))
     out = out.withColumn(x, F.when(F.col("__on"), F.col("__x")).otherwise(F.col(x)))
-    return out.drop("__on", "__k", "__dy", "__dx", "__x", "__v", "__s", "__w", "__f")
+    return out.drop("__on", "__k", "__dy", "__dx", "__x", "__v", "__s", "__w", "__f", "__fill", "__bars")
 
 
 def shuffled(df: DataFrame, seed: int, key: str) -> DataFrame:

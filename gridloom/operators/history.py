@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +23,17 @@ def ema(series: DataFrame, group: str, step: str, value: str, decay: float) -> D
     """
     if not 0 <= decay < 1:
         raise ValueError("decay must be in [0, 1)")
-    ordered = series.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(step).alias("k"), F.col(value).cast("double").alias("v")))).alias("xs"))
-    start = F.struct(F.element_at("xs", 1)["v"].alias("s"), F.array().cast("array<struct<k:bigint,s:double>>").alias("out"))
-    fold = F.aggregate("xs", start, lambda a, x: F.struct((a["s"] * decay + x["v"] * (1 - decay)).alias("s"), F.concat(a["out"], F.array(F.struct(x["k"].cast("bigint").alias("k"), (a["s"] * decay + x["v"] * (1 - decay)).alias("s")))).alias("out")), lambda a: a["out"])
-    return ordered.select(group, F.explode(fold).alias("e")).select(group, F.col("e.k").alias(step), F.col("e.s").alias("ema"))
+    rows = series.select(group, F.col(step).cast("long").alias(step), F.col(value).cast("double").alias("ema"))
+
+    def fold(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(step, "ascending"), ("ema", "ascending")])
+        out, s = [], None
+        for x in table.column("ema").to_pylist():
+            s = x if s is None else None if x is None else s * decay + x * (1 - decay)
+            out.append(s)
+        return table.set_column(2, "ema", pa.array(out, pa.float64()))
+
+    return rows.groupBy(group).applyInArrow(fold, rows.schema)
 
 
 def early_stop(history: DataFrame, group: str, epoch: str, metric: str, patience: int, min_delta: float) -> DataFrame:

@@ -10,6 +10,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,8 +30,9 @@ def quantiles(values: DataFrame, by: list[str], value: str, probabilities: list[
     """Exact quantiles with linear interpolation: by, q, value.
 
     Distinct values are counted first. Each group's range is cut into ``cells``; a running count over the cells
-    (bounded by groups x cells) finds those that hold the wanted ranks, and only their values are ordered. So no
-    task sorts a whole group and nothing but ``cells`` rows a group is gathered.
+    (bounded by groups x cells) finds those that hold the wanted ranks, and only their values are ordered. Cells are
+    equally wide: a task sorts the distinct values of one cell, which is a small part of a group unless far outliers
+    press nearly all its values into one.
     """
     v = F.col(value).cast("double")
     counted = values.where(v.isNotNull() & ~F.isnan(v)).groupBy(*by, v.alias("v")).agg(F.count(F.lit(1)).alias("c"))
@@ -209,10 +211,57 @@ def pair_distances(left: DataFrame, right: DataFrame, by: list[str], key: str) -
     return a.join(b, by).select(*by, "ka", "kb", _squared("za", "zb").alias("d2"))
 
 
+BLOCK_ROWS = 1000
+
+
+def block_sums(left: DataFrame, right: DataFrame, by: list[str], key: str, what: str) -> DataFrame:
+    """by, s, n: over all pairs of an item of ``left`` and one of ``right`` with another key, the sum of their
+    distances (``what`` "distance") or of exp(-gamma d2) ("kernel"; then both have a column gamma), and their number.
+
+    Items are dealt into blocks of about ``BLOCK_ROWS`` by a hash of their key, and every two blocks meet in one
+    task as two matrices, so work is spread over (items / BLOCK_ROWS)^2 tasks a class and no pair becomes a row.
+    ``right`` may be ``left``: then a pair of blocks meets once and counts for both directions.
+    """
+    same = left is right
+    extra = ["gamma"] if what == "kernel" else []
+
+    def dealt(rows: DataFrame, side: int) -> DataFrame:
+        count = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("int").alias("__blocks"))
+        kept = rows.select(*by, F.col(key).cast("string").alias("__k"), F.col("z").alias("__z"), *extra, F.lit(side).alias("__side"))
+        return kept.join(count, by).withColumn("__b", F.pmod(F.xxhash64("__k"), F.col("__blocks")).cast("int"))
+
+    l, r = dealt(left, 0), dealt(right, 1)
+    other = lambda rows, blocks: rows.join(blocks.groupBy(*by).agg(F.max("__blocks").alias("__others")), by).withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__others") - 1)))
+    a, b = other(l, r).select("*", F.col("__b").alias("__i"), F.col("__o").alias("__j")), other(r, l).select("*", F.col("__o").alias("__i"), F.col("__b").alias("__j"))
+    if same:
+        a, b = a.where("__i <= __j"), b.where("__i <= __j")
+    kinds = {f.name: f.dataType.simpleString() for f in left.schema.fields}
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), "s double", "n long"])
+
+    def sums(table: pa.Table) -> pa.Table:
+        side = np.asarray(table.column("__side"))
+        names = np.array(table.column("__k").to_pylist(), object)
+        z = np.array(table.column("__z").to_pylist(), float).reshape(len(side), -1)
+        x, y, nx, ny = z[side == 0], z[side == 1], names[side == 0], names[side == 1]
+        total, pairs = 0.0, 0
+        gamma = table.column("gamma")[0].as_py() if extra else 0.0
+        for at in range(0, len(x), 128):
+            d2 = ((x[at : at + 128, None, :] - y[None, :, :]) ** 2).sum(2)
+            other_key = nx[at : at + 128, None] != ny[None, :]
+            value = np.exp(-gamma * d2) if extra else np.sqrt(d2)
+            total, pairs = total + float(value[other_key].sum()), pairs + int(other_key.sum())
+        times = 2 if same and table.column("__i")[0].as_py() != table.column("__j")[0].as_py() else 1
+        return pa.table({**{c: table.column(c).slice(0, 1) for c in by}, "s": [times * total], "n": pa.array([times * pairs], pa.int64())})
+
+    columns = [*by, "__i", "__j", "__side", "__k", "__z", *extra]
+    met = a.select(*columns).unionAll(b.select(*columns)).groupBy(*by, "__i", "__j").applyInArrow(sums, schema)
+    return met.groupBy(*by).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+
+
 def mean_pair_distance(vectors: DataFrame, by: list[str], key: str) -> DataFrame:
     """Mean distance of different items; 0 below two items."""
-    d = pair_distances(vectors, vectors, by, key).where(F.col("ka") != F.col("kb")).groupBy(*by).agg(F.avg(F.sqrt("d2")).alias("d"))
-    return vectors.select(*by).distinct().join(d, by, "left").select(*by, F.coalesce("d", F.lit(0.0)).alias("mean_distance"))
+    sums = block_sums(vectors, vectors, by, key, "distance").select(*by, F.when(F.col("n") > 0, F.col("s") / F.col("n")).alias("d"))
+    return vectors.select(*by).distinct().join(sums, by, "left").select(*by, F.coalesce("d", F.lit(0.0)).alias("mean_distance"))
 
 
 def mmd2(real: DataFrame, gen: DataFrame, by: list[str], key: str, most: int = 200) -> DataFrame:
@@ -223,17 +272,15 @@ def mmd2(real: DataFrame, gen: DataFrame, by: list[str], key: str, most: int = 2
 
     pool = real.select(*by, F.concat(F.lit("r"), F.col(key).cast("string")).alias("k"), "z").unionByName(gen.select(*by, F.concat(F.lit("g"), F.col(key).cast("string")).alias("k"), "z"))
     pool = pool.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(seeded(0, "k"), "k"))).where(F.col("__r") <= most).drop("__r")
-    near = pair_distances(pool, pool, by, "k").where(F.col("d2") > 0)
+    near = pair_distances(pool, pool, by, "k").where((F.col("ka") < F.col("kb")) & (F.col("d2") > 0))  # a pair once: the same median
     # at most most * most distances a class, so the built-in median's memory is bounded
     gamma = near.groupBy(*by).agg((F.lit(1.0) / (2.0 * (F.percentile("d2", 0.5) + EPS))).alias("gamma"))
-
-    def kernel(a: DataFrame, b: DataFrame, off_diagonal: bool, name: str) -> DataFrame:
-        pairs = pair_distances(a, b, by, key)
-        pairs = pairs.where(F.col("ka") != F.col("kb")) if off_diagonal else pairs
-        return pairs.join(gamma, by).groupBy(*by).agg(F.sum(F.exp(-F.col("gamma") * F.col("d2"))).alias(name))
-
+    r, g = real.select(*by, key, "z").join(gamma, by), gen.select(*by, key, "z").join(gamma, by)
+    # items of the two sets that share a key are a pair across, so keys are told apart there
+    tagged = lambda rows, tag: rows.withColumn(key, F.concat(F.lit(tag), F.col(key).cast("string")))
+    kernel = lambda a, b, name: block_sums(a, b, by, key, "kernel").select(*by, F.col("s").alias(name))
     counts = real.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).join(gen.groupBy(*by).agg(F.count(F.lit(1)).alias("m")), by)
-    sums = counts.join(kernel(real, real, True, "rr"), by, "left").join(kernel(gen, gen, True, "gg"), by, "left").join(kernel(real, gen, False, "rg"), by, "left")
+    sums = counts.join(kernel(r, r, "rr"), by, "left").join(kernel(g, g, "gg"), by, "left").join(kernel(tagged(r, "r"), tagged(g, "g"), "rg"), by, "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     value = z("rr") / (F.col("n") * (F.col("n") - 1) + EPS) + z("gg") / (F.col("m") * (F.col("m") - 1) + EPS) - 2 * z("rg") / (F.col("n") * F.col("m"))
     return sums.select(*by, value.alias("mmd2"))
@@ -261,9 +308,14 @@ def shared_limits(values: DataFrame, value: str = "v") -> DataFrame:
 
 
 def compare_grid(images: DataFrame, n: int) -> DataFrame:
-    """The first n images of each class and set by id, with their place in the grid."""
+    """The first images of each class and set by id, with their place in the grid: as many of either set as both
+    have, ``n`` at most."""
+    if n <= 0:
+        raise ValueError("n must be positive")
+    counts = images.groupBy("class").agg(F.count_if(F.col("set") == "real").alias("__r"), F.count_if(F.col("set") == "gen").alias("__g"))
     order = Window.partitionBy("class", "set").orderBy("id")
-    return images.withColumn("place", F.row_number().over(order) - 1).where(F.col("place") < n)
+    placed = images.withColumn("place", F.row_number().over(order) - 1).where(F.col("place") < n)
+    return placed.join(F.broadcast(counts), "class").where(F.col("place") < F.least("__r", "__g")).drop("__r", "__g")  # a row per class
 
 
 def report(per_class: DataFrame, metrics: list[str]) -> DataFrame:

@@ -69,8 +69,17 @@ def drawn(draws: DataFrame, ranges: DataFrame, seed: int, key: str = "draw") ->
 def weighted_draws(index: DataFrame, n: int, alpha: float, seed: int) -> DataFrame:
     """draw, ss_cat and rel_path of n draws with replacement: a class by weight, then one of its files."""
     draws = index.sparkSession.range(n).withColumnRenamed("id", "draw")
-    placed = index.select("ss_cat", "rel_path", (F.row_number().over(Window.partitionBy("ss_cat").orderBy("rel_path")) - 1).cast("long").alias("place"))
-    return drawn(draws, cumulative(class_probabilities(index, alpha)), seed).join(placed, ["ss_cat", "place"]).select("draw", "ss_cat", "rel_path")
+    return drawn(draws, cumulative(class_probabilities(index, alpha)), seed).join(class_places(index), ["ss_cat", "place"]).select("draw", "ss_cat", "rel_path")
+
+
+def class_places(index: DataFrame) -> DataFrame:
+    """ss_cat, rel_path and the path's place from 0 in its class: a dense number over all rows less that of the
+    class's first, so that no class is ordered in one task."""
+    from gridloom.operators.catalog import dense_index
+
+    rows = dense_index(index.select("ss_cat", "rel_path"), ["ss_cat", "rel_path"], "__at")
+    first = rows.groupBy("ss_cat").agg(F.min("__at").alias("__first"))
+    return rows.join(F.broadcast(first), "ss_cat").select("ss_cat", "rel_path", (F.col("__at") - F.col("__first")).alias("place"))  # a row per class
 
 
 def gate(p: str | Column, seed: int, *keys: str) -> Column:

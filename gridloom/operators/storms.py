@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from gridloom.functions.scalar import dur_bin, index_prefix, lat_bin, season, seeded, stratum
 
+# The track table's columns.
 REQUIRED = ("SID", "IDX_TRUE", "BASIN", "ISO_TIME", "LAT", "LON", "WMO_WIND", "SS_CAT")
 
 
@@ -85,3 +86,19 @@ def split_counts(mapped: DataFrame, files: DataFrame, column: str) -> DataFrame:
     """Rows of each split and value of ``column``; nulls are left out."""
     rows = mapped.join(files.select("rel_path", "split").distinct(), "rel_path").where(F.col(column).isNotNull())
     return rows.groupBy("split", column).agg(F.count(F.lit(1)).alias("n"))
+
+
+def split_report(storms: DataFrame, mapped: DataFrame, files: DataFrame, about: dict[str, str]) -> DataFrame:
+    """One row ``value``: the split report as JSON. ``storms`` is the storm table, ``mapped`` the tracks with paths,
+    ``files`` the paths with splits; ``about`` is written as it is. All parts are counts by small keys."""
+    counts = lambda rows, key: F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(key).cast("string").alias("k"), F.col("n")))))
+    strata = strata_counts(storms).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("num_storms_total"), counts(None, "stratum").alias("strata_counts")).select(F.struct("*").alias("storm_level"))
+    names = mapped.sparkSession.createDataFrame([("train",), ("val",), ("test",)], "split string")
+    one = lambda rows, key, name: rows.groupBy("split").agg(counts(rows, key).alias(name))
+    total = split_summary(mapped, files)
+    parts = names.join(total, "split", "left").join(one(split_counts(mapped, files, "BASIN"), "BASIN", "basins"), "split", "left").join(one(split_counts(mapped, files, "SS_CAT"), "SS_CAT", "cats"), "split", "left")
+    body = F.struct(F.col("split").alias("name"), F.coalesce("n_rows", F.lit(0)).alias("num_snapshots"), F.coalesce("n_storms", F.lit(0)).alias("num_storms"), F.col("basins").alias("basin_counts"), F.col("cats").alias("ss_cat_counts"))
+    splits = parts.agg(*[F.max_by(body, F.col("split") == s).alias(s) for s in ("train", "val", "test")])
+    level = mapping_counts(mapped).crossJoin(splits).select(F.struct(F.col("n_mapped").alias("total_rows_after_mapping"), F.col("n_dropped").alias("missing_rows_dropped"), "train", "val", "test").alias("snapshot_level"))
+    given = [F.lit(v).alias(k) for k, v in about.items()]
+    return strata.crossJoin(level).select(F.to_json(F.struct(*given, "storm_level", "snapshot_level")).alias("value"))  # one row each

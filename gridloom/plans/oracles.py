@@ -100,17 +100,28 @@ z{k} AS (SELECT id, i, {act} AS v FROM (SELECT id, i, sum(v * w) - 0.2::DOUBLE A
     return out + f" SELECT id, i::INT AS i, {r('sum(v)')} AS v FROM (FROM z2 UNION ALL FROM z4 UNION ALL FROM z6) GROUP BY id, i"
 
 
+# Three guided steps of the linear schedule over 0.0001, 0.01005, 0.02; noise k of place j from md5(id|k|j).
+DDPM = f"""WITH sch AS (SELECT 0 AS t, 0.0001::DOUBLE AS beta, 0.9999::DOUBLE AS abar, 0.0::DOUBLE AS post UNION ALL SELECT 1, 0.01005, 0.9999 * 0.98995, 0.01005 * 0.0001 / (1 - 0.9999 * 0.98995)
+UNION ALL SELECT 2, 0.02, 0.9999 * 0.98995 * 0.98, 0.02 * (1 - 0.9999 * 0.98995) / (1 - 0.9999 * 0.98995 * 0.98)),
+a AS (SELECT vec_id AS id, CASE WHEN label < 6 THEN label ELSE 6 END AS label, CASE WHEN label < 6 THEN {MID.format(c='label')} ELSE 0 END AS wind FROM embeddings),
+n AS (SELECT id, label, wind, j::INT AS i, 0.02 * 0.75 * label + 0.0015 * wind - 0.03 AS c, [('0x' || substr(md5(id || '|' || k || '|' || j), 1, 8))::BIGINT / 2147483648.0::DOUBLE - 1 for k in [0, 1, 2]] AS z FROM a, range(4) q(j)),
+x2 AS (SELECT *, z[1] AS x FROM n),
+s2 AS (SELECT *, (sqrt(abar) * x - sqrt(1 - abar) * (0.5 * x + c)) AS x0 FROM x2, sch WHERE t = 2),
+x1 AS (SELECT id, label, i, c, z, (x - beta / (sqrt(1 - abar) + 1e-8) * ((x - sqrt(abar) * x0) / (sqrt(1 - abar) + 1e-8))) / sqrt(1 - beta) + sqrt(post) * z[2] AS x FROM s2),
+s1 AS (SELECT *, (sqrt(abar) * x - sqrt(1 - abar) * (0.5 * x + c)) AS x0 FROM x1, sch WHERE t = 1),
+x0 AS (SELECT id, label, i, c, (x - beta / (sqrt(1 - abar) + 1e-8) * ((x - sqrt(abar) * x0) / (sqrt(1 - abar) + 1e-8))) / sqrt(1 - beta) + sqrt(post) * z[3] AS x FROM s1)
+SELECT id, label::INT AS label, i, {r('greatest(least(sqrt(abar) * x - sqrt(1 - abar) * (0.5 * x + c), 1), -1)')} AS v FROM x0, sch WHERE t = 0"""
+
+
 ORACLES: dict[str, str] = {
     "class_index_counts": f"WITH {SNAP} SELECT ss_cat, count(*) AS n FROM idx GROUP BY ss_cat",
     "index_meta": f"WITH {SNAP} SELECT count(*) AS num_files_total, count(*) FILTER (w IS NOT NULL AND c IS NOT NULL) AS num_files_indexed, count(*) FILTER (w IS NULL) AS num_files_skipped_no_wind, count(*) FILTER (w IS NOT NULL AND c IS NULL) AS num_files_skipped_below_ts FROM classed",
     "index_idx_prefix": "SELECT event_id::VARCHAR || '-' || user_id::VARCHAR || '.nc' AS rel_path, event_id AS idx, true AS unparsable FROM events",
     "wind_fallback": f"WITH {SNAP} SELECT rel_path, ss_cat, {r('CASE WHEN known THEN wind ELSE ' + MID.format(c='ss_cat') + ' END')} AS wind_kt, NOT known AS is_fallback FROM (SELECT *, substr(md5(rel_path), 1, 1) < '8' AS known FROM idx)",
     "packed_layout": f"WITH {SNAP}, g AS (SELECT rel_path, row_number() OVER (ORDER BY rel_path) - 1 AS gi FROM idx) SELECT (gi // 512)::INT AS shard_id, min(gi) AS start, max(gi) + 1 AS stop, min(rel_path) AS first_path, max(rel_path) AS last_path FROM g GROUP BY 1",
-    "shard_lookup": f"WITH {SNAP}, g AS (SELECT rel_path, row_number() OVER (ORDER BY rel_path) - 1 AS gi FROM idx), n AS (SELECT count(*) AS n FROM g) SELECT gi AS global_index, rel_path, (gi // 512)::INT AS shard_id, gi // 512 * 512 AS start, least((gi // 512 + 1) * 512, n) AS stop FROM g, n WHERE gi % 97 = 0",
-    "shard_lookup_whole": f"WITH {SNAP}, g AS (SELECT rel_path, row_number() OVER (ORDER BY rel_path) - 1 AS gi FROM idx), n AS (SELECT count(*) AS n FROM g) SELECT gi AS global_index, rel_path, (gi // 512)::INT AS shard_id, gi // 512 * 512 AS start, least((gi // 512 + 1) * 512, n) AS stop FROM g, n",
+    "shard_lookup": f"WITH {SNAP}, g AS (SELECT rel_path, row_number() OVER (ORDER BY rel_path) - 1 AS gi FROM idx), n AS (SELECT count(*) AS n FROM g) SELECT gi AS global_index, rel_path, (gi // 512)::INT AS shard_id, gi // 512 * 512 AS start, least((gi // 512 + 1) * 512, n) AS stop FROM g, n",
     "pack_validation": "SELECT unnest(['contiguous', 'nonempty_shards', 'covers_all', 'unique_paths', 'labels_present', 'expected_count']) AS \"check\", 0::BIGINT AS failures",
-    "point_lookup": f"WITH {SNAP} SELECT rel_path, ss_cat, {r('wind')} AS wmo_wind_kt FROM idx WHERE md5(rel_path) LIKE '00%'",
-    "point_lookup_whole": f"WITH {SNAP} SELECT rel_path, ss_cat, {r('wind')} AS wmo_wind_kt FROM idx",
+    "point_lookup": f"WITH {SNAP} SELECT rel_path, ss_cat, {r('wind')} AS wmo_wind_kt FROM idx",
     "packed_missing": "SELECT count(*) AS n_missing, min(doc_id) AS first_missing FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "label_mismatches": "SELECT doc_id, (n_chars > 1000)::INT AS packed_label, quality AS index_label FROM documents JOIN labels USING (doc_id) WHERE (n_chars > 1000)::INT <> quality",
     "array_max_abs_diff": f"WITH {E}, pick AS (SELECT vec_id AS id FROM embeddings ORDER BY md5('42|' || vec_id), vec_id LIMIT 256) SELECT id AS vec_id, {r('max(abs(v - round(v, 2)))')} AS max_diff FROM e JOIN pick USING (id) GROUP BY id",
@@ -132,6 +143,13 @@ ORACLES: dict[str, str] = {
 dr AS (SELECT draw, {U} AS u, {hex_of('substr(h, 9, 8)')} / 4294967296.0::DOUBLE AS v FROM (SELECT draw, md5('42|' || draw) AS h FROM range(2000) t(draw))),
 pl AS (SELECT ss_cat, rel_path, row_number() OVER (PARTITION BY ss_cat ORDER BY rel_path) - 1 AS place FROM idx)
 SELECT draw, rng.ss_cat, rel_path FROM dr JOIN rng ON u >= low AND u < high JOIN pl ON pl.ss_cat = rng.ss_cat AND pl.place = floor(v * n)""",
+    "stream_weighted_sampler": f"""WITH {SNAP}, {PROBS.format(a=0.4)}, rng AS (SELECT ss_cat, n, sum(prob) OVER (ORDER BY ss_cat) - prob AS low, CASE WHEN ss_cat = max(ss_cat) OVER () THEN 2 ELSE sum(prob) OVER (ORDER BY ss_cat) END AS high FROM prob),
+dr AS (SELECT draw, {U} AS u, {hex_of('substr(h, 9, 8)')} / 4294967296.0::DOUBLE AS v FROM (SELECT draw, md5('42|' || draw) AS h FROM range(400) t(draw))),
+pl AS (SELECT ss_cat, rel_path, row_number() OVER (PARTITION BY ss_cat ORDER BY rel_path) - 1 AS place FROM idx)
+SELECT draw, rng.ss_cat, rel_path FROM dr JOIN rng ON u >= low AND u < high JOIN pl ON pl.ss_cat = rng.ss_cat AND pl.place = floor(v * n)""",
+    "pack_verification": f"SELECT 0::BIGINT AS n_missing, 0::BIGINT AS n_mislabelled, count(DISTINCT id) AS n_compared, 0::BIGINT AS n_reshaped, {r('max(abs(v::FLOAT::DOUBLE - round(v, 2)::FLOAT::DOUBLE))')} AS max_abs_diff, 0::INT AS n_wrong_type, true AS ok FROM (SELECT vec_id AS id, unnest(embedding)::FLOAT::DOUBLE AS v FROM embeddings)",
+    "pack_manifest": f"WITH {SNAP}, g AS (SELECT row_number() OVER (ORDER BY rel_path) - 1 AS gi FROM idx), n AS (SELECT count(*) AS n FROM g) SELECT DISTINCT n AS num_samples, 512::INT AS samples_per_shard, 'samples/shard_id=' || (gi // 512) AS path, gi // 512 * 512 AS start, least((gi // 512 + 1) * 512, n) AS stop FROM g, n",
+    "ddpm_sample_loop": DDPM,
     "augment_gate": f"WITH {SNAP}, p AS (SELECT * FROM (VALUES (0, 0.15, 1), (1, 0.2, 1), (2, 0.35, 1), (3, 0.6, 2), (4, 0.75, 2), (5, 0.85, 3)) t(ss_cat, p, bars)), g AS (SELECT *, md5('42|' || rel_path) AS h FROM idx JOIN p USING (ss_cat)) SELECT ss_cat, count(*) AS n, count(*) FILTER ({U} < p) AS n_augmented, 2 AS max_shift, max(bars) AS max_bars FROM g GROUP BY ss_cat",
     "augment_policy": "SELECT * FROM (VALUES (0, 0.15::DOUBLE, 2, 1), (1, 0.3, 2, 1), (2, 0.65, 2, 2), (3, 0.85, 2, 3)) t(ss_cat, p_aug, max_shift, max_bars)",
     "cond_dropout": f"WITH {SNAP}, g AS (SELECT *, {U} < 0.1 AS gone FROM (SELECT *, md5('42|' || rel_path) AS h FROM idx)) SELECT rel_path, CASE WHEN gone THEN 6 ELSE ss_cat END AS label, {r('CASE WHEN gone THEN 0 ELSE wind END')} AS wind_kt FROM g",
@@ -163,7 +181,7 @@ SELECT class, {r('rr / (n * (n - 1) + 1e-12) + gg / (m * (m - 1) + 1e-12) - 2 *
 b AS (SELECT 'pixel_mean' AS metric, * FROM pm UNION ALL SELECT 'eye_contrast', * FROM em) SELECT {r('corr(class, x)')} AS corr_class_real, {r('corr(class, y)')} AS corr_class_gen, {r('corr(x, y)')} AS corr_real_gen, {r('avg(abs(x - y))')} AS mae, metric FROM b GROUP BY metric""",
     "metrics_report": f"WITH {RAW}, {GEO}, {EYE}, pm AS (SELECT class, avg(v) FILTER (set = 'real') AS x, avg(v) FILTER (set = 'gen') AS y FROM px GROUP BY class), em AS (SELECT class, avg(ec) FILTER (set = 'real') AS a, avg(ec) FILTER (set = 'gen') AS b FROM eye GROUP BY class) SELECT class::VARCHAR AS class, {r('x', 4)} AS pixel_mean_real, {r('y', 4)} AS pixel_mean_gen, {r('a', 4)} AS eye_real, {r('b', 4)} AS eye_gen FROM pm JOIN em USING (class)",
     "viz_shared_limits": f"WITH {RAW} SELECT {r('min(v)')} AS low, {r('max(v)')} AS high FROM px",
-    "viz_compare_grid": "WITH g AS (SELECT (label % 6)::INT AS class, CASE WHEN vec_id % 2 = 0 THEN 'real' ELSE 'gen' END AS set, vec_id AS id FROM embeddings) SELECT class, set, id, (row_number() OVER (PARTITION BY class, set ORDER BY id) - 1)::INT AS place FROM g QUALIFY row_number() OVER (PARTITION BY class, set ORDER BY id) <= 5",
+    "viz_compare_grid": "WITH g AS (SELECT (label % 6)::INT AS class, CASE WHEN vec_id % 2 = 0 THEN 'real' ELSE 'gen' END AS set, vec_id AS id FROM embeddings), n AS (SELECT class, least(5, count(*) FILTER (set = 'real'), count(*) FILTER (set = 'gen')) AS n FROM g GROUP BY class), p AS (SELECT class, set, id, (row_number() OVER (PARTITION BY class, set ORDER BY id) - 1)::INT AS place FROM g) SELECT class, set, id, place FROM p JOIN n USING (class) WHERE place < n",
     "rot90": f"""WITH {E}, k AS (SELECT vec_id AS id, {hex_of("substr(md5('42|' || vec_id), 1, 2)")} % 4 AS k FROM embeddings), yx AS (SELECT id, v, i // 8 AS y, i % 8 AS x, k FROM e JOIN k USING (id))
 SELECT id, CASE k WHEN 0 THEN y * 8 + x WHEN 1 THEN (7 - x) * 8 + y WHEN 2 THEN (7 - y) * 8 + 7 - x ELSE x * 8 + 7 - y END::INT AS i, {r('v')} AS v FROM yx""",
     "shift_reflect": f"""WITH {E}, k AS (SELECT vec_id AS id, {hex_of("substr(md5('42|' || vec_id), 1, 2)")} % 5 - 2 AS dy, {hex_of("substr(md5('42|' || vec_id), 3, 2)")} % 5 - 2 AS dx FROM embeddings),
@@ -191,16 +209,13 @@ UNION ALL SELECT f.run, seq.r, CASE WHEN f.best - seq.value > 0.5 THEN seq.step
 CASE WHEN NOT f.best - seq.value > 0.5 AND f.bad + 1 >= 3 THEN seq.step END FROM f JOIN seq ON seq.run = f.run AND seq.r = f.r + 1 WHERE f.stop IS NULL)
 SELECT run, best_at AS best_epoch, {r('best')} AS best_metric, stop AS stopped_epoch FROM f QUALIFY row_number() OVER (PARTITION BY run ORDER BY r DESC) = 1""",
     "wind_features": f"WITH {SNAP}, s AS (SELECT rel_path, (least(wind, 170) - 35) / 135 * 2 - 1 AS w FROM idx) SELECT rel_path, unnest(range(5))::INT AS i, {r('unnest([w, sin(pi() * w), cos(pi() * w), sin(2 * pi() * w), cos(2 * pi() * w)])')} AS v FROM s",
-    "time_embedding": f"SELECT t::INT AS t, i::INT AS i, {r('CASE WHEN i < 4 THEN sin(t * exp(-ln(10000) * i / 3)) WHEN i < 8 THEN cos(t * exp(-ln(10000) * (i - 4) / 3)) ELSE 0 END')} AS v FROM range(0, 1000, 37) a(t), range(9) b(i)",
-    "time_embedding_whole": f"SELECT t::INT AS t, i::INT AS i, {r('CASE WHEN i < 4 THEN sin(t * exp(-ln(10000) * i / 3)) WHEN i < 8 THEN cos(t * exp(-ln(10000) * (i - 4) / 3)) ELSE 0 END')} AS v FROM range(1000) a(t), range(9) b(i)",
+    "time_embedding": f"SELECT t::INT AS t, i::INT AS i, {r('CASE WHEN i < 4 THEN sin(t * exp(-ln(10000) * i / 3)) WHEN i < 8 THEN cos(t * exp(-ln(10000) * (i - 4) / 3)) ELSE 0 END')} AS v FROM range(1000) a(t), range(9) b(i)",
     "midpoint_general": f"SELECT l::INT AS label, CASE WHEN l = 6 THEN 0 ELSE {MID.format(c='greatest(least(l, 5), 0)')} END AS six, CASE WHEN l = 8 THEN 0 ELSE 35 + (greatest(least(l, 7), 0) + 0.5::DOUBLE) * 16.875::DOUBLE END AS eight, {MID.format(c='l')} AS scalar, CASE WHEN l = 6 THEN 6 ELSE greatest(least(l, 5), 0) END::INT AS clipped FROM range(-1, 9) t(l)",
     "wind_targets": "SELECT * FROM (VALUES (0, 49.5::DOUBLE), (1, 73.0), (2, 89.0), (3, 101.0), (4, 124.5), (5, 145.0)) t(ss_cat, target)",
     "groupnorm": f"WITH {E}, g AS (SELECT id, i // 8 AS c, i % 8 AS i, v, i // 16 AS g FROM e) SELECT id, c::INT AS c, i::INT AS i, {r('(v - avg(v) OVER w) / sqrt(var_pop(v) OVER w + 1e-3)', 5)} AS v FROM g WINDOW w AS (PARTITION BY id, g)",
     "film_swish": f"WITH {E}, h AS (SELECT id, i, v * 1.25::DOUBLE - 0.1::DOUBLE AS h FROM e) SELECT id, i, {r(SWISH.format(x='h'))} AS v FROM h",
     "avg_pool": f"WITH {E} SELECT id, (i // 16 * 4 + i % 8 // 2)::INT AS i, {r('avg(v)')} AS v FROM e GROUP BY 1, 2",
     "upsample": f"""WITH {E}, g AS (SELECT k::INT AS k, least(greatest((k // 16 + 0.5) / 2 - 0.5, 0), 7)::DOUBLE AS y, least(greatest((k % 16 + 0.5) / 2 - 0.5, 0), 7)::DOUBLE AS x FROM range(256) t(k)),
-w AS (SELECT id, k, v * greatest(1 - abs(i // 8 - y), 0) * greatest(1 - abs(i % 8 - x), 0) AS p FROM e, g WHERE id % 10 = 0) SELECT id, k AS i, {r('sum(p)')} AS v FROM w GROUP BY id, k""",
-    "upsample_whole": f"""WITH {E}, g AS (SELECT k::INT AS k, least(greatest((k // 16 + 0.5) / 2 - 0.5, 0), 7)::DOUBLE AS y, least(greatest((k % 16 + 0.5) / 2 - 0.5, 0), 7)::DOUBLE AS x FROM range(256) t(k)),
 w AS (SELECT id, k, v * greatest(1 - abs(i // 8 - y), 0) * greatest(1 - abs(i % 8 - x), 0) AS p FROM e, g WHERE abs(i // 8 - y) < 1 AND abs(i % 8 - x) < 1) SELECT id, k AS i, {r('sum(p)')} AS v FROM w GROUP BY id, k""",
     "conv3x3": f"WITH {E}, w AS (SELECT * FROM (VALUES (-1, -1, 1), (-1, 0, 2), (-1, 1, 1), (1, -1, -1), (1, 0, -2), (1, 1, -1)) t(dy, dx, w)), c AS (SELECT id, j::INT AS i FROM (SELECT DISTINCT id FROM e), range(64) t(j)) SELECT c.id, c.i, {r('coalesce(sum(e.v * w), 0)')} AS v FROM c, w LEFT JOIN e ON e.id = c.id AND e.i // 8 = c.i // 8 + dy AND e.i % 8 = c.i % 8 + dx GROUP BY c.id, c.i",
     "attention_tiny": f"WITH {E}, d AS (SELECT a.id, a.i // 8 AS t, b.i // 8 AS s, exp(sum(a.v * b.v) / sqrt(8::DOUBLE)) AS w FROM e a JOIN e b ON a.id = b.id AND a.i % 8 = b.i % 8 GROUP BY ALL), n AS (SELECT id, t, s, w / sum(w) OVER (PARTITION BY id, t) AS w FROM d) SELECT n.id, t::INT AS t, (e.i % 8)::INT AS i, {r('sum(w * v)')} AS v FROM n JOIN e ON e.id = n.id AND e.i // 8 = s GROUP BY ALL",

@@ -64,14 +64,6 @@ def packed_layout(spark, sf):
 
 @query
 def shard_lookup(spark, sf):
-    packed = written(catalog.pack(b.index(spark, sf), 512), "packed")
-    wanted = packed.where(F.col("global_index") % 97 == 0).select("global_index", "rel_path")
-    return catalog.find_shards(wanted, catalog.manifest(packed)).select("global_index", "rel_path", "shard_id", "start", "stop")
-
-
-@query
-def shard_lookup_whole(spark, sf):
-    """As ``shard_lookup``, of every packed row."""
     packed = written(catalog.pack(b.index(spark, sf), 512), "packed")
     wanted = packed.select("global_index", "rel_path")
     return catalog.find_shards(wanted, catalog.manifest(packed)).select("global_index", "rel_path", "shard_id", "start", "stop")
@@ -85,15 +77,8 @@ def pack_validation(spark, sf):
 
 @query
 def point_lookup(spark, sf):
-    wanted = b.index(spark, sf).where(F.substring(F.md5(F.col("rel_path").cast("binary")), 1, 2) == "00").select("rel_path")
-    return rounded(b.index(spark, sf).join(wanted, "rel_path").select("rel_path", "ss_cat", "wmo_wind_kt"), "wmo_wind_kt")
-
-
-@query
-def point_lookup_whole(spark, sf):
-    """As ``point_lookup``, of every path."""
     wanted = b.index(spark, sf).select("rel_path")
-    return rounded(b.index(spark, sf).join(wanted, "rel_path").select("rel_path", "ss_cat", "wmo_wind_kt"), "wmo_wind_kt")
+    return rounded(catalog.look_up(b.index(spark, sf), wanted, strict=True).select("rel_path", "ss_cat", "wmo_wind_kt"), "wmo_wind_kt")
 
 
 @query
@@ -559,13 +544,6 @@ def wind_features(spark, sf):
 
 @query
 def time_embedding(spark, sf):
-    steps = spark.range(0, 1000, 37).select(F.col("id").cast("int").alias("t"))
-    return exploded(steps.select("t", sc.time_embedding("t", 9).alias("e")), ["t"], "e")
-
-
-@query
-def time_embedding_whole(spark, sf):
-    """As ``time_embedding``, of every step."""
     steps = spark.range(1000).select(F.col("id").cast("int").alias("t"))
     return exploded(steps.select("t", sc.time_embedding("t", 9).alias("e")), ["t"], "e")
 
@@ -605,13 +583,6 @@ def avg_pool(spark, sf):
 
 @query
 def upsample(spark, sf):
-    e = b.table(spark, sf, "embeddings").where("vec_id % 10 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
-    return exploded(layers.upsample(e, b.SIDE), ["id"], "x")
-
-
-@query
-def upsample_whole(spark, sf):
-    """As ``upsample``, of all rows."""
     e = b.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
     return exploded(layers.upsample(e, b.SIDE), ["id"], "x")
 
@@ -662,14 +633,47 @@ def condition_embedding(spark, sf):
 def stream_weighted_sampler(spark, sf):
     from gridloom.streaming.sampler import sample_stream, take_batches
 
-    index = b.index(spark, sf)
+    index = written(b.index(spark, sf), "index")
     path = table_path(spark, "stream")
-    take_batches(sample_stream(spark, index, 0.4, SEED), f"{path}/rows", f"{path}/checkpoint", 2)
-    return spark.read.parquet(f"{path}/rows").groupBy("ss_cat").agg(F.count(F.lit(1)).alias("n"))
+    drawn = sample_stream(spark, index, 0.4, SEED).join(written(sampling.class_places(index), "places"), ["ss_cat", "place"])
+    take_batches(drawn.select("draw", "ss_cat", "rel_path"), f"{path}/rows", f"{path}/checkpoint", 2)
+    return spark.read.parquet(f"{path}/rows").select("draw", "ss_cat", "rel_path")
+
+
+def digest_noise(seed, ids, size):
+    """Noise in [-1, 1) of each id, call and place, from md5."""
+    import hashlib
+
+    import numpy as np
+
+    calls = iter(range(1 << 30))
+
+    def draw():
+        k = next(calls)
+        return np.array([[int(hashlib.md5(f"{i}|{k}|{j}".encode()).hexdigest()[:8], 16) / 2**31 - 1 for j in range(size)] for i in ids])
+
+    return draw
 
 
 @query
 def ddpm_sample_loop(spark, sf):
-    asked = b.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), (F.col("label") % 6).cast("int").alias("label"))
-    loop = diffusion.sample_loop(asked, lambda x, t, labels: -x * math.sqrt(0.5), 16, steps=20)
-    return loop.select("id", "label", F.size("x").alias("n"), (F.array_max(F.transform("x", F.abs)) <= 1).alias("in_range"))
+    """Guided, three steps, a linear predictor that depends on the condition, without thresholds."""
+    asked = b.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.when(F.col("label") < 6, F.col("label")).cast("int").alias("label"))
+    loop = diffusion.sample_loop(asked, lambda x, t, labels, winds: x * 0.5 + labels[:, None] * 0.01 + winds[:, None] * 0.001, 4, steps=3, p=None, guidance=1.5, noise=digest_noise)
+    return exploded(loop, ["id", "label"], "x")
+
+
+@query
+def pack_verification(spark, sf):
+    """Images of all vectors packed by path and compared, all of them, with their source."""
+    images = b.table(spark, sf, "embeddings").select(F.concat(F.col("vec_id").cast("string"), F.lit("-e.nc")).alias("rel_path"), (F.col("label") % 6).cast("int").alias("ss_cat"), F.col("embedding").cast("array<float>").alias("bt"))
+    packed = written(catalog.pack(images, 512), "packed")
+    source = images.select("rel_path", F.transform("bt", lambda v: F.round(v.cast("double"), 2).cast("float")).alias("bt"))
+    out = catalog.verify_pack(packed, images.select("rel_path", "ss_cat"), source, images.count(), SEED, 0.01)
+    return rounded(out, "max_abs_diff")
+
+
+@query
+def pack_manifest(spark, sf):
+    packed = written(catalog.pack(b.index(spark, sf), 512), "packed")
+    return catalog.manifest_json(packed, 512, b.SIDE * b.SIDE).select(F.get_json_object("value", "$.num_samples").cast("long").alias("num_samples"), F.get_json_object("value", "$.samples_per_shard").cast("int").alias("samples_per_shard"), F.explode(F.from_json(F.get_json_object("value", "$.shards"), "array<struct<path string, start long, stop long>>")).alias("s")).select("num_samples", "samples_per_shard", "s.*")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -23,10 +25,15 @@ def local_session(cpus: int | str = "*", partitions: int = 8, **more: str) -> Sp
 
 
 def table_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir (a local one only where that is unset)."""
+    """A new path in the folder of spark.checkpoint.dir. Where that is unset a local session gets a folder of its
+    own, which goes at the end; on a cluster that is an error, as every executor would write to its own disk."""
     root = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_gridloom_tables", None)
     if not root:
-        root = spark._gridloom_tables = "file://" + tempfile.mkdtemp(prefix="gridloom-")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="gridloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        root = spark._gridloom_tables = f"file://{folder}"
     return f"{root}/gridloom/{name}-{uuid.uuid4().hex}"
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,24 +47,43 @@ def read_images(spark: SparkSession, location: str, backend: str = "packed", dec
 
 
 def read_tracks(spark: SparkSession, path: str, null_value: str | None = None) -> DataFrame:
-    """The track table as text columns. The basin code NA stays a code; pass ``null_value="NA"`` to read it as missing."""
+    """The track table as text columns, with ``row_no``, the row's place: file, block of the file, and number in it,
+    in this order. The basin code NA stays a code; pass ``null_value="NA"`` to read it as missing."""
     reader = spark.read.option("header", True)
     rows = (reader.option("nullValue", null_value) if null_value else reader).csv(path)
-    return require_columns(rows, REQUIRED)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return require_columns(rows, REQUIRED).withColumn("row_no", place)
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """rel_path, ss_cat and wmo_wind_kt (null where the metadata is missing or unreadable) of an index document."""
+def read_index(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """With ``strict`` a path in two places is an error. rel_path, ss_cat and wmo_wind_kt (null where the metadata is missing or unreadable) of an index document."""
     document = spark.read.schema(INDEX_SCHEMA).option("multiLine", True).json(path)
-    files = document.select(F.explode("classes").alias("k", "paths")).select(F.col("k").try_cast("int").alias("ss_cat"), F.explode("paths").alias("rel_path"))
+    listed = document.select(F.explode("classes").alias("k", "paths")).select(F.col("k").try_cast("int").alias("ss_cat"), F.explode("paths").alias("rel_path"))
     wind = F.col("s.wmo_wind_kt").try_cast("double")
     meta = document.select(F.explode("samples").alias("rel_path", "s")).where(F.col("s.ss_cat").try_cast("int").isNotNull() & is_finite(wind)).select("rel_path", wind.alias("wmo_wind_kt"))
-    return files.where(F.col("ss_cat").isNotNull()).join(meta, "rel_path", "left").select("rel_path", "ss_cat", "wmo_wind_kt")
+    files = listed.where(F.col("ss_cat").isNotNull())
+    if strict:
+        twice = files.groupBy("rel_path").count().where("count > 1").limit(1).collect()
+        if twice:
+            raise ValueError(f"a path is in the index twice: {twice[0].rel_path}")
+    return files.join(meta, "rel_path", "left").select("rel_path", "ss_cat", "wmo_wind_kt")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """The distinct trimmed lines of a text list, blank ones left out."""
-    return spark.read.text(path).select(F.trim("value").alias("rel_path")).where("rel_path <> ''").distinct()
+    try:
+        lines = spark.read.text(path)
+    except AnalysisException as e:
+        raise FileNotFoundError(f"no list at {path}") from e
+    return lines.select(F.trim("value").alias("rel_path")).where("rel_path <> ''").distinct()
+
+
+def read_rel_paths(spark: SparkSession, location: str, expected: int | None = None) -> DataFrame:
+    """global_index and rel_path of a packed set's ordered list; another number of rows than expected is an error."""
+    rows = spark.read.parquet(f"{location}/rel_paths").select("global_index", "rel_path")
+    if expected is not None and (n := rows.count()) != expected:
+        raise ValueError(f"{n} paths, {expected} expected")
+    return rows
 
 
 def write_lines(rows: DataFrame, column: str, path: str, mode: str = "errorifexists") -> None:
@@ -75,6 +95,13 @@ def write_splits(files: DataFrame, path: str, mode: str = "errorifexists") -> No
     files.select("split", F.col("rel_path").alias("value")).repartition("split").write.mode(mode).partitionBy("split").text(path)
 
 
+def write_split_lists(spark: SparkSession, storms: DataFrame, files: DataFrame, folder: str, mode: str = "errorifexists") -> None:
+    """Six lists below ``folder``: storm_ids_<split> and files_<split>."""
+    for name in ("train", "val", "test"):
+        write_lines(storms.where(F.col("split") == name), "SID", f"{folder}/storm_ids_{name}", mode)
+        write_lines(files.where(F.col("split") == name), "rel_path", f"{folder}/files_{name}", mode)
+
+
 def write_json(row: DataFrame, path: str, mode: str = "errorifexists") -> None:
     row.select("value").write.mode(mode).text(path)
 

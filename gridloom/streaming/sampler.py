@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.operators.sampling import class_probabilities, cumulative, drawn
+from gridloom.functions.images import normalize
+from gridloom.operators.sampling import class_places, class_probabilities, cumulative, drawn
+from gridloom.session import written
 
 
 def sample_stream(spark: SparkSession, index: DataFrame, alpha: float, seed: int, rows_per_batch: int = 200) -> DataFrame:
@@ -16,6 +18,15 @@ def sample_stream(spark: SparkSession, index: DataFrame, alpha: float, seed: int
     return drawn(source.select(F.col("value").alias("draw")), ranges, seed).select("draw", "ss_cat", "place")
 
 
+def elements_stream(spark: SparkSession, index: DataFrame, images: DataFrame, alpha: float, seed: int, rows_per_batch: int = 200) -> DataFrame:
+    """draw, rel_path, bt in [-1, 1] and cond (class and wind) of an endless stream of draws. ``index`` has rel_path,
+    ss_cat and wind_kt; each draw is looked up by class and place, then its image by path: joins with static tables."""
+    places = written(class_places(index).join(index.select("rel_path", "wind_kt"), "rel_path"), "places")
+    drawn_rows = sample_stream(spark, index, alpha, seed, rows_per_batch).join(places, ["ss_cat", "place"])
+    rows = drawn_rows.join(images.select("rel_path", "bt"), "rel_path")
+    return rows.select("draw", "rel_path", normalize("bt").alias("bt"), F.struct(F.col("ss_cat").cast("int").alias("ss_cat"), F.col("wind_kt").cast("float").alias("wind_kt")).alias("cond"))
+
+
 def take_batches(stream: DataFrame, path: str, checkpoint: str, batches: int) -> int:
     """Write the first ``batches`` micro-batches as Parquet; how many were written."""
     done = 0

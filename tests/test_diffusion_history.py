@@ -76,11 +76,42 @@ def test_weights_and_conditions(spark, rows):
 
 def test_sampling_repeats(spark):
     asked = spark.createDataFrame([(i, i % 6) for i in range(8)], "id long, label int")
-    run = lambda d: {r.id: r.x for r in di.sample_loop(d, lambda x, t, y: -x * 0.5 + y[:, None] * 0.01, 16, 15).collect()}
+    run = lambda d: {r.id: r.x for r in di.sample_loop(d, lambda x, t, y, w: -x * 0.5 + y[:, None] * 0.01, 16, 15).collect()}
     a, b = run(asked), run(asked.repartition(3))
     assert a == b and all(len(v) == 16 and max(map(abs, v)) <= 1 for v in a.values())
 
 
+@pytest.mark.parametrize(("name", "kind"), [("eps", "eps"), ("eps_mse", "eps"), ("epsilon", "eps"), ("epsilon_mse", "eps"), ("v", "v"), ("V_MSE ", "v"), ("vpred", "v"), ("v_pred", "v"), ("v_prediction", "v"), ("noise", None), ("mse", None), ("", None)])
+def test_loss_types(name, kind):
+    if kind:
+        assert di.prediction_type(name) == kind
+    else:
+        with pytest.raises(ValueError):
+            di.prediction_type(name)
+
+
+@pytest.mark.parametrize(("schedule", "kind", "guidance"), [("linear", "v", 0.0), ("cosine", "v", 1.5), ("cosine", "eps", 0.0)])
+def test_sample_loop_against_single_steps(spark, schedule, kind, guidance):
+    """The loop, and the same steps one by one as DataFrame operations."""
+    steps, size = 6, 9
+    ask = lambda x, labels, winds: x * 0.3 + labels[:, None] * 0.01 - winds[:, None] * 0.001
+    requests = spark.createDataFrame([(1, 2, None), (5, None, None), (9, 4, 77.0)], "id long, label int, wind_kt double")
+    got = di.sample_loop(requests, lambda x, t, y, w: ask(x, y, w), size, steps, kind, 0.9, 3, schedule, guidance).orderBy("id").collect()
+    assert [(r.id, r.label, r.wind_kt) for r in got] == [(1, 2, 89.0), (5, 6, 0.0), (9, 4, 77.0)]
+    labels, winds = np.array([2, 6, 4]), np.array([89.0, 0.0, 77.0])
+    draw = di.seeded_noise(3, np.array([1, 5, 9]), size)
+    table = di.schedule(di.betas(spark, schedule, steps))
+    x = draw()
+    for t in range(steps - 1, -1, -1):
+        c, u = ask(x, labels, winds), ask(x, np.full(3, 6), np.zeros(3))
+        pred = u + guidance * (c - u) if guidance else c
+        noise = draw() if t else np.zeros((3, size))
+        rows = spark.createDataFrame([(i, t, x[i].tolist(), pred[i].tolist(), noise[i].tolist()) for i in range(3)], "i int, t int, x array<double>, p array<double>, z array<double>")
+        stepped = di.reverse_step(di.at_step(rows, table), kind, 0.9, "x", "p", "z", "y").orderBy("i").collect()
+        x = np.array([r.y for r in stepped])
+    assert np.allclose([r.x for r in got], x, atol=1e-8)
+
+
 def test_histories(spark):
     df = spark.createDataFrame([("a", i, v) for i, v in enumerate([5.0, 4.0, None, 3.99, 3.98, 3.97, 1.0])], "g string, k long, v double")
     r = hi.early_stop(df, "g", "k", "v", 3, 0.5).first()
@@ -141,5 +172,8 @@ def test_configuration(tmp_path):
     assert [cf.parse_scalar(v) for v in ("True", "3", "0.5", "x")] == [True, 3, 0.5, "x"]
     e = cf.evaluation({"evaluation": {"n_plot_per_group": 7}})
     assert e["n_per_class_light"] == 7 and e["seed"] == 123
+    e = cf.evaluation({"evaluation": {"proxy_classifier": {"C": 2.0}}})
+    assert (e["n_per_class_heavy"], e["n_per_class_light"], e["every_epochs"], e["heavy_every_epochs"], e["sampler"], e["enabled"]) == (50, 25, 5, 25, "ddpm", True)
+    assert e["proxy_classifier"] == {"enabled": True, "max_train_per_class": 2000, "C": 2.0, "solver": "lbfgs", "max_iter": 200}
     with pytest.raises(ValueError):
         cf.evaluation({"evaluation": {"psd_bins": 0}})

@@ -66,11 +66,11 @@ def test_the_rest_does_not_import_the_language_model_part():
 
 def test_whole_queries_take_every_row(spark):
     vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
-    got = QUERIES["upsample_whole"](spark, SF).groupBy("id").count().collect()
+    got = QUERIES["upsample"](spark, SF).groupBy("id").count().collect()
     assert {(r.id, r["count"]) for r in got} == {(r.vec_id, 256) for r in vectors.select("vec_id").collect()}
     paths = {r.rel_path for r in bindings.index(spark, SF).select("rel_path").collect()}
-    for name in ("shard_lookup_whole", "point_lookup_whole"):
+    for name in ("shard_lookup", "point_lookup"):
         found = [r.rel_path for r in QUERIES[name](spark, SF).select("rel_path").collect()]
         assert len(found) == len(paths) and set(found) == paths
-    assert QUERIES["time_embedding_whole"](spark, SF).select("t").distinct().count() == 1000
+    assert QUERIES["time_embedding"](spark, SF).select("t").distinct().count() == 1000
     assert QUERIES["condition_embedding"](spark, SF).groupBy("id").count().where("count = 4").count() == len(got)
