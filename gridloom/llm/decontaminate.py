@@ -35,7 +35,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from gridloom.llm.common import SHINGLE, WORDS, give_back, run_hashes, slices
 
@@ -183,13 +182,23 @@ class ItemIndex:
 
 
 def _blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[object, str]]]:
-    """Bounded blocks of items in the order of their keys."""
-    order = Window.orderBy(key, text)  # over the numbers of rows of a benchmark, in blocks
-    sized = items.select(key, F.coalesce(F.col(text), F.lit("")).alias(text)).withColumn("__bytes", F.octet_length(text))
-    sized = sized.withColumn("__row", F.row_number().over(order)).withColumn("__sum", F.sum("__bytes").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    blocked = sized.withColumn("__block", F.greatest(((F.col("__row") - 1) / BLOCK).cast("long"), (F.coalesce(F.col("__sum"), F.lit(0)) / BLOCK_BYTES).cast("long")))
-    for (b,) in blocked.select("__block").distinct().orderBy("__block").collect():
-        yield [(r[0], r[1]) for r in blocked.where(F.col("__block") == b).select(key, text).collect()]
+    """Bounded blocks of items: dealt by hash into as many as BLOCK rows and BLOCK_BYTES need, written once, and
+    fetched one at a time, each from its own folder."""
+    own = items.select(F.col(key).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__item"))
+    n, size = own.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("__item")), F.lit(0))).first()
+    blocks = max(parts_for(n, BLOCK), parts_for(size, BLOCK_BYTES))
+    if blocks == 1:
+        rows = [(r[0], r[1]) for r in own.collect()]
+        if rows:
+            yield rows
+        return
+    path = work_path(items.sparkSession, "items")
+    own.withColumn("__block", F.pmod(F.xxhash64("__key", "__item"), F.lit(blocks)).cast("int")).repartition(blocks, "__block").write.partitionBy("__block").parquet(path)
+    written = items.sparkSession.read.schema(T.StructType([T.StructField("__key", items.schema[key].dataType), T.StructField("__item", T.StringType()), T.StructField("__block", T.IntegerType())])).parquet(path)
+    for b in range(blocks):
+        rows = [(r[0], r[1]) for r in written.where(F.col("__block") == b).select("__key", "__item").collect()]
+        if rows:
+            yield rows
 
 
 def contained_items(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", containment: float = CONTAINMENT, hashes: int = HASHES) -> DataFrame:

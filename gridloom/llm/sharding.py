@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 SLOT_BUCKETS = 1024
+BASE = 16
 
 
 @dataclass(frozen=True)
@@ -30,7 +31,7 @@ class Leaf:
     weight: float = 1.0
 
 
-def topology(shards: int, base: int = 16, racks_per_region: int = 2, shards_per_rack: int = 2) -> list[Leaf]:
+def topology(shards: int, base: int = BASE, racks_per_region: int = 2, shards_per_rack: int = 2) -> list[Leaf]:
     """The first ``base`` shards fill regions in order; each later shard opens a region of its own."""
     per_region = racks_per_region * shards_per_rack
     out = []
@@ -92,11 +93,11 @@ def assign(df: DataFrame, key: str, leaves: list[Leaf], out: str = "shard") -> D
 def with_slots(df: DataFrame, shard: str, order: list[str], buckets: int = SLOT_BUCKETS, out: str = "slot") -> DataFrame:
     """``df`` with a gapless number from 0 inside each shard.
 
-    A shard is cut into ``buckets`` hash buckets of the first order column, numbered one by one and
+    A shard is cut into ``buckets`` hash buckets of the order columns, numbered one by one and
     shifted by the rows of the buckets before, so that no task holds a whole shard. The counts have at
     most shards x buckets rows (16 x 1024 by default), which bounds the broadcast.
     """
-    bucketed = df.withColumn("__bucket", F.pmod(F.xxhash64(F.col(order[0]), F.lit("slot")), F.lit(buckets)).cast("int"))
+    bucketed = df.withColumn("__bucket", F.pmod(F.xxhash64(*order, F.lit("slot")), F.lit(buckets)).cast("int"))
     counts = bucketed.groupBy(F.col(shard).alias("__s"), F.col("__bucket").alias("__b")).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("__s", "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
@@ -106,9 +107,11 @@ def with_slots(df: DataFrame, shard: str, order: list[str], buckets: int = SLOT_
     return joined.withColumn(out, (F.col("__start") + F.col("__row")).cast("long")).drop("__s", "__b", "__start", "__row", "__bucket")
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, base: int | None = None) -> DataFrame:
-    """Shard, slot and the shard after one more is added, by the law ``key``: doc_id and shard count decide."""
-    base = shards if base is None else base
+def shard_documents(docs: DataFrame, shards: int = BASE, base: int = BASE) -> DataFrame:
+    """Shard, slot and the shard after one more is added, by the law ``key``: doc_id and shard count decide. The tree
+    of a count is that of the count before and one region more, down to ``base`` shards, where it begins."""
+    if shards < base:
+        raise ValueError(f"a tree begins with {base} shards; give a smaller base")
     text = F.coalesce(F.col("text"), F.lit(""))
     narrow = docs.select(
         "doc_id",

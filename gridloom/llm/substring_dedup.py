@@ -1,31 +1,31 @@
-"""Removal of repeated byte strings by hashes of their windows, grouped at anchors chosen by content.
+"""Removal of repeated byte strings by a sparse suffix sort: splitters, range partition, multikey sort, exact bytes.
 
 Every byte covered by a string of ``LENGTH`` bytes that also starts earlier (in a smaller doc_id, or in the
 same document at an earlier offset) is removed; strings are judged on the input and never cross documents.
 
 Suffixes are taken at anchors. The anchor of a string of ``LENGTH`` bytes is the one of its ``LEAD``-byte
 runs with the smallest hash (the leftmost of equal ones), which depends on the string's content alone, so
-equal strings have equal anchors at equal distances; about 2 in ``LENGTH - LEAD`` positions are anchors.
+equal strings have equal anchors at equal distances; about 2 in ``LENGTH - LEAD`` positions are anchors. A
+suffix per byte would shuffle a hundred times the text.
 
 1. Documents are dealt into parts of bounded bytes. Each part reports the distinct leading tokens (hashed)
    of its anchors. The reports are partitioned by leading token and the tokens seen twice go back to the
-   parts that have them.
+   parts that have them. (Two tokens of one hash only make contexts that nothing is equal to.)
 2. A part cuts out the context of each anchor with such a token: the bytes of all strings that have this
-   anchor. Of equal contexts in a part only the first goes on, the others are covered at once, so a hot
-   group sends no more than one context per part.
-3. Contexts are dealt by hash partition on the key of their leading bytes on the longer side of the anchor,
-   sorted by that key. Each string of ``LENGTH`` bytes gets one 64-bit hash (put together from hashes of 8, 16,
-   32 and 64 bytes, joined with its place at the anchor); a bucket is sorted once by it, and of each run of
-   equal hashes the earliest string stays. Equal strings have equal keys, so they are never in two buckets.
+   anchor. Of equal contexts in a part (compared byte by byte) only the first goes on, the others are covered at
+   once, so a hot group sends no more than one context per part.
+3. A context's suffix starts at its anchor, for strings with the anchor in their first half, and ``HALF`` bytes
+   before it for the others. Splitters from a sample of about ``SAMPLE_BYTES`` of text range-partition the suffixes by
+   their leading bytes; equal leading bytes are never parted, so equal strings meet and no string has a partner
+   across a border. A bucket is sorted by its leading 16 bytes and, where these are tied, by a multikey sort that goes
+   on word by word inside ties only, over the ``DEPTH_WORDS`` words that equal strings must share; suffixes alone in
+   their tie repeat nothing. In a tie each string's hash and place find its equals; their bytes are compared
+   before the earliest one stays and the others go, and strings of equal hash and other bytes are told apart.
 4. Spans go back to the parts, which merge them and cut the texts.
 
-No order of suffixes or strings is made: there are no splitters, no range partition and no multikey quicksort,
-and bytes are never compared. Strings, leading tokens and contexts of equal 64-bit hash are taken as equal; two
-unequal ones would have to agree in all 64 bits.
-
 Edge cases: a null text is empty; texts shorter than ``LENGTH`` bytes are kept; rows that repeat a doc_id
 are ordered by their text, then arbitrarily (they are equal then); null doc_ids count as the smallest;
-an empty table gives no rows.
+an empty table gives no rows; further columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -46,8 +46,11 @@ LENGTH, LEAD, HALF = 100, 24, 50
 PART_BYTES = 3 << 20  # of the input's files
 SLICE_BYTES = 1 << 20
 GROUP_ROWS = 40_000
+SAMPLE_BYTES = 8 << 20
+BUCKETS = 8192  # ranges at most; a bucket is read in pieces of about GROUP_ROWS, not whole
+DEPTH_WORDS = 6  # of eight bytes: 48 of the HALF bytes that equal strings share
 SPAN_SCHEMA = "part long, doc_id long, copy int, spans binary"
-CONTEXT_SCHEMA = "key long, part long, doc_id long, copy int, start int, distance int, context binary, spans binary"
+CONTEXT_SCHEMA = "bucket int, lead long, lead2 long, part long, doc_id long, copy int, start int, distance int, context binary, spans binary"
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -69,6 +72,33 @@ def lead_keys(data: np.ndarray, w8: np.ndarray) -> np.ndarray:
     return _join(_join(w8[:n], w8[8 : 8 + n]), w8[16 : 16 + n])
 
 
+def ordered_words(w8: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes at each place as a signed number that sorts as the bytes do."""
+    return (w8[at].byteswap() ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def multikey_groups(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows by their words, first word first, and where in this order a new group of equal rows begins.
+    Each word is looked at only within rows that all words before have tied."""
+    n = len(words[0])
+    order = np.argsort(words[0], kind="stable")
+    fresh = np.ones(n, bool)
+    fresh[1:] = words[0][order[1:]] != words[0][order[:-1]]
+    for word in words[1:]:
+        alone = fresh & np.append(fresh[1:], True)
+        tied = np.flatnonzero(~alone)
+        if not len(tied):
+            break
+        group = np.cumsum(fresh)[tied]
+        value = word[order[tied]]
+        by = np.lexsort([value, group])
+        order[tied] = order[tied][by]
+        value = value[by]
+        split = np.flatnonzero((value[1:] != value[:-1]) & (group[1:] == group[:-1]))
+        fresh[tied[split + 1]] = True
+    return order, fresh
+
+
 def keys_of(w8: np.ndarray, length: int) -> np.ndarray:
     """At each offset the key of the next ``length`` bytes, by doubling (length of at least 16)."""
     n = len(w8) + 7 - length + 1
@@ -186,9 +216,9 @@ def _ragged(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(data[index].tobytes())])
 
 
-def _contexts(table: pa.Table, tokens: pa.Table) -> pa.Table:
+def _contexts(table: pa.Table, tokens: pa.Table, splitters: np.ndarray) -> pa.Table:
     """Contexts of the anchors with the given tokens, first ones only, and the spans that the others cover."""
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    types = [pa.int32(), *[pa.int64()] * 4, *[pa.int32()] * 3, pa.binary(), pa.binary()]
     names = [x.split()[0] for x in CONTEXT_SCHEMA.split(", ")]
     nothing = pa.Table.from_arrays([pa.array([], t) for t in types], names)
     if not table.num_rows or not tokens.num_rows:
@@ -210,9 +240,18 @@ def _contexts(table: pa.Table, tokens: pa.Table) -> pa.Table:
         kept.append((base, data, offsets, w8, at, lo, hi, doc))
     if not kept:
         return nothing
-    _, first = np.unique(np.concatenate(seen), return_index=True)
-    is_first = np.zeros(sum(map(len, seen)), bool)
+    _, first, same = np.unique(np.concatenate(seen), return_index=True, return_inverse=True)
+    is_first = np.zeros(len(same), bool)
     is_first[first] = True
+    # equal by their hashes: the bytes at either end, which overlap, decide
+    window = np.concatenate([k[1] for k in kept])
+    shift = np.cumsum([0, *(len(k[1]) for k in kept[:-1])])
+    low, high = (np.concatenate([k[i] + d for k, d in zip(kept, shift)]) for i in (5, 6))
+    rest = np.flatnonzero(~is_first)
+    for s in range(0, len(rest), 65_536):
+        r = rest[s : s + 65_536]
+        f = first[same[r]]
+        is_first[r[~(same_bytes(window, low[r], low[f]) & same_bytes(window, high[r], high[f]) & (high[r] - low[r] == high[f] - low[f]))]] = True
     out, covered, done = [], [], 0
     for base, data, offsets, w8, at, lo, hi, doc in kept:
         own = is_first[done : done + len(at)]
@@ -226,34 +265,56 @@ def _contexts(table: pa.Table, tokens: pa.Table) -> pa.Table:
                 covered.append((int(ids[base + o[i]]), int(copies[base + o[i]]), _pack(s[i:j], e[i:j])))
         at, lo, hi, doc, begin = at[own], lo[own], hi[own], doc[own], begin[own]
         # strings with the anchor in their first half share the bytes after it, the others those before it
-        right, left = keys_of(w8, HALF), keys_of(w8, HALF + LEAD)
         for first_half in (True, False):
             a0 = np.maximum(lo, at - HALF) if first_half else lo
             a1 = hi if first_half else np.minimum(hi, at - HALF - 1)
             ok = a1 >= a0
             if not ok.any():
                 continue
-            key = _join(right[at[ok]], np.uint64(1)) if first_half else _join(left[at[ok] - HALF], np.uint64(2))
+            suffix = at[ok] if first_half else at[ok] - HALF
             d = doc[ok]
-            out.append((key.view(np.int64), ids[base + d], copies[base + d], a0[ok] - begin[ok], at[ok] - a0[ok], _ragged(data, a0[ok], a1[ok] + LENGTH)))
+            out.append((ordered_words(w8, suffix), ordered_words(w8, suffix + 8), ids[base + d], copies[base + d], a0[ok] - begin[ok], at[ok] - a0[ok], _ragged(data, a0[ok], a1[ok] + LENGTH)))
     tables = []
-    for key, d, c, start, distance, context in out:
-        n = len(key)
-        tables.append(pa.Table.from_arrays([pa.array(key), pa.array(np.full(n, part, np.int64)), pa.array(d), pa.array(c), pa.array(start.astype(np.int32)), pa.array(distance.astype(np.int32)), context, pa.nulls(n, pa.binary())], names))
+    for lead, lead2, d, c, start, distance, context in out:
+        n = len(lead)
+        bucket = np.searchsorted(splitters, lead, "right").astype(np.int32)
+        tables.append(pa.Table.from_arrays([pa.array(bucket), pa.array(lead), pa.array(lead2), pa.array(np.full(n, part, np.int64)), pa.array(d), pa.array(c), pa.array(start.astype(np.int32)), pa.array(distance.astype(np.int32)), context, pa.nulls(n, pa.binary())], names))
     if covered:
         d, c, s = zip(*covered)
         n = len(d)
-        spread = mix64(np.array(d, np.int64).view(np.uint64)).view(np.int64)
-        tables.append(pa.Table.from_arrays([pa.array(spread), pa.array(np.full(n, part, np.int64)), pa.array(d, pa.int64()), pa.array(c, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(s, pa.binary())], names))
+        spread = (mix64(np.array(d, np.int64).view(np.uint64)) % np.uint64(len(splitters) + 1)).astype(np.int32)
+        tables.append(pa.Table.from_arrays([pa.array(spread), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.full(n, part, np.int64)), pa.array(d, pa.int64()), pa.array(c, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(s, pa.binary())], names))
     return pa.concat_tables(tables) if tables else nothing
 
 
+def same_bytes(data: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Are the LENGTH bytes at p those at q?"""
+    window = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
+    return (window[p] == window[q]).all(1)
+
+
+def _equal_strings(data: np.ndarray, place: np.ndarray, row: np.ndarray, earlier: np.ndarray, later: np.ndarray) -> np.ndarray:
+    """Which pairs of strings (by number; ``place`` is where each begins) have the same bytes. ``later`` ascends; a
+    pair that moves on by one from the pair before it, in both rows, needs only its last byte compared."""
+    p, q = place[earlier], place[later]
+    goes_on = np.zeros(len(later), bool)
+    goes_on[1:] = (later[1:] == later[:-1] + 1) & (earlier[1:] == earlier[:-1] + 1) & (row[later[1:]] == row[later[:-1]]) & (row[earlier[1:]] == row[earlier[:-1]])
+    equal = data[p + LENGTH - 1] == data[q + LENGTH - 1]
+    heads = np.flatnonzero(~goes_on)
+    for s in range(0, len(heads), 65_536):
+        h = heads[s : s + 65_536]
+        equal[h] = same_bytes(data, p[h], q[h])
+    if not equal.all():  # strings of equal hash and other bytes: compare all pairs in full
+        equal = np.concatenate([same_bytes(data, p[s : s + 65_536], q[s : s + 65_536]) for s in range(0, len(p), 65_536)])
+    return equal
+
+
 def _resolve(table: pa.Table) -> pa.Table:
     """Of whole groups of contexts: the spans of strings that are equal to an earlier one."""
     context = table.column("context").combine_chunks()
     context = context.chunk(0) if isinstance(context, pa.ChunkedArray) else context
     names = [x.split()[0] for x in SPAN_SCHEMA.split(", ")]
-    columns = {c: np.asarray(table.column(c)) for c in ("key", "part", "doc_id", "copy", "start", "distance")}
+    columns = {c: np.asarray(table.column(c)) for c in ("part", "doc_id", "copy", "start", "distance")}
     order = np.lexsort([columns["start"], columns["copy"], columns["doc_id"]])  # earliest first
     at = np.frombuffer(context.buffers()[1], np.int32, len(context) + 1, context.offset * 4).astype(np.int64)
     data = np.frombuffer(context.buffers()[2], np.uint8)
@@ -261,14 +322,27 @@ def _resolve(table: pa.Table) -> pa.Table:
     n = size - LENGTH + 1  # strings of each context
     row = np.repeat(np.arange(len(order)), n)
     inner = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    whole = keys_of(words8(data), LENGTH)[begin[row] + inner]
-    place = (columns["distance"][order].astype(np.int64)[row] - inner).astype(np.uint64)
-    key = _join(whole, columns["key"][order].view(np.uint64)[row] + place)
+    where = begin[row] + inner
+    whole = keys_of(words8(data), LENGTH)[where]
+    key = _join(whole, (columns["distance"][order].astype(np.int64)[row] - inner).astype(np.uint64))
     by = np.argsort(key, kind="stable")
     k = key[by]
-    later = by[1:][k[1:] == k[:-1]]
+    again = np.flatnonzero(k[1:] == k[:-1]) + 1
+    fresh = np.ones(len(k), bool)
+    fresh[again] = False
+    first = by[np.maximum.accumulate(np.where(fresh, np.arange(len(k)), 0))]
+    later, earlier = by[again], first[again]
+    o = np.argsort(later)
+    later, earlier = later[o], earlier[o]
     covered = np.zeros(len(row), bool)
-    covered[later] = True
+    equal = _equal_strings(data, where, row, earlier, later)
+    covered[later[equal]] = True
+    if not equal.all():  # the earliest of each other string under that hash
+        seen: set[bytes] = set()
+        for i in later[~equal].tolist():
+            own = data[where[i] : where[i] + LENGTH].tobytes()
+            covered[i] = own in seen
+            seen.add(own)
     hit = np.flatnonzero(covered)
     start = columns["start"][order].astype(np.int64)[row[hit]] + inner[hit]
     s, e, o = merge_spans(start, start + LENGTH, row[hit])
@@ -279,20 +353,36 @@ def _resolve(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(columns["part"][rows]), pa.array(columns["doc_id"][rows]), pa.array(columns["copy"][rows]), pa.array([packed[i:j] for i, j in zip(edges, edges[1:])] if len(cut) else [], pa.binary())], names)
 
 
+def _tied(table: pa.Table) -> np.ndarray:
+    """Which contexts have another one whose suffix has the same first DEPTH_WORDS words."""
+    context = table.column("context").combine_chunks()
+    context = context.chunk(0) if isinstance(context, pa.ChunkedArray) else context
+    at = np.frombuffer(context.buffers()[1], np.int32, len(context) + 1, context.offset * 4).astype(np.int64)[:-1]
+    data = np.frombuffer(context.buffers()[2], np.uint8)
+    distance = np.asarray(table.column("distance")).astype(np.int64)
+    before = distance > HALF
+    suffix = at + distance - HALF * before
+    rest = []
+    for d in range(2, DEPTH_WORDS):
+        word = np.zeros(len(suffix), np.uint64)
+        for b in range(8):
+            word = (word << np.uint64(8)) | data[suffix + 8 * d + b]
+        rest.append(word)
+    order, fresh = multikey_groups([np.asarray(table.column("lead")), np.asarray(table.column("lead2")), before, *rest])
+    tied = np.zeros(len(order), bool)
+    tied[order] = ~(fresh & np.append(fresh[1:], True))
+    return tied
+
+
 def _resolve_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
     rows = 0
     names = [x.split()[0] for x in SPAN_SCHEMA.split(", ")]
 
     def contexts(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        # a context alone in its group repeats nothing
-        key = np.asarray(table.column("key"))
-        same = key[1:] == key[:-1]
-        grouped = np.zeros(len(key), bool)
-        grouped[1:] |= same
-        grouped[:-1] |= same
-        if grouped.any():
-            yield from _resolve(table.filter(pa.array(grouped))).to_batches()
+        tied = _tied(table)
+        if tied.any():
+            yield from _resolve(table.filter(pa.array(tied))).to_batches()
 
     for batch in batches:
         if not batch.num_rows:
@@ -305,8 +395,9 @@ def _resolve_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         rows += batch.num_rows
         if rows >= GROUP_ROWS:
             table = pa.Table.from_batches(held)
-            key = np.asarray(table.column("key"))
-            cut = int(np.searchsorted(key, key[-1])) if key[0] != key[-1] else 0  # the last group may go on
+            lead, lead2 = np.asarray(table.column("lead")), np.asarray(table.column("lead2"))
+            changes = np.flatnonzero((lead[1:] != lead[:-1]) | (lead2[1:] != lead2[:-1]))
+            cut = int(changes[-1]) + 1 if len(changes) else 0  # the last group may go on
             if cut:
                 yield from contexts(table.slice(0, cut))
                 held, rows = table.slice(cut).to_batches(), table.num_rows - cut
@@ -317,6 +408,27 @@ def _resolve_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     give_back()
 
 
+def _sample_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Leading words of the suffixes of sampled texts."""
+    for batch in batches:
+        for _, data, offsets in _slices(pc.fill_null(batch.column("text"), "")):
+            a = Anchors(data, offsets)
+            if len(a.at):
+                lead = np.concatenate([ordered_words(a.w8, a.at), ordered_words(a.w8, a.at[a.at - a.lo > HALF] - HALF)])
+                yield pa.RecordBatch.from_arrays([pa.array(lead)], ["lead"])
+
+
+def sampled_splitters(docs: DataFrame, total_bytes: int, buckets: int) -> np.ndarray:
+    """Leading words that cut the suffixes of a sample of about SAMPLE_BYTES into ranges of equal counts. Splitters
+    decide how even buckets are and nothing else."""
+    rows = docs.select("text")
+    rows = rows.sample(SAMPLE_BYTES / total_bytes, 5) if total_bytes > SAMPLE_BYTES else rows
+    lead = np.sort(np.asarray(rows.mapInArrow(_sample_batches, "lead long").toArrow().column("lead")))
+    if not len(lead):
+        return np.empty(0, np.int64)
+    return np.unique(lead[np.linspace(0, len(lead) - 1, buckets + 1).astype(int)[1:-1]])
+
+
 def _cut(table: pa.Table, spans: pa.Table, carry: list[str], as_text: bool) -> pa.Table:
     """Each document's bytes without its spans; as text, without the parts of characters that a cut has left."""
     ids, copies, texts, order = _ordered(table)
@@ -357,13 +469,15 @@ def _cut_rows(docs: DataFrame, carry: list[str], as_text: bool, part_bytes: int
 
     All steps use one shuffle of the texts, which Spark reuses.
     """
-    parts = parts_for(table_bytes(docs), part_bytes, least=12)
+    total = table_bytes(docs)
+    parts = parts_for(total, part_bytes, least=12)
+    splitters = sampled_splitters(docs, 2 * total, min(8 * parts, BUCKETS))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(c).alias(f"__carry_{c}") for c in carry))
     rows = rows.withColumn("part", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-(2**63)))), F.lit(parts)).cast("long")).repartition(parts, "part")
     reports = rows.groupBy("part").applyInArrow(_report, "token long, part long, seen int")
     twice = reports.withColumn("times", F.sum("seen").over(Window.partitionBy("token"))).where(F.col("times") >= 2).select("part", "token")
-    contexts = rows.groupBy("part").cogroup(twice.groupBy("part")).applyInArrow(_contexts, CONTEXT_SCHEMA)
-    spans = contexts.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_resolve_batches, SPAN_SCHEMA)
+    contexts = rows.groupBy("part").cogroup(twice.groupBy("part")).applyInArrow(lambda t, tokens: _contexts(t, tokens, splitters), CONTEXT_SCHEMA)
+    spans = contexts.repartition(min(parts, BUCKETS), "bucket").sortWithinPartitions("lead", "lead2").mapInArrow(_resolve_batches, SPAN_SCHEMA)
     schema = T.StructType([*T._parse_datatype_string(CUT_SCHEMA.replace("kept binary", "kept string") if as_text else CUT_SCHEMA).fields, *(T.StructField(f"__carry_{c}", docs.schema[c].dataType) for c in carry)])
     carried = [f"__carry_{c}" for c in carry]
     return rows.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(lambda t, s: _cut(t, s, carried, as_text), schema)

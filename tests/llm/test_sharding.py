@@ -1,7 +1,9 @@
+import math
 import zlib
 from collections import Counter
 
 import pytest
+import xxhash
 
 from gridloom.llm.sharding import Leaf, assign, shard_documents, shard_of, topology
 
@@ -60,3 +62,45 @@ def test_changes_stay_in_the_changed_subtrees(keys):
 def test_weightless_tree_is_an_error(spark):
     with pytest.raises(ValueError):
         assign(spark.range(1), "id", [Leaf(0, 0, 0, 0.0)])
+
+
+def plain_shard(key, leaves):
+    """A plain descent: xxHash64 with Spark's seed 42, chained over key and node."""
+
+    def draw(children):
+        def score(name, w):
+            h = xxhash.xxh64_intdigest(name.encode(), xxhash.xxh64_intdigest(key.encode(), 42))
+            return -math.log(((h >> 11) + 0.5) / 2**53) / w
+
+        return min((score(name, w), node) for name, node, w in children)[1] if len(children) > 1 else children[0][1]
+
+    def total(xs):
+        return sum(x.weight for x in xs)
+
+    regions = sorted({x.region for x in leaves})
+    r = draw([(f"r{r}", r, total([x for x in leaves if x.region == r])) for r in regions])
+    racks = sorted({x.rack for x in leaves if x.region == r})
+    k = draw([(f"r{r}/k{k}", k, total([x for x in leaves if (x.region, x.rack) == (r, k)])) for k in racks])
+    return draw([(f"s{x.shard}", x.shard, x.weight) for x in leaves if (x.region, x.rack) == (r, k)])
+
+
+def test_placement_equals_a_plain_descent(spark):
+    df = spark.createDataFrame([(i, "t") for i in [*range(-5, 2000), None]], "doc_id long, text string")
+    for r in shard_documents(df).collect():
+        key = "" if r.doc_id is None else str(r.doc_id)
+        assert (r.shard, r.grown_shard) == (plain_shard(key, topology(16)), plain_shard(key, topology(17)))
+
+
+def test_shard_counts_follow_one_another(spark):
+    df = spark.range(3000).selectExpr("id AS doc_id", "'t' AS text")
+    at = {n: {r.doc_id: r for r in shard_documents(df, n).collect()} for n in (16, 17, 18)}
+    for a, b in ((16, 17), (17, 18)):
+        assert all(at[a][i].grown_shard == at[b][i].shard for i in at[a])
+    with pytest.raises(ValueError):
+        shard_documents(df, 8)
+
+
+def test_rows_of_one_key_are_numbered_in_many_buckets(spark):
+    df = spark.range(5000).selectExpr("CAST(NULL AS long) AS doc_id", "CAST(id AS string) AS text")
+    got = shard_documents(df).collect()
+    assert sorted(r.slot for r in got) == list(range(5000))

@@ -1,6 +1,9 @@
 import hashlib
 import random
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from gridloom.llm import substring_dedup as sd
@@ -68,3 +71,28 @@ def test_query(spark, sf):
     want = plain([(r.doc_id, r.text) for r in table(spark, sf, "documents").collect()])
     got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op5_substring_dedup(spark, sf).collect()), key=str)
     assert sorted(((*w[:4], hashlib.sha256(w[4]).hexdigest()) for w in want), key=str) == got
+
+
+def test_multikey_order_is_the_order_of_bytes():
+    rng = np.random.default_rng(3)
+    words = [rng.integers(0, 3, 500) for _ in range(4)]
+    order, fresh = sd.multikey_groups(words)
+    rows = [tuple(w[i] for w in words) for i in order.tolist()]
+    assert rows == sorted(rows)
+    assert [i for i in range(500) if i == 0 or rows[i] != rows[i - 1]] == np.flatnonzero(fresh).tolist()
+
+
+def test_equal_hashes_of_other_bytes_are_told_apart(monkeypatch):
+    """All hashes are equal: bytes decide."""
+    table = lambda texts: pa.table({"part": [0] * len(texts), "doc_id": list(range(len(texts))), "copy": pa.array([0] * len(texts), pa.int32()), "start": pa.array([0] * len(texts), pa.int32()), "distance": pa.array([5] * len(texts), pa.int32()), "context": pa.array(texts, pa.binary())})
+    texts = [bytes([65 + i % 3]) * 100 for i in range(9)]
+    monkeypatch.setattr(sd, "keys_of", lambda w8, length: np.zeros(len(w8) + 8 - length, np.uint64))
+    got = sd._resolve(table(texts))
+    assert sorted(got.column("doc_id").to_pylist()) == [3, 4, 5, 6, 7, 8]
+
+
+def test_many_buckets(spark, docs, monkeypatch):
+    rows = lambda: Counter((r.doc_id, r.n_removed, tuple(r.span_starts)) for r in sd.remove_repeats(docs, 20_000).collect())
+    want = rows()
+    monkeypatch.setattr(sd, "sampled_splitters", lambda *a: np.empty(0, np.int64))
+    assert rows() == want
