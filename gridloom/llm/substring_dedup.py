@@ -50,7 +50,7 @@ SAMPLE_BYTES = 8 << 20
 BUCKETS = 8192  # ranges at most; a bucket is read in pieces of about GROUP_ROWS, not whole
 DEPTH_WORDS = 6  # of eight bytes: 48 of the HALF bytes that equal strings share
 SPAN_SCHEMA = "part long, doc_id long, copy int, spans binary"
-CONTEXT_SCHEMA = "bucket int, lead long, lead2 long, part long, doc_id long, copy int, start int, distance int, context binary, spans binary"
+CONTEXT_SCHEMA = "bucket int, part long, doc_id long, copy int, start int, distance int, context binary, spans binary"
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -218,7 +218,7 @@ def _ragged(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 def _contexts(table: pa.Table, tokens: pa.Table, splitters: np.ndarray) -> pa.Table:
     """Contexts of the anchors with the given tokens, first ones only, and the spans that the others cover."""
-    types = [pa.int32(), *[pa.int64()] * 4, *[pa.int32()] * 3, pa.binary(), pa.binary()]
+    types = [pa.int32(), *[pa.int64()] * 2, *[pa.int32()] * 3, pa.binary(), pa.binary()]
     names = [x.split()[0] for x in CONTEXT_SCHEMA.split(", ")]
     nothing = pa.Table.from_arrays([pa.array([], t) for t in types], names)
     if not table.num_rows or not tokens.num_rows:
@@ -273,17 +273,17 @@ def _contexts(table: pa.Table, tokens: pa.Table, splitters: np.ndarray) -> pa.Ta
                 continue
             suffix = at[ok] if first_half else at[ok] - HALF
             d = doc[ok]
-            out.append((ordered_words(w8, suffix), ordered_words(w8, suffix + 8), ids[base + d], copies[base + d], a0[ok] - begin[ok], at[ok] - a0[ok], _ragged(data, a0[ok], a1[ok] + LENGTH)))
+            out.append((ordered_words(w8, suffix), ids[base + d], copies[base + d], a0[ok] - begin[ok], at[ok] - a0[ok], _ragged(data, a0[ok], a1[ok] + LENGTH)))
     tables = []
-    for lead, lead2, d, c, start, distance, context in out:
+    for lead, d, c, start, distance, context in out:
         n = len(lead)
         bucket = np.searchsorted(splitters, lead, "right").astype(np.int32)
-        tables.append(pa.Table.from_arrays([pa.array(bucket), pa.array(lead), pa.array(lead2), pa.array(np.full(n, part, np.int64)), pa.array(d), pa.array(c), pa.array(start.astype(np.int32)), pa.array(distance.astype(np.int32)), context, pa.nulls(n, pa.binary())], names))
+        tables.append(pa.Table.from_arrays([pa.array(bucket), pa.array(np.full(n, part, np.int64)), pa.array(d), pa.array(c), pa.array(start.astype(np.int32)), pa.array(distance.astype(np.int32)), context, pa.nulls(n, pa.binary())], names))
     if covered:
         d, c, s = zip(*covered)
         n = len(d)
         spread = (mix64(np.array(d, np.int64).view(np.uint64)) % np.uint64(len(splitters) + 1)).astype(np.int32)
-        tables.append(pa.Table.from_arrays([pa.array(spread), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.full(n, part, np.int64)), pa.array(d, pa.int64()), pa.array(c, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(s, pa.binary())], names))
+        tables.append(pa.Table.from_arrays([pa.array(spread), pa.array(np.full(n, part, np.int64)), pa.array(d, pa.int64()), pa.array(c, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(s, pa.binary())], names))
     return pa.concat_tables(tables) if tables else nothing
 
 
@@ -353,22 +353,28 @@ def _resolve(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(columns["part"][rows]), pa.array(columns["doc_id"][rows]), pa.array(columns["copy"][rows]), pa.array([packed[i:j] for i, j in zip(edges, edges[1:])] if len(cut) else [], pa.binary())], names)
 
 
-def _tied(table: pa.Table) -> np.ndarray:
-    """Which contexts have another one whose suffix has the same first DEPTH_WORDS words."""
+def _suffixes(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all contexts, where the suffix of each begins in them, and which suffixes begin before the anchor."""
     context = table.column("context").combine_chunks()
     context = context.chunk(0) if isinstance(context, pa.ChunkedArray) else context
     at = np.frombuffer(context.buffers()[1], np.int32, len(context) + 1, context.offset * 4).astype(np.int64)[:-1]
-    data = np.frombuffer(context.buffers()[2], np.uint8)
     distance = np.asarray(table.column("distance")).astype(np.int64)
     before = distance > HALF
-    suffix = at + distance - HALF * before
-    rest = []
-    for d in range(2, DEPTH_WORDS):
-        word = np.zeros(len(suffix), np.uint64)
-        for b in range(8):
-            word = (word << np.uint64(8)) | data[suffix + 8 * d + b]
-        rest.append(word)
-    order, fresh = multikey_groups([np.asarray(table.column("lead")), np.asarray(table.column("lead2")), before, *rest])
+    return np.frombuffer(context.buffers()[2], np.uint8), at + distance - HALF * before, before
+
+
+def _word(data: np.ndarray, suffix: np.ndarray, d: int) -> np.ndarray:
+    """The word number ``d`` of each suffix, as a number that sorts as its bytes do."""
+    word = np.zeros(len(suffix), np.uint64)
+    for b in range(8):
+        word = (word << np.uint64(8)) | data[suffix + 8 * d + b]
+    return word
+
+
+def _tied(table: pa.Table) -> np.ndarray:
+    """Which contexts have another one whose suffix has the same first DEPTH_WORDS words."""
+    data, suffix, before = _suffixes(table)
+    order, fresh = multikey_groups([_word(data, suffix, 0), _word(data, suffix, 1), before, *(_word(data, suffix, d) for d in range(2, DEPTH_WORDS))])
     tied = np.zeros(len(order), bool)
     tied[order] = ~(fresh & np.append(fresh[1:], True))
     return tied
@@ -395,7 +401,8 @@ def _resolve_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         rows += batch.num_rows
         if rows >= GROUP_ROWS:
             table = pa.Table.from_batches(held)
-            lead, lead2 = np.asarray(table.column("lead")), np.asarray(table.column("lead2"))
+            data, suffix, _ = _suffixes(table)
+            lead, lead2 = _word(data, suffix, 0), _word(data, suffix, 1)
             changes = np.flatnonzero((lead[1:] != lead[:-1]) | (lead2[1:] != lead2[:-1]))
             cut = int(changes[-1]) + 1 if len(changes) else 0  # the last group may go on
             if cut:
@@ -477,7 +484,9 @@ def _cut_rows(docs: DataFrame, carry: list[str], as_text: bool, part_bytes: int
     reports = rows.groupBy("part").applyInArrow(_report, "token long, part long, seen int")
     twice = reports.withColumn("times", F.sum("seen").over(Window.partitionBy("token"))).where(F.col("times") >= 2).select("part", "token")
     contexts = rows.groupBy("part").cogroup(twice.groupBy("part")).applyInArrow(lambda t, tokens: _contexts(t, tokens, splitters), CONTEXT_SCHEMA)
-    spans = contexts.repartition(min(parts, BUCKETS), "bucket").sortWithinPartitions("lead", "lead2").mapInArrow(_resolve_batches, SPAN_SCHEMA)
+    # the leading bytes are in the context; a column of them would only travel along
+    lead = F.expr(f"substring(context, 1 + distance - if(distance > {HALF}, {HALF}, 0), 16)")
+    spans = contexts.repartition(min(parts, BUCKETS), "bucket").withColumn("lead", lead).sortWithinPartitions("lead").drop("lead").mapInArrow(_resolve_batches, SPAN_SCHEMA)
     schema = T.StructType([*T._parse_datatype_string(CUT_SCHEMA.replace("kept binary", "kept string") if as_text else CUT_SCHEMA).fields, *(T.StructField(f"__carry_{c}", docs.schema[c].dataType) for c in carry)])
     carried = [f"__carry_{c}" for c in carry]
     return rows.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(lambda t, s: _cut(t, s, carried, as_text), schema)
