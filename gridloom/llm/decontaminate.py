@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import SHINGLE, WORDS, give_back, run_hashes, slices
+from gridloom.llm.common import SHINGLE, WORDS, give_back, parts_for, run_hashes, slices, work_path
 
 HASHES, BLOCK, BLOCK_BYTES, CONTAINMENT, SEED = 48, 20_000, 8 << 20, 0.8, 20
 LEAST_WIDTH = 16
@@ -182,8 +182,8 @@ class ItemIndex:
 
 
 def _blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[object, str]]]:
-    """Bounded blocks of items: dealt by hash into as many as BLOCK rows and BLOCK_BYTES need, written once, and
-    fetched one at a time, each from its own folder."""
+    """Bounded blocks of items: dealt by hash of their place (equal items too) into as many as BLOCK rows and
+    BLOCK_BYTES need, written once, and fetched one at a time, each from its own folder."""
     own = items.select(F.col(key).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__item"))
     n, size = own.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("__item")), F.lit(0))).first()
     blocks = max(parts_for(n, BLOCK), parts_for(size, BLOCK_BYTES))
@@ -193,7 +193,7 @@ def _blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[object
             yield rows
         return
     path = work_path(items.sparkSession, "items")
-    own.withColumn("__block", F.pmod(F.xxhash64("__key", "__item"), F.lit(blocks)).cast("int")).repartition(blocks, "__block").write.partitionBy("__block").parquet(path)
+    own.withColumn("__block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")).repartition(blocks, "__block").write.partitionBy("__block").parquet(path)
     written = items.sparkSession.read.schema(T.StructType([T.StructField("__key", items.schema[key].dataType), T.StructField("__item", T.StringType()), T.StructField("__block", T.IntegerType())])).parquet(path)
     for b in range(blocks):
         rows = [(r[0], r[1]) for r in written.where(F.col("__block") == b).select("__key", "__item").collect()]
