@@ -86,6 +86,16 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op13_byte_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from gridloom.llm.byte_codec import decode_documents, encode_documents
+
+    ranks, pattern = tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = decode_documents(encode_documents(table(spark, sf_dir, "documents"), ranks, pattern, keep=["doc_id"]), ranks, pattern)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_chosen_path": op2_chosen_path,
@@ -97,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_html_text": op9_html_text,
     "op10_toxicity": op10_toxicity,
+    "op13_byte_codec": op13_byte_codec,
 }
 
 CONTAINMENT_SQL = r"""
