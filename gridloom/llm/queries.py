@@ -86,6 +86,13 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.vector_codes import books_digest, vector_codes
+
+    codes, books = vector_codes(table(spark, sf_dir, "embeddings"))
+    return codes.withColumn("codebooks_sha256", F.lit(books_digest(books)))
+
+
 def op13_byte_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -107,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_html_text": op9_html_text,
     "op10_toxicity": op10_toxicity,
+    "op11_vector_codes": op11_vector_codes,
     "op13_byte_codec": op13_byte_codec,
 }
 
@@ -150,4 +158,27 @@ SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coal
 FROM d LEFT JOIN head USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op2_chosen_path": LINKS_SQL, "op5_substring_dedup": REPEATS_SQL, "op6_decontaminate": CONTAINMENT_SQL}
+
+
+def _codes_sql(rounds: int = 6) -> str:
+    """Lloyd's rounds with full searches; a search's key is distance * 16 + entry, so ties go to the lower one."""
+    near = lambda r: f"""
+a{r} AS (SELECT vec_id, part, x, m % 16 AS entry, m // 16 AS d FROM (SELECT vec_id, part, any_value(x) AS x,
+  min((list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c))::BIGINT * 16 + entry) AS m FROM p JOIN b{r} USING (part) GROUP BY vec_id, part))"""
+    step = lambda r: f"""
+s{r} AS (SELECT part, entry, i, sum(x[i]::BIGINT) AS s, count(*) AS n FROM a{r}, (SELECT unnest(range(1, (SELECT max(len(x)) FROM p) + 1)) AS i) GROUP BY part, entry, i),
+n{r} AS (SELECT part, entry, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY i) AS c FROM s{r} GROUP BY part, entry),
+b{r + 1} AS (SELECT part, entry, coalesce(n{r}.c, b{r}.c) AS c FROM b{r} LEFT JOIN n{r} USING (part, entry))"""
+    rounds_sql = ",".join(near(r) + "," + step(r) for r in range(rounds))
+    return f"""
+WITH q AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)) AS v, len(embedding) // 8 AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, label, part, v[part * w + 1:(part + 1) * w] AS x FROM q, (SELECT unnest(range(8)) AS part)),
+b0 AS (SELECT part, entry, x AS c FROM (SELECT part, x, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry FROM p) WHERE entry < 16),{rounds_sql},{near(rounds)},
+e AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: x::BIGINT), ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM e JOIN q USING (vec_id), h
+"""
+
+
+ORACLES: dict[str, str] = {"op11_vector_codes": _codes_sql(), "op2_chosen_path": LINKS_SQL, "op5_substring_dedup": REPEATS_SQL, "op6_decontaminate": CONTAINMENT_SQL}
