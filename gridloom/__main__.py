@@ -1,9 +1,9 @@
 """Commands: index, splits, pack, verify, train, eval, sample.
 
-    python -m gridloom index --data-root ROOT --decoder MODULE:FUNCTION --output DIR
+    python -m gridloom index --data-root ROOT --output DIR
 
-A decoder turns a file's bytes into ``{"bt": [...], "wmo_wind": number or None}``; the array format's own library is
-not a dependency. Networks (``--predictor``) and training steps (``--trainer``) are the caller's functions too.
+Image files are of the classic array format; for others, a ``--decoder`` turns a file's bytes into ``{"bt": [...],
+"wmo_wind": number or None}``. Networks (``--predictor``) and training steps (``--trainer``) are the caller's functions too.
 Locations may be of any file system that Spark reads.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import config as cf
 from gridloom.operators import catalog, diffusion, feed, metrics, sampling, storms
 from gridloom.session import written
-from gridloom.sources import files
+from gridloom.sources import files, netcdf
 
 
 def load(name: str) -> Callable[..., Any]:
@@ -35,13 +35,17 @@ def _now() -> str:
     return datetime.now(UTC).isoformat()
 
 
-def _images(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+def _images(spark: SparkSession, a: argparse.Namespace, *columns: str) -> DataFrame:
+    """Columns ``columns`` of the image files: only those are read from files of the classic format."""
+    kinds = {"bt": "array<float>", "wmo_wind": "double"}
+    if a.decoder is None:
+        return netcdf.read_files(spark, a.data_root, ", ".join(["rel_path string", *(f"{c} {kinds[c]}" for c in columns)]), a.pattern)
     return files.decode_files(spark, a.data_root, load(a.decoder), "bt array<float>, wmo_wind double", a.pattern)
 
 
 def index(spark: SparkSession, a: argparse.Namespace) -> None:
     """Classifies the files below a root and writes the index: a JSON document and a table."""
-    found = written(_images(spark, a).select("rel_path", "wmo_wind"), "snapshots")
+    found = written(_images(spark, a, "wmo_wind").select("rel_path", "wmo_wind"), "snapshots")
     feed.require_rows(found, f"no {a.pattern} below {a.data_root}")
     files.write_json(catalog.index_json(found, a.data_root), f"{a.output}/document")
     catalog.dataset_index(found).write.parquet(f"{a.output}/table")
@@ -62,7 +66,7 @@ def splits(spark: SparkSession, a: argparse.Namespace) -> None:
 def pack(spark: SparkSession, a: argparse.Namespace) -> None:
     """Indexed images in path order, in shards, with a manifest."""
     indexed = files.read_index(spark, f"{a.dataset_index}/document", strict=True)
-    images = _images(spark, a).select("rel_path", "bt")
+    images = _images(spark, a, "bt").select("rel_path", "bt")
     packed = written(catalog.pack(indexed.join(images, "rel_path", "left"), a.samples_per_shard), "packed")
     catalog.write_pack(packed, a.output_dir, a.samples_per_shard, {"created_at": _now(), "data_root": a.data_root, "dataset_index": a.dataset_index}, a.overwrite)
 
@@ -75,7 +79,7 @@ def verify(spark: SparkSession, a: argparse.Namespace) -> None:
     checks = catalog.validate_pack(packed, catalog.manifest(packed), document["num_samples"], document["sample_shape"][0])
     failed = [r.check for r in checks.where("failures > 0").collect()]  # a row per kind of check
     indexed = files.read_index(spark, f"{a.dataset_index}/document")
-    row = catalog.verify_pack(packed, indexed, _images(spark, a), a.num_samples, a.seed, a.atol).first().asDict()
+    row = catalog.verify_pack(packed, indexed, _images(spark, a, "bt"), a.num_samples, a.seed, a.atol).first().asDict()
     print(json.dumps(row | {"failed_checks": failed}))
     if failed or not row["ok"]:
         raise SystemExit(1)
@@ -122,13 +126,13 @@ def parser() -> argparse.ArgumentParser:
             if isinstance(value, bool):
                 own.add_argument(flag, action="store_true")
             else:
-                own.add_argument(flag, default=value, type=type(value) if value is not None else None)
+                own.add_argument(flag, default=value, type=type(value) if value is not None else str)
         return own
 
-    command(index, "index", "data-root", "decoder", "output", pattern="*.nc")
+    command(index, "index", "data-root", "output", decoder=None, pattern="*.nc")
     command(splits, "splits", "csv-path", "data-root", "out-dir", pattern="*.nc", frac_train=0.8, frac_val=0.1, frac_test=0.1, seed=42)
-    command(pack, "pack", "data-root", "decoder", "dataset-index", "output-dir", pattern="*.nc", samples_per_shard=4096, overwrite=False)
-    command(verify, "verify", "data-root", "decoder", "dataset-index", "packed", pattern="*.nc", num_samples=256, seed=42, atol=0.0)
+    command(pack, "pack", "data-root", "dataset-index", "output-dir", decoder=None, pattern="*.nc", samples_per_shard=4096, overwrite=False)
+    command(verify, "verify", "data-root", "dataset-index", "packed", decoder=None, pattern="*.nc", num_samples=256, seed=42, atol=0.0)
     own = command(train, "train", "packed", "dataset-index", "trainer", config=None, steps=2000, batch_size=8, alpha=1.0, seed=42)
     own.add_argument("--override", action="append", default=[])
     command(evaluate, "eval", "images", "output")

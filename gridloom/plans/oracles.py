@@ -231,3 +231,11 @@ SELECT id, j AS i, {r('v')} AS v FROM src JOIN turned USING (id) WHERE go AND tu
     "train_batches": "SELECT vec_id // 64 AS batch, count(*) AS n, sum(label)::BIGINT AS labels FROM embeddings GROUP BY 1 HAVING count(*) = 64",
     "viz_sample_grid": f"WITH {RAW}, f AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS p FROM (SELECT DISTINCT id FROM px WHERE class = 0 AND set = 'real') QUALIFY p < 7), g AS (SELECT (p // 3 * 8 + i // 8)::INT AS y, (p % 3 * 8 + i % 8)::INT AS x, v FROM f JOIN px USING (id)), c AS (SELECT y::INT AS y, x::INT AS x FROM (SELECT (count(*) + 2) // 3 AS rows FROM f), range(24) b(x), range(24) a(y) WHERE y < rows * 8) SELECT c.y, c.x, {r('coalesce(v, 0)')} AS v FROM c LEFT JOIN g USING (y, x)",
 }
+
+ORACLES |= {
+    "netcdf_index": f"""WITH f AS (SELECT (vec_id % 10) || '/' || vec_id || '-e.nc' AS rel_path, CASE WHEN vec_id % 17 <> 0 THEN (vec_id * 7 % 150)::DOUBLE END AS w FROM embeddings)
+SELECT rel_path, {CAT.format(w="w")} AS ss_cat, {r("w")} AS wmo_wind_kt FROM f WHERE {CAT.format(w="w")} IS NOT NULL""",
+    "netcdf_images": f"WITH {E} SELECT (id % 10) || '/' || id || '-e.nc' AS rel_path, 8 AS height, i, {r('v')} AS v FROM e",
+    "packed_lookup": f"""WITH {E}, p AS (SELECT vec_id AS id, vec_id || '-e.nc' AS rel_path, label % 6 AS ss_cat FROM embeddings), g AS (SELECT *, row_number() OVER (ORDER BY rel_path) - 1 AS global_index FROM p)
+SELECT rel_path, global_index, (global_index // 128)::INT AS shard_id, ss_cat::INT AS ss_cat, {r('sum(v)')} AS total FROM g JOIN e USING (id) GROUP BY ALL""",
+}

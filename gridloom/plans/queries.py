@@ -13,6 +13,7 @@ from gridloom.functions import scalar as sc
 from gridloom.operators import catalog, diffusion, feed, history, layers, metrics, sampling, storms
 from gridloom.plans import bindings as b
 from gridloom.session import table_path, written
+from gridloom.sources import netcdf, packed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SEED = 42
@@ -677,3 +678,46 @@ def pack_verification(spark, sf):
 def pack_manifest(spark, sf):
     packed = written(catalog.pack(b.index(spark, sf), 512), "packed")
     return catalog.manifest_json(packed, 512, b.SIDE * b.SIDE).select(F.get_json_object("value", "$.num_samples").cast("long").alias("num_samples"), F.get_json_object("value", "$.samples_per_shard").cast("int").alias("samples_per_shard"), F.explode(F.from_json(F.get_json_object("value", "$.shards"), "array<struct<path string, start long, stop long>>")).alias("s")).select("num_samples", "samples_per_shard", "s.*")
+
+
+# Files
+
+
+def _image_files(spark, sf):
+    """Every vector as an image file of the classic array format; those of ids divisible by 17 have no wind."""
+    root = table_path(spark, "files")
+    netcdf.register(spark)
+    i = F.col("vec_id")
+    rows = b.table(spark, sf, "embeddings").select(
+        F.concat((i % 10).cast("string"), F.lit("/"), i.cast("string"), F.lit("-e.nc")).alias("rel_path"),
+        F.when(i % 17 != 0, (i * 7 % 150).cast("double")).alias("wmo_wind"),
+        F.col("embedding").alias("bt"),
+        F.array(F.lit(b.SIDE), F.lit(b.SIDE)).alias("bt_shape"),
+    )
+    rows.write.format("gridnc").mode("append").save(root)
+    return root
+
+
+@query
+def netcdf_index(spark, sf):
+    """The class index of image files, from their headers alone."""
+    found = netcdf.read_files(spark, _image_files(spark, sf), "rel_path string, wmo_wind double")
+    return rounded(catalog.dataset_index(found), "wmo_wind_kt")
+
+
+@query
+def netcdf_images(spark, sf):
+    found = netcdf.read_files(spark, _image_files(spark, sf), "rel_path string, bt array<float>, bt_shape array<int>")
+    return exploded(found.select("rel_path", F.element_at("bt_shape", 1).alias("height"), F.col("bt").cast("array<double>").alias("bt")), ["rel_path", "height"], "bt")
+
+
+@query
+def packed_lookup(spark, sf):
+    """A packed set, opened with its checks, and each of its paths looked up."""
+    i = F.col("vec_id")
+    images = b.table(spark, sf, "embeddings").select(F.concat(i.cast("string"), F.lit("-e.nc")).alias("rel_path"), (F.col("label") % 6).cast("int").alias("ss_cat"), F.col("embedding").alias("bt"))
+    path = table_path(spark, "pack")
+    catalog.write_pack(written(catalog.pack(images, 128), "packed"), path, 128)
+    found = packed.open_packed(spark, path).by_path(images.select("rel_path"))
+    total = F.aggregate("bt", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return rounded(found.select("rel_path", "global_index", "shard_id", "ss_cat", total.alias("total")), "total")
