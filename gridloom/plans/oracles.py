@@ -233,6 +233,13 @@ SELECT id, j AS i, {r('v')} AS v FROM src JOIN turned USING (id) WHERE go AND tu
 }
 
 ORACLES |= {
+    "early_stop_resumed": f"""WITH RECURSIVE days AS (SELECT user_id % 5 AS run, date_diff('day', DATE '1970-01-01', ts::DATE)::BIGINT AS step, avg(value) AS f, avg(value) FILTER (event_id % 3 = 0) AS b FROM events GROUP BY ALL),
+seq AS (SELECT run, step, CASE WHEN step % 7 <> 0 THEN f END AS f, b, row_number() OVER (PARTITION BY run ORDER BY step) AS r FROM days),
+t AS (SELECT DISTINCT run, 0 AS r, NULL::BIGINT AS last, NULL::BIGINT AS fe, 'inf'::DOUBLE AS f, 0 AS bad, NULL::BIGINT AS be, 'inf'::DOUBLE AS b, NULL::BIGINT AS stop FROM days
+UNION ALL SELECT t.run, seq.r, seq.step, CASE WHEN t.f - seq.f > 0.5 THEN seq.step ELSE t.fe END, CASE WHEN t.f - seq.f > 0.5 THEN seq.f ELSE t.f END, CASE WHEN seq.f IS NULL THEN t.bad WHEN t.f - seq.f > 0.5 THEN 0 ELSE t.bad + 1 END,
+CASE WHEN t.b - seq.b > 0.5 THEN seq.step ELSE t.be END, CASE WHEN t.b - seq.b > 0.5 THEN seq.b ELSE t.b END, CASE WHEN seq.f IS NOT NULL AND NOT t.f - seq.f > 0.5 AND t.bad + 1 >= 6 THEN seq.step END
+FROM t JOIN seq ON seq.run = t.run AND seq.r = t.r + 1 WHERE t.stop IS NULL)
+SELECT run, last AS last_epoch, fe AS best_epoch, {r('f')} AS best_full, bad, be AS best_balanced_epoch, {r('b')} AS best_balanced, stop AS stopped_epoch FROM t QUALIFY row_number() OVER (PARTITION BY run ORDER BY t.r DESC) = 1""",
     "netcdf_index": f"""WITH f AS (SELECT (vec_id % 10) || '/' || vec_id || '-e.nc' AS rel_path, CASE WHEN vec_id % 17 <> 0 THEN (vec_id * 7 % 150)::DOUBLE END AS w FROM embeddings)
 SELECT rel_path, {CAT.format(w="w")} AS ss_cat, {r("w")} AS wmo_wind_kt FROM f WHERE {CAT.format(w="w")} IS NOT NULL""",
     "netcdf_images": f"WITH {E} SELECT (id % 10) || '/' || id || '-e.nc' AS rel_path, 8 AS height, i, {r('v')} AS v FROM e",

@@ -13,7 +13,7 @@ from gridloom.functions import scalar as sc
 from gridloom.operators import catalog, diffusion, feed, history, layers, metrics, sampling, storms
 from gridloom.plans import bindings as b
 from gridloom.session import table_path, written
-from gridloom.sources import netcdf, packed
+from gridloom.sources import files, netcdf, packed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SEED = 42
@@ -534,6 +534,21 @@ def early_stop(spark, sf):
     return rounded(history.early_stop(b.daily(spark, sf), "run", "step", "value", 3, 0.5), "best_metric")
 
 
+@query
+def early_stop_resumed(spark, sf):
+    """Both trackers over a run in two parts: the state of the first is stored, read again and carried on."""
+    e = b.table(spark, sf, "events")
+    day = F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).cast("bigint")
+    epochs = e.groupBy((F.col("user_id") % 5).alias("run"), day.alias("step")).agg(F.avg("value").alias("full"), F.avg(F.when(F.col("event_id") % 3 == 0, F.col("value"))).alias("balanced"))
+    epochs = epochs.withColumn("full", F.when(F.col("step") % 7 != 0, F.col("full")))  # days without validation
+    epochs, path = written(epochs, "epochs"), table_path(spark, "state")
+    half = "(SELECT (min(step) + max(step)) / 2 FROM {e})"
+    args = ("run", "step", "full", "balanced", 6, 0.5)
+    files.append_state(history.track(spark.sql(f"SELECT * FROM {{e}} WHERE step <= {half}", e=epochs), *args), path)
+    files.append_state(history.track(spark.sql(f"SELECT * FROM {{e}} WHERE step > {half}", e=epochs), *args, files.read_state(spark, path, "run")), path)
+    return rounded(files.read_state(spark, path, "run"), "best_full", "best_balanced")
+
+
 # Conditioning features and layers
 
 

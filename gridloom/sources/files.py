@@ -113,3 +113,14 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
 def append_history(rows: DataFrame, path: str) -> None:
     """Adds epochs; the commit protocol makes it whole or absent."""
     rows.write.mode("append").parquet(path)
+
+
+def append_state(state: DataFrame, path: str) -> None:
+    """Adds the run states of ``history.track``; older ones stay, so a write that fails leaves them as they were."""
+    state.write.mode("append").parquet(path)
+
+
+def read_state(spark: SparkSession, path: str, group: str) -> DataFrame:
+    """The latest state of each group."""
+    rows = spark.read.parquet(path)
+    return rows.groupBy(group).agg(F.max_by(F.struct(*[c for c in rows.columns if c != group]), F.coalesce("last_epoch", F.lit(-(1 << 62)))).alias("s")).select(group, "s.*")
