@@ -53,6 +53,13 @@ def upsample(images: DataFrame, n: int) -> DataFrame:
     return images.select("id", F.transform(F.sequence(F.lit(0), F.lit(4 * n * n - 1)), at).alias("x"))
 
 
+def joined_channels(x: str | Column, skip: str | Column, channels: int, skip_channels: int) -> Column:
+    """Two images of one size (channels last) as one: each pixel's channels of the first, then those of the second."""
+    x, skip = (F.col(c) if isinstance(c, str) else c for c in (x, skip))
+    pixel = lambda i: F.concat(F.slice(x, i * channels + 1, F.lit(channels)), F.slice(skip, i * skip_channels + 1, F.lit(skip_channels)))
+    return F.flatten(F.transform(F.sequence(F.lit(0), (F.size(x) / channels - 1).cast("int")), pixel))
+
+
 def conv3x3(cells: DataFrame, kernel: list[float], n: int) -> DataFrame:
     """One-channel convolution with zero padding: every pixel adds to its up to nine neighbours."""
     offsets = F.array(*[F.struct(F.lit(1 - k // 3).alias("dy"), F.lit(1 - k % 3).alias("dx"), F.lit(float(w)).alias("w")) for k, w in enumerate(kernel)])

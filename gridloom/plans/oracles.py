@@ -232,7 +232,44 @@ SELECT id, j AS i, {r('v')} AS v FROM src JOIN turned USING (id) WHERE go AND tu
     "viz_sample_grid": f"WITH {RAW}, f AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS p FROM (SELECT DISTINCT id FROM px WHERE class = 0 AND set = 'real') QUALIFY p < 7), g AS (SELECT (p // 3 * 8 + i // 8)::INT AS y, (p % 3 * 8 + i % 8)::INT AS x, v FROM f JOIN px USING (id)), c AS (SELECT y::INT AS y, x::INT AS x FROM (SELECT (count(*) + 2) // 3 AS rows FROM f), range(24) b(x), range(24) a(y) WHERE y < rows * 8) SELECT c.y, c.x, {r('coalesce(v, 0)')} AS v FROM c LEFT JOIN g USING (y, x)",
 }
 
+def fixed(seed: int, *places: str) -> str:
+    """The rule of the small weights of the blocks, over places."""
+    return f"(({' + '.join(f'{m} * {p}' for m, p in zip((3, 5, 2, 1), places))} + {seed}) % 7 - 3) / 8::DOUBLE"
+
+
+TILES = "x AS (SELECT vec_id AS id, i // 4 AS p, i % 4 AS c, v FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)), emb AS (SELECT vec_id AS id, [vec_id % 5 / 5::DOUBLE, (label % 3)::DOUBLE] AS e FROM embeddings)"
+
+
+def normed(source: str, channels: int, seed: int) -> str:
+    """The norm in two groups of (id, p, c, v), scaled and shifted by channel."""
+    return f"SELECT id, p, c, (v - avg(v) OVER w) / sqrt(var_pop(v) OVER w + 1e-5) * (1 + {fixed(seed, 'c')}) + {fixed(seed + 1, 'c')} AS v FROM {source} WINDOW w AS (PARTITION BY id, c // {channels // 2})"
+
+
+def _res(c: int) -> str:
+    """A residual block: convolutions as joins of pixels with offsets and weights."""
+    conv = lambda source, n, seed: f"""SELECT id, q AS p, o AS c, sum(v * ({fixed(seed, 'dy', 'dx', 'c', 'o')})) + any_value({fixed(seed + 1, 'o')}) AS v
+FROM (SELECT s.*, dy, dx, o, (p // 4 - dy + 1) AS y, (p % 4 - dx + 1) AS z, (p // 4 - dy + 1) * 4 + p % 4 - dx + 1 AS q FROM {source} s, range(3) a(dy), range(3) b(dx), range({c}) k(o)) WHERE y BETWEEN 0 AND 3 AND z BETWEEN 0 AND 3 GROUP BY id, q, o"""
+    film = lambda k: f"(e[1] * ({fixed(8, '0', f'(c + {k * c})')}) + e[2] * ({fixed(8, '1', f'(c + {k * c})')}) + {fixed(9, f'(c + {k * c})')})"
+    act = lambda source, k: f"SELECT id, p, c, h / (1 + exp(-h)) AS v FROM (SELECT id, p, c, v * (1 + {film(k)}) + {film(k + 1)} AS h FROM {source} JOIN emb USING (id))"
+    skip = "x" if c == 4 else f"(SELECT id, p, o AS c, sum(v * ({fixed(6, 'c', 'o')})) + any_value({fixed(7, 'o')}) AS v FROM x, range({c}) k(o) GROUP BY id, p, o)"
+    return f"""WITH {TILES}, c1 AS ({conv('x', 4, 1)}), n1 AS ({normed('c1', c, 3)}), a1 AS ({act('n1', 0)}), c2 AS ({conv('a1', c, 4)}), n2 AS ({normed('c2', c, 4)}), a2 AS ({act('n2', 2)})
+SELECT id, (p * {c} + c)::INT AS i, {r('a.v + s.v')} AS v, {c} AS channels FROM a2 a JOIN {skip} s USING (id, p, c)"""
+
+
+ATTENTION = f"""WITH {TILES}, n AS ({normed('x', 4, 2)}),
+qkv AS (SELECT id, p, h, d, sum(v * 4 * ({fixed(1, 'c', 'h', 'd')})) + any_value({fixed(4, 'h', 'd')}) AS q, sum(v * 4 * ({fixed(2, 'c', 'h', 'd')})) + any_value({fixed(5, 'h', 'd')}) AS k, sum(v * 4 * ({fixed(3, 'c', 'h', 'd')})) + any_value({fixed(6, 'h', 'd')}) AS v
+  FROM n, range(2) a(h), range(2) b(d) GROUP BY id, p, h, d),
+s AS (SELECT a.id, a.p, b.p AS t, a.h, exp(sum(a.q * b.k) / sqrt(2::DOUBLE)) AS w FROM qkv a JOIN qkv b USING (id, h, d) GROUP BY ALL),
+w AS (SELECT id, p, t, h, w / sum(w) OVER (PARTITION BY id, p, h) AS w FROM s),
+z AS (SELECT w.id, w.p, w.h, d, sum(w * v) AS z FROM w JOIN qkv ON qkv.id = w.id AND qkv.h = w.h AND qkv.p = w.t GROUP BY ALL),
+o AS (SELECT id, p, c, sum(z * ({fixed(4, 'h', 'd', 'c')})) + any_value({fixed(6, 'c')}) AS v FROM z, range(4) k(c) GROUP BY id, p, c)
+SELECT id, (p * 4 + c)::INT AS i, {r('o.v + x.v')} AS v FROM o JOIN x USING (id, p, c)"""
+
 ORACLES |= {
+    "groupnorm_affine": f"WITH {TILES} SELECT id, (p * 4 + c)::INT AS i, {r('v')} AS v FROM ({normed('x', 4, 3)})",
+    "res_block": f"{_res(4).replace('WITH', 'SELECT * FROM (WITH', 1)}) UNION ALL SELECT * FROM ({_res(2)})",
+    "attention_block": ATTENTION,
+    "upsample_skip": f"WITH up AS ({ORACLES['upsample']}), c AS (SELECT id, i AS p, 0 AS c, v FROM up UNION ALL SELECT id, i, 1 + k, (2 * i + k + id)::DOUBLE FROM up, range(2) t(k)) SELECT id, (p // 16 * 3 + c)::INT AS i, {r('sum((p % 16 + 1) * v)')} AS v FROM c GROUP BY 1, 2",
     "early_stop_resumed": f"""WITH RECURSIVE days AS (SELECT user_id % 5 AS run, date_diff('day', DATE '1970-01-01', ts::DATE)::BIGINT AS step, avg(value) AS f, avg(value) FILTER (event_id % 3 = 0) AS b FROM events GROUP BY ALL),
 seq AS (SELECT run, step, CASE WHEN step % 7 <> 0 THEN f END AS f, b, row_number() OVER (PARTITION BY run ORDER BY step) AS r FROM days),
 t AS (SELECT DISTINCT run, 0 AS r, NULL::BIGINT AS last, NULL::BIGINT AS fe, 'inf'::DOUBLE AS f, 0 AS bad, NULL::BIGINT AS be, 'inf'::DOUBLE AS b, NULL::BIGINT AS stop FROM days

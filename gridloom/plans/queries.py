@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import images as im
 from gridloom.functions import scalar as sc
-from gridloom.operators import catalog, diffusion, feed, history, layers, metrics, sampling, storms
+from gridloom.operators import blocks, catalog, diffusion, feed, history, layers, metrics, sampling, storms
 from gridloom.plans import bindings as b
 from gridloom.session import table_path, written
 from gridloom.sources import files, netcdf, packed
@@ -642,6 +642,61 @@ def condition_embedding(spark, sf):
     return exploded(e.select("id", layers.branch_sum("a", "c", "w").alias("y")), ["id"], "y")
 
 
+def fixed_array(*shape, seed):
+    """Small weights of a rule that SQL can repeat: ((3 first + 5 second + 2 third + fourth + seed) mod 7 - 3) / 8."""
+    import numpy as np
+
+    places = np.indices(shape)
+    return ((sum(m * p for m, p in zip((3, 5, 2, 1), places)) + seed) % 7 - 3) / 8
+
+
+def fixed_norm(channels, seed):
+    return blocks.Norm(1 + fixed_array(channels, seed=seed), fixed_array(channels, seed=seed + 1))
+
+
+def _tiles(spark, sf):
+    """Vectors as 4 x 4 images of four channels, with an embedding of two numbers."""
+    i = F.col("vec_id")
+    return b.table(spark, sf, "embeddings").select(i.alias("id"), F.col("embedding").cast("array<double>").alias("x"), F.array((i % 5).cast("double") / 5, (F.col("label") % 3).cast("double")).alias("emb"))
+
+
+@query
+def groupnorm_affine(spark, sf):
+    out = blocks.norm_block(_tiles(spark, sf), "x", (4, 4, 4), fixed_norm(4, 3), most=2)
+    return exploded(out, ["id"], "y")
+
+
+@query
+def res_block(spark, sf):
+    """Four channels to four, and to two through a skip convolution."""
+    out = None
+    for c in (4, 2):
+        skip = {} if c == 4 else {"skip": fixed_array(4, c, seed=6), "skip_bias": fixed_array(c, seed=7)}
+        w = blocks.ResWeights(fixed_array(3, 3, 4, c, seed=1), fixed_array(c, seed=2), fixed_norm(c, 3), fixed_array(3, 3, c, c, seed=4), fixed_array(c, seed=5), fixed_norm(c, 4), fixed_array(2, 4 * c, seed=8), fixed_array(4 * c, seed=9), **skip)
+        one = exploded(blocks.res_block(_tiles(spark, sf), "x", "emb", (4, 4, 4), w, most=2), ["id"], "y").withColumn("channels", F.lit(c))
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+@query
+def attention_block(spark, sf):
+    """Two heads over 16 tokens, in blocks of five keys."""
+    m = lambda seed: {n: v for k, name in enumerate(("query", "key", "value")) for n, v in ((name, 4 * fixed_array(4, 2, 2, seed=seed + k)), (f"{name}_bias", fixed_array(2, 2, seed=seed + k + 3)))}
+    w = blocks.AttentionWeights(fixed_norm(4, 2), **m(1), out=fixed_array(2, 2, 4, seed=4), out_bias=fixed_array(4, seed=6))
+    return exploded(blocks.attention_block(_tiles(spark, sf), "x", (4, 4, 4), w, most=2, block=5), ["id"], "y")
+
+
+@query
+def upsample_skip(spark, sf):
+    """An image doubled, with a skip of two channels put beside it: three channels a pixel, summed by line and channel
+    with weights of 1, 2, ... along the line."""
+    e = b.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
+    skip = F.transform(F.sequence(F.lit(0), F.lit(511)), lambda j: j.cast("double") + F.col("id"))
+    joined = layers.upsample(e, b.SIDE).select("id", layers.joined_channels(F.transform("x", lambda v: F.round(v, 6)), skip, 1, 2).alias("y"))
+    line = lambda j: F.aggregate(F.sequence(F.lit(0), F.lit(15)), F.lit(0.0), lambda a, x: a + (x + 1) * F.element_at("y", ((F.floor(j / 3) * 16 + x) * 3 + j % 3 + 1).cast("int")))
+    return rounded(joined.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(47)), line)).alias("i", "v")), "v")
+
+
 # Streams and loops
 
 
