@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,11 +95,9 @@ def pixels(images: DataFrame, bt: str = "bt") -> DataFrame:
     return images.select(*rest, F.posexplode(bt).alias("i", "v"))
 
 
-def geometry(spark: SparkSession, n: int, r_bins: int, theta_bins: int) -> DataFrame:
-    """i, rbin and tbin of each pixel of an n x n image about its centre. n * n rows, fixed by the image size."""
-    i = F.col("id")
-    y, x = F.floor(i / n) - (n - 1) / 2, (i % n) - (n - 1) / 2
-    r, r_max = F.sqrt(y * y + x * x), math.hypot((n - 1) / 2, (n - 1) / 2)
-    theta = (F.atan2(y, x) + math.pi) / (2 * math.pi)
-    bins = lambda v, k: F.least(F.floor(v * k), F.lit(k - 1)).cast("int")
-    return spark.range(n * n).select(i.cast("int").alias("i"), bins(r / (r_max + 1e-12), r_bins).alias("rbin"), bins(theta, theta_bins).alias("tbin"))
+def polar_bins(n: int, r_bins: int, theta_bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ring and sector of each pixel of an n x n image about its centre."""
+    y, x = (np.indices((n, n)) - (n - 1) / 2).reshape(2, -1)
+    r_max = math.hypot((n - 1) / 2, (n - 1) / 2)
+    part = lambda v, k: np.minimum(np.floor(v * k), k - 1).astype(np.int64)
+    return part(np.sqrt(y * y + x * x) / (r_max + 1e-12), r_bins), part((np.arctan2(y, x) + math.pi) / (2 * math.pi), theta_bins)

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
 from pathlib import Path
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 import yaml
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,6 +78,36 @@ def shuffled(df: DataFrame, seed: int, key: str) -> DataFrame:
     return df.orderBy(seeded(seed, key), key)
 
 
+def buffered(df: DataFrame, batch: int, seed: int, epoch: int = 0) -> DataFrame:
+    """The rows of each partition's stream through a buffer of four batches: every row that comes in once it is full sends
+    out a random one of those held, and the rest follow in random order at the end. Choices depend on seed, epoch and
+    partition alone, so a task that runs again gives the same order; nothing moves between partitions, and no more than
+    the buffer and an Arrow batch is held."""
+    if batch <= 0:
+        raise ValueError("batch must be positive")
+    size = 4 * batch
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        rng = np.random.default_rng([seed, epoch, part])
+        held = None
+        for incoming in stream:
+            if not incoming.num_rows:
+                continue
+            rows = pa.Table.from_batches([incoming] if held is None else [held, incoming])
+            slots = list(range(min(size, rows.num_rows)))  # the rows that the buffer holds, by number
+            out = np.empty(max(rows.num_rows - size, 0), np.int64)
+            for k, pick in enumerate(rng.integers(0, size, len(out)).tolist()):
+                out[k], slots[pick] = slots[pick], size + k
+            if len(out):
+                yield from rows.take(pa.array(out)).combine_chunks().to_batches()
+            held = rows.take(pa.array(slots)).combine_chunks().to_batches()[0]
+        if held is not None:
+            yield held.take(pa.array(rng.permutation(held.num_rows)))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def batches(df: DataFrame, row: str, size: int, drop_last: bool) -> DataFrame:
     """``batch`` of rows numbered from 0; a short last batch is kept for evaluation and dropped for training. The
     rows of each batch are counted from the number of rows, not by gathering them."""

@@ -56,8 +56,9 @@ def upsample(images: DataFrame, n: int) -> DataFrame:
 def joined_channels(x: str | Column, skip: str | Column, channels: int, skip_channels: int) -> Column:
     """Two images of one size (channels last) as one: each pixel's channels of the first, then those of the second."""
     x, skip = (F.col(c) if isinstance(c, str) else c for c in (x, skip))
-    pixel = lambda i: F.concat(F.slice(x, i * channels + 1, F.lit(channels)), F.slice(skip, i * skip_channels + 1, F.lit(skip_channels)))
-    return F.flatten(F.transform(F.sequence(F.lit(0), (F.size(x) / channels - 1).cast("int")), pixel))
+    pixel = lambda p, i: F.concat(F.slice(p["x"], i * channels + 1, F.lit(channels)), F.slice(p["s"], i * skip_channels + 1, F.lit(skip_channels)))
+    both = F.array(F.struct(x.alias("x"), skip.alias("s")))  # named, so that neither image is made again for each pixel
+    return F.flatten(F.flatten(F.transform(both, lambda p: F.transform(F.sequence(F.lit(0), (F.size(p["x"]) / channels - 1).cast("int")), lambda i: pixel(p, i)))))
 
 
 def conv3x3(cells: DataFrame, kernel: list[float], n: int) -> DataFrame:

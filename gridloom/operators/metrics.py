@@ -7,16 +7,17 @@ explode the array once; partial aggregation brings a task's pixels down to a row
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from gridloom.functions.images import BT_MAX, BT_MIN, COLD, geometry, pixels
+from gridloom.functions.images import BT_MAX, BT_MIN, COLD, polar_bins
+from gridloom.session import written
 
 EPS = 1e-12
 
@@ -26,32 +27,85 @@ def moments(values: DataFrame, by: list[str], value: str = "v") -> DataFrame:
     return values.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.coalesce(F.skewness(value), F.lit(0.0)).alias("skew"), F.coalesce(F.kurtosis(value), F.lit(-3.0)).alias("kurt"))
 
 
-def quantiles(values: DataFrame, by: list[str], value: str, probabilities: list[float], cells: int = 4096) -> DataFrame:
-    """Exact quantiles with linear interpolation: by, q, value.
+FEW_VALUES = 100_000
 
-    Distinct values are counted first. Each group's range is cut into ``cells``; a running count over the cells
-    (bounded by groups x cells) finds those that hold the wanted ranks, and only their values are ordered. Cells are
-    equally wide: a task sorts the distinct values of one cell, which is a small part of a group unless far outliers
-    press nearly all its values into one.
+
+def _places(inside: DataFrame, splits: DataFrame, key: list[str]) -> DataFrame:
+    """key, cell, c, low and high of the cells that splitters cut a bracket into: cell 2 i lies below splitter i (and above
+    the one before), cell 2 i + 1 is the splitter itself. Found by halving, not by going through the splitters."""
+    splits = F.broadcast(splits) if splits.limit(100_001).count() <= 100_000 else splits  # a row a bracket
+    cut = inside.join(splits, key)
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size("xs") + 1)).cast("int"))
+    start = F.struct(F.lit(0).alias("a"), F.size("xs").alias("b"))  # splitters before a are below v, those from b on aren't
+    half = lambda s: F.floor((s["a"] + s["b"]) / 2).cast("int")
+    less = lambda s: F.element_at("xs", half(s) + 1) < F.col("v")
+    search = F.aggregate(steps, start, lambda s, _: F.when(s["a"] >= s["b"], s).when(less(s), F.struct((half(s) + 1).alias("a"), s["b"].alias("b"))).otherwise(F.struct(s["a"].alias("a"), half(s).alias("b"))))
+    placed = cut.withColumn("at", search["a"])
+    hit = F.coalesce(F.try_element_at("xs", F.col("at") + 1) == F.col("v"), F.lit(False))
+    counts = placed.groupBy(*key, (2 * F.col("at") + hit.cast("int")).alias("cell")).agg(F.count(F.lit(1)).alias("c"))
+    at = F.floor(F.col("cell") / 2).cast("int")
+    low, high = F.when(at > 0, F.try_element_at("xs", at)), F.try_element_at("xs", at + 1)
+    return counts.join(splits, key).select(*key, "cell", "c", F.coalesce(low, "low").alias("low"), F.coalesce(high, "high").alias("high"))
+
+
+def quantiles(values: DataFrame, by: list[str], value: str, probabilities: list[float], cells: int = 128, few: int = FEW_VALUES) -> DataFrame:
+    """Exact quantiles with linear interpolation: by, q, value. Nulls and NaN take no part.
+
+    A rank is sought in a bracket, at first all of its group. While a bracket holds more than ``few`` values, a sketch of
+    them gives about ``cells`` splitters of nearly equal shares, whatever the distribution, and one more pass counts the
+    values between and at the splitters: the rank's cell is the next bracket, or a splitter is the answer. Only the
+    values of brackets that are small enough are then sorted. Each pass aggregates within tasks first, so no pass moves
+    more than the brackets' counts.
     """
     v = F.col(value).cast("double")
-    counted = values.where(v.isNotNull() & ~F.isnan(v)).groupBy(*by, v.alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    span = counted.groupBy(*by).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("c").alias("n"))
-    place = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * cells), F.lit(cells - 1))).otherwise(F.lit(0))
-    celled = counted.join(span, by).withColumn("cell", place)
-    totals = celled.groupBy(*by, "cell").agg(F.sum("c").alias("in_cell"))
-    before = Window.partitionBy(*by).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("before", F.coalesce(F.sum("in_cell").over(before), F.lit(0)))
-    wanted = span.select(*by, "n", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("q"))
+    data = values.where(v.isNotNull() & ~F.isnan(v)).select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(by)), v.alias("v"))
+    # one value for the group, null-safe, so that brackets can be joined by it
+    data = data.select(F.struct(*(f"__k{i}" for i in range(len(by))), F.lit(0).alias("__any")).alias("__g"), "v")
+    sizes = data.groupBy("__g").agg(F.count(F.lit(1)).alias("n"))
     rank = F.col("q") * (F.col("n") - 1)
-    wanted = wanted.select(*by, "q", (rank - F.floor(rank)).alias("part"), F.explode(F.array_distinct(F.array(F.floor(rank), F.ceil(rank)))).alias("rank"), rank.alias("at"))
-    found = wanted.join(totals, by).where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("in_cell")))
-    needed = found.select(*by, "cell", "before").distinct()
-    within = Window.partitionBy(*by, "cell").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    ordered = celled.join(needed, [*by, "cell"]).withColumn("first", F.col("before") + F.coalesce(F.sum("c").over(within), F.lit(0)))
-    hit = found.join(ordered.select(*by, "cell", "v", "c", "first"), [*by, "cell"]).where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("c")))
-    weight = F.when(F.col("rank") == F.floor("at"), 1 - F.col("part")).otherwise(F.col("part"))
-    return hit.groupBy(*by, "q").agg(F.sum(F.col("v") * weight).alias("value"))
+    wanted = sizes.select("__g", "n", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("q"))
+    none = F.lit(None).cast("double")
+    ranks = wanted.select("__g", "q", rank.alias("at"), F.explode(F.array_distinct(F.array(F.floor(rank), F.ceil(rank)))).alias("rank"), "n")
+    open_ = written(ranks.select("__g", "q", "at", "rank", none.alias("low"), none.alias("high"), F.lit(0).cast("long").alias("before"), F.col("n").alias("c"), none.alias("answer")), "ranks")
+    done = open_.where("false")
+    key = ["__g", "bracket"]
+    inside_of = (F.col("low").isNull() | (F.col("v") > F.col("low"))) & (F.col("high").isNull() | (F.col("v") < F.col("high")))
+
+    def bracketed(ranks: DataFrame) -> DataFrame:
+        return ranks.withColumn("bracket", F.struct(F.coalesce("low", F.lit(float("nan"))).alias("a"), F.coalesce("high", F.lit(float("nan"))).alias("b")))
+
+    def inside(ranks: DataFrame) -> DataFrame:
+        brackets = ranks.select(*key, "low", "high").distinct()
+        return data.join(small(brackets), "__g").where(inside_of)
+
+    def small(brackets: DataFrame) -> DataFrame:
+        """Broadcast up to 100,000 brackets (a few a group); with more groups the join is by group."""
+        return F.broadcast(brackets) if brackets.limit(100_001).count() <= 100_000 else brackets
+
+    while True:
+        large = bracketed(open_.where(F.col("c") > few))
+        done = done.unionByName(open_.where(F.col("c") <= few))
+        if large.isEmpty():
+            break
+        held = inside(large)
+        shares = [i / cells for i in range(1, cells)] if cells > 1 else [0.5]
+        splits = written(held.groupBy(*key, "low", "high").agg(F.array_sort(F.array_distinct(F.percentile_approx("v", shares, 100 * cells))).alias("xs")), "splitters")
+        counted = written(_places(held.select(*key, "v"), splits, key), "cells")
+        order = Window.partitionBy(*key).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # 2 cells + 1 rows
+        counted = counted.withColumn("skip", F.coalesce(F.sum("c").over(order), F.lit(0)))
+        new = large.select(*key, "q", "at", "rank", "before").join(counted, key).where((F.col("rank") >= F.col("before") + F.col("skip")) & (F.col("rank") < F.col("before") + F.col("skip") + F.col("c")))
+        exact = F.col("cell") % 2 == 1
+        open_ = written(new.select("__g", "q", "at", "rank", "low", "high", (F.col("before") + F.col("skip")).alias("before"), F.when(exact, 0).otherwise(F.col("c")).cast("long").alias("c"), F.when(exact, F.col("high")).alias("answer")), "ranks")
+    seek = bracketed(done.where("answer IS NULL"))
+    within = Window.partitionBy(*key).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)  # at most ``few`` values
+    ordered = inside(seek).groupBy(*key, "v").agg(F.count(F.lit(1)).alias("n")).withColumn("skip", F.coalesce(F.sum("n").over(within), F.lit(0)))
+    found = seek.drop("answer").join(ordered, key).where((F.col("rank") >= F.col("before") + F.col("skip")) & (F.col("rank") < F.col("before") + F.col("skip") + F.col("n")))
+    hit = done.where("answer IS NOT NULL").select("__g", "q", "at", "rank", "answer").unionByName(found.select("__g", "q", "at", "rank", F.col("v").alias("answer")))
+    part = F.col("at") - F.floor("at")
+    weight = F.when(F.col("rank") == F.floor("at"), 1 - part).otherwise(part)
+    # a weight of 0 leaves an infinite value out
+    total = hit.groupBy("__g", "q").agg(F.sum(F.when(weight > 0, F.col("answer") * weight)).alias("value"))
+    return total.select(*(F.col(f"__g.__k{i}").alias(c) for i, c in enumerate(by)), "q", "value")
 
 
 def exceedance(generated: DataFrame, by: list[str], low: float = BT_MIN, high: float = BT_MAX, value: str = "v") -> DataFrame:
@@ -104,15 +158,49 @@ def cold_fraction(images: DataFrame, by: list[str], threshold: float = COLD) ->
     return images.withColumn("__s", share).groupBy(*by).agg(F.avg("__s").alias("cold_mean"), F.stddev_pop("__s").alias("cold_std"))
 
 
+FEATURES = ("radial_mean", "azimuthal_std", "log_power")
+
+
+def image_curves(images: DataFrame, keys: list[str], n: int, r_bins: int = 96, theta_bins: int = 360, psd_bins: int = 96, curves: tuple[str, ...] = FEATURES) -> DataFrame:
+    """keys and an array for each of ``curves`` of every n x n image: the radial mean and azimuthal spread by ring, and the
+    logarithm of power by frequency. An image is one row, so each is a sum over fixed bins within the row (in Arrow
+    batches): nothing is exploded and nothing shuffled. Empty bins are 0, or log10(1e-12); a null image has only such."""
+    ring, sector = polar_bins(n, r_bins, theta_bins)
+    cell = ring * theta_bins + sector
+    in_ring, in_cell = np.bincount(ring, minlength=r_bins), np.bincount(cell, minlength=r_bins * theta_bins).reshape(r_bins, theta_bins)
+    filled, sectors = in_cell > 0, (in_cell > 0).sum(1)
+    of = np.array(_shifted_bins(n, psd_bins)) if "log_power" in curves else np.zeros(0, int)
+    in_band = np.bincount(of, minlength=psd_bins)
+
+    def radial_mean(x: np.ndarray) -> np.ndarray:
+        return np.bincount(ring, weights=x, minlength=r_bins) / (in_ring + EPS)
+
+    def azimuthal_std(x: np.ndarray) -> np.ndarray:
+        means = np.where(filled, np.bincount(cell, weights=x, minlength=r_bins * theta_bins).reshape(r_bins, theta_bins) / (in_cell + EPS), 0.0)
+        centre = means.sum(1) / np.maximum(sectors, 1)
+        return np.where(sectors < 2, 0.0, np.sqrt((np.where(filled, means - centre[:, None], 0.0) ** 2).sum(1) / np.maximum(sectors, 1)))
+
+    def log_power(x: np.ndarray) -> np.ndarray:
+        power = np.abs(np.fft.fft2(x.reshape(n, n) - x.mean())) ** 2
+        return np.log10(np.bincount(of, weights=power.ravel(), minlength=psd_bins) / (in_band + EPS) + EPS)
+
+    made = {"radial_mean": radial_mean, "azimuthal_std": azimuthal_std, "log_power": log_power}
+    schema = T.StructType([images.schema[k] for k in keys] + [T.StructField(c, T.ArrayType(T.DoubleType())) for c in curves])
+    nothing = np.zeros(n * n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [np.asarray(v.values, float) if v.is_valid and len(v.values) else nothing for v in batch.column("bt")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *(pa.array([made[c](x) for x in rows], pa.list_(pa.float64())) for c in curves)], [*keys, *curves])
+
+    return images.select(*keys, "bt").mapInArrow(run, schema)
+
+
 def profiles(images: DataFrame, keys: list[str], n: int, r_bins: int = 96, theta_bins: int = 360) -> DataFrame:
-    """keys, rbin, radial_mean and azimuthal_std of each image; empty bins are 0. The geometry table has n * n rows."""
-    geo = geometry(images.sparkSession, n, r_bins, theta_bins)
-    sectors = pixels(images.select(*keys, "bt")).join(F.broadcast(geo), "i").groupBy(*keys, "rbin", "tbin").agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("c"))
-    rings = sectors.groupBy(*keys, "rbin").agg(F.sum("s").alias("s"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("sectors"), F.stddev_pop(F.col("s") / (F.col("c") + EPS)).alias("spread"))
-    rings = rings.select(*keys, "rbin", (F.col("s") / (F.col("c") + EPS)).alias("radial_mean"), F.when(F.col("sectors") < 2, 0.0).otherwise(F.col("spread")).alias("azimuthal_std"))
-    filled = [b for b in range(r_bins)]
-    every = images.select(*keys).withColumn("rbin", F.explode(F.array(*[F.lit(b) for b in filled])))
-    return every.join(rings, [*keys, "rbin"], "left").select(*keys, "rbin", F.coalesce("radial_mean", F.lit(0.0)).alias("radial_mean"), F.coalesce("azimuthal_std", F.lit(0.0)).alias("azimuthal_std"))
+    """keys, rbin, radial_mean and azimuthal_std of each image; empty bins are 0."""
+    curves = image_curves(images, keys, n, r_bins, theta_bins, curves=FEATURES[:2])
+    rows = curves.select(*keys, F.posexplode(F.arrays_zip("radial_mean", "azimuthal_std")).alias("rbin", "v"))
+    return rows.select(*keys, "rbin", "v.radial_mean", "v.azimuthal_std")
 
 
 def curve_stats(curves: DataFrame, by: list[str], bin_: str, value: str) -> DataFrame:
@@ -175,18 +263,7 @@ def psd_relational(images: DataFrame, keys: list[str], n: int, bins: int = 96) -
 
 def psd(images: DataFrame, keys: list[str], n: int, bins: int = 96) -> DataFrame:
     """keys and log_power (array of ``bins``, empty bins at log10(1e-12)) by an Arrow-batched fast transform."""
-    of = np.array(_shifted_bins(n, bins))
-    counts = np.bincount(of, minlength=bins)
-
-    def run(batches):
-        for batch in batches:
-            x = np.stack([np.asarray(v, float) for v in batch["bt"]]).reshape(-1, n, n) if len(batch) else np.empty((0, n, n))
-            p = np.abs(np.fft.fft2(x - x.mean((1, 2), keepdims=True))) ** 2
-            sums = np.stack([np.bincount(of, weights=q.ravel(), minlength=bins) for q in p]) if len(p) else np.empty((0, bins))
-            yield pd.DataFrame({**{k: batch[k] for k in keys}, "log_power": list(np.log10(sums / (counts + EPS) + EPS))})
-
-    schema = T.StructType([images.schema[k] for k in keys] + [T.StructField("log_power", T.ArrayType(T.DoubleType()))])
-    return images.select(*keys, "bt").mapInPandas(run, schema)
+    return image_curves(images, keys, n, psd_bins=bins, curves=("log_power",))
 
 
 def diversity_features(curves: DataFrame, by: list[str], key: str, dim: str, value: str) -> DataFrame:
@@ -195,9 +272,13 @@ def diversity_features(curves: DataFrame, by: list[str], key: str, dim: str, val
     return curves.join(stats, [*by, dim]).select(*by, key, dim, ((F.col(value) - F.col("m")) / (F.col("s") + EPS)).alias("z"))
 
 
-def as_vectors(features: DataFrame, by: list[str], key: str, dim: str, value: str = "z") -> DataFrame:
-    """One array per item, in the order of its dimensions (a fixed, small number)."""
-    return features.groupBy(*by, key).agg(F.transform(F.array_sort(F.collect_list(F.struct(dim, value))), lambda x: x[value]).alias("z"))
+def standardized(vectors: DataFrame, by: list[str], key: str, x: str) -> DataFrame:
+    """by, key and ``z``: arrays of one length with each dimension scaled to mean 0 and spread 1 within its own set. The
+    means and spreads are partial aggregates of a row a set; the arrays stay where they are."""
+    parts = vectors.select(*by, F.posexplode(x).alias("__d", "__v")).groupBy(*by, "__d").agg(F.avg("__v").alias("m"), F.stddev_pop("__v").alias("s"))
+    sets = parts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("__d", "m", "s"))).alias("__sets"))  # a set's dimensions: fixed
+    scale = F.zip_with(x, "__sets", lambda v, d: (v - d["m"]) / (d["s"] + EPS))
+    return vectors.join(sets, by).select(*by, key, scale.alias("z"))
 
 
 def _squared(a: str, b: str) -> Column:
@@ -275,6 +356,7 @@ def mmd2(real: DataFrame, gen: DataFrame, by: list[str], key: str, most: int = 2
     near = pair_distances(pool, pool, by, "k").where((F.col("ka") < F.col("kb")) & (F.col("d2") > 0))  # a pair once: the same median
     # at most most * most distances a class, so the built-in median's memory is bounded
     gamma = near.groupBy(*by).agg((F.lit(1.0) / (2.0 * (F.percentile("d2", 0.5) + EPS))).alias("gamma"))
+    gamma = written(gamma, "gamma")  # a row a class, used by every block
     r, g = real.select(*by, key, "z").join(gamma, by), gen.select(*by, key, "z").join(gamma, by)
     # items of the two sets that share a key are a pair across, so keys are told apart there
     tagged = lambda rows, tag: rows.withColumn(key, F.concat(F.lit(tag), F.col(key).cast("string")))

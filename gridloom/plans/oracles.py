@@ -266,6 +266,14 @@ o AS (SELECT id, p, c, sum(z * ({fixed(4, 'h', 'd', 'c')})) + any_value({fixed(6
 SELECT id, (p * 4 + c)::INT AS i, {r('o.v + x.v')} AS v FROM o JOIN x USING (id, p, c)"""
 
 ORACLES |= {
+    "shuffle_buffer": "SELECT l_orderkey, l_linenumber, true AS in_reach FROM lineitem",
+    "stream_alpha_change": f"""WITH {SNAP}, cnt AS (SELECT ss_cat, count(*) AS n FROM idx GROUP BY ss_cat), al AS (SELECT unnest([1.0, 0.7, 0.4])::DOUBLE AS a),
+pw AS (SELECT a, ss_cat, n, pow(n / sum(n) OVER (PARTITION BY a), a) AS w FROM cnt, al), prob AS (SELECT a, ss_cat, n, w / sum(w) OVER (PARTITION BY a) AS prob FROM pw),
+rng AS (SELECT a, ss_cat, n, sum(prob) OVER (PARTITION BY a ORDER BY ss_cat) - prob AS low, CASE WHEN ss_cat = max(ss_cat) OVER (PARTITION BY a) THEN 2 ELSE sum(prob) OVER (PARTITION BY a ORDER BY ss_cat) END AS high FROM prob),
+dr AS (SELECT draw, CASE draw // 100 WHEN 0 THEN 1.0 WHEN 1 THEN 1.0 WHEN 2 THEN 0.7 ELSE 0.4 END::DOUBLE AS a, {U} AS u, {hex_of('substr(h, 9, 8)')} / 4294967296.0::DOUBLE AS v FROM (SELECT draw, md5('42|' || draw) AS h FROM range(500) t(draw))),
+pl AS (SELECT ss_cat, rel_path, row_number() OVER (PARTITION BY ss_cat ORDER BY rel_path) - 1 AS place FROM idx)
+SELECT draw, rng.ss_cat, rel_path, a AS alpha FROM dr JOIN rng USING (a) JOIN pl ON pl.ss_cat = rng.ss_cat AND pl.place = floor(v * n) WHERE u >= low AND u < high""",
+    "psd_stats": f"WITH {RAW}, {PSD} SELECT class, set, kbin, {r('avg(lp)', 5)} AS mu, {r('stddev_pop(lp)', 5)} AS sd FROM spec GROUP BY ALL",
     "groupnorm_affine": f"WITH {TILES} SELECT id, (p * 4 + c)::INT AS i, {r('v')} AS v FROM ({normed('x', 4, 3)})",
     "res_block": f"{_res(4).replace('WITH', 'SELECT * FROM (WITH', 1)}) UNION ALL SELECT * FROM ({_res(2)})",
     "attention_block": ATTENTION,

@@ -316,6 +316,13 @@ def psd_arrow(spark, sf):
     return rounded(spectra.select("class", "set", "id", F.posexplode("log_power").alias("kbin", "log_power")), "log_power", digits=5)
 
 
+@query
+def psd_stats(spark, sf):
+    """Mean and spread of spectra by frequency: the bands of the spectrum's figure."""
+    spectra = metrics.psd(b.clipped_images(spark, sf), ["class", "set", "id"], b.SIDE, b.PSD_BINS).select("class", "set", F.posexplode("log_power").alias("kbin", "log_power"))
+    return rounded(metrics.curve_stats(spectra, ["class", "set"], "kbin", "log_power"), "mu", "sd", digits=5)
+
+
 @query
 def psd_l2(spark, sf):
     mean = metrics.curve_stats(_spectra(spark, sf), ["class", "set"], "kbin", "log_power")
@@ -323,20 +330,16 @@ def psd_l2(spark, sf):
     return rounded(pairs.groupBy("class").agg(F.avg(F.pow(F.col("a") - F.col("b"), F.lit(2.0))).alias("psd_l2")), "psd_l2")
 
 
-def _features(spark, sf):
+def _vectors(spark, sf):
+    """One standardized array an image: its radial means, then its spectrum."""
     keys = ["class", "set", "id"]
-    radial = _curves(spark, sf).select(*keys, F.col("rbin").alias("dim"), F.col("radial_mean").alias("x"))
-    power = _spectra(spark, sf).select(*keys, (F.col("kbin") + b.R_BINS).alias("dim"), F.col("log_power").alias("x"))
-    return metrics.diversity_features(radial.unionAll(power), ["class", "set"], "id", "dim", "x")
+    curves = metrics.image_curves(b.clipped_images(spark, sf), keys, b.SIDE, b.R_BINS, b.THETA_BINS, b.PSD_BINS, ("radial_mean", "log_power"))
+    return metrics.standardized(written(curves.select(*keys, F.concat("radial_mean", "log_power").alias("x")), "curves"), ["class", "set"], "id", "x")
 
 
 @query
 def diversity_features(spark, sf):
-    return rounded(_features(spark, sf), "z", digits=5)
-
-
-def _vectors(spark, sf):
-    return metrics.as_vectors(_features(spark, sf), ["class", "set"], "id", "dim")
+    return rounded(_vectors(spark, sf).select("class", "set", "id", F.posexplode("z").alias("dim", "z")), "z", digits=5)
 
 
 @query
@@ -432,6 +435,14 @@ def train_batches(spark, sf):
     return feed.batches(rows, "row", 64, True).groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("labels"))
 
 
+@query
+def shuffle_buffer(spark, sf):
+    """Every row once, none more than a buffer ahead of its place in its partition's stream."""
+    rows = b.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").withColumn("place", F.monotonically_increasing_id() % (1 << 33))
+    out = feed.buffered(rows, 64, SEED).withColumn("out", F.monotonically_increasing_id() % (1 << 33))
+    return out.select("l_orderkey", "l_linenumber", (F.col("place") - F.col("out") < 256).alias("in_reach"))
+
+
 @query
 def viz_sample_grid(spark, sf):
     first = metrics.compare_grid(b.raw_images(spark, sf).where("class = 0"), 7).where("set = 'real'")
@@ -693,8 +704,9 @@ def upsample_skip(spark, sf):
     e = b.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
     skip = F.transform(F.sequence(F.lit(0), F.lit(511)), lambda j: j.cast("double") + F.col("id"))
     joined = layers.upsample(e, b.SIDE).select("id", layers.joined_channels(F.transform("x", lambda v: F.round(v, 6)), skip, 1, 2).alias("y"))
-    line = lambda j: F.aggregate(F.sequence(F.lit(0), F.lit(15)), F.lit(0.0), lambda a, x: a + (x + 1) * F.element_at("y", ((F.floor(j / 3) * 16 + x) * 3 + j % 3 + 1).cast("int")))
-    return rounded(joined.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(47)), line)).alias("i", "v")), "v")
+    line = lambda y, j: F.aggregate(F.sequence(F.lit(0), F.lit(15)), F.lit(0.0), lambda a, x: a + (x + 1) * F.element_at(y, ((F.floor(j / 3) * 16 + x) * 3 + j % 3 + 1).cast("int")))
+    lines = F.flatten(F.transform(F.array("y"), lambda y: F.transform(F.sequence(F.lit(0), F.lit(47)), lambda j: line(y, j))))  # y is made once
+    return rounded(joined.select("id", F.posexplode(lines).alias("i", "v")), "v")
 
 
 # Streams and loops
@@ -711,6 +723,19 @@ def stream_weighted_sampler(spark, sf):
     return spark.read.parquet(f"{path}/rows").select("draw", "ss_cat", "rel_path")
 
 
+@query
+def stream_alpha_change(spark, sf):
+    """Two micro-batches with weight 1, one with 0.7 and two with 0.4: the last after the query was stopped and started."""
+    from gridloom.streaming.sampler import sample_with_control, set_alpha
+
+    index, path = written(b.index(spark, sf), "index"), table_path(spark, "stream")
+    for first, alpha in ((0, 1.0), (2, 0.7), (3, 0.4)):
+        set_alpha(spark, f"{path}/control", first, alpha)
+    for batches in (3, 5):
+        sample_with_control(spark, index, f"{path}/control", SEED, f"{path}/rows", f"{path}/checkpoint", batches, 100)
+    return spark.read.parquet(f"{path}/rows").select("draw", "ss_cat", "rel_path", "alpha")
+
+
 def digest_noise(seed, ids, size):
     """Noise in [-1, 1) of each id, call and place, from md5."""
     import hashlib

@@ -140,3 +140,42 @@ def test_mmd_is_symmetric_and_matches(spark):
 def test_limits(spark):
     q = lambda v: tuple(me.shared_limits(spark.createDataFrame([(x,) for x in v], "v double")).first())
     assert q([NAN]) == (0, 1) and q([0.0, 0.0]) == (-0.5, 0.5) and q([200.0]) == (198, 202) and q([1.0, INF, 3.0]) == (1, 3)
+
+
+def test_curves_of_an_image_need_no_shuffle(spark):
+    images = spark.range(3).selectExpr("id", "transform(sequence(0, 65535), i -> cast((i * 7 + id * 13) % 131 as double)) AS bt")
+    got = me.image_curves(images, ["id"], 256)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = got.collect()
+    assert all(len(r[c]) == 96 for r in rows for c in me.FEATURES)
+    # the plain way: sectors of each ring by masks
+    y, x = (np.indices((256, 256)) - 127.5).reshape(2, -1)
+    ring = np.clip(np.floor(np.hypot(y, x) / (np.hypot(127.5, 127.5) + 1e-12) * 96), 0, 95)
+    sector = np.clip(np.floor((np.arctan2(y, x) + np.pi) / (2 * np.pi) * 360), 0, 359)
+    v = (np.arange(65536) * 7 + 13) % 131
+    mine = next(r for r in rows if r.id == 1)
+    for k in (0, 1, 40, 95):
+        own = ring == k
+        means = [v[own & (sector == t)].mean() for t in np.unique(sector[own])]
+        assert mine.radial_mean[k] == pytest.approx(v[own].mean()) and mine.azimuthal_std[k] == pytest.approx(np.std(means) if len(means) > 1 else 0)
+    nothing = me.image_curves(spark.sql("SELECT 1 AS id, CAST(NULL AS array<double>) AS bt"), ["id"], 8, 4, 16, 4).first()
+    assert nothing.radial_mean == [0.0] * 4 and nothing.azimuthal_std == [0.0] * 4
+
+
+@pytest.mark.parametrize("cells,few", [(8, 20), (128, 1000), (2, 1), (128, 100_000)])
+def test_quantiles_of_heavy_tails(spark, cells, few):
+    rng = np.random.default_rng(6)
+    v = np.concatenate([rng.lognormal(0, 3, 3000), [1e12, -1e12], np.full(900, 2.0), rng.integers(0, 4, 500)])
+    rows = [("a", float(x)) for x in v] + [("b", float(x)) for x in (1.0, 1.0, 5.0)] + [(None, 7.0), ("c", None), ("c", NAN)] + [("i", x) for x in (-INF, 1.0, 2.0, 3.0, INF)]
+    qs = [0.0, 0.01, 0.37, 0.5, 0.9, 0.999, 1.0]
+    got = {(r.g, r.q): r.value for r in me.quantiles(spark.createDataFrame(rows, "g string, v double").repartition(4), ["g"], "v", qs, cells, few).collect()}
+    for g, x in (("a", v), ("b", [1.0, 1.0, 5.0]), (None, [7.0])):
+        assert [got[g, q] for q in qs] == pytest.approx(np.quantile(x, qs).tolist(), rel=1e-12)
+    assert {g for g, _ in got} == {"a", "b", None, "i"} and got["i", 0.0] == -INF and got["i", 1.0] == INF and got["i", 0.5] == 2.0
+
+
+def test_cells_follow_the_shares_and_not_the_range(spark):
+    values = spark.createDataFrame([(1, float(x)) for x in [1e12, *np.random.default_rng(1).lognormal(0, 2, 20_000)]], "g int, v double")
+    sketch = values.groupBy("g").agg(F.array_sort(F.array_distinct(F.percentile_approx("v", [i / 64 for i in range(1, 64)], 6400))).alias("xs"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
+    counts = me._places(values, sketch, ["g"]).collect()
+    assert sum(r.c for r in counts) == 20_001 and max(r.c for r in counts) < 2 * 20_001 / 64
