@@ -12,6 +12,7 @@ from __future__ import annotations
 import argparse
 import importlib
 import json
+import math
 from collections.abc import Callable, Sequence
 from datetime import UTC, datetime
 from typing import Any
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import config as cf
-from gridloom.operators import catalog, diffusion, feed, metrics, sampling, storms
+from gridloom.operators import catalog, diffusion, evaluation, feed, sampling, storms
 from gridloom.session import written
 from gridloom.sources import files, netcdf
 
@@ -97,12 +98,17 @@ def train(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Pixel moments and mean differences of observed and generated images by class (columns class, set, id, bt)."""
+    """The whole suite of observed and generated images (columns class, set, id, bt): a report and its curves."""
+    settings = cf.evaluation(cf.load(a.config, a.override) if a.config else {})
     images = spark.read.parquet(a.images)
-    px = images.select("class", "set", F.explode(F.col("bt").cast("array<double>")).alias("v"))
-    per_class = metrics.moments(px, ["class", "set"])
-    wide = per_class.groupBy("class").pivot("set", ["real", "gen"]).agg(F.first("mean").alias("mean"), F.first("std").alias("std"))
-    files.write_json(metrics.report(wide, ["real_mean", "gen_mean", "real_std", "gen_std"]), a.output)
+    pixels = feed.require_rows(images, f"no images in {a.images}").select(F.size("bt").alias("n")).first().n
+    if math.isqrt(pixels) ** 2 != pixels:
+        raise ValueError(f"images of {pixels} pixels aren't square")
+    n = int(settings["n_per_class_heavy" if a.heavy else "n_per_class_light"])
+    numbers, curves = evaluation.suite(images, math.isqrt(pixels), n, int(settings["profile_bins"]), int(settings["psd_bins"]), seed=int(settings["real_seed"]))
+    about = {"tag": a.tag, "heavy": a.heavy, "n_per_class": n, "n_plot_per_group": int(settings["n_plot_per_group"])}
+    files.write_json(spark.createDataFrame([(evaluation.document(numbers, about),)], "value string"), f"{a.output}/eval/{a.tag}/metrics")
+    curves.write.parquet(f"{a.output}/eval/{a.tag}/curves")
 
 
 def sample(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -135,7 +141,8 @@ def parser() -> argparse.ArgumentParser:
     command(verify, "verify", "data-root", "dataset-index", "packed", decoder=None, pattern="*.nc", num_samples=256, seed=42, atol=0.0)
     own = command(train, "train", "packed", "dataset-index", "trainer", config=None, steps=2000, batch_size=8, alpha=1.0, seed=42)
     own.add_argument("--override", action="append", default=[])
-    command(evaluate, "eval", "images", "output")
+    own = command(evaluate, "eval", "images", "output", config=None, tag="manual", heavy=False)
+    own.add_argument("--override", action="append", default=[])
     own = command(sample, "sample", "predictor", "output", n=16, image_size=64, steps=1000, kind="v", schedule="linear", guidance_scale=0.0, seed=0)
     own.add_argument("--ss-cat", type=int)
     own.add_argument("--wind-kt", type=float)

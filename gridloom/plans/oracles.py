@@ -265,7 +265,44 @@ z AS (SELECT w.id, w.p, w.h, d, sum(w * v) AS z FROM w JOIN qkv ON qkv.id = w.id
 o AS (SELECT id, p, c, sum(z * ({fixed(4, 'h', 'd', 'c')})) + any_value({fixed(6, 'c')}) AS v FROM z, range(4) k(c) GROUP BY id, p, c)
 SELECT id, (p * 4 + c)::INT AS i, {r('o.v + x.v')} AS v FROM o JOIN x USING (id, p, c)"""
 
+KINDS = """kinds AS (SELECT class, 'real' AS kind, v FROM px WHERE set = 'real' UNION ALL SELECT class, 'gen_raw', v FROM px WHERE set = 'gen' UNION ALL SELECT class, 'gen_clipped', v FROM cl WHERE set = 'gen'),
+moved AS (SELECT *, avg(v) OVER w AS m, stddev_pop(v) OVER w + 1e-12 AS s FROM kinds WINDOW w AS (PARTITION BY class, kind)),
+stat AS (SELECT class, 'pixel_stats.' || kind || '.' AS p, avg(v) AS mean, stddev_pop(v) AS std, avg(((v - m) / s) ** 3) AS skew, avg(((v - m) / s) ** 4) - 3 AS kurtosis, quantile_cont(v, [0.01, 0.05, 0.5, 0.95, 0.99]) AS q, min(v) AS low, max(v) AS high FROM moved GROUP BY class, kind)"""
+
+MMD = """gm AS (SELECT class, 1 / (2 * (median(d2) + 1e-12)) AS g FROM d WHERE d2 > 0 GROUP BY class),
+k AS (SELECT class, sa, sb, ia = ib AND sa = sb AS diag, exp(-g * d2) AS k FROM d JOIN gm USING (class)), nm AS (SELECT class, count(DISTINCT id) FILTER (set = 'real') AS n, count(DISTINCT id) FILTER (set = 'gen') AS m FROM z GROUP BY class),
+ks AS (SELECT class, sum(k) FILTER (sa = 'real' AND sb = 'real' AND NOT diag) AS rr, sum(k) FILTER (sa = 'gen' AND sb = 'gen' AND NOT diag) AS gg, sum(k) FILTER (sa = 'real' AND sb = 'gen') AS rg FROM k GROUP BY class),
+mmd AS (SELECT class, rr / (n * (n - 1) + 1e-12) + gg / (m * (m - 1) + 1e-12) - 2 * rg / (n * m) AS v FROM ks JOIN nm USING (class))"""
+
+REPORT = f"""WITH {RAW}, {GEO}, {EYE}, {PSD}, {FEAT}, {DIST}, {HIST}, {KINDS}, {MMD},
+exc AS (SELECT class, avg((v < 180)::INT) AS lo, avg((v > 310)::INT) AS hi, min(v) AS a, max(v) AS b FROM px WHERE set = 'gen' GROUP BY class),
+cold AS (SELECT class, set, avg(s) AS a, stddev_pop(s) AS b FROM (SELECT class, set, id, avg((v < 200)::INT) AS s FROM cl GROUP BY ALL) GROUP BY class, set),
+eyes AS (SELECT class, set, avg(ec) AS a, stddev_pop(ec) AS b FROM eye GROUP BY class, set),
+band AS (SELECT class, set, kbin, avg(lp) AS m FROM spec GROUP BY ALL),
+cdf AS (SELECT class, abs(sum(p - q) OVER (PARTITION BY class ORDER BY bin)) AS gap FROM pq),
+n AS (SELECT class, unnest(['below_bt_min', 'above_bt_max', 'total', 'raw_min', 'raw_max']) AS key, unnest([lo, hi, lo + hi, a, b]) AS value, 'gen_exceedance_rate.' AS p FROM exc
+UNION ALL SELECT class, unnest(['mean', 'std', 'skew', 'kurtosis', 'q01', 'q05', 'q50', 'q95', 'q99', 'min', 'max']), unnest([mean, std, skew, kurtosis, q[1], q[2], q[3], q[4], q[5], low, high]), p FROM stat
+UNION ALL SELECT class, 'pixel_hist_js', 0.5 * sum(p * (ln(p + 1e-12) - ln((p + q) / 2 + 1e-12))) + 0.5 * sum(q * (ln(q + 1e-12) - ln((p + q) / 2 + 1e-12))), '' FROM pq GROUP BY class
+UNION ALL SELECT class, 'pixel_hist_w1', sum(gap) * 130 / 128, '' FROM cdf GROUP BY class
+UNION ALL SELECT class, unnest([set || '_mean', set || '_std']), unnest([a, b]), 'cold_cloud_fraction_200K.' FROM cold
+UNION ALL SELECT class, unnest([set || '_mean', set || '_std']), unnest([a, b]), 'eye_contrast_proxy.' FROM eyes
+UNION ALL SELECT a.class, 'psd_l2', avg((a.m - b.m) ** 2), '' FROM band a JOIN band b ON a.class = b.class AND a.kbin = b.kbin AND a.set = 'real' AND b.set = 'gen' GROUP BY a.class
+UNION ALL SELECT class, 'feature_mmd2', v, '' FROM mmd
+UNION ALL SELECT class, sa, avg(sqrt(d2)), 'diversity_feature_space.' FROM d WHERE sa = sb AND ia <> ib GROUP BY class, sa),
+mac AS (SELECT 'macro.pixel_mean_bt.' AS p, class, max(value) FILTER (p || key = 'pixel_stats.real.mean') AS r, max(value) FILTER (p || key = 'pixel_stats.gen_raw.mean') AS g FROM n GROUP BY class
+UNION ALL SELECT 'macro.eye_contrast_proxy.', class, max(value) FILTER (p || key = 'eye_contrast_proxy.real_mean'), max(value) FILTER (p || key = 'eye_contrast_proxy.gen_mean') FROM n GROUP BY class)
+SELECT class, p || key AS key, {r('value', 5)} AS value FROM n
+UNION ALL SELECT NULL, p || unnest(['corr_class_real', 'corr_class_gen', 'corr_real_gen', 'mae_gen_vs_real']), unnest([{r('corr(class, r)', 5)}, {r('corr(class, g)', 5)}, {r('corr(r, g)', 5)}, {r('avg(abs(r - g))', 5)}]) FROM mac GROUP BY p"""
+
+CURVES = f"""WITH {RAW}, {GEO}, {PSD}, {HIST}, c AS (SELECT class, set, 'radial_mean_' AS curve, rbin AS bin, radial_mean AS v FROM ring UNION ALL SELECT class, set, 'radial_azstd_', rbin, azimuthal_std FROM ring UNION ALL SELECT class, set, 'psd_', kbin, lp FROM spec),
+s AS (SELECT class, curve || set AS curve, bin, avg(v) AS mu, stddev_pop(v) AS sd FROM c GROUP BY class, set, curve, bin)
+SELECT class, 'bt_bins' AS curve, b::INT AS bin, {r('180 + b * 130.0::DOUBLE / 128', 5)} AS value FROM (SELECT DISTINCT class FROM raw), range(129) t(b)
+UNION ALL SELECT class, 'hist_' || set, bin, {r('p', 5)} FROM hist
+UNION ALL SELECT class, curve || '_mu', bin, {r('mu', 5)} FROM s UNION ALL SELECT class, curve || '_sd', bin, {r('sd', 5)} FROM s"""
+
 ORACLES |= {
+    "evaluation_report": REPORT,
+    "evaluation_curves": CURVES,
     "shuffle_buffer": "SELECT l_orderkey, l_linenumber, true AS in_reach FROM lineitem",
     "stream_alpha_change": f"""WITH {SNAP}, cnt AS (SELECT ss_cat, count(*) AS n FROM idx GROUP BY ss_cat), al AS (SELECT unnest([1.0, 0.7, 0.4])::DOUBLE AS a),
 pw AS (SELECT a, ss_cat, n, pow(n / sum(n) OVER (PARTITION BY a), a) AS w FROM cnt, al), prob AS (SELECT a, ss_cat, n, w / sum(w) OVER (PARTITION BY a) AS prob FROM pw),

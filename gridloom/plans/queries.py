@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import images as im
 from gridloom.functions import scalar as sc
-from gridloom.operators import blocks, catalog, diffusion, feed, history, layers, metrics, sampling, storms
+from gridloom.operators import blocks, catalog, diffusion, evaluation, feed, history, layers, metrics, sampling, storms
 from gridloom.plans import bindings as b
 from gridloom.session import table_path, written
 from gridloom.sources import files, netcdf, packed
@@ -379,6 +379,21 @@ def metrics_report(spark, sf):
     return parsed.select(F.explode("r.per_class").alias("class", "v")).select("class", "v.pixel_mean_real", "v.pixel_mean_gen", "v.eye_real", "v.eye_gen")
 
 
+def _suite(spark, sf):
+    return evaluation.suite(b.raw_images(spark, sf), b.SIDE, None, b.R_BINS, b.PSD_BINS, b.THETA_BINS)
+
+
+@query
+def evaluation_report(spark, sf):
+    """Every number of the report, of each class and over classes."""
+    return rounded(_suite(spark, sf)[0], "value", digits=5)
+
+
+@query
+def evaluation_curves(spark, sf):
+    return rounded(_suite(spark, sf)[1], "value", digits=5)
+
+
 @query
 def viz_shared_limits(spark, sf):
     return rounded(metrics.shared_limits(im.pixels(b.raw_images(spark, sf))), "low", "high")

@@ -85,7 +85,18 @@ def test_sample_and_eval(spark, place):
     got = spark.read.parquet(f"{at}/class").collect()
     assert {(r.label, r.wind_kt) for r in got} == {(3, 104.0)} and all(len(r.x) == 9 and np.abs(r.x).max() <= 1 for r in got)
     assert {(r.label, r.wind_kt) for r in spark.read.parquet(f"{at}/free").collect()} == {(6, 0.0)}
-    rows = [(0, "real", 1, [200.0, 210.0]), (0, "gen", 2, [220.0, 230.0])]
-    spark.createDataFrame(rows, "class int, set string, id long, bt array<double>").write.parquet(f"{at}/images")
-    main(["eval", "--images", f"{at}/images", "--output", f"{at}/report"], spark)
-    assert json.loads(spark.read.text(f"{at}/report").first()[0])["per_class"]["0"] == {"real_mean": 205.0, "gen_mean": 225.0, "real_std": 5.0, "gen_std": 5.0}
+    rows = [(c, kind, 10 * i + (kind == "gen"), [200.0 + c, 210.0 + i, 190.0, 400.0 if kind == "gen" else 300.0]) for c in (0, 1) for kind in ("real", "gen") for i in range(40)]
+    spark.createDataFrame([*rows, (2, "real", 1, [200.0] * 4)], "class int, set string, id long, bt array<double>").write.parquet(f"{at}/images")
+    for tag, heavy, n in (("light", [], 25), ("heavy", ["--heavy"], 50)):
+        main(["eval", "--images", f"{at}/images", "--output", f"{at}/report", "--tag", tag, *heavy], spark)
+        report = json.loads(spark.read.text(f"{at}/report/eval/{tag}/metrics").first()[0])
+        assert (report["tag"], report["heavy"], report["n_per_class"]) == (tag, bool(heavy), n) and set(report["per_class"]) == {"0", "1"}
+        own = report["per_class"]["1"]
+        assert set(own) == {"gen_exceedance_rate", "pixel_stats", "pixel_hist_js", "pixel_hist_w1", "cold_cloud_fraction_200K", "eye_contrast_proxy", "psd_l2", "feature_mmd2", "diversity_feature_space"}
+        assert own["pixel_stats"]["gen_raw"]["max"] == 400 and own["pixel_stats"]["gen_clipped"]["max"] == 310 and own["gen_exceedance_rate"]["above_bt_max"] == 0.25
+        assert set(own["pixel_stats"]["real"]) == {"mean", "std", "skew", "kurtosis", "q01", "q05", "q50", "q95", "q99", "min", "max"}
+        assert set(report["macro"]) == {"pixel_mean_bt", "eye_contrast_proxy"} and report["macro"]["pixel_mean_bt"]["mae_gen_vs_real"] > 20
+        curves = spark.read.parquet(f"{at}/report/eval/{tag}/curves").groupBy("curve").count().collect()
+        assert {r.curve: r["count"] for r in curves} == {"bt_bins": 258, "hist_real": 256, "hist_gen": 256} | {f"{c}_{s}_{k}": 192 for c in ("radial_mean", "radial_azstd", "psd") for s in ("real", "gen") for k in ("mu", "sd")}
+    # the generated images of a light run are the first by id: 25 of 40
+    assert json.loads(spark.read.text(f"{at}/report/eval/light/metrics").first()[0])["per_class"]["0"]["pixel_stats"]["gen_raw"]["mean"] == pytest.approx((200 + 210 + 12 + 190 + 400) / 4)
