@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridloom.functions.scalar import col, midpoint_general
+from gridloom.functions.scalar import col, midpoint_general, seeded
+from gridloom.session import written
 
 # Names of loss types and the prediction that each stands for.
 PREDICTION_OF = {"eps": "eps", "eps_mse": "eps", "epsilon": "eps", "epsilon_mse": "eps", "v": "v", "v_mse": "v", "vpred": "v", "v_pred": "v", "v_prediction": "v"}
@@ -204,3 +205,56 @@ def sample_loop(
     wind = F.when(F.col("label").isNull(), F.lit(float(null_wind))).otherwise(F.coalesce(wind, midpoint_general("label")))
     asked = requests.select(F.col("id").cast("long").alias("id"), F.coalesce(F.col("label"), F.lit(null_label)).cast("int").alias("label"), wind.alias("wind_kt"))
     return asked.mapInPandas(run, "id long, label int, wind_kt double, x array<double>")
+
+
+def digest_normal(seed: int, size: int) -> Callable[[int], Column]:
+    """Normal numbers of each ``id``, call and place, from a digest."""
+    from gridloom.operators.feed import normal
+
+    return lambda call: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: normal(seeded(seed, "id", F.lit(call)), i))
+
+
+def sample_by_steps(
+    requests: DataFrame, predict: Predictor, size: int, steps: int = 1000, kind: str = "v", p: float | None = 0.995, seed: int = 0, schedule_name: str = "linear", guidance: float | None = 0.0, null_label: int = 6, null_wind: float = 0.0, noise: Callable[[int], Column] | None = None, every: int = 25
+) -> DataFrame:
+    """id, label, wind_kt and the image x of each request, by reverse steps that are DataFrame steps.
+
+    Only the caller's network runs in Python, on Arrow batches; a step's arithmetic is ``reverse_step``. All images are
+    written after ``every`` steps, so plans stay short and an executor that is lost costs that many steps and not the
+    loop. A request has ``id``, ``label`` (null: unconditional) and perhaps ``wind_kt`` (null: the label's midpoint).
+    Noise is a column of the id and the number of the call, so retried tasks give the same images.
+    """
+    if steps <= 0 or every <= 0:
+        raise ValueError("steps and every must be positive")
+    noise = noise or digest_normal(seed, size)
+    wind = F.col("wind_kt").cast("double") if "wind_kt" in requests.columns else F.lit(None).cast("double")
+    wind = F.when(F.col("label").isNull(), F.lit(float(null_wind))).otherwise(F.coalesce(wind, midpoint_general("label")))
+    rows = requests.select(F.col("id").cast("long").alias("id"), F.coalesce(F.col("label"), F.lit(null_label)).cast("int").alias("label"), wind.alias("wind_kt"))
+    rows = rows.withColumn("x", noise(0))
+    table = step_table(schedule_name, steps)
+    before = np.concatenate([[1.0], table["abar"][:-1]])
+    guide = guidance is not None and guidance > 0
+
+    def answers(t: int) -> Callable:
+        def run(batches):
+            for batch in batches:
+                if not len(batch):
+                    continue
+                x, labels, winds, n = np.stack(batch["x"].to_list()), batch["label"].to_numpy(), batch["wind_kt"].to_numpy(float), len(batch)
+                if guide:  # one call for the conditions and the null condition
+                    both = predict(np.concatenate([x, x]), t, np.concatenate([labels, np.full(n, null_label)]), np.concatenate([winds, np.full(n, null_wind)]))
+                    yield batch.assign(cond=list(both[:n]), free=list(both[n:]))
+                else:
+                    out = predict(x, t, labels, winds)
+                    yield batch.assign(cond=list(out), free=list(out))
+
+        return run
+
+    schema = "id long, label int, wind_kt double, x array<double>, cond array<double>, free array<double>"
+    for k, t in enumerate(range(steps - 1, -1, -1)):
+        asked = rows.mapInPandas(answers(t), schema).withColumn("pred", guided("cond", "free", guidance))
+        asked = asked.withColumns({"t": F.lit(t), "beta": F.lit(float(table["beta"][t])), "alpha": F.lit(float(table["alpha"][t])), "abar": F.lit(float(table["abar"][t])), "abar_prev": F.lit(float(before[t])), "post_var": F.lit(float(table["post"][t])), "noise": noise(k + 1)})
+        rows = reverse_step(asked, kind, p, xt="x").select("id", "label", "wind_kt", F.col("x_prev").alias("x"))
+        if (k + 1) % every == 0 and t:
+            rows = written(rows, "images")
+    return rows

@@ -26,18 +26,23 @@ def set_probabilities(counts: DataFrame) -> DataFrame:
     return live.withColumn("prob", F.when(total > 0, F.col("prob") / total).otherwise(F.raise_error(F.lit("class probabilities must sum to a positive number"))))
 
 
-def alpha_ramp(spark: SparkSession, epochs: int, start: float = 1.0, end: float = 0.4, first: int = 0, ramp: int = 40, mode: str = "cosine") -> DataFrame:
-    """epoch and alpha of a linear or cosine ramp."""
+def ramp_value(epoch: str | Column, start: float = 1.0, end: float = 0.4, first: int = 0, ramp: int = 40, mode: str = "cosine") -> Column:
+    """The weight of an epoch on a linear or cosine ramp."""
     if mode not in ("linear", "cosine"):
         raise ValueError("mode: linear or cosine")
-    e = F.col("id").cast("double")
+    e = col(epoch).cast("double")
     if ramp <= 1:
         value = F.lit(end)
     else:
         p = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (e - first) / (ramp - 1)))
         p = (F.lit(1.0) - F.cos(p * math.pi)) * 0.5 if mode == "cosine" else p
         value = (F.lit(1.0) - p) * start + p * end
-    return spark.range(epochs).select(F.col("id").cast("int").alias("epoch"), F.when(e < first, F.lit(start)).otherwise(value).alias("alpha"))
+    return F.when(e < first, F.lit(start)).otherwise(value)
+
+
+def alpha_ramp(spark: SparkSession, epochs: int, start: float = 1.0, end: float = 0.4, first: int = 0, ramp: int = 40, mode: str = "cosine") -> DataFrame:
+    """epoch and alpha of a linear or cosine ramp."""
+    return spark.range(epochs).select(F.col("id").cast("int").alias("epoch"), ramp_value("id", start, end, first, ramp, mode).alias("alpha"))
 
 
 def per_class(index: DataFrame, k: int, seed: int, key: str = "rel_path", by: str = "ss_cat") -> DataFrame:

@@ -328,3 +328,23 @@ SELECT rel_path, {CAT.format(w="w")} AS ss_cat, {r("w")} AS wmo_wind_kt FROM f W
     "packed_lookup": f"""WITH {E}, p AS (SELECT vec_id AS id, vec_id || '-e.nc' AS rel_path, label % 6 AS ss_cat FROM embeddings), g AS (SELECT *, row_number() OVER (ORDER BY rel_path) - 1 AS global_index FROM p)
 SELECT rel_path, global_index, (global_index // 128)::INT AS shard_id, ss_cat::INT AS ss_cat, {r('sum(v)')} AS total FROM g JOIN e USING (id) GROUP BY ALL""",
 }
+
+# The schedules, embeddings and targets over the rows of tables.
+STEPS = "st AS (SELECT vec_id AS id, (vec_id * 37 % 1000)::INT AS t FROM embeddings)"
+ORACLES |= {
+    "alpha_ramp": f"""WITH d AS (SELECT date_diff('day', DATE '1970-01-01', ts::DATE)::INT AS day, count(*) AS n FROM events GROUP BY 1), e AS (SELECT (day - min(day) OVER ())::INT AS e, n FROM d)
+SELECT e AS epoch, n, {r('1 - 0.6::DOUBLE * (1 - cos(pi() * least(e / 39, 1))) / 2')} AS alpha, 'cosine' AS mode FROM e UNION ALL SELECT e, n, {r('1 - 0.6::DOUBLE * greatest(least((e - 5) / 19, 1), 0)')}, 'linear' FROM e""",
+    "augment_policy": f"WITH p AS ({ORACLES['augment_policy']}) SELECT p.*, n FROM p JOIN (SELECT (label % 4)::INT AS ss_cat, count(*) AS n FROM embeddings GROUP BY 1) USING (ss_cat)",
+    **{name: f"WITH p AS ({ORACLES[name]}), {STEPS} SELECT id, p.* FROM st JOIN p USING (t)" for name in ("beta_linear", "beta_cosine", "posterior_variance", "min_snr_weights")},
+    "time_embedding": f"SELECT event_id, t::INT AS t, i, v FROM (SELECT event_id, event_id % 1000 AS t FROM events) JOIN ({ORACLES['time_embedding']}) USING (t)",
+    "midpoint_general": f"SELECT vec_id AS id, p.* FROM embeddings JOIN ({ORACLES['midpoint_general']}) p ON p.label = embeddings.label % 10 - 1",
+    "wind_targets": f"WITH {SNAP} SELECT rel_path, ss_cat, target FROM idx JOIN ({ORACLES['wind_targets']}) USING (ss_cat)",
+    "ddpm_by_steps": f"""WITH RECURSIVE f AS (SELECT t, pow(cos((t / 12 + 0.008::DOUBLE) / 1.008::DOUBLE * pi() / 2), 2) AS f FROM range(13) q(t)),
+be AS (SELECT a.t, least(greatest(1 - b.f / a.f, 1e-8), 0.999) AS beta FROM f a JOIN f b ON b.t = a.t + 1), ab AS (SELECT t, beta, product(1 - beta) OVER (ORDER BY t) AS abar FROM be), sc AS (SELECT *, beta * (1 - lag(abar, 1, 1.0) OVER (ORDER BY t)) / (1 - abar) AS post FROM ab),
+a AS (SELECT vec_id AS id, CASE WHEN label < 6 THEN label ELSE 6 END AS label, CASE WHEN label < 6 THEN {MID.format(c='label')} ELSE 0 END AS wind FROM embeddings),
+n AS MATERIALIZED (SELECT id, label, j::INT AS i, 0.06::DOUBLE + 1.5 * (0.01 * label + 0.001 * wind - 0.06::DOUBLE) AS c, list_transform(range(13), lambda k: ('0x' || substr(md5(id || '|' || k || '|' || j), 1, 8))::BIGINT / 2147483648.0::DOUBLE - 1) AS z FROM a, range(2) q(j)),
+x AS (SELECT id, label, i, c, z, 11 AS t, z[1] AS x FROM n
+UNION ALL SELECT id, label, i, c, z, t - 1, CASE WHEN t = 0 THEN greatest(least(x0, 1), -1) ELSE (x - beta / (sqrt(1 - abar) + 1e-8) * ((x - sqrt(abar) * x0) / (sqrt(1 - abar) + 1e-8))) / sqrt(1 - beta) + sqrt(post) * z[13 - t] END
+  FROM (SELECT x.*, beta, abar, post, sqrt(abar) * x - sqrt(1 - abar) * (0.5 * x + c) AS x0 FROM x JOIN sc USING (t)))
+SELECT id, label::INT AS label, i, {r('x')} AS v FROM x WHERE t = -1""",
+}

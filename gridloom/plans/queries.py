@@ -175,8 +175,12 @@ def set_probs(spark, sf):
 
 @query
 def alpha_ramp(spark, sf):
-    cosine = sampling.alpha_ramp(spark, 60).withColumn("mode", F.lit("cosine"))
-    return rounded(cosine.unionAll(sampling.alpha_ramp(spark, 60, first=5, ramp=20, mode="linear").withColumn("mode", F.lit("linear"))), "alpha")
+    """Days of the events as epochs, with the weight of either ramp and the events that it would draw."""
+    e = b.table(spark, sf, "events")
+    days = e.groupBy(F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    epochs = days.crossJoin(F.broadcast(days.agg(F.min("day").alias("first")))).select((F.col("day") - F.col("first")).alias("epoch"), "n")  # one row
+    cosine = epochs.select("epoch", "n", sampling.ramp_value("epoch").alias("alpha"), F.lit("cosine").alias("mode"))
+    return rounded(cosine.unionAll(epochs.select("epoch", "n", sampling.ramp_value("epoch", first=5, ramp=20, mode="linear"), F.lit("linear"))), "alpha")
 
 
 @query
@@ -203,7 +207,9 @@ def augment_gate(spark, sf):
 
 @query
 def augment_policy(spark, sf):
-    return rounded(im.augment_policy(spark, 4), "p_aug")
+    """The policy of four classes, with the images of each."""
+    images = b.table(spark, sf, "embeddings").groupBy((F.col("label") % 4).cast("int").alias("ss_cat")).agg(F.count(F.lit(1)).alias("n"))
+    return rounded(images.join(F.broadcast(im.augment_policy(spark, 4)), "ss_cat"), "p_aug")  # four rows
 
 
 @query
@@ -467,20 +473,25 @@ def viz_sample_grid(spark, sf):
 # Diffusion
 
 
+def _steps(spark, sf, name):
+    """Every vector with the schedule of its step."""
+    rows = b.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), (F.col("vec_id") * 37 % 1000).cast("int").alias("t"))
+    return diffusion.at_step(rows, diffusion.schedule(diffusion.betas(spark, name)))
+
+
 @query
 def beta_linear(spark, sf):
-    return rounded(diffusion.betas(spark, "linear"), "beta", digits=9)
+    return rounded(_steps(spark, sf, "linear").select("id", "t", "beta"), "beta", digits=9)
 
 
 @query
 def beta_cosine(spark, sf):
-    return rounded(diffusion.betas(spark, "cosine"), "beta", digits=9)
+    return rounded(_steps(spark, sf, "cosine").select("id", "t", "beta"), "beta", digits=9)
 
 
 @query
 def posterior_variance(spark, sf):
-    s = diffusion.schedule(diffusion.betas(spark)).select("t", "abar", "abar_prev", "post_var")
-    return rounded(s, "abar", "abar_prev", "post_var", digits=9)
+    return rounded(_steps(spark, sf, "linear").select("id", "t", "abar", "abar_prev", "post_var"), "abar", "abar_prev", "post_var", digits=9)
 
 
 def _noised(spark, sf):
@@ -507,7 +518,7 @@ def x0_roundtrip(spark, sf):
 
 @query
 def min_snr_weights(spark, sf):
-    s = diffusion.schedule(diffusion.betas(spark)).select("t", diffusion.min_snr_weight("v_mse", 2.5).alias("w_v"), diffusion.min_snr_weight("eps", 2.5).alias("w_eps"))
+    s = _steps(spark, sf, "linear").select("id", "t", diffusion.min_snr_weight("v_mse", 2.5).alias("w_v"), diffusion.min_snr_weight("eps", 2.5).alias("w_eps"))
     return rounded(s, "w_v", "w_eps")
 
 
@@ -586,20 +597,21 @@ def wind_features(spark, sf):
 
 @query
 def time_embedding(spark, sf):
-    steps = spark.range(1000).select(F.col("id").cast("int").alias("t"))
-    return exploded(steps.select("t", sc.time_embedding("t", 9).alias("e")), ["t"], "e")
+    """Every event at one of the 1,000 steps."""
+    steps = b.table(spark, sf, "events").select("event_id", (F.col("event_id") % 1000).cast("int").alias("t"))
+    return exploded(steps.select("event_id", "t", sc.time_embedding("t", 9).alias("e")), ["event_id", "t"], "e")
 
 
 @query
 def midpoint_general(spark, sf):
-    labels = spark.range(-1, 9).select(F.col("id").cast("int").alias("label"))
-    return labels.select("label", sc.midpoint_general("label").alias("six"), sc.midpoint_general("label", 8).alias("eight"), sc.midpoint("label").alias("scalar"), sc.label_clip("label").alias("clipped"))
+    labels = b.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), (F.col("label") % 10 - 1).cast("int").alias("label"))
+    return labels.select("id", "label", sc.midpoint_general("label").alias("six"), sc.midpoint_general("label", 8).alias("eight"), sc.midpoint("label").alias("scalar"), sc.label_clip("label").alias("clipped"))
 
 
 @query
 def wind_targets(spark, sf):
     targets = F.create_map(*[F.lit(x) for x in ("0", "49.5", "1", "bad", "3", "101")])
-    return spark.range(6).select(F.col("id").cast("int").alias("ss_cat")).select("ss_cat", sc.wind_target(targets, "ss_cat").alias("target"))
+    return b.index(spark, sf).select("rel_path", "ss_cat", sc.wind_target(targets, "ss_cat").alias("target"))
 
 
 def _cells(spark, sf):
@@ -774,6 +786,16 @@ def ddpm_sample_loop(spark, sf):
     return exploded(loop, ["id", "label"], "x")
 
 
+@query
+def ddpm_by_steps(spark, sf):
+    """Twelve guided steps of the cosine schedule as DataFrame steps, written every five, with the same predictor."""
+    asked = b.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.when(F.col("label") < 6, F.col("label")).cast("int").alias("label"))
+    predict = lambda x, t, labels, winds: x * 0.5 + labels[:, None] * 0.01 + winds[:, None] * 0.001
+    noise = lambda call: F.transform(F.sequence(F.lit(0), F.lit(1)), lambda j: sc.uniform(F.md5(F.concat_ws("|", "id", F.lit(str(call)), j.cast("string")).cast("binary"))) * 2 - 1)
+    out = diffusion.sample_by_steps(asked, predict, 2, steps=12, p=None, guidance=1.5, schedule_name="cosine", noise=noise, every=5)
+    return exploded(out.select("id", "label", "x"), ["id", "label"], "x")
+
+
 @query
 def pack_verification(spark, sf):
     """Images of all vectors packed by path and compared, all of them, with their source."""
