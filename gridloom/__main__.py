@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import config as cf
-from gridloom.operators import catalog, diffusion, evaluation, feed, sampling, storms
+from gridloom.operators import catalog, diffusion, evaluation, feed, storms, training
 from gridloom.session import written
-from gridloom.sources import files, netcdf
+from gridloom.sources import files, netcdf, packed
 
 
 def load(name: str) -> Callable[..., Any]:
@@ -45,10 +45,12 @@ def _images(spark: SparkSession, a: argparse.Namespace, *columns: str) -> DataFr
 
 
 def index(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Classifies the files below a root and writes the index: a JSON document and a table."""
+    """Classifies the files below a root and writes the index: JSON lines, a table and, if asked, one document."""
     found = written(_images(spark, a, "wmo_wind").select("rel_path", "wmo_wind"), "snapshots")
     feed.require_rows(found, f"no {a.pattern} below {a.data_root}")
-    files.write_json(catalog.index_json(found, a.data_root), f"{a.output}/document")
+    files.write_json(catalog.index_lines(found, a.data_root), f"{a.output}/lines")
+    if a.document:  # one row with every path: for small sets
+        files.write_json(catalog.index_json(found, a.data_root), f"{a.output}/document")
     catalog.dataset_index(found).write.parquet(f"{a.output}/table")
 
 
@@ -66,7 +68,7 @@ def splits(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def pack(spark: SparkSession, a: argparse.Namespace) -> None:
     """Indexed images in path order, in shards, with a manifest."""
-    indexed = files.read_index(spark, f"{a.dataset_index}/document", strict=True)
+    indexed = files.read_index_lines(spark, f"{a.dataset_index}/lines", strict=True)
     images = _images(spark, a, "bt").select("rel_path", "bt")
     packed = written(catalog.pack(indexed.join(images, "rel_path", "left"), a.samples_per_shard), "packed")
     catalog.write_pack(packed, a.output_dir, a.samples_per_shard, {"created_at": _now(), "data_root": a.data_root, "dataset_index": a.dataset_index}, a.overwrite)
@@ -79,7 +81,7 @@ def verify(spark: SparkSession, a: argparse.Namespace) -> None:
     files.read_rel_paths(spark, a.packed, document["num_samples"])
     checks = catalog.validate_pack(packed, catalog.manifest(packed), document["num_samples"], document["sample_shape"][0])
     failed = [r.check for r in checks.where("failures > 0").collect()]  # a row per kind of check
-    indexed = files.read_index(spark, f"{a.dataset_index}/document")
+    indexed = files.read_index_lines(spark, f"{a.dataset_index}/lines")
     row = catalog.verify_pack(packed, indexed, _images(spark, a, "bt"), a.num_samples, a.seed, a.atol).first().asDict()
     print(json.dumps(row | {"failed_checks": failed}))
     if failed or not row["ok"]:
@@ -87,14 +89,21 @@ def verify(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def train(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Writes the weighted draws of an epoch as batches and hands them to the caller's training step."""
-    settings = cf.load(a.config, a.override) if a.config else {}
-    indexed = files.read_index(spark, f"{a.dataset_index}/document")
-    steps, size = a.steps, a.batch_size
-    drawn = sampling.weighted_draws(indexed, steps * size, a.alpha, a.seed).join(catalog.wind_fallback(indexed, indexed).select("rel_path", "wind_kt"), "rel_path")
-    elements = feed.elements(files.read_images(spark, f"{a.packed}/samples"), drawn.select("draw", "rel_path", "ss_cat", "wind_kt").drop("draw").distinct())
-    batches = written(feed.batches(drawn.select("draw", "rel_path").join(elements, "rel_path"), "draw", size, True), "batches")
-    load(a.trainer)(spark, batches, settings)
+    """Runs the caller's training step over epochs of weighted, shuffled and augmented batches, with history, early
+    stopping and --resume. The step is called with (spark, batches, settings): settings have the configuration, epoch,
+    alpha and the validation sets; it may return train_loss, val_full and val_balanced."""
+    config = cf.load(a.config, a.override) if a.config else {}
+    indexed = files.read_index_lines(spark, f"{a.dataset_index}/lines")
+    conditions = written(catalog.wind_fallback(indexed, indexed), "conditions")
+    learned, held_out = conditions, None
+    if a.split_dir:
+        listed = lambda name: conditions.join(files.read_lines(spark, f"{a.split_dir}/files_{name}"), "rel_path", "left_semi")
+        learned, held_out = feed.require_rows(listed("train"), "no indexed file is in the train split"), listed("val")
+    own = training.Settings.of(config, epochs=a.epochs, steps=a.steps, batch=a.batch_size, alpha=a.alpha, seed=a.seed, augment=a.augment or None, patience=a.patience)
+    step = load(a.trainer)
+    images = packed.open_packed(spark, a.packed).images()
+    last = training.run(spark, learned, images, lambda batches, about: step(spark, written(batches, "batches"), about), own, a.out_dir, a.resume, held_out, config)
+    print(json.dumps({"last_epoch": last}))
 
 
 def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -112,9 +121,16 @@ def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def sample(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Images of a class (or unconditional ones) from the caller's network, as Parquet."""
-    asked = spark.range(a.n).select("id", F.lit(a.ss_cat).cast("int").alias("label"), F.lit(a.wind_kt).cast("double").alias("wind_kt"))
-    out = diffusion.sample_loop(asked, load(a.predictor), a.image_size**2, a.steps, a.kind, seed=a.seed, schedule_name=a.schedule, guidance=a.guidance_scale)
+    """Images of a class (5 by default; unconditional ones with --uncond) from the caller's network, as Parquet. A
+    configuration gives image size, steps, schedule and loss type where the options don't."""
+    config = cf.load(a.config, a.override) if a.config else {}
+    data, own = config.get("data") or {}, config.get("diffusion") or {}
+    pick = lambda given, tree, key, default: given if given is not None else tree.get(key, default)
+    size, steps = int(pick(a.image_size, data, "image_size", 64)), int(pick(a.steps, own, "num_steps", 1000))
+    p = float(own.get("dynamic_threshold_p", 0.995)) if own.get("dynamic_threshold", True) else None
+    label = F.lit(None) if a.uncond else F.lit(a.ss_cat)
+    asked = spark.range(a.n).select("id", label.cast("int").alias("label"), F.lit(None if a.uncond else a.wind_kt).cast("double").alias("wind_kt"))
+    out = diffusion.sample_loop(asked, load(a.predictor), size**2, steps, pick(a.kind, own, "loss_type", "v"), p, seed=a.seed, schedule_name=pick(a.schedule, own, "beta_schedule", "linear"), guidance=a.guidance_scale)
     out.write.parquet(a.output)
 
 
@@ -135,16 +151,20 @@ def parser() -> argparse.ArgumentParser:
                 own.add_argument(flag, default=value, type=type(value) if value is not None else str)
         return own
 
-    command(index, "index", "data-root", "output", decoder=None, pattern="*.nc")
+    command(index, "index", "data-root", "output", decoder=None, pattern="*.nc", document=False)
     command(splits, "splits", "csv-path", "data-root", "out-dir", pattern="*.nc", frac_train=0.8, frac_val=0.1, frac_test=0.1, seed=42)
     command(pack, "pack", "data-root", "dataset-index", "output-dir", decoder=None, pattern="*.nc", samples_per_shard=4096, overwrite=False)
     command(verify, "verify", "data-root", "dataset-index", "packed", decoder=None, pattern="*.nc", num_samples=256, seed=42, atol=0.0)
-    own = command(train, "train", "packed", "dataset-index", "trainer", config=None, steps=2000, batch_size=8, alpha=1.0, seed=42)
+    own = command(train, "train", "packed", "dataset-index", "trainer", config=None, split_dir=None, out_dir=None, seed=42, augment=False, resume=False)
     own.add_argument("--override", action="append", default=[])
+    for option, kind in (("epochs", int), ("steps", int), ("batch-size", int), ("alpha", float), ("patience", int)):
+        own.add_argument(f"--{option}", type=kind)  # where absent, the configuration's
     own = command(evaluate, "eval", "images", "output", config=None, tag="manual", heavy=False)
     own.add_argument("--override", action="append", default=[])
-    own = command(sample, "sample", "predictor", "output", n=16, image_size=64, steps=1000, kind="v", schedule="linear", guidance_scale=0.0, seed=0)
-    own.add_argument("--ss-cat", type=int)
+    own = command(sample, "sample", "predictor", "output", n=16, config=None, kind=None, schedule=None, guidance_scale=0.0, seed=0, ss_cat=5, uncond=False)
+    own.add_argument("--override", action="append", default=[])
+    own.add_argument("--image-size", type=int)
+    own.add_argument("--steps", type=int)
     own.add_argument("--wind-kt", type=float)
     return top
 

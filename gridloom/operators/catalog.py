@@ -32,6 +32,12 @@ def index_meta(snapshots: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("num_files_total"), F.count_if(has & strong).alias("num_files_indexed"), F.count_if(~has).alias("num_files_skipped_no_wind"), F.count_if(has & ~strong).alias("num_files_skipped_below_ts"))
 
 
+def index_lines(snapshots: DataFrame, root: str = "") -> DataFrame:
+    """Rows ``value``: the index as JSON lines, one of the counts and one for every file, so that no row grows with them."""
+    meta = index_meta(snapshots).select(F.to_json(F.struct(F.struct(F.lit(root).alias("dataset_root"), "*").alias("meta"))).alias("value"))
+    return meta.unionAll(dataset_index(snapshots).select(F.to_json(F.struct("rel_path", "ss_cat", "wmo_wind_kt")).alias("value")))
+
+
 def index_json(snapshots: DataFrame, root: str = "") -> DataFrame:
     """One row ``value``: the index document. Class lists and samples grow with the files; for large sets write
     ``dataset_index`` as a table instead."""

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gridloom.functions.scalar import dur_bin, index_prefix, lat_bin, season, seeded, stratum
+from gridloom.operators.catalog import dense_index
 
 # The track table's columns.
 REQUIRED = ("SID", "IDX_TRUE", "BASIN", "ISO_TIME", "LAT", "LON", "WMO_WIND", "SS_CAT")
@@ -50,8 +50,11 @@ def split_storms(storms: DataFrame, train: float = 0.8, val: float = 0.1, test:
     rounded half to even; one storm goes to train, two to train and val."""
     if abs(train + val + test - 1.0) > 1e-6:
         raise ValueError("fractions must sum to 1")
-    within = Window.partitionBy("STRATUM")
-    ranked = storms.select("SID", "STRATUM").withColumn("__n", F.count(F.lit(1)).over(within)).withColumn("__r", F.row_number().over(within.orderBy(seeded(seed, "SID"), "SID")))
+    # a dense number over all storms less that of the stratum's first: no stratum is ordered in one task
+    ordered = dense_index(storms.select("SID", "STRATUM").withColumn("__d", seeded(seed, "SID")), ["STRATUM", "__d", "SID"], "__at")
+    strata = ordered.groupBy(F.col("STRATUM").alias("__s")).agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    few = strata.limit(100_001).count() <= 100_000
+    ranked = ordered.join(F.broadcast(strata) if few else strata, F.col("STRATUM").eqNullSafe(F.col("__s"))).withColumn("__r", F.col("__at") - F.col("__first") + 1)
     n_train = F.least(F.col("__n"), F.greatest(F.lit(0), F.bround(F.col("__n") * F.lit(train)).cast("int")))
     n_val = F.least(F.col("__n") - n_train, F.greatest(F.lit(0), F.bround(F.col("__n") * F.lit(val)).cast("int")))
     where = F.when(F.col("__n") == 1, "train").when(F.col("__n") == 2, F.when(F.col("__r") == 1, "train").otherwise("val"))

@@ -69,6 +69,19 @@ def read_index(spark: SparkSession, path: str, strict: bool = False) -> DataFram
     return files.join(meta, "rel_path", "left").select("rel_path", "ss_cat", "wmo_wind_kt")
 
 
+def read_index_lines(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """rel_path, ss_cat and wmo_wind_kt of an index in JSON lines, read in parallel. With ``strict`` a path in two lines is
+    an error; winds that can't be read are null, and lines without a class are left out."""
+    rows = spark.read.schema("rel_path string, ss_cat string, wmo_wind_kt string").json(path)
+    wind = F.col("wmo_wind_kt").try_cast("double")
+    out = rows.select("rel_path", F.col("ss_cat").try_cast("int").alias("ss_cat"), F.when(is_finite(wind), wind).alias("wmo_wind_kt")).where("rel_path IS NOT NULL AND ss_cat IS NOT NULL")
+    if strict:
+        twice = out.groupBy("rel_path").count().where("count > 1").limit(1).collect()
+        if twice:
+            raise ValueError(f"a path is in the index twice: {twice[0].rel_path}")
+    return out
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """The distinct trimmed lines of a text list, blank ones left out."""
     try:

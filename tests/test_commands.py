@@ -40,8 +40,10 @@ def place(tmp_path_factory):
 def test_from_files_to_a_verified_pack(spark, place, capsys):
     at = f"file://{place}"
     decoder = ["--data-root", f"{at}/nc", "--decoder", "tests.test_commands:decode"]
-    main(["index", *decoder, "--output", f"{at}/index"], spark)
+    main(["index", *decoder, "--output", f"{at}/index", "--document"], spark)
     assert spark.read.parquet(f"{at}/index/table").count() == fi.read_index(spark, f"{at}/index/document", strict=True).count() == 35
+    lines, table = fi.read_index_lines(spark, f"{at}/index/lines", strict=True), spark.read.parquet(f"{at}/index/table")
+    assert sorted(map(tuple, lines.collect())) == sorted(map(tuple, table.select(*lines.columns).collect()))
     main(["pack", *decoder, "--dataset-index", f"{at}/index", "--output-dir", f"{at}/packed", "--samples-per-shard", "8"], spark)
     document = json.loads(spark.read.text(f"{at}/packed/manifest").first()[0])
     assert document["num_samples"] == 35 and document["sample_shape"] == [16] and [(s["start"], s["stop"]) for s in document["shards"]] == [(0, 8), (8, 16), (16, 24), (24, 32), (32, 35)]
@@ -80,11 +82,15 @@ def test_splits(spark, place):
 
 def test_sample_and_eval(spark, place):
     at = f"file://{place}"
-    for name, more in (("class", ["--ss-cat", "3", "--guidance-scale", "2.0"]), ("free", ["--schedule", "cosine"])):
+    for name, more in (("class", ["--ss-cat", "3", "--guidance-scale", "2.0"]), ("free", ["--schedule", "cosine", "--uncond"]), ("default", [])):
         main(["sample", "--predictor", "tests.test_commands:predict", "--output", f"{at}/{name}", "--n", "4", "--image-size", "3", "--steps", "5", *more], spark)
     got = spark.read.parquet(f"{at}/class").collect()
     assert {(r.label, r.wind_kt) for r in got} == {(3, 104.0)} and all(len(r.x) == 9 and np.abs(r.x).max() <= 1 for r in got)
     assert {(r.label, r.wind_kt) for r in spark.read.parquet(f"{at}/free").collect()} == {(6, 0.0)}
+    assert {(r.label, r.wind_kt) for r in spark.read.parquet(f"{at}/default").collect()} == {(5, 145.0)}
+    (place / "c.yaml").write_text("data: {image_size: 2}\ndiffusion: {num_steps: 3, beta_schedule: cosine, loss_type: eps_mse}\n")
+    main(["sample", "--predictor", "tests.test_commands:predict", "--output", f"{at}/configured", "--n", "1", "--config", f"{place}/c.yaml"], spark)
+    assert len(spark.read.parquet(f"{at}/configured").first().x) == 4
     rows = [(c, kind, 10 * i + (kind == "gen"), [200.0 + c, 210.0 + i, 190.0, 400.0 if kind == "gen" else 300.0]) for c in (0, 1) for kind in ("real", "gen") for i in range(40)]
     spark.createDataFrame([*rows, (2, "real", 1, [200.0] * 4)], "class int, set string, id long, bt array<double>").write.parquet(f"{at}/images")
     for tag, heavy, n in (("light", [], 25), ("heavy", ["--heavy"], 50)):
