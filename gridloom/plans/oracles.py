@@ -348,3 +348,15 @@ UNION ALL SELECT id, label, i, c, z, t - 1, CASE WHEN t = 0 THEN greatest(least(
   FROM (SELECT x.*, beta, abar, post, sqrt(abar) * x - sqrt(1 - abar) * (0.5 * x + c) AS x0 FROM x JOIN sc USING (t)))
 SELECT id, label::INT AS label, i, {r('x')} AS v FROM x WHERE t = -1""",
 }
+
+# What was written to files and read again.
+ORACLES |= {
+    "scan_tree": "SELECT (vec_id % 10) || '/' || vec_id || '-e.nc' AS rel_path FROM embeddings",
+    "tracks_csv": ORACLES["storm_table"],
+    "index_lines": ORACLES["point_lookup"],
+    "path_classes": f"WITH {SNAP} SELECT rel_path, max(c)::INT AS ss_cat FROM (SELECT rel_path, ss_cat AS c FROM idx UNION ALL SELECT rel_path, (ss_cat + 1) % 6 FROM idx WHERE substr(md5('42|' || rel_path), 1, 1) < '2') GROUP BY rel_path",
+    "split_lists": ORACLES["split_files"],
+    "loss_history": f"WITH {DAYS} SELECT step::INT AS epoch, {r('avg(value)')} AS train_loss, {r('max(value)')} AS val_full, {r('min(value) FILTER (step % 2 = 0)')} AS val_balanced FROM days GROUP BY step",
+    "condition_prepared": f"SELECT vec_id AS id, (label % 7)::INT AS label, {r('CASE WHEN vec_id % 3 <> 0 THEN vec_id WHEN label % 7 = 6 THEN 0 ELSE ' + MID.format(c='(label % 7)') + ' END')} AS wind_kt FROM embeddings",
+    "epoch_rows": "SELECT vec_id AS row, label FROM embeddings WHERE vec_id < 160",
+}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -853,3 +852,64 @@ def packed_lookup(spark, sf):
     found = packed.open_packed(spark, path).by_path(images.select("rel_path"))
     total = F.aggregate("bt", F.lit(0.0), lambda a, x: a + x.cast("double"))
     return rounded(found.select("rel_path", "global_index", "shard_id", "ss_cat", total.alias("total")), "total")
+
+
+@query
+def scan_tree(spark, sf):
+    return files.scan_tree(spark, _image_files(spark, sf))
+
+
+@query
+def tracks_csv(spark, sf):
+    """The storm table of tracks that were written as text: read, checked and typed again."""
+    path = table_path(spark, "tracks")
+    b.tracks(spark, sf).drop("row_no").withColumn("LON", F.lit(0.0)).write.option("header", True).csv(path)
+    return rounded(storms.storm_table(storms.coerce_tracks(files.read_tracks(spark, path))), "MAX_WMO_WIND")
+
+
+@query
+def index_lines(spark, sf):
+    path = table_path(spark, "index")
+    files.write_json(catalog.index_lines(b.snapshots(spark, sf)), path)
+    return rounded(files.read_index_lines(spark, path, strict=True), "wmo_wind_kt")
+
+
+@query
+def path_classes(spark, sf):
+    """The class of each path of an index in which a tenth of the paths stand under two."""
+    index = b.index(spark, sf).select("ss_cat", "rel_path")
+    second = index.where(F.substring(sc.seeded(SEED, "rel_path"), 1, 1) < "2").select(((F.col("ss_cat") + 1) % 6).alias("ss_cat"), "rel_path")
+    return catalog.path_classes(index.unionAll(second))
+
+
+@query
+def split_lists(spark, sf):
+    """Files of each split by the lists that were written for them."""
+    path = table_path(spark, "splits")
+    files.write_split_lists(spark, storms.split_storms(storms.storm_table(b.tracks(spark, sf))), _files(spark, sf)[1], path)
+    parts = [files.read_lines(spark, f"{path}/files_{name}").withColumn("split", F.lit(name)) for name in ("train", "val", "test")]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
+@query
+def loss_history(spark, sf):
+    """The curves of the loss figure, from a history that was added to twice."""
+    path = table_path(spark, "history")
+    days = written(b.daily(spark, sf), "days")
+    rows = days.groupBy(F.col("step").cast("int").alias("epoch")).agg(F.avg("value").alias("train_loss"), F.max("value").alias("val_full"), F.min(F.when(F.col("step") % 2 == 0, F.col("value"))).alias("val_balanced"))
+    for even in (True, False):
+        files.append_history(rows.where((F.col("epoch") % 2 == 0) == F.lit(even)), path)
+    return rounded(files.read_history(spark, path), "train_loss", "val_full", "val_balanced")
+
+
+@query
+def condition_prepared(spark, sf):
+    i = F.col("vec_id")
+    rows = b.table(spark, sf, "embeddings").select(i.alias("id"), (F.col("label") % 7).cast("int").alias("label"), F.when(i % 3 != 0, i.cast("double")).alias("wind_kt"))
+    return rounded(diffusion.prepare_condition(rows), "wind_kt")
+
+
+@query
+def epoch_rows(spark, sf):
+    """The rows of an epoch of 20 steps of eight."""
+    return feed.epoch(b.table(spark, sf, "embeddings").select(F.col("vec_id").alias("row"), "label"), 20, 8, "row")

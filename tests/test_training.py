@@ -1,7 +1,6 @@
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
 from gridloom.operators import training as tr
 from gridloom.sources import files as fi
