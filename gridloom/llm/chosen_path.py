@@ -29,7 +29,8 @@ the rest.
 
 Edge cases: texts without words have no shingles and no links (equal ones are one class); texts under five
 words have one shingle; null is the empty text; a row with a null doc_id keeps its null; rows repeating a
-doc_id each keep theirs; an empty table gives no rows. Long texts are read whole.
+doc_id each keep theirs; an empty table gives no rows. Long texts are read whole. Only doc_id and text are
+read, so other columns may have any name. Ties: a similarity of ``SIMILARITY`` exactly is a link.
 """
 
 from __future__ import annotations

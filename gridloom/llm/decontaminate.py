@@ -19,7 +19,8 @@ share of the item's distinct shingles that the whole document holds.
 
 Words are separated by white space. A text of fewer than five words has one shingle, all its words, and
 counts as contained where these follow one another in a document. Null, empty or white texts match
-nothing. Repeated items and documents each give their rows; an empty table gives none.
+nothing. Repeated items and documents each give their rows; an empty table gives none. Only ids and texts
+are read, so other columns may have any name. Ties: a containment of exactly the share asked for is a match.
 
 The items go to the executors in blocks of ``BLOCK`` items whose texts have at most ``BLOCK_BYTES``, one
 pass over the documents for each block; benchmarks of any size are whole.

@@ -11,7 +11,8 @@ encoded as a whole. Segments' ids come from the sentencepiece library and are ke
 
 Edge cases: null is the empty text; it has no pieces. A literal word-boundary mark is treated as the
 library treats it (it decodes to a space) and keeps its three original bytes in its span. Nothing is
-cut, however long the text. Repeated rows give repeated results; an empty table gives no rows.
+cut, however long the text. Repeated rows give repeated results; an empty table gives no rows; columns
+named as those added are replaced. Ties between merges are the library's.
 """
 
 from __future__ import annotations

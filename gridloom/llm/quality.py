@@ -18,7 +18,9 @@ groups and joined in salted copies above it.
 
 Edge cases: null and empty texts are rated as empty; null hosts and paths form groups of their own;
 labels that are null are left out, and without labels of both kinds the classifier says the prior rate
-(0.5 if there are none); an empty table gives no rows; further columns are kept out of the result.
+(0.5 if there are none); an empty table gives no rows; further columns are kept out of the result, whatever
+their names. Very long texts are read whole; repeated rows count as often as they are there, and are rated alike; a
+rating equal to the threshold is accepted.
 """
 
 from __future__ import annotations

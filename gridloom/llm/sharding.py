@@ -8,7 +8,8 @@ weight changed and nowhere else, and a new shard that opens its own region takes
 
 Edge cases: a null key is the empty string; equal keys share a shard; an empty table gives an empty
 table; a null text has one byte of size and the checksum of the empty string; columns of the input
-that clash with the output's names are replaced.
+that clash with the output's names are replaced. Very long texts are only measured and summed, whole.
+Repeated rows share a shard and have slots of their own.
 """
 
 from __future__ import annotations

@@ -24,7 +24,8 @@ suffix per byte would shuffle a hundred times the text.
 4. Spans go back to the parts, which merge them and cut the texts.
 
 Edge cases: a null text is empty; texts shorter than ``LENGTH`` bytes are kept; rows that repeat a doc_id
-are ordered by their text, then arbitrarily (they are equal then); null doc_ids count as the smallest;
+are ordered by their text, then arbitrarily (they are equal then); null doc_ids count as the smallest; very
+long texts are taken whole;
 an empty table gives no rows; further columns are left alone, whatever their names.
 """
 

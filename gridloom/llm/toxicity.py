@@ -12,7 +12,9 @@ that differ in themselves: one that tells the labels apart in combination alone
 texts of both labels) is left out. Scoring is one pass over all texts.
 
 Edge cases: null or empty texts and texts without known terms get the bias alone; labels that are null
-are left out; without labels every score is 0.25; repeated rows score alike; long texts are read whole.
+are left out; without labels every score is 0.25; repeated rows score alike; long texts are read whole; a
+score of 0.5 exactly is label 1; an empty table gives no rows; only the columns named are read, so others may have any
+name.
 """
 
 from __future__ import annotations
