@@ -19,7 +19,7 @@ Within a block white space becomes one space; character references are decoded;
 space; blocks are joined by a line feed. Markup is read in one forward scan whose time is in proportion to the
 page, however long and broken it is: a quote that is never closed is an ordinary character, a tag, comment
 or script that is never closed ends with the page. Null or empty pages and pages without text give the empty text.
-Null URLs share the empty host. Repeated rows each give their row; an empty table gives none.
+The cells of a table's row are one block, with a space between them. Only the columns named are read. Null URLs share the empty host. Repeated rows each give their row; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -193,6 +193,8 @@ def page_blocks(page: str) -> tuple[list[str], bool]:
         is_block, is_container = name in _BLOCKS, name in _CONTAINERS
         if not is_block and name not in ("td", "th"):
             continue
+        if not is_block and not dropped:
+            held.append(" ")  # a cell's words aren't its neighbour's
         if closes:
             if is_block and not dropped:
                 close()

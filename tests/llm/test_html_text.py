@@ -39,6 +39,7 @@ def test_article():
         ("<p>a<!>b</ >c<?x?>d<!---->e</p>", (["abcde"], False)),
         ('<article><p class="advert">buy</p><p>a</p><ul><li class="cookie-notice">c<div>d</div><li>b</ul><h2 class="newsletter">n</h2>e</article>', (["a", "b", "e"], True)),
         ('<article><table><tr><td class="ad">x</td><td>y</td></tr><tr class="promo"><td>z</td></tr><tr><td>w</td></tr></table></article>', (["y", "w"], True)),
+        ("<article><table><tr><th>a</th><th>b</th></tr><tr><td>c<td>d e</td></table>x<td>y</article>", (["a b", "c d e", "x y"], True)),
         ('<article><p class="ad">buy<p>a<h2 id="a-notice">h</h2><p class="ad">b<div>c</div></article>', (["a", "h", "c"], True)),
         ('<article><div class="social"><p>a story of people</p></div></article>', (["a story of people"], True)),
         ("<p>&#" + "9" * 5000 + "; &#" + "0" * 9 + "65;</p>", (["\ufffd A"], False)),
