@@ -107,3 +107,7 @@ def test_query_equals_sql(spark, sf):
     assert len(got) == len(want) and set(got) == want and got
     rows = duck.execute("SELECT doc_id, text FROM documents").fetchall()
     assert want == plain_variants(plain_counts(rows))
+    rows = [(1, "écoles ecoles écolés éecoles ÿtalents italents " * 6)]
+    duck.execute("CREATE OR REPLACE TABLE documents_2 AS SELECT 1 AS doc_id, ? AS text", [rows[0][1]])
+    again = ORACLES["op12_spelling"].replace("FROM documents)", "FROM documents_2)")
+    assert set(duck.execute(f"SELECT {', '.join(columns)} FROM ({again})").fetchall()) == plain_variants(plain_counts(rows))
