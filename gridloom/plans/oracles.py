@@ -352,7 +352,7 @@ SELECT id, label::INT AS label, i, {r('x')} AS v FROM x WHERE t = -1""",
 # What was written to files and read again.
 ORACLES |= {
     "scan_tree": "SELECT (vec_id % 10) || '/' || vec_id || '-e.nc' AS rel_path FROM embeddings",
-    "tracks_csv": ORACLES["storm_table"],
+    "tracks_csv": f"SELECT * REPLACE (SID::VARCHAR AS SID) FROM ({ORACLES['storm_table']})",
     "index_lines": ORACLES["point_lookup"],
     "path_classes": f"WITH {SNAP} SELECT rel_path, max(c)::INT AS ss_cat FROM (SELECT rel_path, ss_cat AS c FROM idx UNION ALL SELECT rel_path, (ss_cat + 1) % 6 FROM idx WHERE substr(md5('42|' || rel_path), 1, 1) < '2') GROUP BY rel_path",
     "split_lists": ORACLES["split_files"],
