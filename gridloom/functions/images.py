@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,42 +38,57 @@ def eval_clean(bt: str | Column, low: float = BT_MIN, high: float = BT_MAX) -> C
     return F.transform(col(bt), lambda x: F.when(F.isnan(x), F.lit(low)).otherwise(_clip(x.cast("double"), low, high)))
 
 
-def rot90(x: str | Column, n: int, turns: str | Column) -> Column:
-    """A square image turned counter-clockwise by quarter turns."""
-    x, k = col(x), F.pmod(col(turns), F.lit(4))
+def held(f: Callable[..., Column], *values: str | Column) -> Column:
+    """``f`` of values computed once a row. The optimizer moves what a column is made of into the lambda that reads it,
+    where it would be computed again for every pixel."""
+    row = F.struct(*(col(v).alias(f"v{k}") for k, v in enumerate(values)))
+    return F.transform(F.array(row), lambda r: f(*(r[f"v{k}"] for k in range(len(values)))))[0]
 
-    def at(i: Column) -> Column:
-        r, c = F.floor(i / n).cast("int"), (i % n).cast("int")
-        source = F.when(k == 0, r * n + c).when(k == 1, c * n + (n - 1 - r)).when(k == 2, (n - 1 - r) * n + (n - 1 - c)).otherwise((n - 1 - c) * n + r)
-        return F.element_at(x, source + 1)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), at)
+def _turned(r: Column, c: Column, n: int, k: Column) -> Column:
+    """Where the pixel at (r, c) of an image after ``k`` (0 to 3) quarter turns stood."""
+    return F.when(k == 0, r * n + c).when(k == 1, c * n + (n - 1 - r)).when(k == 2, (n - 1 - r) * n + (n - 1 - c)).otherwise((n - 1 - c) * n + r)
 
 
 def _mirror(i: Column, n: int) -> Column:
     return F.when(i < 0, -i).when(i >= n, 2 * (n - 1) - i).otherwise(i)
 
 
-def shift_reflect(x: str | Column, n: int, dy: str | Column, dx: str | Column) -> Column:
-    """A square image moved by (dy, dx), its edges mirrored without repeating them."""
-    x = col(x)
+def turn_and_shift(x: str | Column, n: int, turns: str | Column, dy: str | Column, dx: str | Column) -> Column:
+    """``rot90``, then ``shift_reflect``, each pixel fetched once; null if ``x`` is."""
+
+    def moved(x: Column, k: Column, dy: Column, dx: Column) -> Column:
+        def at(i: Column) -> Column:
+            r, c = F.floor(i / n).cast("int"), (i % n).cast("int")
+            return F.element_at(x, (_turned(_mirror(r + dy, n), _mirror(c + dx, n), n, k) + 1).cast("int"))
+
+        return F.when(x.isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), at))
+
+    return held(moved, x, F.pmod(col(turns), F.lit(4)), dy, dx)
 
-    def at(i: Column) -> Column:
-        r, c = F.floor(i / n).cast("int"), (i % n).cast("int")
-        return F.element_at(x, (_mirror(r + col(dy), n) * n + _mirror(c + col(dx), n) + 1).cast("int"))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), at)
+def rot90(x: str | Column, n: int, turns: str | Column) -> Column:
+    """A square image turned counter-clockwise by quarter turns."""
+    return turn_and_shift(x, n, turns, F.lit(0), F.lit(0))
+
+
+def shift_reflect(x: str | Column, n: int, dy: str | Column, dx: str | Column) -> Column:
+    """A square image moved by (dy, dx), its edges mirrored without repeating them."""
+    return turn_and_shift(x, n, F.lit(0), dy, dx)
 
 
 def erase_bar(x: str | Column, n: int, vertical: str | Column, start: str | Column, width: str | Column, fill: str | Column, by_pixel: bool = False) -> Column:
     """A full-length bar of ``width`` rows or columns replaced by ``fill``, a number or, ``by_pixel``, an array of
     the image's size (off by default in the augmentation)."""
 
-    def at(v: Column, i: Column) -> Column:
-        place = F.when(col(vertical), (i % n).cast("int")).otherwise(F.floor(i / n).cast("int"))
-        return F.when((place >= col(start)) & (place < col(start) + col(width)), F.element_at(col(fill), i + 1) if by_pixel else col(fill)).otherwise(v)
+    def erased(x: Column, vertical: Column, start: Column, end: Column, fill: Column) -> Column:
+        def at(v: Column, i: Column) -> Column:
+            place = F.when(vertical, (i % n).cast("int")).otherwise(F.floor(i / n).cast("int"))
+            return F.when((place >= start) & (place < end), F.element_at(fill, i + 1) if by_pixel else fill).otherwise(v)
+
+        return F.transform(x, at)
 
-    return F.transform(col(x), at)
+    return held(erased, x, vertical, start, col(start) + col(width), fill)
 
 
 def augment_policy(spark: SparkSession, classes: int = 6) -> DataFrame:

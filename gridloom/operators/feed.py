@@ -57,8 +57,7 @@ def augment(rows: DataFrame, x: str, n: int, p: str | Column, seed: int, key: st
     image's mean and noise of a tenth of its deviation."""
     d = seeded(seed, key)
     out = rows.withColumns({"__on": uniform(d) < col(p), "__k": _byte(d, 9) % 4, "__dy": _byte(d, 11) % (2 * shift + 1) - shift, "__dx": _byte(d, 13) % (2 * shift + 1) - shift})
-    out = out.withColumn("__x", im.rot90(x, n, "__k"))
-    out = out.withColumn("__x", im.shift_reflect("__x", n, "__dy", "__dx"))
+    out = out.withColumn("__x", im.turn_and_shift(x, n, "__k", "__dy", "__dx"))
     if max_bars > 0:
         out = out.withColumn("__bars", _byte(d, 15) % (max_bars + 1))
         for k in range(max_bars):
@@ -67,7 +66,8 @@ def augment(rows: DataFrame, x: str, n: int, p: str | Column, seed: int, key: st
             out = out.withColumns({"__v": _byte(own, 1) % 2 == 0, "__w": F.least(_byte(own, 3) % 5 + 1, F.lit(n)), "__f": mean})
             out = out.withColumn("__s", _byte(own, 5) % (n - F.col("__w") + 1))
             std = F.sqrt(F.aggregate("__x", F.lit(0.0), lambda a, v: a + (v - F.col("__f")) * (v - F.col("__f"))) / F.size("__x"))
-            out = out.withColumn("__fill", F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), lambda i: F.col("__f") + normal(own, i) * 0.1 * (std + 1e-6)))
+            noise = lambda digest, mean, scale: F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), lambda i: mean + normal(digest, i) * 0.1 * scale)
+            out = out.withColumn("__fill", im.held(noise, own, "__f", std + 1e-6))
             out = out.withColumn("__x", F.when(F.lit(k) < F.col("__bars"), im.erase_bar("__x", n, "__v", "__s", "__w", "__fill", by_pixel=True)).otherwise(F.col("__x")))
     out = out.withColumn(x, F.when(F.col("__on"), F.col("__x")).otherwise(F.col(x)))
     return out.drop("__on", "__k", "__dy", "__dx", "__x", "__v", "__s", "__w", "__f", "__fill", "__bars")

@@ -28,7 +28,9 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 
 def exploded(df: DataFrame, keys: list[str], array: str, name: str = "v") -> DataFrame:
-    return rounded(df.select(*keys, F.posexplode(array).alias("i", name)), name)
+    """A row for each element. The outer form: before the plain one the optimizer puts a filter on the array's size and
+    another on null, each of which computes the array again."""
+    return rounded(df.select(*keys, F.posexplode_outer(array).alias("i", name)).where("i IS NOT NULL"), name)
 
 
 # Catalogue

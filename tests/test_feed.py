@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import numpy as np
@@ -31,6 +32,26 @@ def test_augmentation_is_off_on_and_repeats(spark):
     assert barred.columns == ["id", "x"] and {sum(x not in set(on[r.id]) for x in r.x) // 4 for r in barred.collect()} >= {0, 1, 2, 3}
 
 
+def test_augmentation_turns_then_moves(spark):
+    x = np.random.default_rng(0).random((40, 36))
+    df = spark.createDataFrame([*((i, v.tolist()) for i, v in enumerate(x)), (40, None)], "id int, x array<double>")
+    got = {r.id: r.x for r in feed.augment(df, "x", 6, F.lit(1.0), 1, "id").collect()}
+    assert got.pop(40) is None and len(got) == 40
+    for i, v in got.items():
+        k, dy, dx = hashlib.md5(f"1|{i}".encode()).digest()[4:7]
+        padded = np.pad(np.rot90(x[i].reshape(6, 6), k % 4), 2, mode="reflect")
+        assert np.array(v).reshape(6, 6).tolist() == padded[dy % 5 : dy % 5 + 6, dx % 5 : dx % 5 + 6].tolist()
+
+
+def test_augmentation_computes_an_image_once(spark):
+    """Not again for each pixel; nor the noise of a bar."""
+    df = spark.createDataFrame([(i, [float(v) for v in range(16)]) for i in range(4)], "id int, x array<double>")
+    plan = lambda bars: feed.augment(df, "x", 4, F.lit(1.0), 1, "id", max_bars=bars)._jdf.queryExecution().optimizedPlan().toString()
+    for p in (plan(0), plan(3)):
+        assert 0 < p.count("element_at(") == p.count("element_at(lambda")
+    assert plan(0).count("element_at(") == 1
+
+
 def test_batches_and_order(spark):
     df = spark.range(10).withColumnRenamed("id", "row")
     assert sorted({r.batch for r in feed.batches(df, "row", 4, True).collect()}) == [0, 1]

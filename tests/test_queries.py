@@ -52,6 +52,14 @@ def test_queries_without_sql_run(spark):
         assert QUERIES[name](spark, SF).count() > 0, name
 
 
+@pytest.mark.parametrize("name", ["augmented_elements", "rot90", "shift_reflect", "erase_bar"])
+def test_images_are_computed_once(spark, name):
+    """Neither again for each pixel nor in filters before the rows are made."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode") == 1 and "size(" not in plan
+    assert plan.count("element_at(") == plan.count("element_at(lambda") == (name != "erase_bar")
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(ORACLES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
